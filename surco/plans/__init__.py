@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("sensors",)
+MODULES = ("sensors", "forecasts")
 
 
 def load_all() -> None:

@@ -107,8 +107,8 @@ def parcels(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit("campo "), F.col("c_custkey").cast("string")).alias("nombre"),
         F.col("c_mktsegment").alias("cultivo"),
         F.concat(F.lit("v"), F.col("c_nationkey").cast("string")).alias("variedad"),
-        F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_acctbal") / 1000 + 38).alias("lat"),
-        (F.col("c_acctbal") / 2000 - 3).alias("lng"),
+        F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_acctbal") / 1370 + 38).alias("lat"),
+        (F.col("c_acctbal") / 2130 - 3).alias("lng"),
         F.when(F.col("c_acctbal") < 0, F.lit(0.0)).otherwise(F.col("c_acctbal")).alias("superficie"),
     )
 
@@ -117,8 +117,8 @@ PARCELS = """parcels AS (
   SELECT c_custkey AS id, c_nationkey AS usuario_id, c_name AS parcela_id,
          CAST(c_custkey // 1000 AS INTEGER) AS provincia, CAST(c_custkey % 1000 AS INTEGER) AS municipio,
          'campo ' || c_custkey AS nombre, c_mktsegment AS cultivo, 'v' || c_nationkey AS variedad,
-         CASE WHEN c_mktsegment <> 'BUILDING' THEN c_acctbal / 1000 + 38 END AS lat,
-         c_acctbal / 2000 - 3 AS lng,
+         CASE WHEN c_mktsegment <> 'BUILDING' THEN c_acctbal / 1370 + 38 END AS lat,
+         c_acctbal / 2130 - 3 AS lng,
          CASE WHEN c_acctbal < 0 THEN 0.0 ELSE c_acctbal END AS superficie,
          format('{:02d}{:03d}', CAST(c_custkey // 1000 AS INTEGER), CAST(c_custkey % 1000 AS INTEGER)) AS codigo_ine
   FROM customer)"""
