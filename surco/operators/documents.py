@@ -104,9 +104,10 @@ def cosine_topk(chunks: DataFrame, query: Column | Sequence[float], k: int = 3,
     vector = query if isinstance(query, Column) else F.lit([float(x) for x in query])
     for column, value in (filters or {}).items():
         chunks = chunks.filter(F.col(column) == value)
-    scored = chunks.withColumn("_distance", cosine_distance(F.col("embedding"), vector))
+    held = chunks.withColumn("_query", vector)
+    scored = held.withColumn("_distance", cosine_distance(F.col("embedding"), F.col("_query")))
     best = scored.orderBy(F.col("_distance").asc_nulls_last(), F.col(key)).limit(k)
-    return best.withColumn("score", _score(F.col("_distance"))).drop("_distance", "embedding")
+    return best.withColumn("score", _score(F.col("_distance"))).drop("_distance", "_query", "embedding")
 
 
 def cosine_topk_by_crop(chunks: DataFrame, queries: DataFrame, k: int = 3, key: str = "chunk_id") -> DataFrame:

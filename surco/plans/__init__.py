@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("sensors", "forecasts")
+MODULES = ("sensors", "context", "forecasts", "keyed", "documents", "geo")
 
 
 def load_all() -> None:

@@ -1,6 +1,6 @@
 """The given tables in the roles the operators expect, in Spark and in SQL.
 
-Amounts are divided by numbers such as 3.7 so that averages do not fall on
+Amounts are divided by numbers such as 3.71828 so that averages do not fall on
 rounding ties, where engines differ. Keys follow from keys, so that groups
 keep their size as the tables grow.
 """
@@ -48,7 +48,7 @@ def readings(spark: SparkSession, d: str) -> DataFrame:
         F.col("user_id").cast("string").alias("entity_id"),
         F.concat(F.lit("u"), k().cast("string")).alias("user_id"),
         metric().alias("sensor_tipo"),
-        (F.col("value") / 3.7).alias("valor"),
+        (F.col("value") / 3.71828).alias("valor"),
         F.when(k() % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("s"), k().cast("string"))).alias("sensor_id"),
         F.col("ts").alias("event_time"),
         F.col("event_id").alias("message_id"),
@@ -57,7 +57,7 @@ def readings(spark: SparkSession, d: str) -> DataFrame:
 
 READINGS = f"""readings AS (
   SELECT 'parcela' AS entity_type, CAST(user_id AS VARCHAR) AS entity_id, 'u' || {K_SQL} AS user_id,
-         {METRIC_CASE} AS sensor_tipo, value / 3.7 AS valor,
+         {METRIC_CASE} AS sensor_tipo, value / 3.71828 AS valor,
          CASE WHEN {K_SQL} % 3 = 0 THEN '' ELSE 's' || {K_SQL} END AS sensor_id,
          ts AS event_time, event_id AS message_id
   FROM events)"""
@@ -175,7 +175,7 @@ parcel_weather AS (
 
 def field_table(spark: SparkSession, d: str) -> DataFrame:
     """The field readings table: one metric per row."""
-    v = F.col("value") / 3.7
+    v = F.col("value") / 3.71828
 
     def of(kind: str) -> Column:
         return F.when(F.col("event_type") == kind, v)
@@ -191,11 +191,11 @@ def field_table(spark: SparkSession, d: str) -> DataFrame:
 
 FIELD_TABLE = f"""field_table AS (
   SELECT CAST(user_id AS VARCHAR) AS parcel_id, ts AS "timestamp", event_id AS message_id,
-         CASE WHEN event_type = 'view' THEN value / 3.7 END AS temperatura,
-         CASE WHEN event_type = 'click' THEN value / 3.7 END AS humedad_ambiental,
-         CASE WHEN event_type = 'purchase' THEN value / 3.7 END AS humedad_suelo,
-         CASE WHEN event_type = 'purchase' THEN value / 3.7 END AS precipitacion_mm,
-         CASE WHEN event_type = 'click' THEN value / 3.7 END AS et0,
+         CASE WHEN event_type = 'view' THEN value / 3.71828 END AS temperatura,
+         CASE WHEN event_type = 'click' THEN value / 3.71828 END AS humedad_ambiental,
+         CASE WHEN event_type = 'purchase' THEN value / 3.71828 END AS humedad_suelo,
+         CASE WHEN event_type = 'purchase' THEN value / 3.71828 END AS precipitacion_mm,
+         CASE WHEN event_type = 'click' THEN value / 3.71828 END AS et0,
          CASE WHEN event_type = 'signup' THEN 'cultivo' || ({K_SQL} % 5) END AS tipo_cultivo
   FROM events)"""
 
