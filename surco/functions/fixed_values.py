@@ -126,8 +126,10 @@ SOURCE_HISTORY = "historico_era5"
 SOURCE_FORECAST = "forecast"
 SOURCE_OBSERVED = "observado_modelo"
 
-# White space that separates words.
-WHITE_SPACE = (
-    r"[\t\n\x0B\f\r\x1C-\x20\x85\xA0\x{1680}\x{2000}-\x{200A}"
-    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+# White space that separates words, as a pattern and as a set of characters.
+WHITE_SPACE = r"(?U)[\s\x1C-\x1F]+"
+WHITE_SPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x20\x85\xa0 "
+    "           "
+    "    　"
 )

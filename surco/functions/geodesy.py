@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .columns import col
 from .fixed_values import COMPASS, EARTH_RADIUS_M, MERCATOR_HALF_M, WGS84_A, WGS84_F
@@ -63,8 +64,8 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     return F.asin(F.sqrt(F.least(h, F.lit(1.0)))) * (2 * EARTH_RADIUS_M)
 
 
-@F.pandas_udf("double")
-def geodesic_m(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series) -> pd.Series:
+@F.pandas_udf(T.DoubleType())
+def _geodesic_m(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series) -> pd.Series:
     """Metres on the WGS-84 ellipsoid (Vincenty's inverse formula), for points that are not antipodal."""
     b = WGS84_A * (1 - WGS84_F)
     u1 = np.arctan((1 - WGS84_F) * np.tan(np.radians(lat1.to_numpy(float))))
@@ -95,3 +96,7 @@ def geodesic_m(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Serie
         tail = cos_s * (2 * mid**2 - 1) - big_b / 6 * mid * (4 * sin_s**2 - 3) * (4 * mid**2 - 3)
         arc = sigma - big_b * sin_s * (mid + big_b / 4 * tail)
     return pd.Series(b * big_a * arc)
+
+
+# Marked so that a filter on the distance is not moved below it, which would compute it twice.
+geodesic_m = _geodesic_m.asNondeterministic()

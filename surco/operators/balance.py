@@ -53,9 +53,10 @@ def forecast_input(requests: DataFrame, forecast: DataFrame) -> tuple[DataFrame,
         "estado_cielo_desc",
     )
     asking = requests.filter(~own).select(*keep)
-    found = asking.join(days, "codigo_ine").select(*inline.columns)
-    unmet = asking.join(days.select("codigo_ine"), "codigo_ine", "left_anti").withColumn(
-        "reason", F.lit("no forecast for the municipality")
+    looked = asking.join(days.withColumn("_hit", F.lit(True)), "codigo_ine", "left")
+    found = looked.filter("_hit").select(*inline.columns)
+    unmet = looked.filter(F.col("_hit").isNull()).select(
+        *keep, F.lit("no forecast for the municipality").alias("reason")
     )
     return inline.unionByName(found), unmet
 
@@ -96,7 +97,12 @@ SCENARIOS = {
 
 def scenarios(et0: DataFrame, rain: DataFrame, kc: DataFrame, keys: tuple[str, ...] = ("parcela_id",)) -> DataFrame:
     """Need and deficit per day under dry, middle and wet assumptions."""
-    joined = et0.join(rain, [*keys, "fecha"]).join(kc, list(keys))
+    return scenario_columns(et0.join(rain, [*keys, "fecha"]), kc, keys)
+
+
+def scenario_columns(quantiles: DataFrame, kc: DataFrame, keys: tuple[str, ...] = ("parcela_id",)) -> DataFrame:
+    """The same from rows that hold the quantiles of both targets."""
+    joined = quantiles.join(kc, list(keys))
     columns = []
     for name, (e, r) in SCENARIOS.items():
         need = etc(F.col(e), F.col("kc"))

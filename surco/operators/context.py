@@ -145,63 +145,69 @@ def rows_by_source(df: DataFrame, source: str = "fuente") -> DataFrame:
 
 def time_spine(entities: DataFrame, start: str, steps: int, step: str = "1 hour", into: str = "ts") -> DataFrame:
     """Every entity at every step. Each entity row unfolds its own steps."""
-    first = ntz(start)
-    last = first + F.expr(f"INTERVAL '{step}'") * F.lit(steps - 1)
-    return entities.select("*", F.explode(F.sequence(first, last, F.expr(f"INTERVAL '{step}'"))).alias(into))
+    return entities.select("*", F.explode(_steps(ntz(start), steps, step)).alias(into))
 
 
-def decayed_response(spine: DataFrame, events: DataFrame, key: str, ts: str, amp: str, rate: float,
-                     base: Column | float = 0.0, low: float | None = None, high: float | None = None,
-                     period_days: int = 30, into: str = "respuesta") -> DataFrame:
-    """base + sum of amp * exp(-rate * days since) over all earlier events, clamped.
+def decayed_response(entities: DataFrame, events: DataFrame, key: str, ts: str, amp: str, rate: float, start: str,
+                     steps: int, step: str = "1 hour", base: Column | float = 0.0, low: float | None = None,
+                     high: float | None = None, period_steps: int = 500, into: str = "respuesta") -> DataFrame:
+    """At every step: base + sum of amp * exp(-rate * days since) over all earlier events, clamped.
 
-    The sum obeys a recurrence, so no pairs of events and steps are formed.
-    Time is cut into periods. Inside a period a running sum over the key's
-    events and steps gives the local part; the total of every earlier period,
-    decayed to the start of this one, gives the rest. One key and period is
-    the most that a single task has to order.
+    The sum obeys a recurrence, so events and steps are never paired. Events
+    first move to the next step, decayed by the way there, and are added up
+    per entity and step; what is left to order is bounded by the steps,
+    however many events an entity has. Steps are cut into periods: a running
+    sum inside a period plus the decayed totals of the earlier ones, which
+    keeps the exponents small over any span of time.
     """
-    span = period_days * 86400
-
-    def placed(df: DataFrame) -> DataFrame:
-        return df.withColumn("_s", _epoch_seconds(ts)).withColumn("_p", F.floor(F.col("_s") / span).cast("bigint"))
-
-    days_in = (F.col("_s") - F.col("_p") * span) / 86400
-    steps = placed(spine).withColumn("_row", F.struct(*spine.columns))
-    hits = placed(events.select(key, ts, F.col(amp).cast("double").alias("_amp")))
-    raised = hits.withColumn("_up", F.col("_amp") * F.exp(days_in * rate))
-
-    totals = raised.groupBy(key, "_p").agg((F.sum("_up") * F.exp(F.lit(-rate * period_days))).alias("_t"))
-    need = totals.select(key, "_p", "_t").unionByName(
-        steps.select(key, "_p").distinct(), allowMissingColumns=True
-    ).groupBy(key, "_p").agg(F.max("_t").alias("_t"))
+    origin = ntz(start)
+    width = (_epoch_seconds(origin + F.expr(f"INTERVAL '{step}'")) - _epoch_seconds(origin)).cast("double")
+    per_step = width / 86400 * rate
+
+    since_start = (_epoch_seconds(F.col(ts)) - _epoch_seconds(origin)) / width
+    at = F.ceil(since_start).cast("bigint")
+    arrived = F.col(amp).cast("double") * F.exp((since_start - at) * per_step)
+    hits = events.filter(F.col(ts).isNotNull()).select(key, at.alias("_i"), arrived.alias("_a"))
+    # What happened before the first step counts from there on.
+    early = F.least(F.col("_i"), F.lit(0))
+    hits = hits.filter(F.col("_i") < steps).select(
+        key, F.greatest(F.col("_i"), F.lit(0)).cast("bigint").alias("_i"), (F.col("_a") * F.exp(early * per_step)).alias("_a")
+    )
+    spine = entities.select("*", F.posexplode(_steps(origin, steps, step)).alias("_i", "ts"))
+    spine = spine.withColumn("_row", F.struct(*entities.columns, "ts")).select(key, F.col("_i").cast("bigint").alias("_i"), "_row")
+    cells = hits.groupBy(key, "_i").agg(F.sum("_a").alias("_a")).join(spine, [key, "_i"], "right")
+
+    period = F.floor(F.col("_i") / period_steps).cast("bigint")
+    inside = F.col("_i") - period * period_steps
+    raised = F.coalesce("_a", F.lit(0.0)) * F.exp(inside * per_step)
+    cells = cells.withColumn("_p", period).withColumn("_up", raised).withColumn("_down", F.exp(-inside * per_step))
+    running = W.partitionBy(key, "_p").orderBy("_i").rowsBetween(W.unboundedPreceding, W.currentRow)
+    local = cells.withColumn("_sum", F.sum("_up").over(running))
+
+    fade = F.exp(per_step * -period_steps)
+    totals = cells.groupBy(key, "_p").agg((F.sum("_up") * fade).alias("t"))
     earlier = W.partitionBy(key).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
-    carried = need.withColumn("_past", F.collect_list(F.struct("_p", F.coalesce("_t", F.lit(0.0)).alias("t"))).over(earlier))
-    carried = carried.select(
+    carried = totals.withColumn("_past", F.collect_list(F.struct("_p", "t")).over(earlier)).select(
         key, "_p",
         F.aggregate(
-            "_past", F.lit(0.0),
-            lambda acc, x: acc + x["t"] * F.exp((F.col("_p") - x["_p"] - 1) * F.lit(-rate * period_days)),
+            "_past", F.lit(0.0), lambda acc, x: acc + x["t"] * F.exp((F.col("_p") - x["_p"] - 1) * per_step * -period_steps)
         ).alias("_carry"),
     )
-    both = steps.select(key, "_p", "_s", "_row").unionByName(
-        raised.select(key, "_p", "_s", "_up"), allowMissingColumns=True
-    )
-    running = W.partitionBy(key, "_p").orderBy("_s").rangeBetween(W.unboundedPreceding, W.currentRow)
-    local = both.withColumn("_local", F.coalesce(F.sum("_up").over(running), F.lit(0.0)))
-    local = local.filter(F.col("_row").isNotNull())
     value = base if isinstance(base, Column) else F.lit(float(base))
-    total = (F.col("_local") + F.col("_carry")) * F.exp(days_in * -rate)
-    joined = local.join(carried, [key, "_p"]).withColumn("_sum", total)
-    out = joined.select("_row.*", F.col("_sum").alias(into)).withColumn(into, F.col(into) + value)
+    total = (F.col("_sum") + F.col("_carry")) * F.col("_down") + value
     if low is not None:
-        out = out.withColumn(into, F.greatest(F.lit(float(low)), F.col(into)))
+        total = F.greatest(F.lit(float(low)), total)
     if high is not None:
-        out = out.withColumn(into, F.least(F.lit(float(high)), F.col(into)))
-    return out
+        total = F.least(F.lit(float(high)), total)
+    return local.join(carried, [key, "_p"]).select("_row.*", total.alias(into))
+
+
+def _steps(first: Column, steps: int, step: str) -> Column:
+    size = F.expr(f"INTERVAL '{step}'")
+    return F.sequence(first, first + size * F.lit(steps - 1), size)
 
 
-def _epoch_seconds(ts: str) -> Column:
+def _epoch_seconds(ts: Column) -> Column:
     """Seconds since 1970 of a zone-less timestamp, whatever the session's zone."""
-    clock = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.extract(F.lit("SECOND"), F.col(ts)).cast("double")
+    clock = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.extract(F.lit("SECOND"), ts).cast("double")
     return F.unix_date(F.to_date(ts)) * 86400 + clock

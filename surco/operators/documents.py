@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.fixed_values import WHITE_SPACE
+from ..functions.fixed_values import WHITE_SPACE, WHITE_SPACE_CHARS
 from ..functions.vectors import cosine_distance, norm
 from .tables import replace_by_key
 
@@ -28,11 +28,10 @@ def chunk_words(docs: DataFrame, text: str = "text", size: int = 50, overlap: in
         raise ValueError("overlap must be at least 0 and less than size")
     stride = size - overlap
     keep = [c for c in docs.columns if c != text]
-    words = docs.select(*keep, F.filter(F.split(text, WHITE_SPACE), lambda w: w != "").alias("_words"))
-    n = F.size("_words")
-    starts = F.filter(
-        F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(stride)), lambda i: i < n
-    )
+    # Trimmed, a text that is not blank splits without empty words.
+    trimmed = F.btrim(text, F.lit(WHITE_SPACE_CHARS))
+    words = docs.filter(trimmed != "").select(*keep, F.split(trimmed, WHITE_SPACE).alias("_words"))
+    starts = F.sequence(F.lit(0), F.size("_words") - 1, F.lit(stride))
     chunks = F.transform(starts, lambda i: F.array_join(F.slice("_words", i + 1, F.lit(size)), " "))
     return words.select(*keep, F.posexplode(chunks).alias("pos", "texto"))
 

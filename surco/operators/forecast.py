@@ -117,6 +117,16 @@ def quantile_columns(predictions: DataFrame, target: str, keys: tuple[str, ...]
     return rows.select(*keys, "fecha", *[F.col(p).alias(f"{target}_{p}") for p in ("p25", "p50", "p75")])
 
 
+def quantiles_wide(predictions: DataFrame, keys: tuple[str, ...] = ("parcela_id",),
+                   targets: Mapping[str, tuple] = TARGETS) -> DataFrame:
+    """One row per day with the quantiles of every target, out of one pass over the predictions."""
+    picks = [
+        F.max(F.when(F.col("target") == t, F.col(p))).alias(f"{t}_{p}")
+        for t in targets for p in ("p25", "p50", "p75")
+    ]
+    return predictions.groupBy(*keys, "fecha").agg(*picks)
+
+
 def walk_forward(series: DataFrame, initial: int = 1825, period: int = 90, horizon: int = 14,
                  keys: tuple[str, ...] = ("parcela_id",), targets: Mapping[str, tuple] = TARGETS,
                  changepoint_scale: float = 0.05, interval: float = 0.5) -> DataFrame:

@@ -54,30 +54,22 @@ def group_snapshot(state: DataFrame, size: int = BLOCK) -> DataFrame:
     `state` is the long latest-value table: user_id, greenhouse_id, plant_id
     (null for the greenhouse itself), sensor_tipo, valor.
     """
-    def values():
-        return F.map_from_entries(F.array_sort(F.collect_list(F.struct("sensor_tipo", "valor"))))
-
-    own = (
-        state.filter(F.col("plant_id").isNull())
-        .groupBy("user_id", "greenhouse_id")
-        .agg(values().alias("invernadero"))
+    # Maps cannot be hashed or sorted, so they travel as their entries.
+    entries = state.groupBy("user_id", "greenhouse_id", "plant_id").agg(
+        F.array_sort(F.collect_list(F.struct("sensor_tipo", "valor"))).alias("valores")
     )
-    plants = (
-        state.filter(F.col("plant_id").isNotNull())
-        .groupBy("user_id", "greenhouse_id", "plant_id")
-        .agg(values().alias("valores"))
+    house = F.col("plant_id").isNull()
+    placed = in_blocks(entries, ["user_id", "greenhouse_id"], ["plant_id"], size)
+    placed = placed.withColumn("bloque", F.when(house, F.lit(0)).otherwise(F.col("bloque")))
+    nested = placed.groupBy("user_id", "greenhouse_id", "bloque").agg(
+        F.max(F.when(house, F.col("valores"))).alias("own"),
+        F.array_sort(F.collect_list(F.when(~house, F.struct("plant_id", "valores")))).alias("inside"),
     )
-    # Maps cannot be hashed or sorted, so they travel as their entries.
-    entries = plants.withColumn("valores", F.map_entries("valores"))
-    nested = group_lists(entries, ["user_id", "greenhouse_id"], ["plant_id", "valores"], "pares", size)
-    nested = nested.select(
+    plants = F.transform("inside", lambda p: F.struct(p["plant_id"], F.map_from_entries(p["valores"])))
+    return nested.select(
         "user_id", "greenhouse_id", "bloque",
-        F.map_from_entries(
-            F.transform("pares", lambda p: F.struct(p["plant_id"], F.map_from_entries(p["valores"])))
-        ).alias("plantas"),
-    )
-    return own.join(nested, ["user_id", "greenhouse_id"], "full_outer").withColumn(
-        "bloque", F.coalesce("bloque", F.lit(0))
+        F.map_from_entries("own").alias("invernadero"),
+        F.map_from_entries(plants).alias("plantas"),
     )
 
 

@@ -25,17 +25,17 @@ def link_positions(victims: DataFrame, relations: DataFrame) -> DataFrame:
     return victims.join(links, "user_id")
 
 
-def _distance(near: DataFrame, metric: str, other: str, limit: Column) -> DataFrame:
+def _distance(cases: DataFrame, metric: str, limit: Column) -> DataFrame:
     """Rows that can be within the limit, with their distance in `_m`.
 
     The cheap spherical test runs first, inside the JVM, with a margin wide
     enough to lose nothing; only what passes reaches the ellipsoid.
     """
-    points = [F.col("a_lat"), F.col("a_lon"), F.col(f"{other}_lat"), F.col(f"{other}_lon")]
+    points = [F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")]
     sphere = haversine_m(*points)
     if metric == "haversine":
-        return near.withColumn("_m", sphere)
-    close = near.filter(sphere <= limit * MARGIN + 1)
+        return cases.withColumn("_m", sphere)
+    close = cases.filter(sphere <= limit * MARGIN + 1)
     return close.withColumn("_m", geodesic_m(*points))
 
 
@@ -63,37 +63,41 @@ def proximity_alerts(positions: DataFrame, relations: DataFrame, zones: DataFram
     )
     met = link_positions(victims, relations).join(aggressors, ["id_agresor", "w"])
 
-    limit = F.col("dist_seguridad")
+    # Every linked victim meets its aggressor itself, and once per zone of its own.
+    places = zones.select(
+        F.trim(F.col("id_victima").cast("string")).alias("user_id"), "id_place",
+        F.col("place_name").alias("nombre_place"), F.col("place_coordinates").alias("coordenadas_place"),
+        F.col("radius").alias("radio_zona"),
+        nth_number("place_coordinates", 0).alias("z_lat"), nth_number("place_coordinates", 1).alias("z_lon"),
+        F.lit("place").alias("alerta"),
+    )
+    itself = relations.select(
+        F.trim(F.col("id_victima").cast("string")).alias("user_id"), F.lit("fisica").alias("alerta")
+    ).distinct()
+    cases = met.join(places.unionByName(itself, allowMissingColumns=True), "user_id")
+    physical = F.col("alerta") == "fisica"
+    cases = cases.withColumn("b_lat", F.when(physical, F.col("v_lat")).otherwise(F.col("z_lat"))).withColumn(
+        "b_lon", F.when(physical, F.col("v_lon")).otherwise(F.col("z_lon"))
+    )
+    limit = F.when(physical, F.col("dist_seguridad")).otherwise(F.col("dist_seguridad") + F.col("radio_zona"))
     metres = F.round("_m", 2)
-    common = [
+    # The rounded distance is compared between parties, the exact one for zones.
+    alerts = _distance(cases, metric, limit).filter(F.when(physical, metres).otherwise(F.col("_m")) < limit).select(
+        "alerta",
         F.lit(True).alias("activa"),
         F.col("user_id").alias("id_victima"),
         "id_agresor",
         metres.alias("distancia_metros"),
+        compass_sector(F.col("a_lat") - F.col("b_lat"), F.col("a_lon") - F.col("b_lon")).alias("direccion_escape"),
         "coordenadas_agresor",
+        F.when(physical, F.col("coordenadas_victima")).alias("coordenadas_victima"),
+        "coordenadas_place",
         F.col("a_ts").alias("timestamp"),
-        "dist_seguridad",
-    ]
-    # The rounded distance is compared here, the exact one for zones.
-    physical = _distance(met, metric, "v", limit).filter(metres < limit).select(
-        F.lit("fisica").alias("alerta"), *common, "coordenadas_victima",
-        compass_sector(F.col("a_lat") - F.col("v_lat"), F.col("a_lon") - F.col("v_lon")).alias("direccion_escape"),
-    )
-    places = zones.select(
-        F.trim(F.col("id_victima").cast("string")).alias("user_id"), "id_place",
-        F.col("place_name").alias("nombre_place"), F.col("place_coordinates").alias("coordenadas_place"),
-        F.col("radius").alias("radio_zona"),
-        nth_number("place_coordinates", 0).alias("z_lat"), nth_number("place_coordinates", 1).alias("z_lon"),
-    )
-    reach = F.col("dist_seguridad") + F.col("radio_zona")
-    zoned = _distance(met.join(places, "user_id"), metric, "z", reach).filter(F.col("_m") < reach).select(
-        F.lit("place").alias("alerta"), *common, "coordenadas_place", "id_place", "nombre_place", "radio_zona",
-        compass_sector(F.col("a_lat") - F.col("z_lat"), F.col("a_lon") - F.col("z_lon")).alias("direccion_escape"),
+        "dist_seguridad", "id_place", "nombre_place", "radio_zona",
     )
-    both = physical.unionByName(zoned, allowMissingColumns=True)
     layout = [part.split()[:2] for part in ALERTS.split(", ")]
-    return both.select(
-        *[(F.col(n) if n in both.columns else F.lit(None)).cast(kind).alias(n) for n, kind in layout]
+    return alerts.select(
+        *[(F.col(n) if n in alerts.columns else F.lit(None)).cast(kind).alias(n) for n, kind in layout]
     )
 
 

@@ -192,17 +192,24 @@ def window_partials(readings: DataFrame, every: str = "5 minutes") -> DataFrame:
     )
 
 
+def fanout_targets(members: DataFrame) -> DataFrame:
+    """The entities a plant takes readings from: itself and its greenhouse, if that exists."""
+    own = F.struct(F.lit("planta").alias("entity_type"), F.col("plant_id").alias("entity_id"))
+    house = F.struct(F.lit("invernadero").alias("entity_type"), F.col("greenhouse_id").alias("entity_id"))
+    sources = F.when(F.col("has_greenhouse"), F.array(own, house)).otherwise(F.array(own))
+    return members.select("plant_id", "greenhouse_id", "user_id", "tipo", "variedad", F.inline(sources))
+
+
 def fanout_partials(partials: DataFrame, members: DataFrame) -> DataFrame:
-    """Greenhouse partials go to every plant inside, plant partials to their plant."""
-    inside = partials.filter(F.col("entity_type") == "invernadero").join(
-        members.filter("has_greenhouse"), F.col("entity_id") == F.col("greenhouse_id")
-    )
-    own = partials.filter(F.col("entity_type") == "planta").join(members, F.col("entity_id") == F.col("plant_id"))
+    """Greenhouse partials go to every plant inside, plant partials to their plant.
+
+    Both ways share one join, so the readings are scanned and reduced once.
+    """
     means = [
         (F.sum(f"sum_{m}") / F.nullif(F.sum(f"n_{m}"), F.lit(0))).alias(m) for m in METRICS
     ]
     per_plant = (
-        inside.unionByName(own)
+        partials.join(fanout_targets(members), ["entity_type", "entity_id"])
         .groupBy("w", "plant_id", "greenhouse_id", "user_id", "tipo", "variedad")
         .agg(*means)
     )

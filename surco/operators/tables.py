@@ -98,20 +98,23 @@ def missing_from(current: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     return current.join(wanted.select(key), key, "left_anti")
 
 
-def insert_if_absent(current: DataFrame, rows: DataFrame, keys: Sequence[str],
-                     order: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected): the first row of every key that is not stored yet.
+def mark_insertable(current: DataFrame, rows: DataFrame, keys: Sequence[str], order: Sequence[str],
+                    into: str = "accepted") -> DataFrame:
+    """Flag the first row of every key that is not stored yet.
 
     `order` must tell the rows of a key apart.
     """
     firsts = rows.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_first"))
     free = firsts.join(current.select(*keys), list(keys), "left_anti")
-    marked = rows.join(free, list(keys), "left").withColumn(
-        "_won", F.coalesce(F.struct(*order) == F.col("_first"), F.lit(False))
-    )
-    accepted = marked.filter("_won").select(*rows.columns)
-    rejected = marked.filter(~F.col("_won")).select(*rows.columns)
-    return accepted, rejected
+    won = F.coalesce(F.struct(*order) == F.col("_first"), F.lit(False))
+    return rows.join(free, list(keys), "left").select(*rows.columns, won.alias(into))
+
+
+def insert_if_absent(current: DataFrame, rows: DataFrame, keys: Sequence[str],
+                     order: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected) rows of an insert under a unique key."""
+    marked = mark_insertable(current, rows, keys, order, "_won")
+    return marked.filter("_won").drop("_won"), marked.filter("NOT _won").drop("_won")
 
 
 # ---- deletes and updates --------------------------------------------------

@@ -150,11 +150,11 @@ GROUP BY ALL
 def decayed_response(spark: SparkSession, d: str) -> DataFrame:
     """Soil moisture of every field as the fading sum of its past waterings."""
     entities = load(spark, d, "customer").select(F.col("c_custkey").alias("entity_id"))
-    spine = cx.time_spine(entities, "2024-01-01", 120, "6 hours")
     hits = load(spark, d, "events").filter(F.col("event_type") == "signup").select(
         F.col("user_id").alias("entity_id"), "ts", (F.col("value") / 3.71828).alias("amp")
     )
     out = cx.decayed_response(
-        spine, hits, "entity_id", "ts", "amp", 0.2, base=12.0, low=15.0, high=88.0, period_days=7, into="humedad"
+        entities, hits, "entity_id", "ts", "amp", 0.2, "2024-01-01", 120, "6 hours", base=12.0, low=15.0, high=88.0,
+        period_steps=28, into="humedad",
     )
     return rounded(out)

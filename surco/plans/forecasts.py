@@ -134,11 +134,15 @@ def observation(price: Column) -> dict[str, Column]:
 
 
 def columnar_payload(rows: DataFrame, key: str, when: str, block: str, values: dict[str, Column]) -> DataFrame:
-    """Per key one JSON text that holds one array per variable (a key has few rows here)."""
-    steps = rows.select(key, F.struct(F.col(when).cast("string").alias("time"), *[v.alias(n) for n, v in values.items()]).alias("s"))
-    lists = steps.groupBy(key).agg(F.array_sort(F.collect_list("s")).alias("s"))
+    """Per key and month one JSON text that holds one array per variable.
+
+    The rows bring one value per key and time, so a payload has a month's steps at most.
+    """
+    step = F.struct(F.col(when).cast("string").alias("time"), *[v.alias(n) for n, v in values.items()])
+    steps = rows.select(key, F.trunc(F.to_date(when), "month").alias("mes"), step.alias("s"))
+    lists = steps.groupBy(key, "mes").agg(F.array_sort(F.collect_list("s")).alias("s"))
     arrays = F.struct(*[F.col(f"s.{n}").alias(n) for n in ["time", *values]])
-    return lists.select(key, F.to_json(F.struct(arrays.alias(block)), {"ignoreNullFields": "false"}).alias("payload"))
+    return lists.select(key, "mes", F.to_json(F.struct(arrays.alias(block)), {"ignoreNullFields": "false"}).alias("payload"))
 
 
 @query("""
@@ -154,13 +158,14 @@ SELECT CAST(o_custkey AS VARCHAR) AS codigo_ine, CAST(o_orderdate AS DATE) AS fe
        round(hmin, 6) AS humedad_min, CAST(codigo AS VARCHAR) AS estado_cielo_cod,
        CASE WHEN codigo IS NOT NULL THEN 'cielo ' || codigo END AS estado_cielo_desc,
        TIMESTAMP '2024-01-31 00:00:00' AS fecha_consulta
-FROM orders LEFT JOIN segundo ON clave = o_custkey AND fecha = CAST(o_orderdate AS DATE)
+FROM (SELECT o_custkey, o_orderdate, max(o_totalprice) AS o_totalprice FROM orders GROUP BY ALL)
+LEFT JOIN segundo ON clave = o_custkey AND fecha = CAST(o_orderdate AS DATE)
 """)
 def forecast_build(spark: SparkSession, d: str) -> DataFrame:
     """Both landed payloads, derived from orders and line items, unfolded and joined."""
-    orders = load(spark, d, "orders").select(
-        F.col("o_custkey").cast("string").alias("codigo_ine"), F.to_date("o_orderdate").alias("dia"), "o_totalprice"
-    )
+    orders = load(spark, d, "orders").groupBy(
+        F.col("o_custkey").cast("string").alias("codigo_ine"), F.to_date("o_orderdate").alias("dia")
+    ).agg(F.max("o_totalprice").alias("o_totalprice"))
     primary = ws.primary_forecast(
         columnar_payload(orders, "codigo_ine", "dia", "daily", observation(F.col("o_totalprice")))
     )
@@ -183,8 +188,7 @@ def forecast_build(spark: SparkSession, d: str) -> DataFrame:
         F.struct(F.col("hmax").alias("maxima"), F.col("hmin").alias("minima")).alias("humedadRelativa"),
         sky.alias("estadoCielo"),
     )
-    # The payloads hold one month of days each, as landed forecasts are short.
-    month = F.date_trunc("month", F.col("dia"))
+    month = F.trunc("dia", "month")
     lists = days.groupBy("codigo_ine", month).agg(F.collect_list(day).alias("dia"))
     document = F.to_json(F.array(F.struct(F.struct("dia").alias("prediccion"))))
     secondary = ws.official_forecast(lists.select("codigo_ine", document.alias("payload")))
@@ -376,9 +380,9 @@ def forecast_payload(spark: SparkSession, d: str) -> DataFrame:
 
 def daily_rows(spark: SparkSession, d: str) -> DataFrame:
     """Landed history and recent days of every field, as one deduplicated series."""
-    orders = load(spark, d, "orders").select(
-        F.col("o_custkey").cast("string").alias("parcela_id"), F.to_date("o_orderdate").alias("dia"), "o_totalprice"
-    )
+    orders = load(spark, d, "orders").groupBy(
+        F.col("o_custkey").cast("string").alias("parcela_id"), F.to_date("o_orderdate").alias("dia")
+    ).agg(F.max("o_totalprice").alias("o_totalprice"))
     price = F.col("o_totalprice")
     old = ws.history(columnar_payload(orders, "parcela_id", "dia", "daily", {
         "temperature_2m_mean": price / 13000, "precipitation_sum": price / 71330,
@@ -392,7 +396,7 @@ def daily_rows(spark: SparkSession, d: str) -> DataFrame:
     })
     per_hour = events.groupBy("parcela_id", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("h")).agg(F.avg("value").alias("v"))
     soil = columnar_payload(per_hour, "parcela_id", "h", "hourly", {"soil_moisture_0_to_7cm": F.col("v") / 370})
-    both = block.join(soil.withColumnRenamed("payload", "soil"), "parcela_id").withColumn(
+    both = block.join(soil.withColumnRenamed("payload", "soil"), ["parcela_id", "mes"]).withColumn(
         "payload", F.concat(F.regexp_replace("payload", r"\}$", ","), F.regexp_replace("soil", r"^\{", ""))
     )
     recent = ws.recent_and_forecast(both.select("parcela_id", "payload"), "2024-01-20")
@@ -467,7 +471,7 @@ def seasonal_scenarios(spark: SparkSession, d: str) -> DataFrame:
     kc = load(spark, d, "nation").select(
         F.col("n_nationkey").cast("string").alias("parcela_id"), ((F.col("n_regionkey") + 7) / 10).alias("kc")
     )
-    return balance.scenarios(fc.quantile_columns(predicted, "et0"), fc.quantile_columns(predicted, "precip"), kc)
+    return balance.scenario_columns(fc.quantiles_wide(predicted), kc)
 
 
 @query("""

@@ -109,8 +109,7 @@ def insert_if_absent(spark: SparkSession, d: str) -> DataFrame:
     rows = load(spark, d, "customer").select(
         F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("usuario_id"), F.col("c_mktsegment").alias("parcela_id")
     )
-    accepted, rejected = tb.insert_if_absent(stored, rows, ["usuario_id", "parcela_id"], ["id"])
-    return accepted.withColumn("aceptada", F.lit(True)).unionByName(rejected.withColumn("aceptada", F.lit(False)))
+    return tb.mark_insertable(stored, rows, ["usuario_id", "parcela_id"], ["id"], "aceptada")
 
 
 @query("""
@@ -149,9 +148,8 @@ def update_by_key(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 WITH z AS (
-  SELECT o_orderkey, list(CAST(l_linenumber AS VARCHAR) ORDER BY l_linenumber) FILTER (WHERE l_orderkey IS NOT NULL) AS ids,
-         list(l_quantity) FILTER (WHERE l_orderkey IS NOT NULL) AS sin_orden
-  FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1),
+  SELECT o_orderkey, list(CAST(l_linenumber AS VARCHAR) ORDER BY l_linenumber) FILTER (WHERE l_orderkey IS NOT NULL) AS ids
+  FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) ON l_orderkey = o_orderkey GROUP BY 1),
 a AS (SELECT o_orderkey, list_append(coalesce(ids, []::VARCHAR[]), 'nueva') AS ids FROM z)
 SELECT o_orderkey, array_to_string(ids, ',') AS tras_anadir,
        array_to_string([x FOR x IN ids IF x <> '1'], ',') AS tras_quitar FROM a
@@ -162,9 +160,11 @@ def array_append_remove(spark: SparkSession, d: str) -> DataFrame:
         F.col("l_linenumber").cast("string").alias("id"), F.lit(39.0).alias("lat"), F.lit(-0.3).alias("lng"),
         F.col("l_returnflag").alias("cultivo"), F.lit("x").alias("emoji"),
     )
-    zones = load(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-        F.array_sort(F.collect_list(zone)).alias("zonas")
+    # A field has one zone per line number, so an array stays short.
+    lines = load(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber").agg(
+        F.max("l_returnflag").alias("l_returnflag")
     )
+    zones = lines.groupBy("o_orderkey").agg(F.array_sort(F.collect_list(zone)).alias("zonas"))
     fields = load(spark, d, "orders").select("o_orderkey").join(zones, "o_orderkey", "left")
     new = F.struct(F.lit("nueva").alias("id"), F.lit(39.1).alias("lat"), F.lit(-0.2).alias("lng"),
                    F.lit("olivo").alias("cultivo"), F.lit("o").alias("emoji"))
@@ -240,7 +240,8 @@ inside AS (
   SELECT user_id, greenhouse_id, string_agg(plant_id, ',' ORDER BY plant_id) AS plantas,
          count(*) AS n, sum(valor) AS suma FROM house_state WHERE plant_id IS NOT NULL GROUP BY ALL)
 SELECT user_id, greenhouse_id, 0 AS bloque, round(temperatura, 6) AS temperatura,
-       round(humedad_ambiental, 6) AS humedad_ambiental, plantas, n, round(suma, 6) AS suma
+       round(humedad_ambiental, 6) AS humedad_ambiental, coalesce(plantas, '') AS plantas, coalesce(n, 0) AS n,
+       round(coalesce(suma, 0), 6) AS suma
 FROM own FULL OUTER JOIN inside USING (user_id, greenhouse_id)
 """)
 def greenhouse_snapshot(spark: SparkSession, d: str) -> DataFrame:
@@ -251,7 +252,7 @@ def greenhouse_snapshot(spark: SparkSession, d: str) -> DataFrame:
         F.try_element_at("invernadero", F.lit("temperatura")).alias("temperatura"),
         F.try_element_at("invernadero", F.lit("humedad_ambiental")).alias("humedad_ambiental"),
         F.array_join(F.array_sort(F.map_keys("plantas")), ",").alias("plantas"),
-        F.when(F.col("plantas").isNotNull(), F.size("plantas")).cast("bigint").alias("n"),
+        F.size("plantas").cast("bigint").alias("n"),
         F.aggregate(soil, F.lit(0.0), lambda a, b: a + b).alias("suma"),
     ))
 
@@ -362,15 +363,14 @@ def owner_listing(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""
 {GEODESIC_ALERTS}, keyed AS (
   SELECT *, CASE WHEN alerta = 'place' THEN id_place ELSE id_victima END || '_' || id_agresor AS doc_id FROM alerts)
-SELECT doc_id, count(*) AS alertas, max("timestamp") AS "timestamp",
+SELECT doc_id, max("timestamp") AS "timestamp",
        arg_max(distancia_metros, row("timestamp", id_victima, coalesce(coordenadas_victima, ''), distancia_metros)) AS distancia_metros
 FROM keyed GROUP BY 1
 """)
 def alert_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Latest alert per pair, with how many alerts it stands for."""
+    """Latest alert per pair."""
     alerts = alerts_of(spark, d, "geodesic").withColumn("_v", F.coalesce("coordenadas_victima", F.lit("")))
     order = ["timestamp", "id_victima", "_v", "distancia_metros"]
     state = tb.merge_latest(None, alerts.withColumn("doc_id", proximity.alert_key()), ["doc_id"],
                             ["timestamp", "distancia_metros"], order, skip_nulls=True)
-    counts = alerts.groupBy(proximity.alert_key().alias("doc_id")).agg(F.count(F.lit(1)).alias("alertas"))
-    return rounded(state.join(counts, "doc_id"))
+    return rounded(state)
