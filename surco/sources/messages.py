@@ -38,19 +38,23 @@ def file_messages(spark: SparkSession, path: str, max_files: int | None = None)
     return reader.parquet(path)
 
 
+def _utf8(data: str) -> Column:
+    """Text of a message body, null where the bytes are no UTF-8."""
+    return F.try_validate_utf8(F.col(data).cast("string"))
+
+
 def parse_messages(raw: DataFrame, attrs: bool = True) -> tuple[DataFrame, DataFrame]:
     """Flat readings, and the rows whose body could not be read with the reason why.
 
     Event time is the publish time. With `attrs` the entity comes from the
     message attributes, without them from the body.
     """
-    text = F.decode("data", "UTF-8") if dict(raw.dtypes)["data"] == "binary" else F.col("data")
     body = schemas.READING_BODY if attrs else schemas.PUSHED_BODY
     first = "valor" if attrs else "value"
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
-    parsed = raw.withColumn("_text", text).withColumn(
-        "_body", F.from_json("_text", body + ", _broken string", options)
-    )
+    texts = raw.withColumn("_text", _utf8("data"))
+    # Unfolding a one-element array keeps the filters below from parsing the JSON again.
+    parsed = texts.select("*", F.explode(F.array(F.from_json("_text", body + ", _broken string", options))).alias("_body"))
     reason = (
         F.when(F.col("_text").isNull(), F.lit("no body"))
         .when(F.col("_body").isNull() | F.col("_body._broken").isNotNull(), F.lit("broken json"))
@@ -88,8 +92,7 @@ def parse_messages(raw: DataFrame, attrs: bool = True) -> tuple[DataFrame, DataF
 
 def parse_positions(raw: DataFrame, role: str) -> DataFrame:
     """Position messages of one role; rows without usable coordinates drop out."""
-    text = F.decode("data", "UTF-8") if dict(raw.dtypes)["data"] == "binary" else F.col("data")
-    body = F.from_json(text, schemas.POSITION_BODY)
+    body = F.from_json(_utf8("data"), schemas.POSITION_BODY)
     rows = raw.select(body.alias("b"), F.col("publish_ts").alias("event_time"), "message_id")
     return with_lat_lon(
         rows.select(

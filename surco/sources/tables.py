@@ -144,10 +144,10 @@ def append_facts(df: DataFrame, path: str, key: str, time_col: str = "timestamp"
         differing = _same_layout(df, stored, {"fecha", "lote"})
         if differing:
             raise ValueError(f"columns differ from the table: {', '.join(differing)}")
-    # Key and day spread one hot day over many tasks; AQE merges the small ones.
+    # Adaptive execution cuts a hot day or key into several files and merges small ones.
     rows = (
         df.withColumn("fecha", F.to_date(time_col))
-        .repartition("fecha", key)
+        .hint("rebalance", "fecha", key)
         .sortWithinPartitions("fecha", key, time_col)
     )
     if batch is None:
