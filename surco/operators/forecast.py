@@ -62,16 +62,19 @@ def _forecast(days: np.ndarray, y: np.ndarray, ahead: np.ndarray, mode: str, cha
     f_trend, f_season = _design(ahead, days[0], span, knots)
     stiff = np.r_[1e-6, 1e-6, np.full(len(knots), noise / changepoint_scale**2)]
     loose = np.full(season.shape[1], noise / 10.0**2)
+    both = np.hstack([trend, season])
+    beta = _ridge(both, target, np.r_[stiff, loose])
     if mode == "additive":
-        both = np.hstack([trend, season])
-        beta = _ridge(both, target, np.r_[stiff, loose])
         fitted, ahead_y = both @ beta, np.hstack([f_trend, f_season]) @ beta
     else:
-        # y = trend * (1 + season): fit the trend, then the season relative to it.
-        b_trend = _ridge(trend, target, stiff)
-        level = trend @ b_trend
-        b_season = _ridge(season * level[:, None], target - level, loose)
-        fitted = level * (1 + season @ b_season)
+        # y = trend * (1 + season), from the additive fit on by turns.
+        b_trend = beta[: trend.shape[1]]
+        for _ in range(4):
+            level = trend @ b_trend
+            b_season = _ridge(season * level[:, None], target - level, loose)
+            factor = 1 + season @ b_season
+            b_trend = _ridge(trend * factor[:, None], target, stiff)
+        fitted = (trend @ b_trend) * factor
         ahead_y = (f_trend @ b_trend) * (1 + f_season @ b_season)
     half = interval / 2
     low, high = np.quantile(target - fitted, [0.5 - half, 0.5 + half])
