@@ -132,7 +132,7 @@ def forecast(spark: SparkSession, d: str) -> DataFrame:
         ine_code(F.floor(key / 1000), key % 1000).alias("codigo_ine"),
         F.to_date("o_orderdate").alias("fecha_prevision"),
         "o_orderkey", "o_orderstatus",
-        (price / 10000).alias("tmax"),
+        (price / 10007).alias("tmax"),
         F.when(F.col("o_orderstatus") != "P", price / 23000).alias("tmin"),
         F.when(F.col("o_orderpriority") != "5-LOW", price / 71000).alias("precipitacion_mm"),
         (price / 53000).alias("et0_evapotranspiracion"),
@@ -149,7 +149,7 @@ def forecast(spark: SparkSession, d: str) -> DataFrame:
 FORECAST = """forecast AS (
   SELECT format('{:02d}{:03d}', CAST(o_custkey // 1000 AS INTEGER), CAST(o_custkey % 1000 AS INTEGER)) AS codigo_ine,
          CAST(o_orderdate AS DATE) AS fecha_prevision, o_orderkey, o_orderstatus,
-         o_totalprice / 10000 AS tmax,
+         o_totalprice / 10007 AS tmax,
          CASE WHEN o_orderstatus <> 'P' THEN o_totalprice / 23000 END AS tmin,
          CASE WHEN o_orderpriority <> '5-LOW' THEN o_totalprice / 71000 END AS precipitacion_mm,
          o_totalprice / 53000 AS et0_evapotranspiracion, o_totalprice / 17000 AS radiacion_solar,
