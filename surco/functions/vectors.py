@@ -6,13 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _doubles(a: Column) -> Column:
+    return a.cast("array<double>")
+
+
 def dot(a: Column, b: Column) -> Column:
-    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
+    products = F.zip_with(_doubles(a), _doubles(b), lambda x, y: x * y)
     return F.aggregate(products, F.lit(0.0), lambda total, p: total + p)
 
 
 def norm(a: Column) -> Column:
-    return F.sqrt(dot(a, a))
+    return F.sqrt(F.aggregate(_doubles(a), F.lit(0.0), lambda total, x: total + x * x))
 
 
 def cosine_distance(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:

@@ -2,7 +2,8 @@
 
 Each batch writes only the keys it touched, into a folder named by its number.
 A batch that runs again after a failure overwrites its own folder, so every
-change counts once. Reading merges the log; compacting rewrites it as one.
+change counts once. Reading merges the newest compacted base with the batches
+after it; folders without a success mark are left out.
 """
 
 from __future__ import annotations
@@ -17,25 +18,53 @@ from ..operators.tables import merge_latest
 
 class StateLog:
     def __init__(self, path: str, keys: Sequence[str], update: Sequence[str], order: Sequence[str],
-                 skip_nulls: bool = False) -> None:
+                 skip_nulls: bool = False, compact_every: int = 100) -> None:
         self.path = path.rstrip("/")
         self.keys = list(keys)
         self.update = list(update)
         self.order = list(order)
         self.skip_nulls = skip_nulls
+        self.compact_every = compact_every
 
     def write(self, changes: DataFrame, batch: int) -> None:
-        """Reduce the batch to one row per key and store it."""
+        """Reduce the batch to one row per key and store it.
+
+        Every so many batches the finished ones before this are compacted
+        first; this one may still be run again.
+        """
+        spark = changes.sparkSession
+        if batch and batch % self.compact_every == 0:
+            self.compact(spark, batch - 1)
         rows = merge_latest(None, changes, self.keys, self.update, self.order, skip_nulls=self.skip_nulls)
-        rows.write.mode("overwrite").parquet(f"{self.path}/lote={batch}")
+        rows.write.mode("overwrite").parquet(f"{self.path}/log/lote={batch}")
 
-    def read(self, spark: SparkSession) -> DataFrame:
+    def read(self, spark: SparkSession, up_to: int | None = None) -> DataFrame:
         """One row per key: later batches win, field by field."""
-        log = spark.read.parquet(self.path)
-        return merge_latest(None, log, self.keys, self.update, ["lote"], skip_nulls=self.skip_nulls)
-
-    def compact(self, spark: SparkSession, target: str) -> StateLog:
-        """Write the merged state as the single oldest batch of a new log."""
-        last = spark.read.parquet(self.path).agg(F.max("lote")).first()[0]
-        self.read(spark).write.mode("overwrite").parquet(f"{target.rstrip('/')}/lote={last}")
-        return StateLog(target, self.keys, self.update, self.order, self.skip_nulls)
+        bases = [n for n in self._finished(spark, "base") if up_to is None or n <= up_to]
+        base = max(bases, default=-1)
+        log = [n for n in self._finished(spark, "log") if n > base and (up_to is None or n <= up_to)]
+        parts = [self._folder(spark, "base", [base])] if bases else []
+        if log:
+            parts.append(self._folder(spark, "log", log))
+        if not parts:
+            raise ValueError(f"no finished batch below {self.path}")
+        rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        return merge_latest(None, rows, self.keys, self.update, ["lote"], skip_nulls=self.skip_nulls)
+
+    def compact(self, spark: SparkSession, up_to: int | None = None) -> None:
+        """Write the merged state as a new base; readers take it once it is complete."""
+        done = [n for n in self._finished(spark, "log") if up_to is None or n <= up_to]
+        if done:
+            self.read(spark, max(done)).write.mode("overwrite").parquet(f"{self.path}/base/lote={max(done)}")
+
+    def _folder(self, spark: SparkSession, kind: str, batches: list[int]) -> DataFrame:
+        paths = [f"{self.path}/{kind}/lote={n}" for n in batches]
+        rows = spark.read.option("basePath", f"{self.path}/{kind}").parquet(*paths)
+        return rows.withColumn("lote", F.col("lote").cast("bigint"))
+
+    def _finished(self, spark: SparkSession, kind: str) -> list[int]:
+        """Numbers of the batches whose write completed."""
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        pattern = hadoop.Path(f"{self.path}/{kind}/lote=*/_SUCCESS")
+        found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+        return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found or [])

@@ -143,8 +143,8 @@ def test_plant_values_and_compaction(spark, tmp_path):
     finish(q)
     want = [("1", None, 5.0), ("1", "10", None)]
     assert rows(state.read(spark), "greenhouse_id", "plant_id", "valor") == want
-    small = state.compact(spark, str(tmp_path / "small"))
-    assert rows(small.read(spark), "greenhouse_id", "plant_id", "valor") == want
+    state.compact(spark)
+    assert rows(state.read(spark), "greenhouse_id", "plant_id", "valor") == want
 
 
 def test_state_log_counts_a_repeated_batch_once(spark, tmp_path):
@@ -154,7 +154,21 @@ def test_state_log_counts_a_repeated_batch_once(spark, tmp_path):
     log.write(df, 0)
     log.write(df.filter("t = 1"), 1)
     assert rows(log.read(spark)) == [(1, 5)]
-    assert spark.read.parquet(log.path).count() == 2
+    assert spark.read.parquet(log.path + "/log").count() == 2
+
+
+def test_state_log_compacts_itself_and_skips_unfinished_folders(spark, tmp_path):
+    log = StateLog(str(tmp_path / "s"), ["k"], ["v", "w"], ["t"], skip_nulls=True, compact_every=3)
+    schema = "k int, v int, w int, t int"
+    for batch in range(8):
+        log.write(spark.createDataFrame([(batch % 2, batch, batch if batch < 2 else None, 1), (9, batch, None, 1)], schema), batch)
+    assert sorted(p.name for p in (tmp_path / "s" / "base").iterdir()) == ["lote=2", "lote=5"]
+    want = [(0, 6, 0), (1, 7, 1), (9, 7, None)]
+    assert rows(log.read(spark)) == want
+    (tmp_path / "s" / "base" / "lote=5" / "_SUCCESS").unlink()
+    assert rows(log.read(spark)) == want
+    (tmp_path / "s" / "log" / "lote=7" / "_SUCCESS").unlink()
+    assert rows(log.read(spark)) == [(0, 6, 0), (1, 5, 1), (9, 6, None)]
 
 
 def test_quarantine_holds_broken_messages(spark, tmp_path):
