@@ -391,7 +391,7 @@ def daily_rows(spark: SparkSession, d: str) -> DataFrame:
     events = load(spark, d, "events").withColumn("parcela_id", F.col("user_id").cast("string"))
     per_day = events.groupBy("parcela_id", F.to_date("ts").alias("dia")).agg(F.sum("value").alias("v"))
     block = columnar_payload(per_day, "parcela_id", "dia", "daily", {
-        "temperature_2m_mean": F.col("v") / 17, "precipitation_sum": F.col("v") / 710,
+        "temperature_2m_mean": F.col("v") / 17, "precipitation_sum": F.col("v") / 709,
         "et0_fao_evapotranspiration": F.col("v") / 53,
     })
     per_hour = events.groupBy("parcela_id", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("h")).agg(F.avg("value").alias("v"))
@@ -413,7 +413,7 @@ horas AS (SELECT user_id, date_trunc('hour', ts) AS h, avg(value) / 370 AS v FRO
 suelo AS (SELECT user_id, CAST(h AS DATE) AS fecha, avg(v) AS v FROM horas GROUP BY ALL),
 dias AS (SELECT user_id, CAST(ts AS DATE) AS fecha, sum(value) AS v FROM events GROUP BY ALL),
 nuevo AS (
-  SELECT CAST(user_id AS VARCHAR) AS parcela_id, fecha, dias.v / 17 AS temp_media_c, dias.v / 710 AS precipitacion_mm,
+  SELECT CAST(user_id AS VARCHAR) AS parcela_id, fecha, dias.v / 17 AS temp_media_c, dias.v / 709 AS precipitacion_mm,
          dias.v / 53 AS et0_mm, CASE WHEN fecha > DATE '2024-01-20' THEN 'forecast' ELSE 'observado_modelo' END AS fuente,
          suelo.v AS humedad_suelo_m3m3 FROM dias LEFT JOIN suelo USING (user_id, fecha)),
 serie AS (SELECT * FROM viejo UNION ALL SELECT * FROM nuevo)

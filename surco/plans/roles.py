@@ -134,7 +134,7 @@ def forecast(spark: SparkSession, d: str) -> DataFrame:
         "o_orderkey", "o_orderstatus",
         (price / 10007).alias("tmax"),
         F.when(F.col("o_orderstatus") != "P", price / 23000).alias("tmin"),
-        F.when(F.col("o_orderpriority") != "5-LOW", price / 71000).alias("precipitacion_mm"),
+        F.when(F.col("o_orderpriority") != "5-LOW", price / 70919).alias("precipitacion_mm"),
         (price / 53000).alias("et0_evapotranspiracion"),
         (price / 17000).alias("radiacion_solar"),
         (key % 100).cast("int").alias("weather_code"),
@@ -151,7 +151,7 @@ FORECAST = """forecast AS (
          CAST(o_orderdate AS DATE) AS fecha_prevision, o_orderkey, o_orderstatus,
          o_totalprice / 10007 AS tmax,
          CASE WHEN o_orderstatus <> 'P' THEN o_totalprice / 23000 END AS tmin,
-         CASE WHEN o_orderpriority <> '5-LOW' THEN o_totalprice / 71000 END AS precipitacion_mm,
+         CASE WHEN o_orderpriority <> '5-LOW' THEN o_totalprice / 70919 END AS precipitacion_mm,
          o_totalprice / 53000 AS et0_evapotranspiracion, o_totalprice / 17000 AS radiacion_solar,
          CAST(o_custkey % 100 AS INTEGER) AS weather_code,
          CAST(o_custkey % 50 + 50 AS DOUBLE) AS humedad_max,
