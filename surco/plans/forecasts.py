@@ -126,7 +126,7 @@ def observation(price: Column) -> dict[str, Column]:
     return {
         "temperature_2m_max": price / 10000,
         "temperature_2m_min": price / 23000,
-        "precipitation_sum": price / 71330,
+        "precipitation_sum": price / 70919,
         "weather_code": F.floor(price % 100),
         "et0_fao_evapotranspiration": price / 53000,
         "relative_humidity_2m_max": F.when(price % 2 < 1, price % 100),
@@ -152,7 +152,7 @@ WITH segundo AS (
   FROM lineitem GROUP BY ALL)
 SELECT CAST(o_custkey AS VARCHAR) AS codigo_ine, CAST(o_orderdate AS DATE) AS fecha_prevision,
        round(o_totalprice / 10000, 6) AS tmax, round(o_totalprice / 23000, 6) AS tmin,
-       round(o_totalprice / 71330, 6) AS precipitacion_mm, floor(o_totalprice % 100) AS weather_code,
+       round(o_totalprice / 70919, 6) AS precipitacion_mm, floor(o_totalprice % 100) AS weather_code,
        round(o_totalprice / 53000, 6) AS et0_evapotranspiracion,
        round(coalesce(CASE WHEN o_totalprice % 2 < 1 THEN o_totalprice % 100 END, hmax), 6) AS humedad_max,
        round(hmin, 6) AS humedad_min, CAST(codigo AS VARCHAR) AS estado_cielo_cod,
@@ -385,7 +385,7 @@ def daily_rows(spark: SparkSession, d: str) -> DataFrame:
     ).agg(F.max("o_totalprice").alias("o_totalprice"))
     price = F.col("o_totalprice")
     old = ws.history(columnar_payload(orders, "parcela_id", "dia", "daily", {
-        "temperature_2m_mean": price / 13000, "precipitation_sum": price / 71330,
+        "temperature_2m_mean": price / 13000, "precipitation_sum": price / 70919,
         "et0_fao_evapotranspiration": price / 53000,
     }))
     events = load(spark, d, "events").withColumn("parcela_id", F.col("user_id").cast("string"))
@@ -395,7 +395,7 @@ def daily_rows(spark: SparkSession, d: str) -> DataFrame:
         "et0_fao_evapotranspiration": F.col("v") / 53,
     })
     per_hour = events.groupBy("parcela_id", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("h")).agg(F.avg("value").alias("v"))
-    soil = columnar_payload(per_hour, "parcela_id", "h", "hourly", {"soil_moisture_0_to_7cm": F.col("v") / 370})
+    soil = columnar_payload(per_hour, "parcela_id", "h", "hourly", {"soil_moisture_0_to_7cm": F.col("v") / 371.828})
     both = block.join(soil.withColumnRenamed("payload", "soil"), ["parcela_id", "mes"]).withColumn(
         "payload", F.concat(F.regexp_replace("payload", r"\}$", ","), F.regexp_replace("soil", r"^\{", ""))
     )
@@ -406,10 +406,10 @@ def daily_rows(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""
 WITH {KC}, viejo AS (
   SELECT CAST(o_custkey AS VARCHAR) AS parcela_id, CAST(o_orderdate AS DATE) AS fecha,
-         o_totalprice / 13000 AS temp_media_c, o_totalprice / 71330 AS precipitacion_mm, o_totalprice / 53000 AS et0_mm,
+         o_totalprice / 13000 AS temp_media_c, o_totalprice / 70919 AS precipitacion_mm, o_totalprice / 53000 AS et0_mm,
          'historico_era5' AS fuente, CAST(NULL AS DOUBLE) AS humedad_suelo_m3m3 FROM orders
   QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderdate ORDER BY o_totalprice DESC) = 1),
-horas AS (SELECT user_id, date_trunc('hour', ts) AS h, avg(value) / 370 AS v FROM events GROUP BY ALL),
+horas AS (SELECT user_id, date_trunc('hour', ts) AS h, avg(value) / 371.828 AS v FROM events GROUP BY ALL),
 suelo AS (SELECT user_id, CAST(h AS DATE) AS fecha, avg(v) AS v FROM horas GROUP BY ALL),
 dias AS (SELECT user_id, CAST(ts AS DATE) AS fecha, sum(value) AS v FROM events GROUP BY ALL),
 nuevo AS (
