@@ -37,8 +37,12 @@ def zero_to_null(value: Column | str) -> Column:
 
 def ine_code(province: Column | str, municipality: Column | str) -> Column:
     """Five digits: province padded to two, municipality to three; missing parts count as 0."""
-    parts = [F.coalesce(col(c).cast("int"), F.lit(0)) for c in (province, municipality)]
-    return F.format_string("%02d%03d", *parts)
+    return F.concat(_padded(province, 2), _padded(municipality, 3))
+
+
+def _padded(part: Column | str, width: int) -> Column:
+    digits = F.coalesce(col(part).cast("int"), F.lit(0)).cast("string")
+    return F.lpad(digits, F.greatest(F.length(digits), F.lit(width)), F.lit("0"))
 
 
 def parcel_key(*parts: Column | str) -> Column:
@@ -67,10 +71,9 @@ def first_number(*values: Column | str) -> Column:
 
 def lat_lon_text(text: Column | str) -> Column:
     """Coordinates given as "lat,lon" or as a JSON list, as "lat,lon"."""
-    text = col(text)
-    pair = F.from_json(text, "array<string>")
-    listed = F.concat_ws(",", F.get(pair, F.lit(0)), F.get(pair, F.lit(1)))
-    return F.when(F.ltrim(text).startswith("["), listed).otherwise(text)
+    parts = F.split(F.btrim(col(text), F.lit("[] \t\n\r")), ",")
+    pair = [F.btrim(F.get(parts, F.lit(i)), F.lit('" \t\n\r')) for i in (0, 1)]
+    return F.when(F.ltrim(col(text)).startswith("["), F.concat_ws(",", *pair)).otherwise(col(text))
 
 
 def nth_number(text: Column | str, n: int) -> Column:

@@ -41,8 +41,8 @@ def bearing_sector(spark: SparkSession, d: str) -> DataFrame:
 
 def positions(spark: SparkSession, d: str) -> DataFrame:
     """Views and clicks are victims, the others aggressors; clicks write coordinates as a list."""
-    lat = F.format_string("%s", (F.col("value") / 10000 + 39).cast("decimal(9,6)"))
-    lon = F.format_string("%s", (roles.k() / 10000 - 0.3).cast("decimal(9,6)"))
+    lat = (F.col("value") / 10000 + 39).cast("decimal(9,6)").cast("string")
+    lon = (roles.k() / 10000 - 0.3).cast("decimal(9,6)").cast("string")
     text = F.when(F.col("event_type") == "click", F.concat(F.lit("["), lat, F.lit(","), lon, F.lit("]"))).otherwise(
         F.concat(lat, F.lit(","), lon)
     )
@@ -66,8 +66,8 @@ def relations(spark: SparkSession, d: str) -> DataFrame:
 
 def zones(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers are places, each customer has the one with the number of its nation."""
-    lat = F.format_string("%s", (F.col("s_acctbal") / 400000 + 39).cast("decimal(9,6)"))
-    lon = F.format_string("%s", (F.col("s_suppkey") / 10000 - 0.3).cast("decimal(9,6)"))
+    lat = (F.col("s_acctbal") / 400000 + 39).cast("decimal(9,6)").cast("string")
+    lon = (F.col("s_suppkey") / 10000 - 0.3).cast("decimal(9,6)").cast("string")
     places = load(spark, d, "supplier").select(
         F.col("s_suppkey").alias("id_place"), F.col("s_name").alias("place_name"),
         F.concat(lat, F.lit(","), lon).alias("place_coordinates"), (F.col("s_nationkey") * 10 + 50).alias("radius"),
@@ -79,7 +79,7 @@ def zones(spark: SparkSession, d: str) -> DataFrame:
 MET = f"""WITH pos AS (
   SELECT CAST(user_id AS VARCHAR) AS user_id, event_type IN ('view', 'click') AS victim, date_trunc('hour', ts) AS w,
          CAST(value / 10000 + 39 AS DECIMAL(9,6)) AS lat, CAST({K_SQL} / 10000 - 0.3 AS DECIMAL(9,6)) AS lon,
-         strftime(ts, '%Y-%m-%d %H:%M:%S') AS "timestamp", ts, event_id, event_type = 'click' AS listed FROM events),
+         strftime(ts, '%Y-%m-%d %H:%M:%S') AS "timestamp", ts, event_id FROM events),
 agr AS (
   SELECT * FROM pos WHERE NOT victim QUALIFY row_number() OVER (PARTITION BY user_id, w ORDER BY ts DESC, event_id DESC) = 1),
 rel AS (
@@ -92,7 +92,7 @@ zones AS (
          CAST(s_nationkey * 10 + 50 AS DOUBLE) AS radius
   FROM supplier JOIN customer ON c_nationkey = s_suppkey),
 met AS (
-  SELECT p.user_id AS id_victima, rel.a AS id_agresor, rel.dist, p.lat AS vlat, p.lon AS vlon, p.listed, agr.lat AS alat,
+  SELECT p.user_id AS id_victima, rel.a AS id_agresor, rel.dist, p.lat AS vlat, p.lon AS vlon, agr.lat AS alat,
          agr.lon AS alon, agr."timestamp"
   FROM pos p JOIN rel ON rel.v = p.user_id JOIN agr ON agr.user_id = rel.a AND agr.w = p.w WHERE p.victim),
 cases AS (
@@ -107,8 +107,7 @@ cases AS (
 ALERT_ROWS = f""", alerts AS (
   SELECT alerta, true AS activa, id_victima, id_agresor, round(m, 2) AS distancia_metros,
          {sector_sql('(lat0 - blat)', '(lon0 - blon)')} AS direccion_escape, alat || ',' || alon AS coordenadas_agresor,
-         CASE WHEN alerta <> 'fisica' THEN NULL WHEN listed THEN CAST(vlat AS DOUBLE) || ',' || CAST(vlon AS DOUBLE)
-              ELSE vlat || ',' || vlon END AS coordenadas_victima,
+         CASE WHEN alerta = 'fisica' THEN vlat || ',' || vlon END AS coordenadas_victima,
          CASE WHEN alerta = 'place' THEN CAST(blat AS DECIMAL(9,6)) || ',' || CAST(blon AS DECIMAL(9,6)) END AS coordenadas_place,
          "timestamp", dist AS dist_seguridad, id_place, nombre_place, radius AS radio_zona,
          CAST(NULL AS VARCHAR) AS nivel, CAST(NULL AS DOUBLE) AS distancia_limite

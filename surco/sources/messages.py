@@ -107,8 +107,10 @@ def parse_positions(raw: DataFrame, role: str) -> DataFrame:
 
 
 def with_lat_lon(df: DataFrame, text: str = "coordinates") -> DataFrame:
-    out = df.withColumn("lat", nth_number(text, 0)).withColumn("lon", nth_number(text, 1))
-    return out.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    """Add lat and lon read from "lat,lon"; rows without both drop out."""
+    pair = F.struct(nth_number(text, 0).alias("lat"), nth_number(text, 1).alias("lon"))
+    # Unfolding a one-element array keeps the filter from reading the text again.
+    return df.select("*", F.inline(F.array(pair))).filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
 
 
 def message_columns(attrs: dict[str, Column], body: Column, ts: Column, message_id: Column) -> list[Column]:
