@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import ine_code
+
 
 def etc(et0: Column, kc: Column) -> Column:
     return F.round(et0 * kc, 2)
@@ -31,6 +33,22 @@ def with_coefficient(requests: DataFrame, kc: DataFrame) -> tuple[DataFrame, Dat
     return ok, bad
 
 
+def with_municipality(requests: DataFrame, parcels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(requests with a municipality code, rejected requests).
+
+    A request that brings neither a code nor days of its own takes the code of
+    its parcel; a parcel that is not registered is rejected.
+    """
+    codes = parcels.select("parcela_id", ine_code("provincia", "municipio").alias("_code"))
+    given = F.nullif("codigo_ine", F.lit(""))
+    joined = requests.join(codes, "parcela_id", "left").withColumn("codigo_ine", F.coalesce(given, "_code"))
+    own = F.coalesce(F.size("prevision") > 0, F.lit(False))
+    fine = own | F.col("codigo_ine").isNotNull()
+    ok = joined.filter(fine).select(*requests.columns)
+    bad = joined.filter(~fine).select(*requests.columns).withColumn("reason", F.lit("parcel not found"))
+    return ok, bad
+
+
 DAY = (
     "struct<fecha:date,et0_mm:double,precipitacion_mm:double,"
     "prob_precipitacion:double,estado_cielo_desc:string>"

@@ -173,33 +173,39 @@ def decayed_response(entities: DataFrame, events: DataFrame, key: str, ts: str,
     hits = hits.filter(F.col("_i") < steps).select(
         key, F.greatest(F.col("_i"), F.lit(0)).cast("bigint").alias("_i"), (F.col("_a") * F.exp(early * per_step)).alias("_a")
     )
+    hits = hits.groupBy(key, "_i").agg(F.sum("_a").alias("_a"))
     spine = entities.select("*", F.posexplode(_steps(origin, steps, step)).alias("_i", "ts"))
-    spine = spine.withColumn("_row", F.struct(*entities.columns, "ts")).select(key, F.col("_i").cast("bigint").alias("_i"), "_row")
-    cells = hits.groupBy(key, "_i").agg(F.sum("_a").alias("_a")).join(spine, [key, "_i"], "right")
-
-    period = F.floor(F.col("_i") / period_steps).cast("bigint")
-    inside = F.col("_i") - period * period_steps
-    raised = F.coalesce("_a", F.lit(0.0)) * F.exp(inside * per_step)
-    cells = cells.withColumn("_p", period).withColumn("_up", raised).withColumn("_down", F.exp(-inside * per_step))
-    running = W.partitionBy(key, "_p").orderBy("_i").rowsBetween(W.unboundedPreceding, W.currentRow)
-    local = cells.withColumn("_sum", F.sum("_up").over(running))
-
-    fade = F.exp(per_step * -period_steps)
-    totals = cells.groupBy(key, "_p").agg((F.sum("_up") * fade).alias("t"))
-    earlier = W.partitionBy(key).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
-    carried = totals.withColumn("_past", F.collect_list(F.struct("_p", "t")).over(earlier)).select(
+    spine = spine.select(key, F.col("_i").cast("bigint").alias("_i"), F.struct(*entities.columns, "ts").alias("_row"))
+
+    def placed(df: DataFrame) -> DataFrame:
+        return df.withColumn("_p", F.floor(F.col("_i") / period_steps).cast("bigint"))
+
+    inside = F.col("_i") - F.col("_p") * period_steps
+    raised = placed(hits).withColumn("_up", F.col("_a") * F.exp(inside * per_step)).drop("_a")
+    both = raised.unionByName(placed(spine), allowMissingColumns=True)
+    running = W.partitionBy(key, "_p").orderBy("_i").rangeBetween(W.unboundedPreceding, W.currentRow)
+    local = both.withColumn("_sum", F.coalesce(F.sum("_up").over(running), F.lit(0.0))).filter(F.col("_row").isNotNull())
+
+    # What the periods before leave at the start of a period; there are few periods.
+    fade = per_step * -period_steps
+    totals = raised.groupBy(key, "_p").agg((F.sum("_up") * F.exp(fade)).alias("t"))
+    past = totals.groupBy(key).agg(F.collect_list(F.struct("_p", "t")).alias("_past"))
+    last = (steps - 1) // period_steps
+    carried = past.select(key, "_past", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(last).cast("bigint"))).alias("_p"))
+    carried = carried.select(
         key, "_p",
         F.aggregate(
-            "_past", F.lit(0.0), lambda acc, x: acc + x["t"] * F.exp((F.col("_p") - x["_p"] - 1) * per_step * -period_steps)
+            F.filter("_past", lambda x: x["_p"] < F.col("_p")), F.lit(0.0),
+            lambda acc, x: acc + x["t"] * F.exp((F.col("_p") - x["_p"] - 1) * fade),
         ).alias("_carry"),
     )
     value = base if isinstance(base, Column) else F.lit(float(base))
-    total = (F.col("_sum") + F.col("_carry")) * F.col("_down") + value
+    total = (F.col("_sum") + F.coalesce("_carry", F.lit(0.0))) * F.exp(inside * -per_step) + value
     if low is not None:
         total = F.greatest(F.lit(float(low)), total)
     if high is not None:
         total = F.least(F.lit(float(high)), total)
-    return local.join(carried, [key, "_p"]).select("_row.*", total.alias(into))
+    return local.join(carried, [key, "_p"], "left").select("_row.*", total.alias(into))
 
 
 def _steps(first: Column, steps: int, step: str) -> Column:

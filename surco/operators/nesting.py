@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,10 +20,13 @@ def in_blocks(df: DataFrame, keys: Sequence[str], member: Sequence[str], size: i
     as a whole and no row is left out. Only keys above the size are kept for
     the second pass over the rows.
     """
-    big = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > size)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > size)
+    big = counts.select("_n", *[F.col(c).alias(f"_big_{c}") for c in keys])
+    # Null is a key like any other.
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_big_{c}")) for c in keys])
     spread = F.ceil(F.col("_n") / (size / 2)).cast("bigint")
     block = F.coalesce(F.pmod(F.xxhash64(*member), spread), F.lit(0)).cast("int")
-    return df.join(big, list(keys), "left").withColumn("bloque", block).drop("_n")
+    return df.join(big, same, "left").select(*df.columns, block.alias("bloque"))
 
 
 def group_lists(df: DataFrame, keys: Sequence[str], fields: Sequence[str], into: str,

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite, lookup
-from ..functions.fixed_values import METRICS, MISSING_STATES, SENSOR_NAMES
+from ..functions.fixed_values import DEVICE_CLASSES, METRICS, MISSING_STATES, SENSOR_NAMES, SWITCHABLE_DOMAINS
 
 ARRIVAL = ("event_time", "message_id")
 
@@ -241,6 +241,27 @@ def active_sensors(sensors: DataFrame, connections: DataFrame) -> DataFrame:
     )
 
 
+def discover_sensors(states: DataFrame) -> DataFrame:
+    """Devices that measure something known, under their registry sensor type."""
+    rows = states.select(
+        F.col("entity_id").alias("sensor_id"),
+        F.coalesce("attributes.friendly_name", "entity_id").alias("display_name"),
+        F.col("attributes.device_class").alias("sensor_type"),
+        "state",
+        F.col("attributes.unit_of_measurement").alias("unit"),
+    )
+    return map_vocabulary(rows, "sensor_type", DEVICE_CLASSES, keep_unknown=False)
+
+
+def discover_switches(states: DataFrame) -> DataFrame:
+    """Devices that can be switched."""
+    return filter_domain(states, SWITCHABLE_DOMAINS).select(
+        F.col("entity_id").alias("sensor_id"),
+        F.coalesce("attributes.friendly_name", "entity_id").alias("display_name"),
+        "state", "domain",
+    )
+
+
 def states_to_readings(states: DataFrame, registry: DataFrame, as_of: Column) -> DataFrame:
     """Device states of registered sensors as readings taken at `as_of`.
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("sensors", "context", "forecasts", "keyed", "documents", "geo")
+MODULES = ("sensors", "context", "forecasts", "keyed", "documents", "geo", "streams")
 
 
 def load_all() -> None:

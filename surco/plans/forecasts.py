@@ -256,7 +256,7 @@ REQUESTS = roles.PARCELS + f""", requests AS (
 
 
 def requests(spark: SparkSession, d: str) -> DataFrame:
-    """One irrigation request per field; fields of one segment bring their own day."""
+    """One irrigation request per field; fields of one segment bring their own day, odd ones no code."""
     def choose(*names: str) -> Column:
         return F.get(F.array(*[F.lit(n) for n in names]), (F.col("id") % len(names)).cast("int"))
 
@@ -269,7 +269,8 @@ def requests(spark: SparkSession, d: str) -> DataFrame:
     )
     p = roles.parcels(spark, d)
     return p.select(
-        "parcela_id", ine_code("provincia", "municipio").alias("codigo_ine"),
+        "parcela_id",
+        F.when(F.col("id") % 2 == 0, ine_code("provincia", "municipio")).otherwise(F.lit("")).alias("codigo_ine"),
         F.when(F.col("cultivo") == "MACHINERY", F.lit("desconocido")).otherwise(choose("ECONOMY", "PROMO", "STANDARD")).alias("cultivo"),
         choose("inicial", "desarrollo", "mediados", "final", "otra").alias("fase"),
         F.when(F.col("cultivo") == "BUILDING", F.array(own)).otherwise(F.array().cast(f"array<{balance.DAY}>")).alias("prevision"),
@@ -292,7 +293,8 @@ SELECT parcela_id, cultivo, fase, fecha, round(et0, 6) AS et0_mm, round(et0 * kc
 FROM days
 """)
 def recommendation(spark: SparkSession, d: str) -> DataFrame:
-    advice, _ = balance.recommend(requests(spark, d), roles.forecast(spark, d), coefficients(spark, d))
+    asked, _ = balance.with_municipality(requests(spark, d), roles.parcels(spark, d))
+    advice, _ = balance.recommend(asked, roles.forecast(spark, d), coefficients(spark, d))
     return rounded(advice)
 
 
@@ -304,8 +306,9 @@ FROM requests r LEFT JOIN (SELECT * FROM kc WHERE kc IS NOT NULL) k USING (culti
 WHERE kc IS NULL OR (NOT own AND id NOT IN (SELECT o_custkey FROM orders))
 """)
 def recommendation_rejects(spark: SparkSession, d: str) -> DataFrame:
-    _, bad = balance.recommend(requests(spark, d), roles.forecast(spark, d), coefficients(spark, d))
-    return bad
+    asked, unknown = balance.with_municipality(requests(spark, d), roles.parcels(spark, d))
+    _, bad = balance.recommend(asked, roles.forecast(spark, d), coefficients(spark, d))
+    return bad.unionByName(unknown.select(*bad.columns))
 
 
 SCENARIO = """series AS (

@@ -40,13 +40,17 @@ def bearing_sector(spark: SparkSession, d: str) -> DataFrame:
 # ---- proximity ------------------------------------------------------------
 
 def positions(spark: SparkSession, d: str) -> DataFrame:
+    return positions_of(load(spark, d, "events"))
+
+
+def positions_of(events: DataFrame) -> DataFrame:
     """Views and clicks are victims, the others aggressors; clicks write coordinates as a list."""
     lat = (F.col("value") / 10000 + 39).cast("decimal(9,6)").cast("string")
     lon = (roles.k() / 10000 - 0.3).cast("decimal(9,6)").cast("string")
     text = F.when(F.col("event_type") == "click", F.concat(F.lit("["), lat, F.lit(","), lon, F.lit("]"))).otherwise(
         F.concat(lat, F.lit(","), lon)
     )
-    rows = load(spark, d, "events").select(
+    rows = events.select(
         F.col("user_id").cast("string").alias("user_id"),
         F.when(F.col("event_type").isin("view", "click"), F.lit("victima")).otherwise(F.lit("agresor")).alias("tipo"),
         lat_lon_text(text).alias("coordinates"),

@@ -42,8 +42,12 @@ def metric() -> Column:
 
 
 def readings(spark: SparkSession, d: str) -> DataFrame:
+    return readings_of(load(spark, d, "events"))
+
+
+def readings_of(events: DataFrame) -> DataFrame:
     """Field readings: one per event, the user being the field."""
-    return load(spark, d, "events").select(
+    return events.select(
         F.lit("parcela").alias("entity_type"),
         F.col("user_id").cast("string").alias("entity_id"),
         F.concat(F.lit("u"), k().cast("string")).alias("user_id"),
@@ -64,11 +68,15 @@ READINGS = f"""readings AS (
 
 
 def house_readings(spark: SparkSession, d: str) -> DataFrame:
+    return house_readings_of(load(spark, d, "events"))
+
+
+def house_readings_of(events: DataFrame) -> DataFrame:
     """Air readings belong to the user's greenhouse, soil readings to the plant of the event."""
     soil = F.col("sensor_tipo") == "humedad_suelo"
     air = F.col("sensor_tipo").isin("temperatura", "humedad_ambiental")
     return (
-        readings(spark, d)
+        readings_of(events)
         .withColumn("entity_type", F.when(soil, F.lit("planta")).when(air, F.lit("invernadero")).otherwise(F.lit("parcela")))
         .withColumn("entity_id", F.when(soil, F.col("message_id").cast("string")).otherwise(F.col("entity_id")))
     )

@@ -94,6 +94,10 @@ def plant_5min_fanout(spark: SparkSession, d: str) -> DataFrame:
 # ---- messages -------------------------------------------------------------
 
 def messages(spark: SparkSession, d: str) -> DataFrame:
+    return messages_of(load(spark, d, "events"))
+
+
+def messages_of(events: DataFrame) -> DataFrame:
     """Events as messages; errors come with a broken body, signups without attributes."""
     attrs = {
         "entity_type": F.lit("parcela"),
@@ -106,7 +110,7 @@ def messages(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit("s"), roles.k().cast("string")).alias("sensor_entity_id"),
     ))
     body = F.when(F.col("event_type") == "error", F.lit('{"valor": ')).otherwise(whole)
-    rows = load(spark, d, "events").select(
+    rows = events.select(
         "event_type", *message_columns(attrs, body, F.col("ts"), F.col("event_id").cast("string"))
     )
     no_attrs = F.when(F.col("event_type") != "signup", F.col("attrs"))
@@ -146,6 +150,12 @@ SELECT CAST(user_id AS VARCHAR) AS entity_id, {V1_CASE} AS sensor_tipo, value AS
 FROM events WHERE event_type NOT IN ('error', 'signup')
 """)
 def parse_body_messages(spark: SparkSession, d: str) -> DataFrame:
+    ok, _ = parse_messages(body_messages_of(load(spark, d, "events")), attrs=False)
+    numeric, _ = rd.drop_non_numeric(ok)
+    return numeric.select("entity_id", "sensor_tipo", "valor", "message_id")
+
+
+def body_messages_of(events: DataFrame) -> DataFrame:
     """Body-only messages; errors carry text for a value, signups no parcel."""
     kind = roles.pick("event_type", view="temperature", click="ambient_humidity", purchase="soil_moisture")
     value = F.when(F.col("event_type") == "error", F.lit("n/a")).otherwise(F.col("value").cast("string"))
@@ -155,13 +165,10 @@ def parse_body_messages(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("event_type") != "signup", F.col("user_id")).alias("parcela_usuario_id"),
         F.col("user_id"), value.alias("value"),
     ))
-    raw = load(spark, d, "events").select(
+    return events.select(
         F.encode(body, "UTF-8").alias("data"), F.col("ts").alias("publish_ts"),
         F.col("event_id").cast("string").alias("message_id"),
     )
-    ok, _ = parse_messages(raw, attrs=False)
-    numeric, _ = rd.drop_non_numeric(ok)
-    return numeric.select("entity_id", "sensor_tipo", "valor", "message_id")
 
 
 @query(f"""

@@ -275,11 +275,10 @@ def plant_values(messages: DataFrame, greenhouses: Load, plants: Load, state: St
 # ---- proximity ------------------------------------------------------------
 
 def nearby(victims: DataFrame, aggressors: DataFrame, relations: Load, zones: Load, facts: str,
-           state_path: str, delay: str = "0 seconds", metric: str = "geodesic",
+           state_path: str, delay: str = "0 seconds", metric: str = "geodesic", window: str = NEARBY[0],
            checkpoint: str | None = None, every: str | None = None) -> StreamingQuery:
     """Two position streams to alert rows and the latest alert per pair."""
-    window, refresh = NEARBY
-    links, places = Refreshed(relations, refresh), Refreshed(zones, refresh)
+    links, places = Refreshed(relations, NEARBY[1]), Refreshed(zones, NEARBY[1])
     both = closed_windows(watermarked(victims.unionByName(aggressors), delay), window)
 
     def finish(batch: DataFrame, number: int) -> None:

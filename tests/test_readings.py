@@ -111,6 +111,15 @@ def test_states_become_readings(spark):
     assert rows(out, "entity_id", "sensor_tipo", "valor", "unidad") == [("1", "humedad_ambiental", 12.5, "%")]
 
 
+def test_devices_are_discovered(spark):
+    states = spark.createDataFrame(
+        [("sensor.a", "1", ("moisture", None, "%")), ("switch.b", "on", (None, "Valve", None)), ("sensor.c", "2", ("power", "x", "W")), ("light", "on", None)],
+        "entity_id string, state string, attributes struct<device_class:string,friendly_name:string,unit_of_measurement:string>",
+    )
+    assert rows(rd.discover_sensors(states)) == [("sensor.a", "sensor.a", "soil_moisture", "1", "%")]
+    assert rows(rd.discover_switches(states)) == [("switch.b", "Valve", "on", "switch")]
+
+
 def test_unknown_vocabulary_passes_or_drops(spark):
     df = spark.createDataFrame([("temperature",), ("ph",)], "sensor_tipo string")
     assert rows(rd.map_vocabulary(df, "sensor_tipo")) == [("ph",), ("temperatura",)]

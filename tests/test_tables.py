@@ -135,6 +135,17 @@ def test_balance_keeps_nulls_but_advice_counts_them_as_zero(spark):
     assert [len(r.recomendacion_dias) for r in nested] == [1, 1]
 
 
+def test_requests_take_the_code_of_their_parcel(spark):
+    day = balance.DAY
+    asked = frame(spark, f"parcela_id string, codigo_ine string, cultivo string, fase string, prevision array<{day}>",
+                  ("p1", None, "c", "f", None), ("p2", "28079", "c", "f", None), ("p9", "", "c", "f", []),
+                  ("p8", None, "c", "f", [(date(2024, 1, 1), 1.0, 1.0, None, None)]))
+    parcels = frame(spark, "parcela_id string, provincia int, municipio int", ("p1", 46, 17), ("p2", 1, 1))
+    ok, bad = balance.with_municipality(asked, parcels)
+    assert rows(ok, "parcela_id", "codigo_ine") == [("p1", "46017"), ("p2", "28079"), ("p8", None)]
+    assert rows(bad, "parcela_id", "reason") == [("p9", "parcel not found")]
+
+
 def test_scenarios_pair_dry_with_hot(spark):
     et0 = frame(spark, "parcela_id string, fecha date, et0_p25 double, et0_p50 double, et0_p75 double", ("p", date(2024, 1, 1), 1.0, 2.0, 3.0))
     rain = frame(spark, "parcela_id string, fecha date, precip_p25 double, precip_p50 double, precip_p75 double", ("p", date(2024, 1, 1), 0.0, 0.5, 9.0))
@@ -209,11 +220,11 @@ def test_backdated_action_only_wins_by_arrival(spark):
 # ---- nesting --------------------------------------------------------------
 
 def test_large_keys_are_nested_in_blocks_and_stay_whole(spark):
-    df = spark.range(2000).select(F.when(F.col("id") < 1900, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"), "id")
+    df = spark.range(2000).select(F.when(F.col("id") < 900, F.lit("hot")).when(F.col("id") < 1900, F.lit(None)).otherwise(F.col("id").cast("string")).alias("k"), "id")
     out = nesting.group_lists(df, ["k"], ["id"], "ids", size=100).collect()
     assert sum(len(r.ids) for r in out) == 2000
     assert max(len(r.ids) for r in out) <= 100
-    assert all(r.bloque == 0 for r in out if r.k != "hot")
+    assert all(r.bloque == 0 for r in out if r.k not in ("hot", None))
 
 
 def test_parcel_text(spark):
