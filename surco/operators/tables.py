@@ -15,17 +15,21 @@ from pyspark.sql import functions as F
 
 # ---- latest rows ----------------------------------------------------------
 
+def _extreme(df: DataFrame, pick, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows compare by `order`, then by their other columns, so ties are settled."""
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    best = df.groupBy(*keys).agg(pick(F.struct(*order, *rest)).alias("_row"))
+    return best.select(*keys, "_row.*").select(*df.columns)
+
+
 def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The row with the greatest `order` per key."""
-    rest = [c for c in df.columns if c not in keys]
-    best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_row"))
-    return best.select(*keys, "_row.*").select(*df.columns)
+    return _extreme(df, F.max, keys, order)
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    rest = [c for c in df.columns if c not in keys]
-    best = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"))
-    return best.select(*keys, "_row.*").select(*df.columns)
+    """The row with the least `order` per key."""
+    return _extreme(df, F.min, keys, order)
 
 
 def latest_non_null(df: DataFrame, keys: Sequence[str], column: str, order: Sequence[str]) -> DataFrame:
@@ -40,9 +44,8 @@ def latest_non_null(df: DataFrame, keys: Sequence[str], column: str, order: Sequ
 def last_by_role(df: DataFrame, keys: Sequence[str], role: str, wanted: str, values: Sequence[str],
                  order: Sequence[str]) -> DataFrame:
     """Last values per key among the rows that play the wanted role."""
-    rows = df.filter(F.col(role) == wanted)
-    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("_row"))
-    return best.select(*keys, "_row.*")
+    rows = df.filter(F.col(role) == wanted).select(*keys, *order, *[c for c in values if c not in order])
+    return keep_last(rows, keys, order).select(*keys, *values)
 
 
 # ---- upserts --------------------------------------------------------------
