@@ -52,7 +52,12 @@ def parse_geometry(df: DataFrame, geometry: str = "geometry") -> DataFrame:
     one = F.from_json(coordinates, "array<array<array<double>>>")
     many = F.from_json(coordinates, "array<array<array<array<double>>>>")
     polygons = F.when(kind == "Polygon", F.array(one)).when(kind == "MultiPolygon", many)
-    return df.withColumn("polygons", polygons).drop(geometry)
+    return _once(df, polygons.alias("polygons")).drop(geometry)
+
+
+def _once(df: DataFrame, *columns: Column) -> DataFrame:
+    """Add columns by unfolding a one-element array, so that no later filter computes them again."""
+    return df.select("*", F.inline(F.array(F.struct(*columns))))
 
 
 def polygons_to_degrees(polygons: Column) -> Column:
@@ -94,13 +99,13 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, zoom: int = 15, p
     join. The zoom should make a tile about as large as a polygon.
     """
     px, py = to_mercator("lat", "lng")
-    spots = points.withColumn("_px", px).withColumn("_py", py)
+    spots = _once(points, px.alias("_px"), py.alias("_py"))
     tx, ty = tile_of_metres(F.col("_px"), F.col("_py"), zoom)
     spots = spots.withColumn("_tx", tx).withColumn("_ty", ty)
 
     x0, x1, y0, y1 = _bounds(F.col("polygons"))
-    boxed = polygons.select(
-        feature_id, "polygons", x0.alias("_x0"), x1.alias("_x1"), y0.alias("_y0"), y1.alias("_y1")
+    boxed = _once(
+        polygons.select(feature_id, "polygons"), x0.alias("_x0"), x1.alias("_x1"), y0.alias("_y0"), y1.alias("_y1")
     )
     tx0, ty0 = tile_of_metres(F.col("_x0"), F.col("_y0"), zoom)
     tx1, ty1 = tile_of_metres(F.col("_x1"), F.col("_y1"), zoom)

@@ -74,15 +74,16 @@ def asof_by_day(rows: DataFrame, daily: DataFrame, key: str, row_day: str, day:
     day) learns until when each row holds; it becomes dense over the days that
     occur, and the rows meet it by equality on key and day.
     """
-    wanted = rows.select(key, F.col(row_day).alias("_day")).distinct()
+    wanted = rows.select(key, F.col(row_day).alias("_day")).distinct().withColumn("_asked", F.lit(True))
     known = daily.select(key, F.col(day).alias("_day"), F.struct(F.col(day).alias("desde"), *values).alias("_v"))
-    days = (
+    # A range frame takes in the rows of the same day, whichever side they come from.
+    so_far = W.partitionBy(key).orderBy("_day").rangeBetween(W.unboundedPreceding, W.currentRow)
+    dense = (
         known.unionByName(wanted, allowMissingColumns=True)
-        .groupBy(key, "_day")
-        .agg(F.max("_v").alias("_v"))
+        .withColumn("_v", F.last("_v", ignorenulls=True).over(so_far))
+        .filter("_asked")
+        .select(key, "_day", "_v")
     )
-    order = W.partitionBy(key).orderBy("_day").rowsBetween(W.unboundedPreceding, W.currentRow)
-    dense = days.select(key, "_day", F.last("_v", ignorenulls=True).over(order).alias("_v"))
     out = rows.withColumn("_day", F.col(row_day)).join(dense, [key, "_day"], "left")
     return out.select(*rows.columns, "_v.*")
 
