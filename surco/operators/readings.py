@@ -76,7 +76,9 @@ def sensor_pivot(readings: DataFrame, key: str = "entity_id", every: str = "1 ho
         mean = F.avg(_of_type(kind))
         means.append((F.round(mean, round_to) if round_to is not None else mean).alias(name))
     grouped = readings.groupBy(F.window("event_time", every).alias("w"), key)
-    out = grouped.agg(F.min_by("user_id", arrival()).alias("user_id"), *means)
+    # The least struct carries the first reading's user along in one buffer.
+    first = F.min(F.struct(*ARRIVAL, "user_id"))["user_id"]
+    out = grouped.agg(first.alias("user_id"), *means)
     if drop_empty:
         out = out.filter(F.coalesce(*types).isNotNull())
     return out.select(

@@ -9,7 +9,6 @@ from ..functions.columns import ntz
 from ..operators import documents as dc
 from ..operators.tables import delete_by_key, deleted_by_key
 from ..sources.tables import load
-from . import roles
 from .registry import query
 from .roles import AS_OF
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import ine_code, ntz
-from ..functions.fixed_values import FORECAST_NAMES
 from ..operators import balance, forecast as fc, weather
 from ..operators.tables import keep_last
 from ..sources import weather as ws
