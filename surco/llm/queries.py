@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, mixing, sharding
+from . import byte_bpe, html_extract, mixing, quality, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,3 +45,16 @@ def op6_shard(spark: SparkSession, d: str) -> DataFrame:
 def op10_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
     return byte_bpe.digests(
         table(spark, d, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query()
+def op1_main_text(spark: SparkSession, d: str) -> DataFrame:
+    return html_extract.extract(table(spark, d, "pages"))
+
+
+@query()
+def op2_quality(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    network = quality.fit(docs, table(spark, d, "labels"))
+    scored = quality.score(docs, network)
+    return scored.select("doc_id", quality.is_held_out("doc_id").alias("held_out"), "score", "predicted")
