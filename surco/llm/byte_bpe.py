@@ -19,6 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 NONE = np.int64(1) << 62
 # Pieces whose ids a worker remembers; beyond it only those met since then stay.
@@ -248,7 +249,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
     already there is replaced. Repeated rows stay as many as they are.
     """
     kept = [c for c in df.columns if c != out]
-    schema = df.select(*[df[quoted(c)] for c in kept]).schema.add(out, "array<int>")
+    schema = df.select(*[df[quoted(c)] for c in kept]).schema.add(out, ArrayType(IntegerType()))
 
     def run(batches):
         ranks, cut = ranks_of(path), pattern_of(pattern)

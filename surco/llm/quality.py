@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 STEP, WIDTH, FILTERS = 12, 6, 16
 PAD = 256  # the symbol behind the end of a document
@@ -168,7 +169,7 @@ def score(
     """
     kept = [c for c in df.columns if c not in (out, "predicted")]
     rows = df.select(*["`" + c.replace("`", "``") + "`" for c in kept])
-    schema = rows.schema.add(out, "double").add("predicted", "int")
+    schema = StructType(list(rows.schema.fields)).add(out, "double").add("predicted", "integer")
 
     def run(batches):
         net = Network.from_bytes(network) if network else None

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, html_extract, mixing, quality, sharding
+from . import byte_bpe, html_extract, mixing, quality, sharding, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,3 +58,9 @@ def op2_quality(spark: SparkSession, d: str) -> DataFrame:
     network = quality.fit(docs, table(spark, d, "labels"))
     scored = quality.score(docs, network)
     return scored.select("doc_id", quality.is_held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+@query()
+def op3_substrings(spark: SparkSession, d: str) -> DataFrame:
+    removed = substrings.remove_repeats(table(spark, d, "documents"), keep_text=False)
+    return removed.select("doc_id", "n_words", "n_removed", "kept_sha256")
