@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, html_extract, mixing, quality, sharding, substrings
+from . import byte_bpe, html_extract, mixing, odd_sketch, quality, sharding, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,3 +64,8 @@ def op2_quality(spark: SparkSession, d: str) -> DataFrame:
 def op3_substrings(spark: SparkSession, d: str) -> DataFrame:
     removed = substrings.remove_repeats(table(spark, d, "documents"), keep_text=False)
     return removed.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query()
+def op9_odd_sketch(spark: SparkSession, d: str) -> DataFrame:
+    return odd_sketch.near_duplicates(table(spark, d, "documents"))
