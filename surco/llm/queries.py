@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, html_extract, mixing, odd_sketch, quality, sharding, substrings
+from . import byte_bpe, html_extract, mixing, odd_sketch, product_codes, quality, sharding, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,3 +69,8 @@ def op3_substrings(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def op9_odd_sketch(spark: SparkSession, d: str) -> DataFrame:
     return odd_sketch.near_duplicates(table(spark, d, "documents"))
+
+
+@query()
+def op7_product_codes(spark: SparkSession, d: str) -> DataFrame:
+    return product_codes.near_duplicates(table(spark, d, "embeddings"))
