@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, html_extract, mixing, odd_sketch, product_codes, quality, sharding, substrings
+from . import byte_bpe, curves, html_extract, mixing, odd_sketch, product_codes, quality, sharding, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -74,3 +75,9 @@ def op9_odd_sketch(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def op7_product_codes(spark: SparkSession, d: str) -> DataFrame:
     return product_codes.near_duplicates(table(spark, d, "embeddings"))
+
+
+@query()
+def op8_curves(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings")
+    return curves.nearest(rows, rows.filter(F.col("vec_id") % 50 == 0))
