@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, curves, html_extract, mixing, odd_sketch, product_codes, quality, sharding, substrings
+from . import byte_bpe, curves, html_extract, mixing, odd_sketch, product_codes, quality, sharding, substrings, suffix_tree
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -81,3 +81,8 @@ def op7_product_codes(spark: SparkSession, d: str) -> DataFrame:
 def op8_curves(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings")
     return curves.nearest(rows, rows.filter(F.col("vec_id") % 50 == 0))
+
+
+@query()
+def op4_suffix_tree(spark: SparkSession, d: str) -> DataFrame:
+    return suffix_tree.score(table(spark, d, "documents"))
