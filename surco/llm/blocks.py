@@ -22,7 +22,7 @@ ANSWERS = "block long, kind int, part int, answer binary"
 def sizes(spark: SparkSession) -> tuple[int, int, int]:
     """Partitions, blocks and ranges of keys for this session; more partitions make smaller blocks."""
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return partitions, 4 * partitions, 1 << (2 * partitions - 1).bit_length()
+    return partitions, 2 * partitions, 1 << (partitions - 1).bit_length()
 
 
 def dealt(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -33,6 +33,35 @@ def dealt(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(block.alias("block"), "key", "text").repartition(partitions, "block")
 
 
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as the first one and the gaps, of as many bytes as the largest gap needs."""
+    gaps = np.diff(keys)
+    wide = (int(gaps.max(initial=0)).bit_length() + 7) // 8
+    return bytes([wide]) + keys[:1].tobytes() + gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide].tobytes()
+
+
+def unpack_keys(raw: bytes) -> np.ndarray:
+    wide = raw[0]
+    gaps = np.frombuffer(raw, np.uint8, offset=9).reshape(-1, wide) if wide else np.empty((0, 0), np.uint8)
+    out = np.zeros((len(gaps) + 1, 8), np.uint8)
+    out[0] = np.frombuffer(raw[1:9], np.uint8)
+    out[1:, :wide] = gaps
+    return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64)
+
+
+def pack_numbers(x: np.ndarray) -> bytes:
+    """Non-negative integers, byte by byte: the many zero bytes of small ones compress away."""
+    wide = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([wide]) + np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide].T).tobytes()
+
+
+def unpack_numbers(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :raw[0]] = planes.T
+    return out.view("<u8").ravel()
+
+
 def packed(block: int, keys: np.ndarray, counts: np.ndarray | None, parts: int) -> pa.RecordBatch:
     """One row per range for sorted distinct keys; ranges without keys get none."""
     shift = np.uint64(64 - (parts - 1).bit_length()) if parts > 1 else None
@@ -40,7 +69,7 @@ def packed(block: int, keys: np.ndarray, counts: np.ndarray | None, parts: int)
     used = [i for i in range(parts) if cuts[i] < cuts[i + 1]]
     return pa.RecordBatch.from_arrays([
         pa.array([block] * len(used), pa.int64()), pa.array(used, pa.int32()),
-        pa.array([keys[cuts[i]:cuts[i + 1]].tobytes() for i in used], pa.binary()),
+        pa.array([pack_keys(keys[cuts[i]:cuts[i + 1]]) for i in used], pa.binary()),
         pa.array([b"" if counts is None else counts[cuts[i]:cuts[i + 1]].astype("<u4").tobytes() for i in used], pa.binary()),
     ], names=["block", "part", "keys", "counts"])
 
@@ -49,7 +78,7 @@ def answer(sent: DataFrame, kind: int, reply: Callable[[list[np.ndarray], list[n
     """For each range, `reply` gets the keys and counts of every block and gives an answer for each."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
+        keys = [unpack_keys(x) for x in table.column("keys").to_pylist()]
         counts = [np.frombuffer(x, "<u4") for x in table.column("counts").to_pylist()]
         out = reply(keys, counts)
         return pa.table({
