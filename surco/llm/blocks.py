@@ -25,12 +25,15 @@ def sizes(spark: SparkSession) -> tuple[int, int, int]:
     return partitions, 2 * partitions, 1 << (partitions - 1).bit_length()
 
 
-def dealt(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Columns block, key and text, dealt by block; every later step meets the documents in these partitions."""
+def dealt(df: DataFrame, key: str, text: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Columns block, key and text, dealt by block, and a struct of those to carry; every later step meets the documents in these partitions."""
     partitions, blocks, _ = sizes(df.sparkSession)
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    others = [c for c in carry if c != text]
+    # The text itself is carried once.
+    rest = [F.struct(*[F.col(c) if c in others else F.lit(None).cast("string").alias(c) for c in carry]).alias("carried")] if carry else []
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), *rest)
     block = F.pmod(F.xxhash64("key", "text"), F.lit(blocks)).cast("long")
-    return rows.select(block.alias("block"), "key", "text").repartition(partitions, "block")
+    return rows.select(block.alias("block"), *rows.columns).repartition(partitions, "block")
 
 
 def pack_keys(keys: np.ndarray) -> bytes:

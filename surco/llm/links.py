@@ -3,24 +3,38 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; only a local session without the setting gets one of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="surco-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """The rows of `df`, written once to the folder that all executors share."""
+    """The rows of `df`, computed once and checkpointed in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="surco-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows of `df`, read back from a table in the shared folder."""
+    path = f"{shared_folder(df.sparkSession)}/surco-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def stars(edges: DataFrame) -> DataFrame:
     """One round of large stars and small stars: every node comes nearer to the least of its component."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -76,16 +76,18 @@ def apportion(parties: DataFrame, within: list[str], party: list[str], votes: st
 
 def mix(
     df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3),
-    share: float = 1.0, most: int = 3, block: int = 16, shard_docs: int = 20_000, seed: int = 7,
+    share: float = 1.0, most: int = 3, block: int = 16, shard_docs: int = 20_000, seed: int = 7, carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per row of `df`: key, size, source, source_size, target, taken.
+    """One row per row of `df`: key, source, size, source_size, target, taken, runs, and `carry` as a struct `carried`.
 
     `taken` counts the words that the mix takes from a document, repeats
-    included: at most `most` times its size. Null texts and sources are allowed:
+    included: at most `most` times its size. `runs` are the words taken, as
+    (first word, words) from 0, one whole run per repeat. Null texts and sources are allowed:
     a null text has no words, a null source is a source of its own. Rows with
     one key count as documents of their own; equal rows may swap their values.
     """
-    docs = df.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
+    docs = df.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"),
+                     *([F.struct(*carry).alias("carried")] if carry else []))
     sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
     shards = F.greatest(F.lit(1), F.ceil(F.col("docs") / shard_docs))
     plan = sizes.select("source", "source_size", shards.alias("shards"))
@@ -114,12 +116,29 @@ def mix(
     begin, stop = F.col("end") - F.col("size"), F.col("end")
 
     def inside(low: Column, high: Column) -> Column:
-        return F.greatest(F.lit(0), F.least(stop, high) - F.greatest(begin, low))
+        first = F.greatest(begin, low)
+        return F.struct((first - begin).cast("long").alias("first"), F.greatest(F.lit(0), F.least(stop, high) - first).cast("long").alias("words"))
 
     low, high = F.col("first") * block, (F.col("first") + F.col("more")) * block
-    round_end = F.col("blocks") * block
-    run = inside(low, F.least(high, round_end)) + inside(F.lit(0), F.greatest(F.lit(0), high - round_end))
+    ring_end = F.col("blocks") * block
+    whole = F.struct(F.lit(0).cast("long").alias("first"), F.col("size").alias("words"))
+    parts = F.array(inside(low, F.least(high, ring_end)), inside(F.lit(0), F.greatest(F.lit(0), high - ring_end)))
+    runs = F.filter(F.concat(F.array_repeat(whole, F.coalesce("turns", F.lit(0)).cast("int")), parts), lambda x: x["words"] > 0)
+    rows = rows.withColumn("runs", runs)
+    taken = F.aggregate("runs", F.lit(0).cast("long"), lambda total, x: total + x["words"])
     return rows.select(
-        F.col("key").alias(key), "source", "size", "source_size", "target",
-        (F.col("turns") * F.col("size") + run).cast("long").alias("taken"),
-    )
+        F.col("key").alias(key), "source", "size", "source_size", "target", taken.alias("taken"), "runs", *(["carried"] if carry else []))
+
+
+def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
+    """The rows of `df` as the mix takes them: one row per run, in the columns of `df`.
+
+    A run of all words has the text as it is; a part has its words, joined by one
+    space. Documents that the mix does not take are gone; so are texts without words.
+    """
+    rows = mix(df, key, text, source, carry=tuple(df.columns), **how)
+    rows = rows.select("size", "carried", F.explode("runs").alias("run"))
+    words = F.regexp_extract_all(F.col("carried")[text], F.lit(WORD), 0)
+    part = F.array_join(F.slice(words, (F.col("run.first") + 1).cast("int"), F.col("run.words").cast("int")), " ")
+    taken = F.when(F.col("run.words") == F.col("size"), F.col("carried")[text]).otherwise(part)
+    return rows.select(*[(taken if c == text else F.col("carried")[c]).alias(c) for c in df.columns])

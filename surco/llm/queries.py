@@ -34,7 +34,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 @query()
 def op5_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix(table(spark, d, "documents"))
+    return mixing.mix(table(spark, d, "documents")).drop("runs")
 
 
 @query()

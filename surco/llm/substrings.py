@@ -16,6 +16,7 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import blocks
 from .words import Words
@@ -44,17 +45,19 @@ def covered(words: Words, starts: np.ndarray, width: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, keep_text: bool = True) -> DataFrame:
-    """One row per row of `df`: key, n_words, n_removed, intervals, kept_sha256 and, if asked for, kept.
+def remove_repeats(
+    df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, keep_text: bool = True, carry: tuple[str, ...] = (),
+) -> DataFrame:
+    """One row per row of `df`: key, n_words, n_removed, intervals, kept_sha256 and, if asked for, kept; and `carry` as a struct `carried`.
 
     `intervals` are the removed runs as (first word, words), maximal and in
     order; `kept` is the words that stay, joined by one space (null for a null
-    text). Texts with fewer words than a window keep them all; a null text has
+    text; with `carry`, a text that loses nothing stays as it is). Texts with fewer words than a window keep them all; a null text has
     no words. Repeated rows, also with the same key, count as texts of their own,
     so a text that occurs twice loses all that its windows cover.
     """
     parts = blocks.sizes(df.sparkSession)[2]
-    docs = blocks.dealt(df, key, text)
+    docs = blocks.dealt(df, key, text, carry)
 
     def send(batches: pa.Table) -> pa.Table:
         words = Words(batches.column("text").to_pylist())
@@ -65,6 +68,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", width
     answers = blocks.answer(sent, 0, _repeats)
     kind = "long" if dict(df.dtypes)[key] == "bigint" else dict(df.dtypes)[key]
     schema = f"key {kind}, n_words long, n_removed long, intervals array<struct<first: int, words: int>>, kept_sha256 string, kept string"
+    carried = f", carried {dict(docs.dtypes)['carried']}" if carry else ""
 
     def cut(rows: pa.Table, replies: pa.Table) -> pa.Table:
         texts = rows.column("text").to_pylist()
@@ -86,11 +90,18 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", width
             out["n_removed"].append(lost)
             out["intervals"].append([{"first": int(a), "words": int(b - a)} for a, b in zip(edges[::2], edges[1::2], strict=True)])
             out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-            out["kept"].append(kept.decode("utf-8", "surrogatepass") if keep_text and t is not None else None)
+            out["kept"].append(None if not keep_text or t is None else kept.decode("utf-8", "surrogatepass") if lost or not carry else t)
         columns = {"key": rows.column("key"), "n_words": pa.array(out["n_words"], pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64())}
         columns["intervals"] = pa.array(out["intervals"], pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32())])))
-        return pa.table(columns | {c: pa.array(out[c], pa.string()) for c in ("kept_sha256", "kept")})
+        columns |= {c: pa.array(out[c], pa.string()) for c in ("kept_sha256", "kept")}
+        return pa.table(columns | ({"carried": rows.column("carried")} if carry else {}))
 
-    result = docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(cut, schema)
+    result = docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(cut, schema + carried)
     result = result if keep_text else result.drop("kept")
     return result.withColumnRenamed("key", key)
+
+
+def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
+    """The rows of `df` with the repeated passages cut from the text; a text that loses nothing stays as it is."""
+    rows = remove_repeats(df, key, text, width, carry=tuple(df.columns))
+    return rows.select(*[(F.col("kept") if c == text else F.col("carried")[c]).alias(c) for c in df.columns])
