@@ -18,7 +18,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """The documents that the classifier does not reject; without labels all of them."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     network = quality.fit(docs, labels)
-    return quality.score(docs, network, out="quality_score").filter("predicted = 1").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("whole"), "text")
+    return quality.score(rows, network).filter("predicted = 1").select("whole.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,9 +65,9 @@ def apportion(parties: DataFrame, within: list[str], party: list[str], votes: st
     rows = rows.withColumn("last", F.least("cap", F.ceil("exact") + doubt))
     rows = rows.withColumn("left", F.col("seats") - F.sum("safe").over(group))
     keys = list(dict.fromkeys(within + party))
-    claims = rows.filter("last > safe").select(*keys, votes, "left", F.explode(F.sequence("safe", F.col("last") - 1)).alias("k"))
+    claims = rows.filter("last > safe").select(*keys, votes, "left", F.explode(F.sequence("safe", F.col("last") - 1)).alias("seat"))
     claims = claims.filter(F.col(votes) > 0)
-    order = Window.partitionBy(*within).orderBy((F.col(votes) / (2 * F.col("k") + 1)).desc(), *[F.col(p).asc_nulls_last() for p in party], "k")
+    order = Window.partitionBy(*within).orderBy((F.col(votes) / (2 * F.col("seat") + 1)).desc(), *[F.col(p).asc_nulls_last() for p in party], "seat")
     won = claims.withColumn("place", F.row_number().over(order)).filter("place <= left")
     won = won.groupBy(*[F.col(k).alias(f"won_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("won"))
     same = [F.col(k).eqNullSafe(F.col(f"won_{k}")) for k in keys]

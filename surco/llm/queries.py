@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, curves, html_extract, mixing, odd_sketch, product_codes, quality, sharding, substrings, suffix_tree
+from . import byte_bpe, curves, html_extract, mixing, odd_sketch, product_codes, quality, sharding, sql, substrings, suffix_tree
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,23 +61,23 @@ def op2_quality(spark: SparkSession, d: str) -> DataFrame:
     return scored.select("doc_id", quality.is_held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
-@query()
+@query(sql.SUBSTRINGS)
 def op3_substrings(spark: SparkSession, d: str) -> DataFrame:
     removed = substrings.remove_repeats(table(spark, d, "documents"), keep_text=False)
     return removed.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-@query()
+@query(sql.NEAR_DOCUMENTS)
 def op9_odd_sketch(spark: SparkSession, d: str) -> DataFrame:
     return odd_sketch.near_duplicates(table(spark, d, "documents"))
 
 
-@query()
+@query(sql.NEAR_VECTORS)
 def op7_product_codes(spark: SparkSession, d: str) -> DataFrame:
     return product_codes.near_duplicates(table(spark, d, "embeddings"))
 
 
-@query()
+@query(sql.NEAREST)
 def op8_curves(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings")
     return curves.nearest(rows, rows.filter(F.col("vec_id") % 50 == 0))
