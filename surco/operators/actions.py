@@ -61,35 +61,29 @@ def last_action_state(current: DataFrame | None, actions: DataFrame, order_by: s
                       arrival: str = "message_id") -> DataFrame:
     """Per field: time of the last action of each kind and the last fertiliser.
 
-    order_by="event" keeps the latest action by its own time; "arrival" lets
-    every new action overwrite the state, as it comes in.
+    order_by="event" keeps the latest action by its own time, however the log is
+    cut into calls; "arrival" lets every new action overwrite the state, as it
+    comes in. `abono_orden` is the place of the named fertiliser in that order.
     """
     fields = actions.filter(F.col("entity_type") == "parcela")
     by_event = order_by == "event"
-    order = F.struct("timestamp", arrival) if by_event else F.struct(arrival)
+    place = F.struct(F.col("timestamp"), F.col(arrival).alias("llegada"))
+    order = place if by_event else F.struct(arrival)
     kinds = [
         F.max_by("timestamp", F.when(F.col("tipo_evento") == kind, order)).alias(field)
         for kind, field in ACTION_FIELDS.items()
     ]
-    named = (F.col("tipo_evento") == "abonado") & (F.col("valor") != "")
-    fertiliser = F.when(named, order)
+    named = F.when((F.col("tipo_evento") == "abonado") & (F.col("valor") != ""), order)
     new = fields.groupBy("user_id", "entity_id").agg(
-        *kinds,
-        F.max_by("valor", fertiliser).alias("tipo_abono"),
-        F.max_by("timestamp", fertiliser).alias("_abono_ts"),
+        *kinds, F.max_by("valor", named).alias("tipo_abono"), F.max_by(place, named).alias("abono_orden"),
     )
-    state = [*ACTION_FIELDS.values(), "tipo_abono"]
     if current is None:
-        return new.select("user_id", "entity_id", *state)
+        return new
+    keys, state = ["user_id", "entity_id"], [*ACTION_FIELDS.values(), "tipo_abono", "abono_orden"]
     if not by_event:
-        new = new.withColumn("_o", F.lit(1))
-        return merge_latest(current, new, ["user_id", "entity_id"], state, ["_o"], skip_nulls=True)
-    old = current.select("user_id", "entity_id", *[F.col(c).alias(f"_old_{c}") for c in state])
-    both = new.join(old, ["user_id", "entity_id"], "full_outer")
-    # greatest() passes over nulls: whichever side has an action counts.
-    times = [F.greatest(F.col(f), F.col(f"_old_{f}")).alias(f) for f in ACTION_FIELDS.values()]
-    newer = F.col("_abono_ts").isNotNull() & (
-        F.col("_old_ultimo_abonado").isNull() | (F.col("_abono_ts") >= F.col("_old_ultimo_abonado"))
+        return merge_latest(current, new.withColumn("_o", F.lit(1)), keys, state, ["_o"], skip_nulls=True)
+    both = new.unionByName(current.select(*keys, *state))
+    return both.groupBy(*keys).agg(
+        *[F.max(f).alias(f) for f in ACTION_FIELDS.values()],
+        F.max_by("tipo_abono", "abono_orden").alias("tipo_abono"), F.max("abono_orden").alias("abono_orden"),
     )
-    kept = F.coalesce(F.when(newer, F.col("tipo_abono")), F.col("_old_tipo_abono"), F.col("tipo_abono"))
-    return both.select("user_id", "entity_id", *times, kept.alias("tipo_abono"))

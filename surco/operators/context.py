@@ -148,21 +148,28 @@ def time_spine(entities: DataFrame, start: str, steps: int, step: str = "1 hour"
     return entities.select("*", F.explode(_steps(ntz(start), steps, step)).alias(into))
 
 
+# Exponent over a period, and periods after which e^(-FADE * KEPT) is zero in doubles.
+FADE, KEPT = 50.0, 16
+
+
 def decayed_response(entities: DataFrame, events: DataFrame, key: str, ts: str, amp: str, rate: float, start: str,
                      steps: int, step: str = "1 hour", base: Column | float = 0.0, low: float | None = None,
-                     high: float | None = None, period_steps: int = 500, into: str = "respuesta") -> DataFrame:
+                     high: float | None = None, into: str = "respuesta") -> DataFrame:
     """At every step: base + sum of amp * exp(-rate * days since) over all earlier events, clamped.
 
     The sum obeys a recurrence, so events and steps are never paired. Events
     first move to the next step, decayed by the way there, and are added up
     per entity and step; what is left to order is bounded by the steps,
-    however many events an entity has. Steps are cut into periods: a running
-    sum inside a period plus the decayed totals of the earlier ones, which
-    keeps the exponents small over any span of time.
+    however many events an entity has. Steps are cut into periods over which a
+    response fades by e^-FADE at most: a running sum inside a period plus the
+    decayed totals of the earlier ones, which keeps every exponent small. What
+    is more than KEPT periods old is below the smallest number there is.
     """
     origin = ntz(start)
     width = (_epoch_seconds(origin + F.expr(f"INTERVAL '{step}'")) - _epoch_seconds(origin)).cast("double")
     per_step = width / 86400 * rate
+    period = F.when(per_step > 0, F.greatest(F.lit(1), F.floor(FADE / F.nullif(per_step, F.lit(0.0))))).otherwise(steps)
+    period = F.least(period, F.lit(steps)).cast("bigint")
 
     since_start = (_epoch_seconds(F.col(ts)) - _epoch_seconds(origin)) / width
     at = F.ceil(since_start).cast("bigint")
@@ -178,27 +185,21 @@ def decayed_response(entities: DataFrame, events: DataFrame, key: str, ts: str,
     spine = spine.select(key, F.col("_i").cast("bigint").alias("_i"), F.struct(*entities.columns, "ts").alias("_row"))
 
     def placed(df: DataFrame) -> DataFrame:
-        return df.withColumn("_p", F.floor(F.col("_i") / period_steps).cast("bigint"))
+        return df.withColumn("_p", F.floor(F.col("_i") / period).cast("bigint"))
 
-    inside = F.col("_i") - F.col("_p") * period_steps
+    inside = F.col("_i") - F.col("_p") * period
     raised = placed(hits).withColumn("_up", F.col("_a") * F.exp(inside * per_step)).drop("_a")
     both = raised.unionByName(placed(spine), allowMissingColumns=True)
     running = W.partitionBy(key, "_p").orderBy("_i").rangeBetween(W.unboundedPreceding, W.currentRow)
     local = both.withColumn("_sum", F.coalesce(F.sum("_up").over(running), F.lit(0.0))).filter(F.col("_row").isNotNull())
 
-    # What the periods before leave at the start of a period; there are few periods.
-    fade = per_step * -period_steps
-    totals = raised.groupBy(key, "_p").agg((F.sum("_up") * F.exp(fade)).alias("t"))
-    past = totals.groupBy(key).agg(F.collect_list(F.struct("_p", "t")).alias("_past"))
-    last = (steps - 1) // period_steps
-    carried = past.select(key, "_past", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(last).cast("bigint"))).alias("_p"))
-    carried = carried.select(
-        key, "_p",
-        F.aggregate(
-            F.filter("_past", lambda x: x["_p"] < F.col("_p")), F.lit(0.0),
-            lambda acc, x: acc + x["t"] * F.exp((F.col("_p") - x["_p"] - 1) * fade),
-        ).alias("_carry"),
-    )
+    # What a period leaves at the start of each of the next ones.
+    totals = raised.groupBy(key, "_p").agg((F.sum("_up") * F.exp(per_step * -period)).alias("t"))
+    last = F.floor(F.lit(steps - 1) / period).cast("bigint")
+    later = F.filter(F.sequence(F.col("_p") + 1, F.col("_p") + KEPT), lambda q: q <= last)
+    carried = totals.select(key, "_p", "t", F.explode(later).alias("_q"))
+    left = F.col("t") * F.exp((F.col("_q") - F.col("_p") - 1) * per_step * -period)
+    carried = carried.groupBy(key, F.col("_q").alias("_p")).agg(F.sum(left).alias("_carry"))
     value = base if isinstance(base, Column) else F.lit(float(base))
     total = (F.col("_sum") + F.coalesce("_carry", F.lit(0.0))) * F.exp(inside * -per_step) + value
     if low is not None:

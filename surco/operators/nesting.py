@@ -1,90 +1,54 @@
-"""Nested records per key, with a bound on how much one record holds."""
+"""Members of a key, one row each.
+
+A key may have any number of members, so nothing here collects them into one
+record; a writer that needs nested documents groups the rows that it fetches.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 1000
-
-
-def in_blocks(df: DataFrame, keys: Sequence[str], member: Sequence[str], size: int = BLOCK) -> DataFrame:
-    """Give every row a block number so that a block of a key holds about `size` rows.
+from ..functions.fixed_values import METRICS
+from .tables import keep_last
 
-    Keys within the size have the single block 0. Members of a larger key are
-    spread by hash over enough blocks, so that no task ever collects the key
-    as a whole and no row is left out. Only keys above the size are kept for
-    the second pass over the rows.
-    """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > size)
-    big = counts.select("_n", *[F.col(c).alias(f"_big_{c}") for c in keys])
-    # Null is a key like any other.
-    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_big_{c}")) for c in keys])
-    spread = F.ceil(F.col("_n") / (size / 2)).cast("bigint")
-    block = F.coalesce(F.pmod(F.xxhash64(*member), spread), F.lit(0)).cast("int")
-    return df.join(big, same, "left").select(*df.columns, block.alias("bloque"))
-
-
-def group_lists(df: DataFrame, keys: Sequence[str], fields: Sequence[str], into: str,
-                size: int = BLOCK) -> DataFrame:
-    """Sorted arrays of structs, one per key and block."""
-    return (
-        in_blocks(df, keys, fields, size)
-        .groupBy(*keys, "bloque")
-        .agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(into))
-    )
 
+def sensors_by_connection(readings: DataFrame) -> DataFrame:
+    """The sensors to ask for over every connection."""
+    return readings.select("connection_id", "ha_url", "sensor_id", "sensor_type", "location_id", "location_type", "user_id")
 
-def group_by_connection(readings: DataFrame, size: int = BLOCK) -> DataFrame:
-    """Sensors of every connection, to be asked for in one call per block."""
-    fields = ["sensor_id", "sensor_type", "location_id", "location_type", "user_id"]
-    return group_lists(readings, ["connection_id", "ha_url"], fields, "sensores", size)
 
+def relations_by_victim(relations: DataFrame, zones: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    """Aggressors with their safety distance, and zones, of every victim.
 
-def relations_by_victim(relations: DataFrame, zones: DataFrame, size: int = BLOCK) -> DataFrame:
-    """Aggressors with their safety distance, and zones, of every victim."""
-    near = group_lists(relations, ["id_victima"], ["id_agresor", "dist_seguridad"], "pares", size)
-    near = near.select("id_victima", "bloque", F.map_from_entries("pares").alias("agresores"))
-    places = group_lists(zones, ["id_victima"], ["id_place", "place_name", "place_coordinates", "radius"], "zonas", size)
-    return near.join(places, ["id_victima", "bloque"], "full_outer")
+    `clase` tells them apart, `id_miembro` names the aggressor or the zone. Of a
+    pair that is there more than once the last by `order` counts, if given.
+    """
+    pair = ["id_victima", "id_agresor"]
+    near = keep_last(relations, pair, order) if order else relations
+    near = near.select("id_victima", F.lit("agresor").alias("clase"), F.col("id_agresor").alias("id_miembro"), "dist_seguridad")
+    places = zones.select("id_victima", F.lit("zona").alias("clase"), F.col("id_place").alias("id_miembro"),
+                          "place_name", "place_coordinates", "radius")
+    return near.unionByName(places, allowMissingColumns=True)
 
 
-def group_snapshot(state: DataFrame, size: int = BLOCK) -> DataFrame:
-    """Own values of every greenhouse and a map of its plants' values.
+def plant_snapshot(state: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame:
+    """Latest values of every greenhouse (plant_id null) and of every plant, a column per metric.
 
-    `state` is the long latest-value table: user_id, greenhouse_id, plant_id
-    (null for the greenhouse itself), sensor_tipo, valor.
+    `state` is the long latest-value table: user_id, greenhouse_id, plant_id, sensor_tipo, valor.
     """
-    # Maps cannot be hashed or sorted, so they travel as their entries.
-    entries = state.groupBy("user_id", "greenhouse_id", "plant_id").agg(
-        F.array_sort(F.collect_list(F.struct("sensor_tipo", "valor"))).alias("valores")
-    )
-    house = F.col("plant_id").isNull()
-    placed = in_blocks(entries, ["user_id", "greenhouse_id"], ["plant_id"], size)
-    placed = placed.withColumn("bloque", F.when(house, F.lit(0)).otherwise(F.col("bloque")))
-    nested = placed.groupBy("user_id", "greenhouse_id", "bloque").agg(
-        F.max(F.when(house, F.col("valores"))).alias("own"),
-        F.array_sort(F.collect_list(F.when(~house, F.struct("plant_id", "valores")))).alias("inside"),
-    )
-    plants = F.transform("inside", lambda p: F.struct(p["plant_id"], F.map_from_entries(p["valores"])))
-    return nested.select(
-        "user_id", "greenhouse_id", "bloque",
-        F.map_from_entries("own").alias("invernadero"),
-        F.map_from_entries(plants).alias("plantas"),
-    )
+    values = [F.max(F.when(F.col("sensor_tipo") == m, F.col("valor"))).alias(m) for m in metrics]
+    return state.groupBy("user_id", "greenhouse_id", "plant_id").agg(*values)
 
 
-def parcel_list_text(parcels: DataFrame, owner: str = "usuario_id", size: int = BLOCK) -> DataFrame:
-    """One text per owner naming each parcel, its crop and id; `?` where unknown."""
+def parcel_lines(parcels: DataFrame, owner: str = "usuario_id") -> DataFrame:
+    """A line per parcel of an owner, naming it, its crop and id; `?` where unknown."""
     def known(c: str) -> Column:
         return F.coalesce(F.col(c).cast("string"), F.lit("?"))
 
     line = F.concat(
         F.lit("- "), known("nombre"), F.lit(" ("), known("cultivo"), F.lit(") → ID: "), known("parcela_id")
     )
-    rows = group_lists(parcels.select(owner, line.alias("linea")), [owner], ["linea"], "lineas", size)
-    return rows.select(owner, "bloque", F.array_join(F.col("lineas.linea"), "\n").alias("texto"))
+    return parcels.select(owner, line.alias("linea"))

@@ -155,6 +155,6 @@ def decayed_response(spark: SparkSession, d: str) -> DataFrame:
     )
     out = cx.decayed_response(
         entities, hits, "entity_id", "ts", "amp", 0.2, "2024-01-01", 120, "6 hours", base=12.0, low=15.0, high=88.0,
-        period_steps=28, into="humedad",
+        into="humedad",
     )
     return rounded(out)

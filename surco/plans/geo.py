@@ -60,12 +60,16 @@ def positions_of(events: DataFrame) -> DataFrame:
     return with_lat_lon(rows)
 
 
-def relations(spark: SparkSession, d: str) -> DataFrame:
-    rows = load(spark, d, "orders").select(
+def links_seen(spark: SparkSession, d: str) -> DataFrame:
+    """Every order links its customer to an aggressor; a pair may be there more than once."""
+    return load(spark, d, "orders").select(
         F.col("o_custkey").alias("id_victima"), F.floor(F.col("o_totalprice") / 1000).alias("id_agresor"), "o_orderkey",
         F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_totalprice") / 130).alias("dist_seguridad"),
     )
-    return keep_last(rows, ["id_victima", "id_agresor"], ["o_orderkey"]).drop("o_orderkey")
+
+
+def relations(spark: SparkSession, d: str) -> DataFrame:
+    return keep_last(links_seen(spark, d), ["id_victima", "id_agresor"], ["o_orderkey"]).drop("o_orderkey")
 
 
 def zones(spark: SparkSession, d: str) -> DataFrame:
@@ -80,6 +84,8 @@ def zones(spark: SparkSession, d: str) -> DataFrame:
     return safe_zones(places, links)
 
 
+AGGRESSOR_SQL = "CAST(floor(o_totalprice / 1000) AS BIGINT)"
+
 MET = f"""WITH pos AS (
   SELECT CAST(user_id AS VARCHAR) AS user_id, event_type IN ('view', 'click') AS victim, date_trunc('hour', ts) AS w,
          CAST(value / 10000 + 39 AS DECIMAL(9,6)) AS lat, CAST({K_SQL} / 10000 - 0.3 AS DECIMAL(9,6)) AS lon,
@@ -87,7 +93,7 @@ MET = f"""WITH pos AS (
 agr AS (
   SELECT * FROM pos WHERE NOT victim QUALIFY row_number() OVER (PARTITION BY user_id, w ORDER BY ts DESC, event_id DESC) = 1),
 rel AS (
-  SELECT CAST(o_custkey AS VARCHAR) AS v, CAST(CAST(floor(o_totalprice / 1000) AS BIGINT) AS VARCHAR) AS a,
+  SELECT CAST(o_custkey AS VARCHAR) AS v, CAST({AGGRESSOR_SQL} AS VARCHAR) AS a,
          coalesce(CASE WHEN o_orderpriority <> '5-LOW' THEN o_totalprice / 130 END, 500) AS dist FROM orders
   QUALIFY row_number() OVER (PARTITION BY v, a ORDER BY o_orderkey DESC) = 1),
 zones AS (
@@ -175,19 +181,20 @@ def proximity_alerts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-{MET}, agr_n AS (SELECT v, string_agg(a, ',' ORDER BY a) AS agresores FROM rel GROUP BY 1),
-zone_n AS (SELECT v, string_agg(id_place, ',' ORDER BY id_place) AS zonas FROM zones GROUP BY 1)
-SELECT v AS id_victima, 0 AS bloque, agresores, zonas FROM agr_n FULL OUTER JOIN zone_n USING (v)
+{MET}, raw AS (
+  SELECT CAST(o_custkey AS VARCHAR) AS v, CAST({AGGRESSOR_SQL} AS VARCHAR) AS a,
+         CASE WHEN o_orderpriority <> '5-LOW' THEN o_totalprice / 130 END AS dist FROM orders
+  QUALIFY row_number() OVER (PARTITION BY v, a ORDER BY o_orderkey DESC) = 1)
+SELECT v AS id_victima, 'agresor' AS clase, a AS id_miembro, round(dist, 6) AS dist_seguridad, NULL AS place_name, CAST(NULL AS DOUBLE) AS radius FROM raw
+UNION ALL
+SELECT v, 'zona', id_place, NULL, nombre_place, radius FROM zones
 """)
 def victim_relations(spark: SparkSession, d: str) -> DataFrame:
-    """Relations and zones nested per victim."""
-    rel = relations(spark, d).select(*[F.col(c).cast("string").alias(c) for c in ("id_victima", "id_agresor")], "dist_seguridad")
-    out = nesting.relations_by_victim(rel, zones(spark, d))
-    return out.select(
-        "id_victima", "bloque",
-        F.array_join(F.array_sort(F.map_keys("agresores")), ",").alias("agresores"),
-        F.array_join(F.col("zonas.id_place"), ",").alias("zonas"),
-    )
+    """Relations and zones of every victim, one row each."""
+    rel = links_seen(spark, d)
+    rel = rel.select(*[F.col(c).cast("string").alias(c) for c in ("id_victima", "id_agresor")], "dist_seguridad", "o_orderkey")
+    out = nesting.relations_by_victim(rel, zones(spark, d), ["o_orderkey"])
+    return rounded(out.select("id_victima", "clase", "id_miembro", "dist_seguridad", "place_name", F.col("radius").cast("double").alias("radius")))
 
 
 # ---- projection and parcels -----------------------------------------------

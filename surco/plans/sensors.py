@@ -244,15 +244,13 @@ def active_registry(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
 WITH {SENSORS}
-SELECT connection_id, c_name AS ha_url, count(*) AS n, string_agg(sensor_id, ',' ORDER BY sensor_id) AS ids
-FROM sensors JOIN customer ON c_custkey = connection_id WHERE active GROUP BY ALL
+SELECT connection_id, c_name AS ha_url, sensor_id, sensor_type, location_id, location_type, user_id
+FROM sensors JOIN customer ON c_custkey = connection_id WHERE active AND sensor_type <> 'valve'
 """)
 def connection_batches(spark: SparkSession, d: str) -> DataFrame:
-    lists = nesting.group_by_connection(rd.active_sensors(sensors(spark, d), connections(spark, d)))
-    return lists.select(
-        "connection_id", "ha_url", F.size("sensores").cast("bigint").alias("n"),
-        F.array_join(F.col("sensores.sensor_id"), ",").alias("ids"),
-    )
+    """What a poll asks for over every connection: all but the switches."""
+    active = rd.active_sensors(sensors(spark, d), connections(spark, d))
+    return nesting.sensors_by_connection(active.filter(F.col("sensor_type") != "valve"))
 
 
 @query(f"""
@@ -320,14 +318,12 @@ def parcel_keys(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
 WITH {roles.PARCELS}
-SELECT usuario_id, 0 AS bloque,
-       string_agg('- ' || CASE WHEN cultivo = 'MACHINERY' THEN '?' ELSE nombre END || ' (' || cultivo || ') → ID: '
-                  || parcela_id, chr(10) ORDER BY '- ' || CASE WHEN cultivo = 'MACHINERY' THEN '?' ELSE nombre END
-                  || ' (' || cultivo || ') → ID: ' || parcela_id) AS texto
-FROM (SELECT id // 7 AS usuario_id, nombre, cultivo, parcela_id FROM parcels) GROUP BY 1
+SELECT id // 7 AS usuario_id,
+       '- ' || CASE WHEN cultivo = 'MACHINERY' THEN '?' ELSE nombre END || ' (' || cultivo || ') → ID: ' || parcela_id AS linea
+FROM parcels
 """)
 def parcel_list_text(spark: SparkSession, d: str) -> DataFrame:
     p = roles.parcels(spark, d)
     named = p.withColumn("nombre", F.when(F.col("cultivo") != "MACHINERY", F.col("nombre")))
     owned = named.withColumn("usuario_id", F.floor(F.col("id") / 7).cast("bigint"))
-    return nesting.parcel_list_text(owned)
+    return nesting.parcel_lines(owned)

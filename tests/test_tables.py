@@ -1,6 +1,7 @@
 """Keyed tables, weather rows, balance and actions on small cases."""
 
-from datetime import date, datetime
+import math
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -181,7 +182,7 @@ def test_decayed_response_equals_brute_force(spark):
     hits = [(rnd.choice("ab"), datetime(2023, 12, 20) .replace() if i % 9 == 0 else datetime(2024, 1, rnd.randint(1, 9), rnd.randint(0, 23), rnd.randint(0, 59)), rnd.random()) for i in range(80)]
     entities = frame(spark, "k string", ("a",), ("b",), ("c",))
     events = spark.createDataFrame(hits, "k string, t timestamp_ntz, amp double")
-    out = cx.decayed_response(entities, events, "k", "t", "amp", 0.4, "2024-01-01", 240, "1 hour", base=1.0, high=3.0, period_steps=50)
+    out = cx.decayed_response(entities, events, "k", "t", "amp", 0.4, "2024-01-01", 240, "1 hour", base=1.0, high=3.0)
     got = {(r.k, r.ts): r.respuesta for r in out.collect()}
     assert len(got) == 720
     for (k, ts), value in got.items():
@@ -219,14 +220,46 @@ def test_backdated_action_only_wins_by_arrival(spark):
 
 # ---- nesting --------------------------------------------------------------
 
-def test_large_keys_are_nested_in_blocks_and_stay_whole(spark):
-    df = spark.range(2000).select(F.when(F.col("id") < 900, F.lit("hot")).when(F.col("id") < 1900, F.lit(None)).otherwise(F.col("id").cast("string")).alias("k"), "id")
-    out = nesting.group_lists(df, ["k"], ["id"], "ids", size=100).collect()
-    assert sum(len(r.ids) for r in out) == 2000
-    assert max(len(r.ids) for r in out) <= 100
-    assert all(r.bloque == 0 for r in out if r.k not in ("hot", None))
+@pytest.mark.parametrize("n", [1000, 1001, 100_000])
+def test_members_of_a_key_stay_rows(spark, n):
+    """However many members a key has, equal ones included, each is a row."""
+    pairs = spark.range(n).select(F.lit("v").alias("id_victima"), F.col("id").cast("string").alias("id_agresor"), F.lit(1.0).alias("dist_seguridad"))
+    places = frame(spark, "id_victima string, id_place string, place_name string, place_coordinates string, radius double", ("v", "z", "Z", "0,0", 5.0))
+    out = nesting.relations_by_victim(pairs, places).groupBy("clase").count().collect()
+    assert {r["clase"]: r["count"] for r in out} == {"agresor": n, "zona": 1}
+    same = spark.range(n).select(F.lit(1).alias("usuario_id"), F.lit("a").alias("nombre"), F.lit("b").alias("cultivo"), F.lit("c").alias("parcela_id"))
+    assert nesting.parcel_lines(same).count() == n
 
 
-def test_parcel_text(spark):
+def test_last_of_a_repeated_pair_counts(spark):
+    pairs = frame(spark, "id_victima string, id_agresor string, dist_seguridad double, n int", ("v", "a", 1.0, 1), ("v", "a", 2.0, 2))
+    places = frame(spark, "id_victima string, id_place string, place_name string, place_coordinates string, radius double")
+    assert rows(nesting.relations_by_victim(pairs, places, ["n"]), "id_miembro", "dist_seguridad") == [("a", 2.0)]
+
+
+def test_parcel_lines(spark):
     df = frame(spark, "usuario_id int, nombre string, cultivo string, parcela_id string", (1, "b", None, "p2"), (1, None, "olivo", "p1"))
-    assert nesting.parcel_list_text(df).first().texto == "- ? (olivo) → ID: p1\n- b (?) → ID: p2"
+    assert rows(nesting.parcel_lines(df), "linea") == [("- ? (olivo) → ID: p1",), ("- b (?) → ID: p2",)]
+
+
+def test_response_stays_finite_at_any_rate(spark):
+    """A fast response over a long span: every step is the plain sum."""
+    entities = frame(spark, "k int", (1,))
+    days = [0.5, 10.0, 425.0, 425.25, 600.0]
+    start = datetime(2024, 1, 1)
+    events = frame(spark, "k int, ts timestamp_ntz, amp double", *[(1, start + timedelta(days=d), 3.0) for d in days])
+    for rate in (0.001, 0.2, 2.0, 900.0):
+        got = cx.decayed_response(entities, events, "k", "ts", "amp", rate, "2024-01-01 00:00:00", 700, "1 day").orderBy("ts").collect()
+        want = [sum(3.0 * math.exp(-rate * (i - d)) for d in days if d <= i) for i in range(700)]
+        assert [r["respuesta"] for r in got] == pytest.approx(want, rel=1e-9, abs=1e-300)
+
+
+def test_named_fertiliser_does_not_depend_on_the_cut(spark):
+    day = lambda d: datetime(2024, 1, d)
+    log = frame(
+        spark, "user_id string, entity_type string, entity_id string, timestamp timestamp_ntz, tipo_evento string, valor string, message_id long",
+        ("u", "parcela", "1", day(1), "abonado", "A", 1), ("u", "parcela", "1", day(5), "abonado", "", 2), ("u", "parcela", "1", day(3), "abonado", "B", 3),
+    )
+    whole = rows(act.last_action_state(None, log), "tipo_abono", "ultimo_abonado")
+    old = act.last_action_state(None, log.filter("message_id < 3"))
+    assert rows(act.last_action_state(old, log.filter("message_id = 3")), "tipo_abono", "ultimo_abonado") == whole == [("B", day(5))]
