@@ -65,9 +65,19 @@ def unpack_numbers(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def packed(block: int, keys: np.ndarray, counts: np.ndarray | None, parts: int) -> pa.RecordBatch:
-    """One row per range for sorted distinct keys; ranges without keys get none."""
-    shift = np.uint64(64 - (parts - 1).bit_length()) if parts > 1 else None
+def pack_planes(x: np.ndarray) -> bytes:
+    """Fixed-width values, byte by byte, so that alike bytes stand together."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+
+
+def unpack_planes(raw: bytes, kind: str) -> np.ndarray:
+    wide = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(wide, -1).T).view(kind).ravel()
+
+
+def packed(block: int, keys: np.ndarray, counts: np.ndarray | None, parts: int, bits: int = 64) -> pa.RecordBatch:
+    """One row per range for sorted distinct keys of `bits` bits; ranges without keys get none."""
+    shift = np.uint64(bits - (parts - 1).bit_length()) if parts > 1 else None
     cuts = np.searchsorted(keys >> shift, np.arange(parts + 1, dtype=np.uint64)) if parts > 1 else np.array([0, len(keys)])
     used = [i for i in range(parts) if cuts[i] < cuts[i + 1]]
     return pa.RecordBatch.from_arrays([

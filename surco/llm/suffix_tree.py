@@ -10,7 +10,8 @@ tokens. Every token is scored by the longest kept context before it.
 
 Counts of tokens, pairs and triples are exact over the training texts. They stay
 in ranges of keys; every block of documents gets the counts of its own keys, so
-no task and no driver holds the tree.
+no task and no driver holds the tree. Tokens, pairs and triples are known by
+hashes of BITS bits; two of them share a count by chance once in 2^BITS pairs.
 """
 
 from __future__ import annotations
@@ -19,18 +20,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import blocks
 from .words import Words, mix
 
-ALPHA, GAIN, RATIO = 2.0, 3.0, 4.0
+ALPHA, GAIN, RATIO = 2.0, 3.0, 16.0
+BITS = 54
+_CUT = np.uint64(64 - BITS)
 TOKEN, PAIR, TOKEN_GAIN, TRIPLE, PAIR_GAIN, TOTAL = range(6)
-_END, _START = mix(np.array([101, 202], np.uint64))
+_END, _START = mix(np.array([101, 202], np.uint64)) >> _CUT
 SENT = "kind int, block long, part int, keys binary, counts binary"
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mix(a ^ mix(b + np.uint64(0x632BE59BD9B4E019)))
+    return mix(a ^ mix(b + np.uint64(0x632BE59BD9B4E019))) >> _CUT
 
 
 class Unique:
@@ -53,7 +57,9 @@ class Unique:
 class Block:
     """The tokens of a block, with what is known of their counts so far."""
 
-    def __init__(self, rows: pa.Table, answers: pa.Table | None = None):
+    def __init__(self, pieces: pa.Table, answers: pa.Table | None = None):
+        self.rows = rows = pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in pieces.column("rows")])
+        self.number = pieces.column("block")[0].as_py()
         self.held_out = np.array([bool(h) for h in rows.column("held_out").to_pylist()])
         words = Words(rows.column("text").to_pylist(), lower=True)
         self.texts = len(self.held_out)
@@ -65,7 +71,7 @@ class Block:
         last = self.first + n_words
         is_word = np.ones(total, bool)
         is_word[last] = False
-        token[is_word] = words.hashes
+        token[is_word] = words.hashes >> _CUT
         del words
         self.token = token
         self.train = np.repeat(~self.held_out, self.n_tokens)
@@ -140,9 +146,9 @@ class Block:
 
 
 def _send(kind: int, block: int, keys: np.ndarray, values: np.ndarray, parts: int, gains: bool = False) -> pa.RecordBatch:
-    rows = blocks.packed(block, keys, None, parts)
+    rows = blocks.packed(block, keys, None, parts, BITS)
     cuts = np.cumsum([0, *(len(blocks.unpack_keys(k)) for k in rows.column("keys").to_pylist())])
-    pack = (lambda x: x.astype("<f4").tobytes()) if gains else (lambda x: blocks.pack_numbers(x.astype(np.uint64)))
+    pack = (lambda x: blocks.pack_planes(x.astype("<f4"))) if gains else (lambda x: blocks.pack_numbers(x.astype(np.uint64)))
     packed = [pack(values[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
     return pa.RecordBatch.from_arrays(
         [pa.array([kind] * len(rows), pa.int32()), rows.column("block"), rows.column("part"), rows.column("keys"), pa.array(packed, pa.binary())],
@@ -155,7 +161,7 @@ def _reply(table: pa.Table, n_blocks: int) -> pa.Table:
     gains = kind in (TOKEN_GAIN, PAIR_GAIN)
     keys = [blocks.unpack_keys(x) for x in table.column("keys").to_pylist()]
     raw = table.column("counts").to_pylist()
-    values = np.concatenate([np.frombuffer(x, "<f4") if gains else blocks.unpack_numbers(x) for x in raw]).astype(np.float64)
+    values = np.concatenate([blocks.unpack_planes(x, "<f4") if gains else blocks.unpack_numbers(x) for x in raw]).astype(np.float64)
     cuts = np.cumsum([len(k) for k in keys])[:-1]
     flat = np.concatenate(keys)
     order = np.argsort(flat, kind="stable")
@@ -185,49 +191,67 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 5
     held = F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % folds == fold, F.lit(False))
     rows = df.select(F.col(key).alias("key"), held.alias("held_out"), F.col(text).alias("text"))
     block = F.pmod(F.xxhash64("key", "text"), F.lit(n_blocks)).cast("long")
-    docs = rows.select(block.alias("block"), "key", "held_out", "text").repartition(partitions, "block")
 
-    def answer(sent: DataFrame) -> DataFrame:
-        return sent.groupBy("kind", "part").applyInArrow(lambda t: _reply(t, n_blocks), blocks.ANSWERS)
+    def pack(batches):
+        """The documents of a batch that go to one block, as one compressed piece."""
+        how = pa.ipc.IpcWriteOptions(compression="zstd")
+        for batch in batches:
+            to = batch.column(0).to_numpy()
+            order = np.argsort(to, kind="stable")
+            cuts = np.flatnonzero(np.diff(to[order], prepend=-1))
+            pieces = []
+            for at in np.split(order, cuts[1:]) if len(order) else []:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rest := batch.schema.remove(0), options=how) as out:
+                    out.write_batch(pa.RecordBatch.from_arrays([c.take(pa.array(at)) for c in batch.columns[1:]], schema=rest))
+                pieces.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(to[order[cuts]] if len(order) else [], pa.int64()), pa.array(pieces, pa.binary())], names=["block", "rows"])
+
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    docs = rows.select(block.alias("block"), *rows.columns).mapInArrow(pack, "block long, rows binary").repartition(partitions, "block")
 
-    def block_of(rows: pa.Table) -> int:
-        return rows.column("block")[0].as_py()
+    def answer(sent: DataFrame) -> DataFrame:
+        # Dealt by block once: all later steps read the same shuffle.
+        return sent.groupBy("kind", "part").applyInArrow(lambda t: _reply(t, n_blocks), blocks.ANSWERS).repartition(partitions, "block")
 
     def send_tokens(rows: pa.Table) -> pa.Table:
         b = Block(rows)
-        return pa.Table.from_batches([_send(TOKEN, block_of(rows), b.tokens.keys, b.tokens.sums(b.train), parts)])
+        return pa.Table.from_batches([_send(TOKEN, b.number, b.tokens.keys, b.tokens.sums(b.train), parts)])
 
     def send_pairs(rows: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(rows):
             return _nothing()
         b = Block(rows, answers).with_tokens()
-        return pa.Table.from_batches([_send(PAIR, block_of(rows), b.pairs.keys, b.pairs.sums(b.train), parts)])
+        return pa.Table.from_batches([_send(PAIR, b.number, b.pairs.keys, b.pairs.sums(b.train), parts)])
 
     def send_triples(rows: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(rows):
             return _nothing()
-        b, n = Block(rows, answers).with_tokens().with_pairs(), block_of(rows)
+        b = Block(rows, answers).with_tokens().with_pairs()
         return pa.Table.from_batches([
-            _send(TOKEN_GAIN, n, b.contexts.keys, b.token_gains(), parts, gains=True), _send(TRIPLE, n, b.triples.keys, b.triples.sums(b.train), parts)])
+            _send(TOKEN_GAIN, b.number, b.contexts.keys, b.token_gains(), parts, gains=True),
+            _send(TRIPLE, b.number, b.triples.keys, b.triples.sums(b.train), parts)])
 
     def send_gains(rows: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(rows):
             return _nothing()
         b = Block(rows, answers).with_tokens().with_pairs().with_states()
-        return pa.Table.from_batches([_send(PAIR_GAIN, block_of(rows), b.pair_contexts.keys, b.pair_gains(), parts, gains=True)])
+        return pa.Table.from_batches([_send(PAIR_GAIN, b.number, b.pair_contexts.keys, b.pair_gains(), parts, gains=True)])
 
     kind = dict(rows.dtypes)["key"]
     result = f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
+    empty = pa.table({n: pa.array([], t) for n, t in (
+        ("key", to_arrow_type(rows.schema["key"].dataType)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
+        ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))})
+
     def finish(rows: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(rows):  # totals went to a block without documents
-            return pa.table({f.name: pa.array([], t) for f, t in zip(
-                [pa.field(x, pa.int64()) for x in ("key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")],
-                [rows.schema.field("key").type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()], strict=True)})
+            return empty
         b = Block(rows, answers).with_tokens().with_pairs().with_states()
         known, base, model = b.scores()
         return pa.table({
-            "key": rows.column("key"), "held_out": rows.column("held_out"), "n_tokens": pa.array(b.n_tokens.astype(np.int64)), "n_known": pa.array(known),
+            "key": b.rows.column("key"), "held_out": b.rows.column("held_out"), "n_tokens": pa.array(b.n_tokens.astype(np.int64)), "n_known": pa.array(known),
             "train_tokens": pa.array(np.full(b.texts, int(b.n))), "base_score": pa.array(base), "score": pa.array(model)})
 
     own = docs.groupBy("block")
