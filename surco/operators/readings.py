@@ -109,60 +109,42 @@ def field_rows(pivoted: DataFrame, parcels: DataFrame) -> DataFrame:
     )
 
 
-BASELINE = (
-    "user_id", "nombre", "temperatura", "humedad_ambiental", "precipitacion_mm", "et0",
-    "radiacion_solar", "cultivo", "variedad", "estado_cielo",
-)
+def baseline_windows(sensors: DataFrame, ticks: DataFrame, every: str = "10 minutes") -> DataFrame:
+    """Sensor means per entity and window beside the windows that ticked (`tick`), for tables and streams.
+
+    Both meet in one windowed aggregate: a single shuffle, and no join state on
+    a stream. `ticks` brings event_time and message_id.
+    """
+    both = sensors.withColumn("tick", F.lit(False)).unionByName(
+        ticks.select("event_time", "message_id", F.lit(True).alias("tick")), allowMissingColumns=True)
+    has_id = F.when(F.col("sensor_id") != "", arrival())
+    closed = both.groupBy(F.window("event_time", every).alias("w"), "tick", "entity_id").agg(
+        F.min_by("sensor_id", has_id).alias("sensor_id"), *[F.avg(_of_type(m)).alias(f"_{m}") for m in METRICS])
+    return closed.select("*", F.col("w.start").cast("timestamp_ntz").alias("timestamp")).drop("w")
 
 
-def baseline_merge(readings: DataFrame, baseline: DataFrame, every: str = "10 minutes") -> DataFrame:
-    """Weather baseline per entity and window, overridden by sensor averages.
+def override_baseline(sensors: DataFrame, ticked: DataFrame, parcels_weather: DataFrame) -> DataFrame:
+    """Every known parcel in every window of `ticked(timestamp)`, its sensors over its weather.
 
-    `baseline` brings entity_id, event_time, message_id and the BASELINE
-    columns once per entity and tick. Both sides meet in one aggregate over
-    their union: a single shuffle, and no join state on a stream.
+    The windows, as many as time steps, travel to the parcels as one array out
+    of a scalar subquery and unfold there.
     """
-    sensors = readings.select(
-        "entity_id", "event_time", "message_id", "sensor_tipo", "valor", "sensor_id",
-        F.lit(False).alias("is_base"),
-    )
-    base = baseline.select(
-        "entity_id", "event_time", "message_id", F.struct(*BASELINE).alias("base"), F.lit(True).alias("is_base")
-    )
-    both = sensors.unionByName(base, allowMissingColumns=True)
-    has_id = (~F.col("is_base")) & (F.col("sensor_id") != "")
-    out = both.groupBy(F.window("event_time", every).alias("w"), "entity_id").agg(
-        F.min_by("base", F.when(F.col("is_base"), arrival())).alias("base"),
-        F.min_by("sensor_id", F.when(has_id, arrival())).alias("sensor_id"),
-        F.max("is_base").alias("has_base"),
-        *[F.avg(_of_type(m)).alias(f"_{m}") for m in METRICS],
-    )
-    return out.filter("has_base").select(
-        F.col("base.user_id").alias("user_id"),
-        F.col("entity_id").alias("parcel_id"),
-        F.col("base.nombre").alias("nombre"),
-        F.col("w.start").alias("timestamp"),
-        F.coalesce("_temperatura", "base.temperatura").alias("temperatura"),
-        F.coalesce("_humedad_ambiental", "base.humedad_ambiental").alias("humedad_ambiental"),
+    windows = ticked.agg(F.sort_array(F.collect_set("timestamp"))).scalar()
+    base = parcels_weather.withColumn("timestamp", F.explode(windows))
+    joined = base.join(sensors.select("entity_id", "timestamp", "sensor_id", *[f"_{m}" for m in METRICS]), ["entity_id", "timestamp"], "left")
+    hot = F.col("_temperatura").isNotNull()
+    return joined.select(
+        "user_id", F.col("entity_id").alias("parcel_id"), "nombre", "timestamp",
+        F.coalesce("_temperatura", "temperatura").alias("temperatura"),
+        F.coalesce("_humedad_ambiental", "humedad_ambiental").alias("humedad_ambiental"),
         F.col("_humedad_suelo").alias("humedad_suelo"),
-        F.col("base.precipitacion_mm").alias("precipitacion_mm"),
-        F.col("base.et0").alias("et0"),
-        F.col("base.radiacion_solar").alias("radiacion_solar"),
-        F.when(F.col("_temperatura").isNotNull(), F.lit("sensor"))
-        .otherwise(F.lit("openmeteo")).alias("fuente_temperatura"),
-        F.col("base.cultivo").alias("tipo_cultivo"),
-        F.col("base.variedad").alias("variedad"),
-        F.lit(None).cast("date").alias("fecha_plantacion_aprox"),
-        F.col("base.estado_cielo").alias("estado_cielo"),
-        "sensor_id",
+        "precipitacion_mm", "et0", "radiacion_solar",
+        F.when(hot, F.lit("sensor")).otherwise(F.lit("openmeteo")).alias("fuente_temperatura"),
+        F.col("cultivo").alias("tipo_cultivo"), "variedad",
+        F.lit(None).cast("date").alias("fecha_plantacion_aprox"), "estado_cielo", "sensor_id",
     )
 
 
-def heartbeats(ticks: DataFrame, parcels: DataFrame) -> DataFrame:
-    """Baseline rows of the entities that a tick names (entity_id, event_time, message_id)."""
-    return ticks.join(parcels, "entity_id")
-
-
 # ---- greenhouse to plant --------------------------------------------------
 
 def plants_with_owner(plants: DataFrame, greenhouses: DataFrame) -> DataFrame:

@@ -42,30 +42,40 @@ def parcel_weather(spark: SparkSession, d: str) -> DataFrame:
     return weather.join_weather(named, roles.forecast(spark, d), DAY_AS_OF, ["o_orderkey"])
 
 
-@query(f"""
-WITH {roles.READINGS}, {roles.PARCELS}, {roles.LATEST_WEATHER}, windows AS (
+def ticks_of(events: DataFrame) -> DataFrame:
+    """The first event of each day is the day's tick."""
+    return events.groupBy(F.to_date("ts").alias("dia")).agg(F.min("ts").alias("event_time")).select(
+        "event_time", F.date_format("dia", "yyyyMMdd").cast("bigint").alias("message_id"))
+
+
+BASELINE_ROWS = f"""
+WITH {roles.READINGS}, {roles.PARCELS}, {roles.LATEST_WEATHER}, ticks AS (
+  SELECT time_bucket(INTERVAL '10 minutes', min(ts)) AS "timestamp" FROM events GROUP BY CAST(ts AS DATE)),
+windows AS (
   SELECT entity_id, time_bucket(INTERVAL '10 minutes', event_time) AS "timestamp",
-         bool_or(sensor_tipo IN ('error', 'signup')) AS ticked,
          arg_min(sensor_id, row(event_time, message_id)) FILTER (WHERE sensor_id <> '') AS sensor_id,
          {", ".join(f"avg(valor) FILTER (WHERE sensor_tipo = '{m}') AS s_{m}" for m in METRICS)}
-  FROM readings GROUP BY ALL)
-SELECT CAST(p.usuario_id AS VARCHAR) AS user_id, w.entity_id AS parcel_id, p.nombre, "timestamp",
-       round(coalesce(s_temperatura, p.temperatura), 6) AS temperatura,
-       round(coalesce(s_humedad_ambiental, p.humedad_ambiental), 6) AS humedad_ambiental,
-       round(s_humedad_suelo, 6) AS humedad_suelo, round(p.precipitacion_mm, 6) AS precipitacion_mm,
-       round(p.et0, 6) AS et0, round(p.radiacion_solar, 6) AS radiacion_solar,
-       CASE WHEN s_temperatura IS NOT NULL THEN 'sensor' ELSE 'openmeteo' END AS fuente_temperatura,
-       p.cultivo AS tipo_cultivo, p.variedad, CAST(NULL AS DATE) AS fecha_plantacion_aprox,
-       p.estado_cielo, w.sensor_id
-FROM windows w JOIN parcel_weather p ON CAST(p.id AS VARCHAR) = w.entity_id
-WHERE ticked
-""")
+  FROM readings GROUP BY ALL),
+rows_ AS (
+  SELECT CAST(p.usuario_id AS VARCHAR) AS user_id, CAST(p.id AS VARCHAR) AS parcel_id, p.nombre, t."timestamp",
+         round(coalesce(s_temperatura, p.temperatura), 6) AS temperatura,
+         round(coalesce(s_humedad_ambiental, p.humedad_ambiental), 6) AS humedad_ambiental,
+         round(s_humedad_suelo, 6) AS humedad_suelo, round(p.precipitacion_mm, 6) AS precipitacion_mm,
+         round(p.et0, 6) AS et0, round(p.radiacion_solar, 6) AS radiacion_solar,
+         CASE WHEN s_temperatura IS NOT NULL THEN 'sensor' ELSE 'openmeteo' END AS fuente_temperatura,
+         p.cultivo AS tipo_cultivo, p.variedad, CAST(NULL AS DATE) AS fecha_plantacion_aprox,
+         p.estado_cielo, w.sensor_id
+  FROM parcel_weather p CROSS JOIN ticks t LEFT JOIN windows w ON w.entity_id = CAST(p.id AS VARCHAR) AND w."timestamp" = t."timestamp")
+"""
+
+
+@query(BASELINE_ROWS + "SELECT * FROM rows_")
 def sensor_10min_baseline_merge(spark: SparkSession, d: str) -> DataFrame:
-    # Errors and signups act as the ticks that emit a parcel's baseline.
-    rows = roles.readings(spark, d)
-    ticks = rows.filter(F.col("sensor_tipo").isin("error", "signup")).select("entity_id", "event_time", "message_id")
-    base = rd.heartbeats(ticks, parcel_weather(spark, d))
-    return rounded(rd.baseline_merge(rows, base, "10 minutes"))
+    """Every parcel in every window that ticked."""
+    ticks = ticks_of(load(spark, d, "events"))
+    sensors = rd.baseline_windows(roles.readings(spark, d), ticks.limit(0))
+    ticked = ticks.select(F.window("event_time", "10 minutes")["start"].cast("timestamp_ntz").alias("timestamp"))
+    return rounded(rd.override_baseline(sensors, ticked, parcel_weather(spark, d)))
 
 
 @query(f"""

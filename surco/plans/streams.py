@@ -1,8 +1,8 @@
 """Streams over the given events, run to their end.
 
 The events are read as a stream and worked off. Windows close when the
-watermark, here the latest event, passes their end, so the last window of the
-table stays open; the SQL says the same.
+watermark passes their end, so a closing message per role is landed a day after
+the last event; it belongs to no known entity.
 """
 
 from __future__ import annotations
@@ -35,8 +35,18 @@ class Run:
         # As a pattern, since a stream source takes a folder or a pattern but no single file.
         self.source = f"{d.rstrip('/')}/events.parquet*"
 
+        self.closing = f"{self.folder}/closing"
+        after = self.session.read.schema(EVENTS).parquet(self.source).agg(F.max("ts").alias("ts"), F.max("event_id").alias("event_id"), F.max_by("props", "ts").alias("props"))
+        roles_ = F.explode(F.array(F.lit("view"), F.lit("error")))
+        after.select(
+            (F.col("event_id") + 1).alias("event_id"), (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"),
+            F.lit(-1).cast("bigint").alias("user_id"), roles_.alias("event_type"), F.lit(0.0).alias("value"), "props",
+        ).filter(F.col("ts").isNotNull()).write.parquet(self.closing)
+
     def events(self) -> DataFrame:
-        return self.session.readStream.schema(EVENTS).parquet(self.source)
+        """The table as a stream, and the closing messages."""
+        read = self.session.readStream.schema(EVENTS)
+        return read.parquet(self.source).unionByName(read.parquet(f"{self.closing}*"))
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
@@ -67,7 +77,6 @@ SELECT CAST(user_id AS VARCHAR) AS user_id, p.parcela_id AS parcel_id, "timestam
        humedad_suelo, CASE WHEN temperatura IS NOT NULL THEN 'sensor' END AS fuente_temperatura, p.cultivo AS tipo_cultivo
 FROM horas h LEFT JOIN parcels p ON p.id = h.user_id
 WHERE coalesce(temperatura, humedad_ambiental, humedad_suelo) IS NOT NULL
-  AND "timestamp" + INTERVAL 1 HOUR <= (SELECT max(ts) FROM seen)
 """)
 def stream_hourly_fields(spark: SparkSession, d: str) -> DataFrame:
     job = Run(spark, d)
@@ -93,8 +102,7 @@ means AS (
   FROM fanned GROUP BY ALL)
 SELECT CAST(plant_id AS VARCHAR) AS plant_id, "timestamp", round(temperatura, 6) AS temperatura,
        round(humedad_ambiental, 6) AS humedad_ambiental, round(humedad_suelo, 6) AS humedad_suelo
-FROM means WHERE "timestamp" + INTERVAL 5 MINUTE <=
-  (SELECT max(event_time) FROM house_readings)
+FROM means
 """)
 def stream_plants(spark: SparkSession, d: str) -> DataFrame:
     job = Run(spark, d)
@@ -127,14 +135,12 @@ FROM events WHERE event_type IN ('error', 'signup')
 """)
 def stream_quarantine(spark: SparkSession, d: str) -> DataFrame:
     job = Run(spark, d)
-    messages = sensors.messages_of(job.events())
+    messages = sensors.messages_of(job.session.readStream.schema(EVENTS).parquet(job.source))
     run.quarantine(messages, job.path("bad"), checkpoint=job.path("checkpoint")).awaitTermination()
     return spark.read.parquet(job.path("bad")).select("message_id", "reason")
 
 
-@query(geo.GEODESIC_ALERTS.replace(
-    "WHERE NOT victim QUALIFY", "WHERE NOT victim AND w + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) QUALIFY"
-) + geo.ALERT_SELECT)
+@query(geo.GEODESIC_ALERTS + geo.ALERT_SELECT)
 def stream_nearby(spark: SparkSession, d: str) -> DataFrame:
     """Victims and aggressors as two streams."""
     job = Run(spark, d)
@@ -148,3 +154,46 @@ def stream_nearby(spark: SparkSession, d: str) -> DataFrame:
         job.path("facts"), job.path("state"), window=geo.EVERY, checkpoint=job.path("checkpoint"),
     ).awaitTermination()
     return rounded(spark.read.parquet(job.path("facts")).select(*geo.ALERT_COLUMNS))
+
+
+def field_messages(events: DataFrame) -> DataFrame:
+    """Field readings as messages with attributes."""
+    rows = roles.readings_of(events)
+    attrs = {"entity_type": F.col("entity_type"), "entity_id": F.col("entity_id"), "usuario_id": F.col("user_id"), "sensor_tipo": F.col("sensor_tipo")}
+    body = F.to_json(F.struct("valor", F.col("sensor_id").alias("sensor_entity_id")))
+    return rows.select(*message_columns(attrs, body, F.col("event_time").cast("timestamp"), F.lpad(F.col("message_id").cast("string"), 20, "0")))
+
+
+def run_baseline(spark: SparkSession, d: str) -> tuple[Run, run.StateLog]:
+    """Ticks and messages, to the end of both; facts and the field state are in the run's folder."""
+    job = Run(spark, d)
+    day = F.col("event_time").cast("timestamp")
+    beats = sensors.ticks_of(job.session.read.schema(EVENTS).parquet(job.source)).unionByName(
+        job.session.read.parquet(job.closing).select(F.col("ts").alias("event_time"), F.col("event_id").alias("message_id")))
+    beats.select(day.alias("event_time"), F.lpad(F.col("message_id").cast("string"), 20, "0").alias("message_id")).write.parquet(job.path("ticks"))
+    ticks = job.session.readStream.schema("event_time timestamp, message_id string").parquet(job.path("ticks") + "*")
+    state = run.field_state(job.path("state"))
+    run.baseline_fields(
+        field_messages(job.events()), ticks, lambda: sensors.parcel_weather(job.session, d), job.path("facts"), state, ntz(AS_OF),
+        checkpoint=job.path("checkpoint"),
+    ).awaitTermination()
+    return job, state
+
+
+@query(sensors.BASELINE_ROWS + "SELECT * FROM rows_")
+def stream_baseline_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Ten-minute field rows of every parcel, sensors over weather, from two streams."""
+    job, _ = run_baseline(spark, d)
+    return rounded(spark.read.parquet(job.path("facts")).drop("lote", "fecha"))
+
+
+@query(sensors.BASELINE_ROWS + f"""
+SELECT user_id, parcel_id,
+       {", ".join(f'arg_max({c}, "timestamp") FILTER (WHERE {c} IS NOT NULL) AS {c}' for c in run.FIELD_STATE)},
+       TIMESTAMP '{AS_OF}' AS updated_at
+FROM rows_ GROUP BY ALL
+""")
+def stream_field_state(spark: SparkSession, d: str) -> DataFrame:
+    """The latest values of every parcel that the same run leaves behind."""
+    _, state = run_baseline(spark, d)
+    return rounded(state.read(spark))

@@ -36,8 +36,9 @@ class Refreshed:
     """A dimension that is loaded again once it is older than its interval.
 
     It is loaded before the first use, so nothing runs against an empty
-    dimension. A load that fails leaves the last good one in place and counts
-    in `failures`.
+    dimension. A load reads all rows and keeps them, cut from their source by a
+    checkpoint in the shared folder; one that fails, also while reading, leaves
+    the last good rows in place and counts in `failures`.
     """
 
     def __init__(self, load: Load, seconds: float, clock: Callable[[], float] = time.monotonic) -> None:
@@ -50,13 +51,20 @@ class Refreshed:
         now = self._clock()
         if self._held is None or now - self._at >= self._seconds:
             try:
-                self._held, self._at = self._load(), now
+                self._held, self._at = self._snapshot(), now
             except Exception:
                 if self._held is None:
                     raise
                 self.failures += 1
         return self._held
 
+    def _snapshot(self) -> DataFrame:
+        rows = self._load()
+        context = rows.sparkSession.sparkContext
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(shared_folder(rows.sparkSession))
+        return rows.checkpoint()
+
 
 def watermarked(stream: DataFrame, delay: str = "0 seconds") -> DataFrame:
     return stream.withWatermark("event_time", delay)
@@ -107,6 +115,7 @@ def numeric_readings(messages: DataFrame, attrs: bool = True, delay: str = "0 se
 
 # ---- fields, hourly -------------------------------------------------------
 
+# Sensor types of the older messages.
 V1_TYPES = {"temperatura": "temperature", "humedad_ambiental": "ambient_humidity", "humedad_suelo": "soil_moisture"}
 
 
@@ -131,6 +140,7 @@ def _plain(df: DataFrame, column: str = "timestamp") -> DataFrame:
 
 # ---- fields, ten minutes over a weather baseline --------------------------
 
+# Fields of the state document.
 FIELD_STATE = (
     "temperatura", "humedad_ambiental", "humedad_suelo", "precipitacion_mm", "et0",
     "radiacion_solar", "estado_cielo", "fuente_temperatura",
@@ -142,16 +152,6 @@ def field_state(path: str) -> StateLog:
     return StateLog(path, ["user_id", "parcel_id"], [*FIELD_STATE, "updated_at"], ["timestamp"], skip_nulls=True)
 
 
-def ticked_baseline(ticks: DataFrame, parcels_weather: DataFrame) -> DataFrame:
-    """Every known parcel in every window that ticked.
-
-    The windows of a batch are a handful; they travel to the parcels as one
-    array out of a scalar subquery and unfold there.
-    """
-    windows = ticks.agg(F.sort_array(F.collect_set("timestamp"))).scalar()
-    return parcels_weather.withColumn("timestamp", F.explode(windows))
-
-
 def baseline_fields(messages: DataFrame, ticks: DataFrame, parcels_weather: Load, facts: str, state: StateLog,
                     as_of: Column | None = None, delay: str = "0 seconds", checkpoint: str | None = None,
                     every: str | None = None) -> StreamingQuery:
@@ -159,23 +159,19 @@ def baseline_fields(messages: DataFrame, ticks: DataFrame, parcels_weather: Load
 
     `ticks` is a stream of (event_time, message_id). Sensor averages and ticks
     share one windowed aggregate, so both close together; the parcels join
-    only after that and never enter the stream's state.
+    only after that and never enter the stream's state. A window closes once
+    both streams have passed it: a source that falls silent holds it open.
     """
     window, refresh = FIELD
     known = Refreshed(parcels_weather, refresh)
     ok, _ = parse_messages(messages)
-    sensors = rd.coerce_numeric(rd.route(ok, ("parcela",))).withColumn("tick", F.lit(False))
-    beats = ticks.select("event_time", "message_id", F.lit(True).alias("tick"))
-    both = watermarked(sensors.unionByName(beats, allowMissingColumns=True), delay)
-    has_id = F.when(F.col("sensor_id") != "", rd.arrival())
-    closed = both.groupBy(F.window("event_time", window).alias("w"), "tick", "entity_id").agg(
-        F.min_by("sensor_id", has_id).alias("sensor_id"),
-        *[F.avg(F.when(F.col("sensor_tipo") == m, F.col("valor"))).alias(f"_{m}") for m in METRICS],
-    )
+    sensors = rd.coerce_numeric(rd.route(ok, ("parcela",)))
+    # Each source has a watermark of its own, so the later of the two holds the windows open.
+    closed = rd.baseline_windows(watermarked(sensors, delay), watermarked(ticks, delay), window)
 
     def finish(batch: DataFrame, number: int) -> None:
-        rows = batch.select("*", F.col("w.start").cast("timestamp_ntz").alias("timestamp")).drop("w").persist()
-        merged = override_baseline(rows, known.get()).persist()
+        rows = batch.persist()
+        merged = rd.override_baseline(rows.filter(~F.col("tick")), rows.filter("tick"), known.get()).persist()
         append_facts(merged, facts, "parcel_id", batch=number)
         now = as_of if as_of is not None else F.current_timestamp().cast("timestamp_ntz")
         state.write(merged.withColumn("updated_at", now), number)
@@ -185,24 +181,6 @@ def baseline_fields(messages: DataFrame, ticks: DataFrame, parcels_weather: Load
     return start(closed, "baseline_fields", finish, checkpoint, every)
 
 
-def override_baseline(closed: DataFrame, parcels_weather: DataFrame) -> DataFrame:
-    """Closed sensor windows over the baseline of the windows that ticked."""
-    base = ticked_baseline(closed.filter("tick"), parcels_weather)
-    sensors = closed.filter(~F.col("tick")).drop("tick")
-    joined = base.join(sensors, ["entity_id", "timestamp"], "left")
-    hot = F.col("_temperatura").isNotNull()
-    return joined.select(
-        "user_id", F.col("entity_id").alias("parcel_id"), "nombre", "timestamp",
-        F.coalesce("_temperatura", "temperatura").alias("temperatura"),
-        F.coalesce("_humedad_ambiental", "humedad_ambiental").alias("humedad_ambiental"),
-        F.col("_humedad_suelo").alias("humedad_suelo"),
-        "precipitacion_mm", "et0", "radiacion_solar",
-        F.when(hot, F.lit("sensor")).otherwise(F.lit("openmeteo")).alias("fuente_temperatura"),
-        F.col("cultivo").alias("tipo_cultivo"), "variedad",
-        F.lit(None).cast("date").alias("fecha_plantacion_aprox"), "estado_cielo", "sensor_id",
-    )
-
-
 def parcels_with_weather(parcels: DataFrame, forecast: DataFrame, as_of) -> DataFrame:
     """The baseline dimension: parcels with the latest weather of their municipality."""
     named = parcels.select(
@@ -279,7 +257,7 @@ def nearby(victims: DataFrame, aggressors: DataFrame, relations: Load, zones: Lo
            checkpoint: str | None = None, every: str | None = None) -> StreamingQuery:
     """Two position streams to alert rows and the latest alert per pair."""
     links, places = Refreshed(relations, NEARBY[1]), Refreshed(zones, NEARBY[1])
-    both = closed_windows(watermarked(victims.unionByName(aggressors), delay), window)
+    both = closed_windows(watermarked(victims, delay).unionByName(watermarked(aggressors, delay)), window)
 
     def finish(batch: DataFrame, number: int) -> None:
         alerts = proximity.proximity_alerts(batch, links.get(), places.get(), window, metric).persist()

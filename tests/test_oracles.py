@@ -20,9 +20,8 @@ def test_same_as_sql(spark, con, smallest, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs_without_sql(spark, smallest, name):
-    df = QUERIES[name](spark, smallest)
-    assert df.schema == QUERIES[name](spark, smallest).schema
-    df.collect()
+    rows = QUERIES[name](spark, smallest).collect()
+    assert rows
 
 
 def test_every_oracle_has_a_query():

@@ -51,11 +51,11 @@ def baseline(spark, data):
     return spark.createDataFrame(data, schema)
 
 
-def test_baseline_merge_overrides_and_keeps_quiet_parcels(spark):
-    base = baseline(spark, [
-        ("1", at(0), 1, "u", "n", 5.0, 60.0, 1.0, 2.0, 3.0, "olivo", "v", "Nublado"),
-        ("2", at(1), 2, "u", "n", None, None, None, None, None, None, None, None),
-    ])
+def test_baseline_covers_quiet_parcels_in_every_ticked_window(spark):
+    parcels = spark.createDataFrame(
+        [("1", "u", "n", 5.0, 60.0, 1.0, 2.0, 3.0, "olivo", "v", "Nublado"), ("2", "u", "n", None, None, None, None, None, None, None, None)],
+        "entity_id string, user_id string, nombre string, temperatura double, humedad_ambiental double, precipitacion_mm double, et0 double, "
+        "radiacion_solar double, cultivo string, variedad string, estado_cielo string")
     df = readings(spark, [
         ("parcela", "1", "u", "temperatura", 9.0, "", at(9), 3),
         ("parcela", "1", "u", "temperatura", 11.0, "s2", at(9, 30), 4),
@@ -63,8 +63,10 @@ def test_baseline_merge_overrides_and_keeps_quiet_parcels(spark):
         ("parcela", "1", "u", "temperatura", 99.0, "s4", at(10), 6),
         ("parcela", "3", "u", "temperatura", 1.0, "s", at(3), 7),
     ])
-    out = rows(rd.baseline_merge(df, base), "parcel_id", "temperatura", "humedad_ambiental", "humedad_suelo",
-               "fuente_temperatura", "sensor_id", "timestamp")
+    ticks = df.filter("message_id IN (7)").select("event_time", "message_id")
+    closed = rd.baseline_windows(df, ticks)
+    out = rows(rd.override_baseline(closed.filter("NOT tick"), closed.filter("tick"), parcels), "parcel_id", "temperatura", "humedad_ambiental",
+               "humedad_suelo", "fuente_temperatura", "sensor_id", "timestamp")
     assert out == [
         ("1", 10.0, 60.0, 33.0, "sensor", "s2", at(0)),
         ("2", None, None, None, "openmeteo", None, at(0)),

@@ -243,6 +243,20 @@ def test_refresh_keeps_the_last_good_dimension(spark):
     assert held.get().count() == 3
 
 
+def test_refresh_survives_a_source_that_fails_when_read(spark):
+    now, loads = [0.0], []
+
+    def load():
+        loads.append(now[0])
+        rows = spark.range(1)
+        return rows if len(loads) == 1 else rows.filter(F.raise_error(F.lit("gone")).cast("boolean"))
+
+    held = run.Refreshed(load, 10, lambda: now[0])
+    assert held.get().count() == 1
+    now[0] = 11
+    assert held.get().count() == 1 and held.failures == 1
+
+
 def test_append_checks_the_table(spark, tmp_path):
     path = str(tmp_path / "t")
     df = spark.createDataFrame([("1", START)], "k string, timestamp timestamp_ntz")
