@@ -67,6 +67,7 @@ class Curves:
     low: np.ndarray
     scale: np.ndarray
     splitters: list[np.ndarray]
+    centres: np.ndarray  # a direction for every range of the first curve
 
     @classmethod
     def fit(cls, x: np.ndarray, ranges: int, seed: int) -> Curves:
@@ -77,10 +78,13 @@ class Curves:
         seen = [x @ a for a in axes]
         low = np.array([p.min(axis=0) for p in seen])
         scale = (1 << (DEPTH - 1)) / np.maximum(np.array([p.max(axis=0) for p in seen]) - low, 1e-12)
-        out = cls(axes, shifts, low, scale, [])
+        out = cls(axes, shifts, low, scale, [], np.empty(0))
         for c in range(CURVES):
             keys = np.sort(out.keys(x, c))
             out.splitters.append(np.unique(keys[np.linspace(0, len(keys), ranges + 1).astype(int)[1:-1]]))
+        out.centres = np.full((len(out.splitters[0]) + 1, d), 1.0)
+        np.add.at(out.centres, out.ranges(x, 0), x * len(x))
+        out.centres = units(out.centres)
         return out
 
     def keys(self, x: np.ndarray, c: int) -> np.ndarray:
@@ -104,8 +108,8 @@ def nearest(
     query take no part. Curves and splitters are fitted on at most `fitted_on` rows;
     every row is indexed, and the result does not depend on the sample.
     """
-    valid = kept(usable(df, key, vector).filter(F.col("key").isNotNull()))
-    asked = kept(usable(queries, key, vector).filter(F.col("key").isNotNull()).dropDuplicates(["key", "digest"]))
+    valid = usable(df, key, vector).filter(F.col("key").isNotNull())
+    asked = usable(queries, key, vector).filter(F.col("key").isNotNull()).dropDuplicates(["key", "digest"])
     fitted = {d: Curves.fit(x, ranges, seed) for d, x in sample(valid, fitted_on, seed).items()}
     model = pickle.dumps(fitted)
     kind = dict(valid.dtypes)["key"]
@@ -128,13 +132,13 @@ def nearest(
     place = ["dim", "curve", "range"]
     rows = kept(valid.mapInArrow(lambda b: lay(b, range(CURVES)), laid))
     tiles = rows.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
-    own = kept(asked.mapInArrow(lambda b: lay(b, range(CURVES)), laid))
+    own = asked.mapInArrow(lambda b: lay(b, range(CURVES)), laid)
     window = own.withColumn("range", F.explode(F.sequence(F.col("range") - around, F.col("range") + around)))
-    first = kept(_search(rows, window, tiles, place, kind, k))
+    first = _search(rows, window, tiles, place, kind, k)
     # What the windows found bounds how far the first curve has to be followed.
     merged = _merge(first, k)
     bound = merged.filter(F.col("rank") == k).select(F.col("query_id").alias("q"), F.col("query").alias("qv"), F.col("score").alias("least"))
-    cones = _cones(rows.filter("curve = 0"), place)
+    cones = _cones(rows.filter("curve = 0"), fitted)
     ask = own.filter("curve = 0").select("dim", "key", "vector")
     ask = ask.join(bound, (F.col("key") == F.col("q")) & (F.md5("vector") == F.col("qv")), "left").select("dim", "key", "vector", "least")
 
@@ -210,39 +214,24 @@ def _merge(found: DataFrame, k: int) -> DataFrame:
     return copies.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _cones(rows: DataFrame, place: list[str]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Mean direction of every range and the widest angle to it: as many rows as there are ranges."""
-    schema = "dim int, range int, centre binary, angle double"
-
-    def sums(batches):
-        for batch in batches:
-            key = np.stack([batch.column("dim").to_numpy(), batch.column("range").to_numpy()], axis=1)
-            for d, r in np.unique(key, axis=0):
-                part = batch.filter(pa.array((key == (d, r)).all(axis=1)))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([d], pa.int32()), pa.array([r], pa.int32()), pa.array([matrix(part.column("vector")).sum(axis=0).tobytes()], pa.binary()), pa.array([0.0])],
-                    names=["dim", "range", "centre", "angle"])
-
-    def centre(table: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(x, np.float64) for x in table.column("centre").to_pylist()], axis=0)
-        total = total if total.any() else np.eye(1, len(total))[0]
-        return pa.table({"dim": table.column("dim")[:1], "range": table.column("range")[:1], "centre": pa.array([units(total[None])[0].tobytes()], pa.binary()), "angle": pa.array([0.0])})
-
-    means = rows.select(*place, "vector").mapInArrow(sums, schema).groupBy("dim", "range").applyInArrow(centre, schema)
-    centres = {(r["dim"], r["range"]): np.frombuffer(bytes(r["centre"]), np.float64) for r in means.toLocalIterator()}
+def _cones(rows: DataFrame, fitted: dict[int, Curves]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Every range of the first curve, its direction, and the widest angle to it: as many rows as there are ranges."""
+    model = pickle.dumps({d: c.centres for d, c in fitted.items()})
 
     def widest(batches):
+        centres = pickle.loads(model)
         for batch in batches:
             key = np.stack([batch.column("dim").to_numpy(), batch.column("range").to_numpy()], axis=1)
             for d, r in np.unique(key, axis=0):
                 part = batch.filter(pa.array((key == (d, r)).all(axis=1)))
-                cosine = matrix(part.column("vector")) @ centres[int(d), int(r)]
+                cosine = matrix(part.column("vector")) @ centres[int(d)][r] if int(d) in centres else np.array([-1.0])
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([d], pa.int32()), pa.array([r], pa.int32()), pa.array([b""], pa.binary()), pa.array([float(np.arccos(np.clip(cosine.min(), -1, 1)))])],
-                    names=["dim", "range", "centre", "angle"])
+                    pa.array([d], pa.int32()), pa.array([r], pa.int32()), pa.array([float(np.arccos(np.clip(cosine.min(), -1, 1)))])],
+                    names=["dim", "range", "angle"])
 
-    angles = rows.select(*place, "vector").mapInArrow(widest, schema).groupBy("dim", "range").agg(F.max("angle").alias("angle"))
+    angles = rows.select("dim", "range", "vector").mapInArrow(widest, "dim int, range int, angle double")
     out: dict[int, list] = {}
-    for r in angles.toLocalIterator():
-        out.setdefault(r["dim"], []).append((r["range"], centres[r["dim"], r["range"]], r["angle"]))
+    for r in angles.groupBy("dim", "range").agg(F.max("angle").alias("angle")).collect():
+        centre = fitted[r["dim"]].centres[r["range"]] if r["dim"] in fitted else np.eye(1, r["dim"])[0]
+        out.setdefault(r["dim"], []).append((r["range"], centre, r["angle"]))
     return {d: (np.array([x[0] for x in v]), np.array([x[1] for x in v]), np.array([x[2] for x in v])) for d, v in out.items()}

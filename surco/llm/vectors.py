@@ -63,7 +63,7 @@ def sample(rows: DataFrame, most: int, seed: int) -> dict[int, np.ndarray]:
     """At most `most` unit vectors, the first by hash of their digest, by dimension."""
     order = F.xxhash64(F.lit(seed), "digest")
     found: dict[int, list[bytes]] = {}
-    for r in rows.select("dim", "digest", "vector").orderBy(order, "digest").limit(most).select("dim", "vector").toLocalIterator():
+    for r in rows.select("dim", "digest", "vector").orderBy(order, "digest").limit(most).select("dim", "vector").collect():
         found.setdefault(r["dim"], []).append(bytes(r["vector"]))
     return {d: units(np.frombuffer(b"".join(v), np.float64).reshape(len(v), d)) for d, v in found.items()}
 
