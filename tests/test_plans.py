@@ -5,13 +5,13 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
 from conftest import rows
 from surco.operators import context as cx, documents as dc, geometry as gm, proximity as px, readings as rd, tables as tb
-from surco.plans import roles
+from surco.plans import load_all, roles
+from surco.plans.registry import QUERIES
 from surco.sources.tables import load
 
-QUERIES = entry.queries()
+load_all()
 
 
 def plan(df):
