@@ -113,7 +113,7 @@ def near_duplicates(
     rows of their own.
     """
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
-    valid = kept(usable(df.filter(F.col(label).isNotNull()), key, vector, label))
+    valid = usable(df.filter(F.col(label).isNotNull()), key, vector, label)
     quantisers = {d: Quantiser.fit(x, lists, spaces, codes, seed) for d, x in sample(valid, fitted_on, seed).items()}
     model = pickle.dumps(quantisers)
     kind = dict(valid.dtypes)["label"]
