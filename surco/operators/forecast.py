@@ -6,6 +6,7 @@ a single task gets; the series are spread over the cluster.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 import numpy as np
@@ -18,6 +19,8 @@ from ..functions.fixed_values import SOURCE_HISTORY
 YEAR = 365.25
 HARMONICS = 10
 CHANGEPOINTS = 25
+# Turns of the multiplicative fit at most, and the move, as a part of the scale, at which it stands still.
+TURNS, STILL = 50, 1e-6
 
 # Target -> (column, seasonality, fitted on log1p).
 TARGETS = {
@@ -54,7 +57,7 @@ def _forecast(days: np.ndarray, y: np.ndarray, ahead: np.ndarray, mode: str, cha
               interval: float) -> np.ndarray:
     """Middle, lower and upper prediction for the days ahead."""
     span = max(days[-1] - days[0], 1.0)
-    knots = np.linspace(0, 0.8, CHANGEPOINTS + 2)[1:-1] if len(days) > 2 * CHANGEPOINTS else np.empty(0)
+    knots = np.linspace(0, 0.8, CHANGEPOINTS + 2)[1:-1]  # the ridge keeps short series solvable
     scale = max(np.abs(y).max(), 1e-9)
     target = y / scale
     noise = 0.05
@@ -67,14 +70,20 @@ def _forecast(days: np.ndarray, y: np.ndarray, ahead: np.ndarray, mode: str, cha
     if mode == "additive":
         fitted, ahead_y = both @ beta, np.hstack([f_trend, f_season]) @ beta
     else:
-        # y = trend * (1 + season), from the additive fit on by turns.
+        # y = trend * (1 + season), from the additive fit on by turns until the fit stands still.
         b_trend = beta[: trend.shape[1]]
-        for _ in range(4):
+        fitted = np.full(len(target), np.inf)
+        for _ in range(TURNS):
+            before = fitted
             level = trend @ b_trend
             b_season = _ridge(season * level[:, None], target - level, loose)
             factor = 1 + season @ b_season
             b_trend = _ridge(trend * factor[:, None], target, stiff)
-        fitted = (trend @ b_trend) * factor
+            fitted = (trend @ b_trend) * factor
+            if np.abs(fitted - before).max() <= STILL:
+                break
+        else:
+            warnings.warn(f"trend and season moved by more than {STILL} of the scale after {TURNS} turns", stacklevel=2)
         ahead_y = (f_trend @ b_trend) * (1 + f_season @ b_season)
     half = interval / 2
     low, high = np.quantile(target - fitted, [0.5 - half, 0.5 + half])
