@@ -82,14 +82,15 @@ class Block:
         self.answers = answers
 
     def numbers(self, kind: int, unique: Unique) -> np.ndarray:
-        parts = [blocks.unpack_numbers(a) for a in blocks.answers_of(self.answers, kind)]
+        parts = [blocks.unpack_numbers(a[16:] if kind == TOKEN else a) for a in blocks.answers_of(self.answers, kind)]
         out = np.concatenate(parts) if parts else np.empty(0, np.uint64)
         if len(out) != len(unique.keys):
             raise ValueError(f"{len(unique.keys)} keys, {len(out)} answers of kind {kind}")
         return out.astype(np.float64)
 
     def with_tokens(self) -> Block:
-        totals = np.array([np.frombuffer(a, "<i8") for a in blocks.answers_of(self.answers, TOTAL)]).sum(axis=0)
+        totals = [np.frombuffer(a[:16], "<i8") for kind in (TOKEN, TOTAL) for a in blocks.answers_of(self.answers, kind)]
+        totals = np.array(totals).sum(axis=0)
         self.n, self.v = (float(x) for x in (totals if totals.size else (0, 0)))
         self.count = self.tokens.spread(self.numbers(TOKEN, self.tokens))
         self.context = np.concatenate((self.count[:1], self.count[:-1]))
@@ -156,7 +157,7 @@ def _send(kind: int, block: int, keys: np.ndarray, values: np.ndarray, parts: in
 
 
 def _reply(table: pa.Table, n_blocks: int) -> pa.Table:
-    """Sums over all blocks: counts as they are, gains as whether they reach GAIN; totals of tokens go to every block."""
+    """Sums over all blocks: counts as they are, gains as whether they reach GAIN; every block gets the totals of all tokens."""
     kind, part = table.column("kind")[0].as_py(), table.column("part")[0].as_py()
     gains = kind in (TOKEN_GAIN, PAIR_GAIN)
     keys = [blocks.unpack_keys(x) for x in table.column("keys").to_pylist()]
@@ -173,7 +174,8 @@ def _reply(table: pa.Table, n_blocks: int) -> pa.Table:
     to, kinds, out = table.column("block").to_pylist(), [kind] * len(keys), [blocks.pack_numbers(x) for x in np.split(spread, cuts)]
     if kind == TOKEN:
         total = np.array([sums.sum(), (sums > 0).sum()], "<i8").tobytes()
-        to, kinds, out = to + list(range(n_blocks)), kinds + [TOTAL] * n_blocks, out + [total] * n_blocks
+        others = sorted(set(range(n_blocks)) - set(to))  # blocks without a key in this range
+        to, kinds, out = to + others, kinds + [TOTAL] * len(others), [total + x for x in out] + [total] * len(others)
     return pa.table({
         "block": pa.array(to, pa.int64()), "kind": pa.array(kinds, pa.int32()), "part": pa.array([part] * len(to), pa.int32()), "answer": pa.array(out, pa.binary())})
 
@@ -210,9 +212,21 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 5
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     docs = rows.select(block.alias("block"), *rows.columns).mapInArrow(pack, "block long, rows binary").repartition(partitions, "block")
 
-    def answer(sent: DataFrame) -> DataFrame:
+    def answer(sent: DataFrame, sums) -> DataFrame:
         # Dealt by block once: all later steps read the same shuffle.
-        return sent.groupBy("kind", "part").applyInArrow(lambda t: _reply(t, n_blocks), blocks.ANSWERS).repartition(partitions, "block")
+        return sent.groupBy("kind", "part").applyInArrow(sums, blocks.ANSWERS).repartition(partitions, "block")
+
+    def sum_tokens(table: pa.Table) -> pa.Table:
+        return _reply(table, n_blocks)
+
+    def sum_pairs(table: pa.Table) -> pa.Table:
+        return _reply(table, n_blocks)
+
+    def sum_triples(table: pa.Table) -> pa.Table:
+        return _reply(table, n_blocks)
+
+    def sum_gains(table: pa.Table) -> pa.Table:
+        return _reply(table, n_blocks)
 
     def send_tokens(rows: pa.Table) -> pa.Table:
         b = Block(rows)
@@ -255,12 +269,12 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 5
             "train_tokens": pa.array(np.full(b.texts, int(b.n))), "base_score": pa.array(base), "score": pa.array(model)})
 
     own = docs.groupBy("block")
-    tokens = answer(own.applyInArrow(send_tokens, SENT))
-    pairs = answer(own.cogroup(tokens.groupBy("block")).applyInArrow(send_pairs, SENT))
+    tokens = answer(own.applyInArrow(send_tokens, SENT), sum_tokens)
+    pairs = answer(own.cogroup(tokens.groupBy("block")).applyInArrow(send_pairs, SENT), sum_pairs)
     known = tokens.unionByName(pairs)
-    triples = answer(own.cogroup(known.groupBy("block")).applyInArrow(send_triples, SENT))
+    triples = answer(own.cogroup(known.groupBy("block")).applyInArrow(send_triples, SENT), sum_triples)
     known = known.unionByName(triples)
-    gains = answer(own.cogroup(known.groupBy("block")).applyInArrow(send_gains, SENT))
+    gains = answer(own.cogroup(known.groupBy("block")).applyInArrow(send_gains, SENT), sum_gains)
     known = known.unionByName(gains)
     return own.cogroup(known.groupBy("block")).applyInArrow(finish, result).withColumnRenamed("key", key)
 
