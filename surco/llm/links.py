@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+ROWS_PER_FILE = 50_000
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; only a local session without the setting gets one of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -20,9 +23,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """The rows of `df`, computed once and checkpointed in the shared folder."""
+def kept(df: DataFrame, about: int | None = None) -> DataFrame:
+    """The rows of `df`, computed once and checkpointed in the shared folder; with `about` so many rows, in files of some size."""
     sc = df.sparkSession.sparkContext
+    if about is not None:
+        df = df.coalesce(max(1, -(-about // ROWS_PER_FILE)))
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
@@ -46,18 +51,18 @@ def stars(edges: DataFrame) -> DataFrame:
     return small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 
-def components(links: DataFrame, most: int = 40) -> DataFrame:
+def components(links: DataFrame, about: int | None = None, most: int = 40) -> DataFrame:
     """`node, component` for every node of `links(u, v)`; the component is its least node.
 
-    Nulls and links of a node with itself are dropped. A component of d steps
-    across takes about log d rounds.
+    `about` is the expected number of links, if known. Nulls and links of a node with itself are dropped. A component of d steps
+    across takes about log d rounds; two are done before rows are kept.
     """
     edges = links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     marks = F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))
-    edges = kept(edges)
+    edges = kept(edges, about)
     before = edges.agg(*marks).first()
     for _ in range(most):
-        edges = kept(stars(edges))
+        edges = kept(stars(stars(edges)), 2 * before[0])
         after = edges.agg(*marks).first()
         if after == before:
             break

@@ -22,14 +22,16 @@ from pyspark.sql import functions as F
 from .links import components, kept
 from .words import Words, mix, rolling
 
-BANDS, ROWS, BITS = 32, 4, 512
+BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
+# Bins of the one-permutation MinHash samples that a sketch folds, and its bits.
+BINS, BITS = 2048, 2048
 # Standard errors of the sketch's estimate by which a pair may stay below the threshold.
 ERRORS = 5.0
 # Members of a bucket that one task compares with others.
 TILE = 512
-# Partners of a class per bucket, round by round; the last round takes all that are left.
-QUOTAS = (4, 32, None)
+# Partners of a class per bucket in each round; the last takes all that are left.
+QUOTAS = (4, None)
 
 _RNG = np.random.default_rng(11)
 _FACTORS = _RNG.integers(1, 1 << 63, SAMPLES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -58,106 +60,117 @@ def minhashes(shingles: np.ndarray) -> np.ndarray:
     return low
 
 
-def odd_sketch(samples: np.ndarray) -> np.ndarray:
-    """A bitmap of the parities of the samples' hashes."""
-    at = (mix(samples ^ _ROW_SALTS) % np.uint64(BITS)).astype(np.int64)
-    return np.packbits(np.bincount(at, minlength=BITS).astype(np.uint8) & 1)
+def odd_sketch(shingles: np.ndarray) -> tuple[int, np.ndarray]:
+    """How many bins have a sample, the least hash of the bin, and the bitmap of the parities of the samples' hashes."""
+    bins = shingles >> np.uint64(64 - (BINS - 1).bit_length())
+    samples = shingles[np.concatenate(([True], bins[1:] != bins[:-1]))]
+    at = (mix(samples ^ _ROW_SALTS[0]) % np.uint64(BITS)).astype(np.int64)
+    return len(samples), np.packbits(np.bincount(at, minlength=BITS).astype(np.uint8) & 1)
 
 
-def most_bits(share: float) -> int:
-    """The largest number of differing bits of a pair that may still be as similar as `share`, by ERRORS standard errors."""
-    low = max(0.0, share - ERRORS * np.sqrt(share * (1 - share) / SAMPLES))
-    flips = 2 * SAMPLES * (1 - low)
-    mean = BITS / 2 * (1 - (1 - 2 / BITS) ** flips)
-    return int(np.ceil(mean + ERRORS * np.sqrt(max(1.0, flips * flips / (2 * BITS)))))
+def most_bits(n: np.ndarray, m: np.ndarray, a: np.ndarray, b: np.ndarray, share: float) -> np.ndarray:
+    """The largest number of differing bits of sets of n and m shingles, with a and b samples, that may be as similar as `share`.
+
+    Below zero where the sizes alone rule it out.
+    """
+    n, m = np.minimum(n, m).astype(float), np.maximum(n, m).astype(float)
+    both = share * (n + m) / (1 + share)
+    union = n + m - both
+    bins = BINS * -np.expm1(union * np.log1p(-1 / BINS))
+    similar = both / union
+    # A shared shingle is a shared sample unless another shingle of its bin is less.
+    spread = np.sqrt(np.minimum(similar * (1 - similar) * bins, np.maximum(both - similar * bins, 0)))
+    shared = np.maximum(0, similar * bins - ERRORS * spread - 2)
+    flips = np.maximum(0, a + b - 2 * shared)
+    mean = BITS / 2 * -np.expm1(flips * np.log1p(-2 / BITS))
+    once, twice = np.exp(2 * flips * np.log1p(-2 / BITS)), np.exp(flips * np.log1p(-4 / BITS))
+    variance = BITS / 4 * (1 - once) + BITS * (BITS - 1) / 4 * (twice - once)
+    return np.where(n < share * m, -1, mean + ERRORS * np.sqrt(np.maximum(variance, 0)) + 1)
 
 
 def signatures(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
     kind = dict(df.dtypes)[key]
-    schema = f"key {kind}, n_shingles long, digest binary, bands array<long>, sketch binary"
+    schema = f"key {kind}, n_shingles long, digest binary, bands array<long>, samples int, sketch binary"
 
     def run(batches):
         for batch in batches:
             out: list[tuple] = []
             for s in shingle_sets(batch.column(1).to_pylist(), width):
                 if not len(s):
-                    out.append((0, None, None, None))
+                    out.append((0, None, None, None, None))
                     continue
                 samples = minhashes(s)
                 bands = mix((samples.reshape(BANDS, ROWS) * _ROW_SALTS[:ROWS]).sum(axis=1, dtype=np.uint64) ^ _ROW_SALTS[:BANDS])
-                out.append((len(s), hashlib.md5(s.tobytes()).digest(), bands.view(np.int64), odd_sketch(samples).tobytes()))
-            n, digest, bands, sketch = zip(*out, strict=True) if out else ((), (), (), ())
+                taken, sketch = odd_sketch(s)
+                out.append((len(s), hashlib.md5(s.tobytes()).digest(), bands.view(np.int64), taken, sketch.tobytes()))
+            n, digest, bands, taken, sketch = zip(*out, strict=True) if out else ((),) * 5
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary()),
-            ], names=["key", "n_shingles", "digest", "bands", "sketch"])
+                batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())),
+                pa.array(taken, pa.int32()), pa.array(sketch, pa.binary()),
+            ], names=["key", "n_shingles", "digest", "bands", "samples", "sketch"])
 
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
-def _best(pairs: list[tuple[np.ndarray, ...]], quota: int | None, small: np.ndarray) -> tuple[tuple[np.ndarray, ...], bool]:
-    """The pairs that are among the `quota` nearest of a small member, and whether others are left."""
-    i, j, bits = (np.concatenate(x) for x in zip(*pairs, strict=True))
+def _best(pairs: list[tuple[np.ndarray, ...]], quota: int | None, small: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The pairs that are among the `quota` nearest of a small member."""
+    i, j, far = (np.concatenate(x) for x in zip(*pairs, strict=True))
     if quota is None:
-        return (i, j, bits), False
+        return i, j, far
     who, which = np.concatenate([i, j]), np.tile(np.arange(len(i)), 2)
     asks = small[who]
     who, which = who[asks], which[asks]
-    order = np.lexsort((which, bits[which], who))
+    order = np.lexsort((which, far[which], who))
     who, which = who[order], which[order]
     first = np.concatenate(([True], who[1:] != who[:-1])) if len(who) else np.empty(0, bool)
     rank = np.arange(len(who)) - np.maximum.accumulate(np.where(first, np.arange(len(who)), 0))
     keep = np.unique(which[rank < quota])
-    return (i[keep], j[keep], bits[keep]), bool((rank >= quota).any())
+    return i[keep], j[keep], far[keep]
 
 
-def _near(sketches: np.ndarray, group: np.ndarray, own: np.ndarray, small: np.ndarray, comp: np.ndarray, quota: int | None, limit: int):
+def _near(rows: dict[str, np.ndarray], quota: int | None, share: float) -> Iterator[tuple[np.ndarray, ...]]:
     """Pairs of a group, one of them own and one small, of different components, by sketches; each group's own rows come first."""
+    group, own, small, comp, n, taken, sketch = (rows[c] for c in ("group", "own", "small", "comp", "n", "samples", "sketch"))
     last = np.searchsorted(group, group, side="right")
     i = np.flatnonzero(own)
     found: list[tuple[np.ndarray, ...]] = []
-    size, left, step = 0, False, 0
+    size, step = 0, 0
     while len(i):
         step += 1
         i = i[i + step < last[i]]
         j = i + step
         use = (small[i] | small[j]) & (comp[i] != comp[j])
         a, b = i[use], j[use]
-        bits = np.bitwise_count(sketches[a] ^ sketches[b]).sum(axis=1, dtype=np.int64)
-        near = bits <= limit
-        found.append((a[near], b[near], bits[near]))
+        bits = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int64)
+        near = bits <= most_bits(n[a], n[b], taken[a], taken[b], share)
+        found.append((a[near], b[near], bits[near] / (n[a] + n[b])[near]))
         size += int(near.sum())
-        if size > 500_000:
-            best, more = _best(found, quota, small)
-            left |= more
+        if size > 200_000:
+            best = _best(found, quota, small)
+            found, size = ([best], 0) if quota is not None else ([], 0)
             if quota is None:
-                yield best, left
-                found = []
-            else:
-                found = [best]
-            size = 0
+                yield best
     if found:
-        best, more = _best(found, quota, small)
-        yield best, left or more
+        yield _best(found, quota, small)
 
 
-def near_pairs(members: DataFrame, quota: int | None, limit: int) -> DataFrame:
-    """Candidate pairs `u, v` from rows bucket, tile, node, comp, small, own, sketch; `left`: some were beyond the quota."""
+def near_pairs(members: DataFrame, quota: int | None, share: float) -> DataFrame:
+    """Candidate pairs `u, v` from rows bucket, tile, node, comp, small, own, n_shingles, samples, sketch."""
     partitions = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = members.repartition(partitions, "bucket", "tile").sortWithinPartitions("bucket", "tile", F.desc("own"), "node")
 
     def pairs_of(rows: pa.Table):
         bucket, tile = rows.column("bucket").to_numpy(), rows.column("tile").to_numpy()
         change = np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (tile[1:] != tile[:-1])))
-        sketches = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(-1, BITS // 64)
-        comp = rows.column("comp").combine_chunks().dictionary_encode().indices.to_numpy()
-        own, small = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("own", "small"))
-        raw = rows.column("node").to_pylist()
-        for (i, j, _), left in _near(sketches, np.cumsum(change), own, small, comp, quota, limit):
+        known = {"group": np.cumsum(change), "n": rows.column("n_shingles").to_numpy(), "samples": rows.column("samples").to_numpy().astype(np.int64)}
+        known |= {c: rows.column(c).to_numpy(zero_copy_only=False) for c in ("own", "small")}
+        known["comp"] = rows.column("comp").combine_chunks().dictionary_encode().indices.to_numpy()
+        known["sketch"] = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        node = rows.column("node").combine_chunks()
+        for i, j, _ in _near(known, quota, share):
             if len(i):
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([raw[x] for x in i.tolist()], pa.binary()), pa.array([raw[x] for x in j.tolist()], pa.binary()), pa.array([left] * len(i)),
-                ], names=["u", "v", "left"])
+                yield pa.RecordBatch.from_arrays([node.take(pa.array(i)), node.take(pa.array(j))], names=["u", "v"])
 
     def run(batches):
         held: pa.Table | None = None
@@ -172,8 +185,8 @@ def near_pairs(members: DataFrame, quota: int | None, limit: int) -> DataFrame:
         if held is not None and len(held):
             yield from pairs_of(held.combine_chunks())
 
-    found = dealt.mapInArrow(run, "u binary, v binary, left boolean")
-    return found.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.max("left").alias("left"))
+    found = dealt.mapInArrow(run, "u binary, v binary")
+    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
@@ -203,20 +216,19 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     part only as copies of others; alone, their component is null and they are kept.
     """
     rows = kept(signatures(df, key, text, width))
+    n = rows.count()
     classes = rows.filter("n_shingles > 0").groupBy("digest").agg(
-        F.min("key").alias("key"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+        F.min("key").alias("key"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", "samples", "sketch")])
     classes = classes.filter(F.col("key").isNotNull())
     buckets = classes.select("digest", F.explode("bands").alias("bucket"))
     sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     tiles = F.ceil(F.col("size") / TILE).cast("int")
     members = buckets.join(sizes, "bucket").select("bucket", F.col("digest").alias("node"), tiles.alias("tiles"))
-    members = kept(members.withColumn("home", F.pmod(F.xxhash64("node", F.lit(3)), F.col("tiles")).cast("int")))
+    members = kept(members.withColumn("home", F.pmod(F.xxhash64("node", F.lit(3)), F.col("tiles")).cast("int")), 4 * n)
     nodes = members.select("node").distinct()
     of_nodes = classes.join(nodes, F.col("digest") == F.col("node"), "left_semi")
-    sketches = kept(of_nodes.select(F.col("digest").alias("node"), "sketch", "key"))
-    sets = kept(_sets(df, sketches, key, text, width))
-    limit = most_bits(share / 100)
-    large = members.filter("tiles > 1").limit(1).count() > 0
+    sketches = kept(of_nodes.select(F.col("digest").alias("node"), "key", "n_shingles", "samples", "sketch"), n)
+    sets = kept(_sets(df, sketches, key, text, width), 4 * n)
 
     comps: DataFrame | None = None
     for quota in QUOTAS:
@@ -224,15 +236,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
             here = members.withColumns({"tile": F.col("home"), "comp": F.col("node"), "small": F.lit(True), "own": F.lit(True)})
         else:
             here = _unsettled(members, comps)
-        found = near_pairs(here.join(sketches.select("node", "sketch"), "node"), quota, limit)
-        found = kept(found)
-        more = found.agg(F.coalesce(F.max("left"), F.lit(False))).first()[0]
-        links = kept(confirmed(found.select("u", "v"), sets, share))
+        found = near_pairs(here.join(sketches.drop("key"), "node"), quota, share / 100)
+        links = confirmed(found, sets, share)
         if comps is not None:
             links = links.unionByName(comps.select(F.col("node").alias("u"), F.col("component").alias("v")))
-        comps = components(links)
-        if not more and not (quota == QUOTAS[0] and large):
-            break
+        comps = components(links, n)
 
     # A class that no link reaches is a component of its own.
     keys = classes.select("digest", "key").join(comps, F.col("digest") == F.col("node"), "left")

@@ -369,7 +369,7 @@ def test_near_documents(corpus, texts, tile, monkeypatch):
     """Small tiles and quotas take the same links as large ones."""
     monkeypatch.setattr(odd_sketch, "TILE", tile)
     if tile == 8:
-        monkeypatch.setattr(odd_sketch, "QUOTAS", (1, 2, None))
+        monkeypatch.setattr(odd_sketch, "QUOTAS", (1, None))
     got = sorted((tuple(r) for r in odd_sketch.near_duplicates(corpus).collect()), key=str)
     assert got == sorted(near(texts), key=str)
 
@@ -378,15 +378,27 @@ def test_near_documents_of_nothing(nothing):
     assert odd_sketch.near_duplicates(nothing).count() == 0
 
 
-def test_sketches_estimate():
-    rng = np.random.default_rng(3)
-    limit = odd_sketch.most_bits(0.8)
-    for _ in range(300):
-        x = rng.integers(0, 1 << 63, 500, np.uint64)
-        y = np.concatenate([x[:445], rng.integers(0, 1 << 63, 55, np.uint64)])  # similarity 0.80
-        z = np.concatenate([x[:200], rng.integers(0, 1 << 63, 300, np.uint64)])  # similarity 0.25
-        a, b, c = (np.frombuffer(odd_sketch.odd_sketch(odd_sketch.minhashes(s)).tobytes(), np.uint64) for s in (x, y, z))
-        assert np.bitwise_count(a ^ b).sum() <= limit < np.bitwise_count(a ^ c).sum()
+@pytest.mark.parametrize("size", [1, 4, 9, 45, 150, 900, 5000, 40_000])
+def test_sketches_lose_no_pair(size):
+    """Pairs at the threshold stay, dissimilar ones go."""
+    rng = np.random.default_rng(size)
+    kept = dropped = 0
+    for _ in range(60 if size < 5000 else 8):
+        shared, rest = size - size // 9, size // 9  # similarity (size - size // 9) / (size + size // 9): 0.8 or a little more
+        x = np.unique(rng.integers(0, 1 << 63, size, np.uint64) * np.uint64(2))
+        y = np.unique(np.concatenate([rng.permutation(x)[:shared], rng.integers(0, 1 << 63, rest, np.uint64) * np.uint64(2)]))
+        z = np.unique(np.concatenate([rng.permutation(x)[:size // 2], rng.integers(0, 1 << 63, size - size // 2, np.uint64) * np.uint64(2)]))
+        both = len(np.intersect1d(x, y))
+        assert 100 * both >= 80 * (len(x) + len(y) - both)
+
+        def may(p, q):
+            (a, f), (b, g) = odd_sketch.odd_sketch(p), odd_sketch.odd_sketch(q)
+            return np.bitwise_count(f ^ g).sum() <= odd_sketch.most_bits(np.array([len(p)]), np.array([len(q)]), a, b, 0.8)[0]
+
+        kept += bool(may(x, y))
+        dropped += not may(x, z)
+    assert kept == (60 if size < 5000 else 8)
+    assert size < 45 or dropped == kept
 
 
 # ---- byte BPE ---------------------------------------------------------------
