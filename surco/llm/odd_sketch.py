@@ -24,14 +24,15 @@ from .words import Words, mix, rolling
 
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
-# Bins of the one-permutation MinHash samples that a sketch folds, and its bits.
-BINS, BITS = 2048, 2048
+# Bins of the one-permutation MinHash samples that a sketch folds, and its bits. Texts of more than
+# some ten thousand shingles fill the bitmap: it then rules nothing out, and the full sets decide.
+BINS, BITS = 1 << 16, 2048
 # Standard errors of the sketch's estimate by which a pair may stay below the threshold.
-ERRORS = 5.0
+ERRORS = 4.5
 # Members of a bucket that one task compares with others.
 TILE = 512
 # Partners of a class per bucket in each round; the last takes all that are left.
-QUOTAS = (4, None)
+QUOTAS = (2, None)
 
 _RNG = np.random.default_rng(11)
 _FACTORS = _RNG.integers(1, 1 << 63, SAMPLES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -80,7 +81,7 @@ def most_bits(n: np.ndarray, m: np.ndarray, a: np.ndarray, b: np.ndarray, share:
     similar = both / union
     # A shared shingle is a shared sample unless another shingle of its bin is less.
     spread = np.sqrt(np.minimum(similar * (1 - similar) * bins, np.maximum(both - similar * bins, 0)))
-    shared = np.maximum(0, similar * bins - ERRORS * spread - 2)
+    shared = np.maximum(0, similar * bins - ERRORS * spread - 1)
     flips = np.maximum(0, a + b - 2 * shared)
     mean = BITS / 2 * -np.expm1(flips * np.log1p(-2 / BITS))
     once, twice = np.exp(2 * flips * np.log1p(-2 / BITS)), np.exp(flips * np.log1p(-4 / BITS))
@@ -132,6 +133,7 @@ def _best(pairs: list[tuple[np.ndarray, ...]], quota: int | None, small: np.ndar
 def _near(rows: dict[str, np.ndarray], quota: int | None, share: float) -> Iterator[tuple[np.ndarray, ...]]:
     """Pairs of a group, one of them own and one small, of different components, by sketches; each group's own rows come first."""
     group, own, small, comp, n, taken, sketch = (rows[c] for c in ("group", "own", "small", "comp", "n", "samples", "sketch"))
+    bucket, bands = rows["bucket"], rows["bands"]
     last = np.searchsorted(group, group, side="right")
     i = np.flatnonzero(own)
     found: list[tuple[np.ndarray, ...]] = []
@@ -143,9 +145,11 @@ def _near(rows: dict[str, np.ndarray], quota: int | None, share: float) -> Itera
         use = (small[i] | small[j]) & (comp[i] != comp[j])
         a, b = i[use], j[use]
         bits = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int64)
-        near = bits <= most_bits(n[a], n[b], taken[a], taken[b], share)
+        near = np.flatnonzero(bits <= most_bits(n[a], n[b], taken[a], taken[b], share))
+        first = (bands[a[near]] == bands[b[near]]).argmax(axis=1)
+        near = near[bands[a[near], first] == bucket[a[near]]]
         found.append((a[near], b[near], bits[near] / (n[a] + n[b])[near]))
-        size += int(near.sum())
+        size += len(near)
         if size > 200_000:
             best = _best(found, quota, small)
             found, size = ([best], 0) if quota is not None else ([], 0)
@@ -156,7 +160,10 @@ def _near(rows: dict[str, np.ndarray], quota: int | None, share: float) -> Itera
 
 
 def near_pairs(members: DataFrame, quota: int | None, share: float) -> DataFrame:
-    """Candidate pairs `u, v` from rows bucket, tile, node, comp, small, own, n_shingles, samples, sketch."""
+    """Candidate pairs `u, v` from rows bucket, tile, node, comp, small, own, n_shingles, bands, samples, sketch.
+
+    Members that share several buckets are compared in the first of them only.
+    """
     partitions = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = members.repartition(partitions, "bucket", "tile").sortWithinPartitions("bucket", "tile", F.desc("own"), "node")
 
@@ -166,6 +173,7 @@ def near_pairs(members: DataFrame, quota: int | None, share: float) -> DataFrame
         known = {"group": np.cumsum(change), "n": rows.column("n_shingles").to_numpy(), "samples": rows.column("samples").to_numpy().astype(np.int64)}
         known |= {c: rows.column(c).to_numpy(zero_copy_only=False) for c in ("own", "small")}
         known["comp"] = rows.column("comp").combine_chunks().dictionary_encode().indices.to_numpy()
+        known |= {"bucket": bucket, "bands": rows.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)}
         known["sketch"] = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(-1, BITS // 64)
         node = rows.column("node").combine_chunks()
         for i, j, _ in _near(known, quota, share):
@@ -227,7 +235,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     members = kept(members.withColumn("home", F.pmod(F.xxhash64("node", F.lit(3)), F.col("tiles")).cast("int")), 4 * n)
     nodes = members.select("node").distinct()
     of_nodes = classes.join(nodes, F.col("digest") == F.col("node"), "left_semi")
-    sketches = kept(of_nodes.select(F.col("digest").alias("node"), "key", "n_shingles", "samples", "sketch"), n)
+    sketches = kept(of_nodes.select(F.col("digest").alias("node"), "key", "n_shingles", "bands", "samples", "sketch"), n)
     sets = kept(_sets(df, sketches, key, text, width), 4 * n)
 
     comps: DataFrame | None = None
