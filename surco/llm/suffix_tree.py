@@ -3,10 +3,10 @@
 The states of the tree are the empty context, single tokens and pairs of tokens.
 A context is kept only if it passes a divergence test against its suffix: summed
 over the training text, with each occurrence left out of its own counts, its
-next-symbol distribution must gain over the suffix's by `gain` nats; a pair is
-tested only if it comes `ratio` times as often as its parts suggest. A kept
-state's distribution is smoothed towards its suffix's, down to the base of all
-tokens. Every token is scored by the longest kept context before it.
+next-symbol distribution must gain over the suffix's by `gain` nats. A context
+seen once cannot gain, as its only occurrence is left out. A kept state's
+distribution is smoothed towards its suffix's, down to the base of all tokens.
+Every token is scored by the longest kept context before it.
 
 Counts of tokens, pairs and triples are exact over the training texts. They stay
 in ranges of keys; every block of documents gets the counts of its own keys, so
@@ -25,7 +25,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 from . import blocks
 from .words import Words, mix
 
-ALPHA, GAIN, RATIO = 2.0, 3.0, 16.0
+ALPHA, GAIN = 2.0, 3.0
+# A pair needs no multiple of its chance count: the divergence test alone decides.
+RATIO = 0.0
 BITS = 54
 _CUT = np.uint64(64 - BITS)
 TOKEN, PAIR, TOKEN_GAIN, TRIPLE, PAIR_GAIN, TOTAL = range(6)
@@ -113,11 +115,10 @@ class Block:
         self.one = (self.pair_count + ALPHA * self.base) / (self.context + ALPHA)
         self.one_left = (np.maximum(self.pair_count - 1, 0) + ALPHA * self.base_left) / np.maximum(self.context - 1 + ALPHA, ALPHA)
         self.contexts = Unique(self.before, self.context >= 2)
-        # The pair before a token, its count, and whether it is more than its parts suggest.
+        # The pair before a token, its count, and whether it can gain.
         self.two_key = np.concatenate((self.pair_key[:1], self.pair_key[:-1]))
         self.two = np.concatenate((self.pair_count[:1], self.pair_count[:-1]))
-        expected = np.concatenate(((self.context * self.count)[:1], (self.context * self.count)[:-1]))
-        self.frequent = (self.place > 0) & (self.two >= 2) & (self.two * self.n >= RATIO * expected)
+        self.frequent = (self.place > 0) & (self.two >= 2)
         self.tripled = self.frequent & (self.count >= 1)
         self.triples = Unique(_pair(self.two_key, self.token), self.tripled)
         return self

@@ -226,6 +226,17 @@ def test_suffix_tree(corpus, texts, nothing):
     assert suffix_tree.score(nothing).count() == 0
 
 
+def test_pairs_of_frequent_words_are_states(spark, monkeypatch):
+    """A pair that comes hardly more often than its parts suggest is kept if what follows it differs."""
+    monkeypatch.setattr(suffix_tree, "RATIO", 0.0)
+    rows = [(i, "of the x q the y of r x r the y q of r") for i in range(40)]
+    *want, (_, pairs) = plain_tree(rows)
+    assert tuple(words_of("of the")) in pairs
+    got = sorted(tuple(r) for r in suffix_tree.score(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    for g, w in zip(got, sorted(want), strict=True):
+        assert g[:5] == w[:5] and g[5:] == pytest.approx(w[5:], rel=1e-9)
+
+
 def test_suffix_tree_without_training(spark):
     keys = [k for k in range(100) if fold(k) == 1][:3]
     got = suffix_tree.score(spark.createDataFrame([(k, "a b") for k in keys], "doc_id long, text string")).collect()
