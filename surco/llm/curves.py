@@ -26,6 +26,8 @@ CURVES, AXES, DEPTH = 4, 6, 8
 # Vectors and queries of a range in one task.
 TILE, CHUNK = 4096, 4096
 SLACK = 1e-9
+# By how much the matrix product of two unit vectors may miss their exact score, twice: its last bits depend on the place in the matrix.
+LAST_BITS = 1e-12
 
 
 def hilbert(cells: np.ndarray, depth: int) -> np.ndarray:
@@ -190,14 +192,16 @@ def _search(rows: DataFrame, asked: DataFrame, tiles: DataFrame, place: list[str
                 cosine = own[a:a + 256] @ at.T
                 cosine[asks[a:a + 256, None] == keys] = -2
                 for i, row in enumerate(cosine):
-                    some = np.arange(len(row)) if len(row) <= k else np.flatnonzero(row >= np.partition(row, -k)[-k])
-                    some = some[np.argsort(-row[some], kind="stable")][:k]
+                    some = np.arange(len(row)) if len(row) <= k else np.flatnonzero(row >= np.partition(row, -k)[-k] - LAST_BITS)
                     some = some[row[some] > -1.5]
+                    score = np.clip((at[some] * own[a + i]).sum(axis=1), -1, 1)
+                    best = np.argsort(-score, kind="stable")[:k]  # rows are in order of key
+                    some, score = some[best], score[best]
                     out["curve"] += [curve] * len(some)
                     out["query_id"] += [asks[a + i]] * len(some)
                     out["query"] += [names[a + i]] * len(some)
                     out["key"] += keys[some].tolist()
-                    out["score"] += np.clip((at[some] * own[a + i]).sum(axis=1), -1, 1).tolist()
+                    out["score"] += score.tolist()
         types = {"curve": pa.int32(), "query_id": y.schema.field("key").type, "query": pa.string(), "key": y.schema.field("key").type, "score": pa.float64()}
         return pa.table({c: pa.array(v, types[c]) for c, v in out.items()})
 

@@ -7,6 +7,7 @@ import pytest
 
 from surco.llm import curves, links, product_codes
 from surco.llm.curves import hilbert
+from surco.llm.vectors import units
 
 SCHEMA = "vec_id long, embedding array<float>, label int, node string, list int, score string"
 
@@ -137,6 +138,21 @@ def test_nearest(spark, vectors, tile, monkeypatch):
         assert {c for _, c, _ in got[k]} == loose or len({round(s, 9) for s, _ in near}) < 5
 
 
+def test_ties_go_to_the_smaller_key(spark):
+    """Groups of equal vectors larger than k: of equal scores the smaller keys, whatever the last bit of a matrix product."""
+    rng, n = np.random.default_rng(1021), 1021
+    base = rng.standard_normal((n, 128)).astype(np.float32)
+    base[rng.permutation(n)[:n // 3]] = base[rng.integers(0, 6, n // 3)]
+    rows = table(spark, [(i, v.tolist(), 0) for i, v in enumerate(base)])
+    got = collections.defaultdict(list)
+    for r in curves.nearest(rows, rows.filter("vec_id < 203"), ranges=1).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    x = units(base.astype(float))
+    for q in range(203):
+        score = np.clip((x * x[q]).sum(axis=1), -1, 1)
+        assert got[q] == [i for i in np.lexsort((np.arange(n), -score)) if i != q][:5]
+
+
 def test_few_candidates(spark, vectors):
     rows = table(spark, vectors[:3])
     got = curves.nearest(rows, rows.filter("vec_id = 0")).collect()
