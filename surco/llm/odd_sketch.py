@@ -28,7 +28,7 @@ SAMPLES = BANDS * ROWS
 # some ten thousand shingles fill the bitmap: it then rules nothing out, and the full sets decide.
 BINS, BITS = 1 << 16, 2048
 # Standard errors of the sketch's estimate by which a pair may stay below the threshold.
-ERRORS = 4.5
+ERRORS = 5.0
 # Members of a bucket that one task compares with others.
 TILE = 512
 # Partners of a class per bucket in each round; the last takes all that are left.

@@ -412,6 +412,11 @@ def test_sketches_lose_no_pair(size):
     assert size < 45 or size > 5000 or dropped == kept
 
 
+def test_sketch_filter_misses_one_in_a_million_at_most():
+    """Each of the two estimates of the filter, by the normal law."""
+    assert math.erfc(odd_sketch.ERRORS / math.sqrt(2)) / 2 < 3e-7
+
+
 # ---- byte BPE ---------------------------------------------------------------
 
 @pytest.fixture(scope="module")
