@@ -29,6 +29,8 @@ RAW = frozenset("script style textarea title iframe noscript xmp noembed noframe
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Elements that are no part of an article.
 ASIDE = frozenset("nav footer aside form menu dialog button select svg math canvas object template audio video datalist head".split())
+# Elements that hold the page or its content, whatever their class, id or role says of it.
+WHOLE = frozenset("html body main article".split())
 # Words in class, id or role that mark such parts; the second row only where no word of the third is beside them.
 MARKS = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr "
@@ -56,6 +58,8 @@ def is_aside(name: str, rest: str, in_content: bool) -> bool:
         return False
     if UNSEEN.search(rest):
         return True
+    if name in WHOLE:
+        return False
     for m in LABEL.finditer(rest):
         words = set(SPLIT.split((m[1] or m[2] or m[3] or "").lower()))
         if words & MARKS or words & WEAK_MARKS and not words & CONTENT:
@@ -70,7 +74,7 @@ def events(page: str) -> list[tuple[str, int, str, bool]]:
     """
     out: list[tuple[str, int, str, bool]] = []
     at, block, holder, content = 0, 0, "body", 0
-    skipping, depth = "", 0
+    skipping, depth, inner = "", 0, 0
     raw_end: re.Pattern | None = None
     size = len(page)
     while at < size:
@@ -93,6 +97,8 @@ def events(page: str) -> list[tuple[str, int, str, bool]]:
             # A part ends with its own element, or with what closes it unsaid.
             if name == skipping and name not in ("p", "li"):
                 depth += -1 if closing else 1
+            elif skipping != "p" and name in ("article", "main") and (inner or not closing):
+                inner += -1 if closing else 1  # within the part
             elif name == skipping or closing and name in ("article", "main", "body") or skipping == "p" and name in BLOCKS:
                 depth = 0
             elif skipping == "li" and closing and name in ("ul", "ol", "menu"):
@@ -103,7 +109,7 @@ def events(page: str) -> list[tuple[str, int, str, bool]]:
                 continue
             skipping = ""
         if not closing and name not in VOID and not m[3].endswith("/>") and is_aside(name, m[3], content > 0):
-            skipping, depth = name, 1
+            skipping, depth, inner = name, 1, 0
             block += name in BLOCKS
             out.append((f"part:{name}", block, "", content > 0))
             continue

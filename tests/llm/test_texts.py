@@ -70,6 +70,16 @@ def test_html(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_marks_on_the_page_or_its_article_skip_nothing():
+    """Site software marks body, main and article; only parts within them are left out."""
+    first, last = " ".join(["first"] * 30), " ".join(["last"] * 30)
+    page = (f"<html class='no-sidebar'><body class='has-sidebar menu'><main id='main-menu'><article class='post comments-open'><p>{first}</p>"
+            f"<div class='sidebar'>box</div><p>{last}</p></article></main><section class='comments'><article class='comment'><p>nice</p></article>"
+            "<article class='comment'><p>me too</p></article></section><footer>foot</footer></body></html>")
+    assert html_extract.main_text(page, {}) == f"{first}\n\n{last}"
+    assert not {"box", "nice", "me too", "foot"} & {text for _, _, text, _ in html_extract.events(page)}
+
+
 def test_html_scan_is_the_best_region():
     rng = random.Random(1)
     for _ in range(200):
