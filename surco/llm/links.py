@@ -71,3 +71,10 @@ def components(links: DataFrame, about: int | None = None, most: int = 40) -> Da
         raise ValueError(f"components did not settle in {most} rounds")
     low = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(low)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of a finished run from the shared folder."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, curves, html_extract, mixing, odd_sketch, product_codes, quality, sharding, sql, substrings, suffix_tree
+from . import byte_bpe, curves, exact_dedup, html_extract, mixing, odd_sketch, product_codes, quality, sharding, sql, substrings, suffix_tree
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -86,3 +86,9 @@ def op8_curves(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def op4_suffix_tree(spark: SparkSession, d: str) -> DataFrame:
     return suffix_tree.score(table(spark, d, "documents"))
+
+
+@query(sql.EXACT)
+def op13_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
+    # As a pattern, since a stream source takes a folder or a pattern but no single file.
+    return exact_dedup.deduplicate(spark, f"{d.rstrip('/')}/documents.parquet*")

@@ -56,3 +56,9 @@ FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 50
 JOIN (SELECT vec_id, embedding::DOUBLE[] AS f FROM embeddings) c ON c.vec_id <> q.vec_id
 CROSS JOIN LATERAL (SELECT list_cosine_similarity(e, f) AS score) QUALIFY rank <= 5
 """
+
+EXACT = """
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
+FROM texts WINDOW g AS (PARTITION BY t)
+"""
