@@ -229,7 +229,7 @@ def _best(found: list[tuple[int, int, int]]) -> tuple[int, int, int] | None:
     return best
 
 
-def _slices(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+def slices(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
     """Rows from and to, of `most` bytes of text together, at least one row each."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     sums = np.cumsum(sizes, dtype=np.int64)
@@ -287,7 +287,7 @@ def runs(df: DataFrame, key: str = "doc_id", text: str = "text", tail: Tail | No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in _slices(batch.column(1), slice_bytes):
+            for a, b in slices(batch.column(1), slice_bytes):
                 yield part(batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a).to_pylist())
 
     one = "struct<start: long, length: long, period: long>"

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, curves, exact_dedup, html_extract, mixing, odd_sketch, periodic_runs, product_codes, quality, sharding, sql, substrings, suffix_tree
+from . import byte_bpe, curves, exact_dedup, html_extract, mixing, odd_sketch, periodic_runs, product_codes, quality, sharding, spelling, sql, substrings, suffix_tree
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -115,3 +115,8 @@ def op11_periodic_runs(spark: SparkSession, d: str) -> DataFrame:
         "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
         F.expr("1000 * best.length div best.period").alias("exponent_milli"),
         F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query()
+def op12_spelling(spark: SparkSession, d: str) -> DataFrame:
+    return spelling.variants(table(spark, d, "documents").select("doc_id", "text"), slip=97)
