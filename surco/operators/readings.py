@@ -8,7 +8,7 @@ decide between broadcasting and a shuffle with skew splitting.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -109,6 +109,14 @@ def field_rows(pivoted: DataFrame, parcels: DataFrame) -> DataFrame:
     )
 
 
+def sensor_windows(sensors: DataFrame, every: str = "10 minutes", beside: Sequence[str] = ()) -> DataFrame:
+    """Sensor means per entity and window, with the first non-empty sensor id; `beside` are further keys."""
+    has_id = F.when(F.col("sensor_id") != "", arrival())
+    closed = sensors.groupBy(F.window("event_time", every).alias("w"), *beside, "entity_id").agg(
+        F.min_by("sensor_id", has_id).alias("sensor_id"), *[F.avg(_of_type(m)).alias(f"_{m}") for m in METRICS])
+    return closed.select("*", F.col("w.start").cast("timestamp_ntz").alias("timestamp")).drop("w")
+
+
 def baseline_windows(sensors: DataFrame, ticks: DataFrame, every: str = "10 minutes") -> DataFrame:
     """Sensor means per entity and window beside the windows that ticked (`tick`), for tables and streams.
 
@@ -117,21 +125,39 @@ def baseline_windows(sensors: DataFrame, ticks: DataFrame, every: str = "10 minu
     """
     both = sensors.withColumn("tick", F.lit(False)).unionByName(
         ticks.select("event_time", "message_id", F.lit(True).alias("tick")), allowMissingColumns=True)
-    has_id = F.when(F.col("sensor_id") != "", arrival())
-    closed = both.groupBy(F.window("event_time", every).alias("w"), "tick", "entity_id").agg(
-        F.min_by("sensor_id", has_id).alias("sensor_id"), *[F.avg(_of_type(m)).alias(f"_{m}") for m in METRICS])
-    return closed.select("*", F.col("w.start").cast("timestamp_ntz").alias("timestamp")).drop("w")
+    return sensor_windows(both, every, ["tick"])
+
+
+def window_spine(rows: DataFrame, bounds: Column, every: str = "10 minutes") -> DataFrame:
+    """Every row once per day from `bounds.first` to `bounds.last`, with that day's windows as `windows`.
+
+    `bounds` holds the starts of the first and last window, both aligned; a day
+    must be a whole number of windows. Without bounds there are no rows.
+    """
+    step = F.expr(f"INTERVAL '{every}'")
+    day = F.explode(F.sequence(F.to_date(bounds["first"]), F.to_date(bounds["last"])))
+    begin = F.col("_day").cast("timestamp_ntz")
+    windows = F.sequence(F.greatest(bounds["first"], begin), F.least(bounds["last"], begin + F.expr("INTERVAL '1 day'") - step), step)
+    return rows.withColumn("_day", day).withColumn("windows", windows)
 
 
-def override_baseline(sensors: DataFrame, ticked: DataFrame, parcels_weather: DataFrame) -> DataFrame:
-    """Every known parcel in every window of `ticked(timestamp)`, its sensors over its weather.
+def override_baseline(sensors: DataFrame, ticked: DataFrame, parcels_weather: DataFrame, every: str = "10 minutes") -> DataFrame:
+    """Every known parcel in every window from the first to the last of `ticked(timestamp)`, its sensors over its weather.
 
-    The windows, as many as time steps, travel to the parcels as one array out
-    of a scalar subquery and unfold there.
+    Windows between two ticks count also if their own tick is missing. Parcels
+    and sensor means meet once per day, so what is shuffled is a row per parcel
+    and day; the windows of a day, a bounded number, unfold after that.
     """
-    windows = ticked.agg(F.sort_array(F.collect_set("timestamp"))).scalar()
-    base = parcels_weather.withColumn("timestamp", F.explode(windows))
-    joined = base.join(sensors.select("entity_id", "timestamp", "sensor_id", *[f"_{m}" for m in METRICS]), ["entity_id", "timestamp"], "left")
+    bounds = ticked.agg(F.struct(F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))).scalar()
+    means = [f"_{m}" for m in METRICS]
+    seen = sensors.groupBy("entity_id", F.to_date("timestamp").alias("_day")).agg(
+        F.collect_list(F.struct("timestamp", "sensor_id", *means)).alias("_seen"))
+    days = window_spine(parcels_weather, bounds, every).join(seen, ["entity_id", "_day"], "left")
+    none = F.lit(None)
+    quiet = F.transform(F.array_except("windows", F.coalesce(F.col("_seen.timestamp"), F.array().cast("array<timestamp_ntz>"))), lambda t: F.struct(
+        t.alias("timestamp"), none.cast("string").alias("sensor_id"), *[none.cast("double").alias(m) for m in means]))
+    heard = F.filter("_seen", lambda r: F.array_contains("windows", r["timestamp"]))
+    joined = days.withColumn("_row", F.explode(F.when(F.col("_seen").isNull(), quiet).otherwise(F.concat(heard, quiet)))).select("*", "_row.*")
     hot = F.col("_temperatura").isNotNull()
     return joined.select(
         "user_id", F.col("entity_id").alias("parcel_id"), "nombre", "timestamp",

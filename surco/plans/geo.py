@@ -61,9 +61,10 @@ def positions_of(events: DataFrame) -> DataFrame:
 
 
 def links_seen(spark: SparkSession, d: str) -> DataFrame:
-    """Every order links its customer to an aggressor; a pair may be there more than once."""
+    """Every order links its customer to an aggressor, any of the users; a pair may be there more than once."""
+    users = load(spark, d, "events").agg(F.max("user_id") + 1).scalar()
     return load(spark, d, "orders").select(
-        F.col("o_custkey").alias("id_victima"), F.floor(F.col("o_totalprice") / 1000).alias("id_agresor"), "o_orderkey",
+        F.col("o_custkey").alias("id_victima"), F.pmod(F.col("o_orderkey"), users).alias("id_agresor"), "o_orderkey",
         F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_totalprice") / 130).alias("dist_seguridad"),
     )
 
@@ -73,18 +74,19 @@ def relations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def zones(spark: SparkSession, d: str) -> DataFrame:
-    """Suppliers are places, each customer has the one with the number of its nation."""
+    """Suppliers are places, each customer has the one with its own number, counted round."""
     lat = (F.col("s_acctbal") / 400000 + 39).cast("decimal(9,6)").cast("string")
     lon = (F.col("s_suppkey") / 10000 - 0.3).cast("decimal(9,6)").cast("string")
     places = load(spark, d, "supplier").select(
         F.col("s_suppkey").alias("id_place"), F.col("s_name").alias("place_name"),
         F.concat(lat, F.lit(","), lon).alias("place_coordinates"), (F.col("s_nationkey") * 10 + 50).alias("radius"),
     )
-    links = load(spark, d, "customer").select(F.col("c_nationkey").alias("id_place"), F.col("c_custkey").alias("id_victima"))
+    every = load(spark, d, "supplier").agg(F.max("s_suppkey") + 1).scalar()
+    links = load(spark, d, "customer").select(F.pmod(F.col("c_custkey"), every).alias("id_place"), F.col("c_custkey").alias("id_victima"))
     return safe_zones(places, links)
 
 
-AGGRESSOR_SQL = "CAST(floor(o_totalprice / 1000) AS BIGINT)"
+AGGRESSOR_SQL = "o_orderkey % (SELECT max(user_id) + 1 FROM events)"
 
 MET = f"""WITH pos AS (
   SELECT CAST(user_id AS VARCHAR) AS user_id, event_type IN ('view', 'click') AS victim, date_trunc('hour', ts) AS w,
@@ -100,7 +102,7 @@ zones AS (
   SELECT CAST(c_custkey AS VARCHAR) AS v, CAST(s_suppkey AS VARCHAR) AS id_place, s_name AS nombre_place,
          CAST(s_acctbal / 400000 + 39 AS DECIMAL(9,6)) AS zlat, CAST(s_suppkey / 10000 - 0.3 AS DECIMAL(9,6)) AS zlon,
          CAST(s_nationkey * 10 + 50 AS DOUBLE) AS radius
-  FROM supplier JOIN customer ON c_nationkey = s_suppkey),
+  FROM supplier JOIN customer ON c_custkey % (SELECT max(s_suppkey) + 1 FROM supplier) = s_suppkey),
 met AS (
   SELECT p.user_id AS id_victima, rel.a AS id_agresor, rel.dist, p.lat AS vlat, p.lon AS vlon, agr.lat AS alat,
          agr.lon AS alon, agr."timestamp"

@@ -132,6 +132,32 @@ PARCELS = """parcels AS (
   FROM customer)"""
 
 
+def stations(spark: SparkSession, d: str) -> DataFrame:
+    """Fields with a station: one per supplier, in the layout of `parcels`."""
+    return load(spark, d, "supplier").select(
+        F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("usuario_id"), F.col("s_name").alias("parcela_id"),
+        F.floor(F.col("s_suppkey") / 1000).cast("int").alias("provincia"), (F.col("s_suppkey") % 1000).cast("int").alias("municipio"),
+        F.concat(F.lit("campo "), F.col("s_suppkey").cast("string")).alias("nombre"),
+        F.concat(F.lit("cultivo "), (F.col("s_suppkey") % 5).cast("string")).alias("cultivo"),
+        F.concat(F.lit("v"), F.col("s_nationkey").cast("string")).alias("variedad"),
+    )
+
+
+STATIONS = """parcels AS (
+  SELECT s_suppkey AS id, s_nationkey AS usuario_id, s_name AS parcela_id, 'campo ' || s_suppkey AS nombre,
+         'cultivo ' || s_suppkey % 5 AS cultivo, 'v' || s_nationkey AS variedad,
+         format('{:02d}{:03d}', CAST(s_suppkey // 1000 AS INTEGER), CAST(s_suppkey % 1000 AS INTEGER)) AS codigo_ine
+  FROM supplier)"""
+
+
+def at_stations(events: DataFrame) -> DataFrame:
+    """Events of the stations: three users share two of them, as many as there are suppliers."""
+    return events.withColumn("user_id", F.floor(F.col("user_id") * 2 / 3))
+
+
+AT_STATIONS = "at_stations AS (SELECT * REPLACE (CAST(floor(user_id * 2 / 3) AS BIGINT) AS user_id) FROM events)"
+
+
 def forecast(spark: SparkSession, d: str) -> DataFrame:
     """Daily weather with repeated days: one row per order, the customer being the municipality."""
     price = F.col("o_totalprice")

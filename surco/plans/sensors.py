@@ -36,21 +36,24 @@ def sensor_hourly_pivot(spark: SparkSession, d: str) -> DataFrame:
 
 
 def parcel_weather(spark: SparkSession, d: str) -> DataFrame:
-    named = roles.parcels(spark, d).withColumn("entity_id", F.col("id").cast("string")).withColumn(
+    named = roles.stations(spark, d).withColumn("entity_id", F.col("id").cast("string")).withColumn(
         "user_id", F.col("usuario_id").cast("string")
     )
     return weather.join_weather(named, roles.forecast(spark, d), DAY_AS_OF, ["o_orderkey"])
 
 
 def ticks_of(events: DataFrame) -> DataFrame:
-    """The first event of each day is the day's tick."""
-    return events.groupBy(F.to_date("ts").alias("dia")).agg(F.min("ts").alias("event_time")).select(
-        "event_time", F.date_format("dia", "yyyyMMdd").cast("bigint").alias("message_id"))
+    """A tick in every ten-minute window from the first to the last event: `event_time`, `message_id`."""
+    start = F.window("ts", "10 minutes")["start"].cast("timestamp_ntz").alias("at")
+    bounds = events.select(start).agg(F.struct(F.min("at").alias("first"), F.max("at").alias("last")).alias("bounds"))
+    windows = rd.window_spine(bounds, F.col("bounds")).select(F.explode("windows").alias("event_time"))
+    return windows.select("event_time", F.unix_seconds(F.col("event_time").cast("timestamp")).alias("message_id"))
 
 
 BASELINE_ROWS = f"""
-WITH {roles.READINGS}, {roles.PARCELS}, {roles.LATEST_WEATHER}, ticks AS (
-  SELECT time_bucket(INTERVAL '10 minutes', min(ts)) AS "timestamp" FROM events GROUP BY CAST(ts AS DATE)),
+WITH {roles.AT_STATIONS}, {roles.READINGS.replace("FROM events", "FROM at_stations")}, {roles.STATIONS}, {roles.LATEST_WEATHER}, ticks AS (
+  SELECT unnest(generate_series(time_bucket(INTERVAL '10 minutes', min(ts)), time_bucket(INTERVAL '10 minutes', max(ts)), INTERVAL '10 minutes')) AS "timestamp"
+  FROM events),
 windows AS (
   SELECT entity_id, time_bucket(INTERVAL '10 minutes', event_time) AS "timestamp",
          arg_min(sensor_id, row(event_time, message_id)) FILTER (WHERE sensor_id <> '') AS sensor_id,
@@ -71,10 +74,10 @@ rows_ AS (
 
 @query(BASELINE_ROWS + "SELECT * FROM rows_")
 def sensor_10min_baseline_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Every parcel in every window that ticked."""
-    ticks = ticks_of(load(spark, d, "events"))
-    sensors = rd.baseline_windows(roles.readings(spark, d), ticks.limit(0))
-    ticked = ticks.select(F.window("event_time", "10 minutes")["start"].cast("timestamp_ntz").alias("timestamp"))
+    """Every field with a station in every window, from that of the first event to that of the last."""
+    events = load(spark, d, "events")
+    ticked = events.select(F.window("ts", "10 minutes")["start"].cast("timestamp_ntz").alias("timestamp"))
+    sensors = rd.sensor_windows(roles.readings_of(roles.at_stations(events)))
     return rounded(rd.override_baseline(sensors, ticked, parcel_weather(spark, d)))
 
 
@@ -255,12 +258,11 @@ def active_registry(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""
 WITH {SENSORS}
 SELECT connection_id, c_name AS ha_url, sensor_id, sensor_type, location_id, location_type, user_id
-FROM sensors JOIN customer ON c_custkey = connection_id WHERE active AND sensor_type <> 'valve'
+FROM sensors JOIN customer ON c_custkey = connection_id WHERE active
 """)
 def connection_batches(spark: SparkSession, d: str) -> DataFrame:
-    """What a poll asks for over every connection: all but the switches."""
-    active = rd.active_sensors(sensors(spark, d), connections(spark, d))
-    return nesting.sensors_by_connection(active.filter(F.col("sensor_type") != "valve"))
+    """What a poll asks for over every connection: all its active sensors."""
+    return nesting.sensors_by_connection(rd.active_sensors(sensors(spark, d), connections(spark, d)))
 
 
 @query(f"""

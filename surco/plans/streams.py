@@ -174,7 +174,7 @@ def run_baseline(spark: SparkSession, d: str) -> tuple[Run, run.StateLog]:
     ticks = job.session.readStream.schema("event_time timestamp, message_id string").parquet(job.path("ticks") + "*")
     state = run.field_state(job.path("state"))
     run.baseline_fields(
-        field_messages(job.events()), ticks, lambda: sensors.parcel_weather(job.session, d), job.path("facts"), state, ntz(AS_OF),
+        field_messages(roles.at_stations(job.events())), ticks, lambda: sensors.parcel_weather(job.session, d), job.path("facts"), state, ntz(AS_OF),
         checkpoint=job.path("checkpoint"),
     ).awaitTermination()
     return job, state

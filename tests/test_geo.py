@@ -11,6 +11,7 @@ from conftest import rows
 from surco.functions import geodesy as g
 from surco.functions.fixed_values import COMPASS
 from surco.operators import geometry as gm, proximity as px
+from surco.plans import geo
 from surco.sources.messages import with_lat_lon
 
 
@@ -141,3 +142,10 @@ def test_prefilter_loses_nothing(spark):
     ).select("a", "b", (F.col("a") + F.col("c") / 100).alias("c"), (F.col("b") + F.col("d") / 100).alias("d"))
     out = df.select(g.geodesic_m("a", "b", "c", "d").alias("e"), g.haversine_m(*[F.col(x) for x in "abcd"]).alias("s"))
     assert out.filter(F.col("s") > F.col("e") * px.MARGIN + 1).count() == 0
+
+
+def test_every_supplier_can_be_a_place_and_every_user_an_aggressor(spark, smallest):
+    places = {r[0] for r in geo.zones(spark, smallest).select("id_place").distinct().collect()}
+    assert places == {str(r[0]) for r in spark.read.parquet(f"{smallest}/supplier.parquet").select("s_suppkey").collect()}
+    aggressors = {int(r[0]) for r in geo.relations(spark, smallest).select("id_agresor").distinct().collect()}
+    assert aggressors == {r[0] for r in spark.read.parquet(f"{smallest}/events.parquet").select("user_id").distinct().collect()}

@@ -1,6 +1,6 @@
 """Windowed averages, baselines, plants and device states on small cases."""
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,6 +73,25 @@ def test_baseline_covers_quiet_parcels_in_every_ticked_window(spark):
     ]
 
 
+def test_spine_has_every_window_from_first_to_last_tick(spark):
+    """Two ticks over two midnights: each window between them is there once per parcel, with or without sensors."""
+    parcels = spark.createDataFrame([(str(i), "u", "n") for i in range(3)], "entity_id string, user_id string, nombre string")
+    for c in ("temperatura", "humedad_ambiental", "precipitacion_mm", "et0", "radiacion_solar"):
+        parcels = parcels.withColumn(c, F.lit(1.0))
+    parcels = parcels.withColumns({c: F.lit("x") for c in ("cultivo", "variedad", "estado_cielo")})
+    first, last = datetime(2024, 1, 1, 23, 20), datetime(2024, 1, 3, 0, 10)
+    ticked = spark.createDataFrame([(first,), (last,)], "timestamp timestamp_ntz")
+    heard = [("1", datetime(2024, 1, 2, 12, 0), "s", 5.0), ("1", datetime(2024, 1, 4), "late", 7.0), ("9", first, "unknown", 7.0)]
+    sensors = spark.createDataFrame([(*h, None, None) for h in heard],
+                                    "entity_id string, timestamp timestamp_ntz, sensor_id string, _temperatura double, _humedad_ambiental double, _humedad_suelo double")
+    out = rows(rd.override_baseline(sensors, ticked, parcels), "parcel_id", "timestamp", "temperatura", "sensor_id")
+    every = [first + timedelta(minutes=10) * i for i in range(150) if first + timedelta(minutes=10) * i <= last]
+    want = [(str(i), t, 5.0 if (i, t.day, t.hour, t.minute) == (1, 2, 12, 0) else 1.0, "s" if (i, t.day, t.hour, t.minute) == (1, 2, 12, 0) else None)
+            for i in range(3) for t in every]
+    assert out == sorted(want, key=lambda r: tuple("" if v is None else str(v) for v in r)) and len(out) == 3 * 150 - 3 * (150 - len(every))
+    assert rd.override_baseline(sensors, ticked.limit(0), parcels).count() == 0
+
+
 def test_fan_out_equals_plain_mean(spark):
     houses = spark.createDataFrame([(1, 7, "g1"), (2, 8, "empty")], "id int, usuario_id int, nombre string")
     plants = spark.createDataFrame(
