@@ -42,19 +42,32 @@ def papers(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def hashed_sql(table: str, keys: str, text: str, dim: int = 64, into: str = "vectors") -> str:
+    """`keys, v`: the vectors of the default model for the texts of a table."""
+    return f"""{into}_codes AS (
+  SELECT {keys}, CAST('0x' || left(md5(w), 8) AS BIGINT) AS code
+  FROM (SELECT {keys}, unnest(string_split(lower({text}), ' ')) AS w FROM {table}) WHERE w <> ''),
+{into}_sums AS (
+  SELECT {keys}, code % {dim} AS bucket, sum(CASE WHEN code >= 2147483648 THEN 1 ELSE -1 END) AS x FROM {into}_codes GROUP BY ALL),
+{into} AS (
+  SELECT {keys}, list_transform(range({dim}), lambda i: CAST(coalesce(map_from_entries(m)[i], 0) AS DOUBLE)) AS v
+  FROM (SELECT {keys}, list((bucket, x)) AS m FROM {into}_sums GROUP BY ALL))"""
+
+
 PATH = "'docs/' || lang || '/' || doc_id || '.pdf'"
 
 
 @query(f"""
-WITH {chunk_sql()}
+WITH {chunk_sql()}, {hashed_sql("chunks", "doc_id, pos", "texto")}
 SELECT sha256({PATH} || chr(31) || pos) AS chunk_id, {PATH} AS doc_path, lang AS cultivo, source AS tipo_doc,
-       CASE WHEN n_chars % 2 = 0 THEN doc_id || '.pdf' ELSE 't' || doc_id END AS titulo, texto, 64 AS dim,
-       TIMESTAMP '{AS_OF}' AS created_at
-FROM chunks
+       CASE WHEN n_chars % 2 = 0 THEN doc_id || '.pdf' ELSE 't' || doc_id END AS titulo, texto,
+       array_to_string([CAST(x AS INTEGER) FOR x IN v], ',') AS vector, TIMESTAMP '{AS_OF}' AS created_at
+FROM chunks JOIN vectors USING (doc_id, pos)
 """)
 def ingest_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks with their vectors, as text."""
     rows = dc.ingest_documents(papers(spark, d), ntz(AS_OF))
-    return rows.withColumn("dim", F.size("embedding")).drop("embedding")
+    return rows.withColumn("vector", F.array_join(F.transform("embedding", lambda x: x.cast("int").cast("string")), ",")).drop("embedding")
 
 
 def indexed(spark: SparkSession, d: str) -> DataFrame:
@@ -155,7 +168,8 @@ MEANS = """cells AS (
 @query(f"""
 WITH {MEANS} m AS (SELECT pos, avg(x) AS m FROM cells GROUP BY pos), q AS (SELECT list(m ORDER BY pos) AS v FROM m)
 SELECT vec_id AS chunk_id, 'doc' || vec_id // 5 AS doc_path, CAST(label AS VARCHAR) AS cultivo, 'texto ' || vec_id AS texto,
-       round(list_cosine_similarity(embedding::DOUBLE[], v), 4) AS score
+       round(list_cosine_similarity(embedding::DOUBLE[], v), 4) AS score,
+       CAST(row_number() OVER (ORDER BY list_cosine_similarity(embedding::DOUBLE[], v) DESC, vec_id) AS INTEGER) AS puesto
 FROM embeddings, q ORDER BY list_cosine_similarity(embedding::DOUBLE[], v) DESC, vec_id LIMIT 10
 """)
 def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -194,7 +208,65 @@ def retrieved_context(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("fuentes", F.array_join("fuentes", ","))
 
 
-@query()
+@query(f"""
+WITH {MEANS} m AS (SELECT pos, avg(x) AS m FROM cells GROUP BY pos), q AS (SELECT list(m ORDER BY pos) AS v FROM m),
+hits AS (
+  SELECT 'doc' || vec_id // 5 AS doc_path, 'texto ' || vec_id AS texto,
+         row_number() OVER (ORDER BY list_cosine_similarity(embedding::DOUBLE[], v) DESC, vec_id) AS puesto
+  FROM embeddings, q QUALIFY puesto <= 10)
+SELECT string_agg(texto, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY puesto) AS resultado,
+       array_to_string(list_sort(list(DISTINCT doc_path)), ',') AS fuentes FROM hits
+""")
+def context_of_one(spark: SparkSession, d: str) -> DataFrame:
+    """The hits of one question, in their rank, as the text that an answer is built on."""
+    chunks = vector_chunks(spark, d)
+    hits = dc.cosine_topk(chunks, mean_vectors(chunks).scalar(), 10).withColumn("titulo", F.lit(""))
+    return dc.retrieved_context(hits).withColumn("fuentes", F.array_join("fuentes", ","))
+
+
+KINDS = 20
+
+
+@query(f"""
+WITH {MEANS} kinds AS (SELECT *, vec_id % {KINDS} AS kind FROM cells),
+m AS (SELECT label, kind, pos, avg(x) AS m FROM kinds GROUP BY ALL),
+q AS (SELECT label, kind, (label + kind) % 3 AS asks, list(m ORDER BY pos) AS v FROM m GROUP BY ALL)
+SELECT q.label * {KINDS} + q.kind AS query_id, vec_id AS chunk_id, 'doc' || vec_id // 5 AS doc_path, CAST(e.label AS VARCHAR) AS cultivo,
+       't' || vec_id % {KINDS} AS tipo_doc, 'texto ' || vec_id AS texto, round(list_cosine_similarity(embedding::DOUBLE[], v), 4) AS score,
+       CAST(row_number() OVER (PARTITION BY q.label, q.kind ORDER BY list_cosine_similarity(embedding::DOUBLE[], v) DESC, vec_id) AS INTEGER) AS puesto
+FROM embeddings e JOIN q ON (asks <> 0 OR q.label = e.label) AND (asks <> 1 OR q.kind = vec_id % {KINDS}) QUALIFY puesto <= 5
+""")
+def cosine_topk_many(spark: SparkSession, d: str) -> DataFrame:
+    """A question per crop and kind: a third of them name the crop, a third the kind, a third neither."""
+    kind = F.col("chunk_id") % KINDS
+    chunks = vector_chunks(spark, d).withColumn("tipo_doc", F.concat(F.lit("t"), kind.cast("string")))
+    means = mean_vectors(chunks.withColumn("kind", kind), "cultivo", "kind")
+    crop = F.col("cultivo").cast("long")
+    asks = (crop + F.col("kind")) % 3
+    queries = means.select(
+        (crop * KINDS + F.col("kind")).alias("query_id"), "vector", F.when(asks == 0, F.col("cultivo")).alias("cultivo"),
+        F.when(asks == 1, F.concat(F.lit("t"), F.col("kind").cast("string"))).alias("tipo_doc"))
+    return dc.cosine_topk_many(chunks, queries, 5)
+
+
+QUESTION = "the of and with"
+
+
+@query(f"""
+WITH {chunk_sql()}, {hashed_sql("chunks", "doc_id, pos", "texto")},
+question AS (SELECT 0 AS one, '{QUESTION}' AS texto), {hashed_sql("question", "one", "texto", into="asked")},
+scored AS (
+  SELECT doc_id, pos, list_dot_product(vectors.v, asked.v) / (sqrt(list_dot_product(vectors.v, vectors.v)) * sqrt(list_dot_product(asked.v, asked.v))) AS cosine
+  FROM vectors, asked),
+ranked AS (
+  SELECT sha256({PATH} || chr(31) || pos) AS chunk_id, {PATH} AS doc_path, lang AS cultivo, source AS tipo_doc,
+         CASE WHEN n_chars % 2 = 0 THEN doc_id || '.pdf' ELSE 't' || doc_id END AS titulo, texto, TIMESTAMP '{AS_OF}' AS created_at,
+         1 - cosine AS distance
+  FROM chunks JOIN scored USING (doc_id, pos))
+SELECT * EXCLUDE (distance), round(1 - distance, 4) AS score,
+       CAST(row_number() OVER (ORDER BY distance NULLS LAST, chunk_id) AS INTEGER) AS puesto
+FROM ranked ORDER BY puesto LIMIT 5
+""")
 def semantic_search(spark: SparkSession, d: str) -> DataFrame:
     """Embed every chunk of every document with the offline model, then search."""
-    return dc.semantic_query(dc.ingest_documents(papers(spark, d), ntz(AS_OF)), "the of and with", 5)
+    return dc.semantic_query(dc.ingest_documents(papers(spark, d), ntz(AS_OF)), QUESTION, 5)

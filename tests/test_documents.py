@@ -146,3 +146,55 @@ def test_error_measures(spark):
     assert got.mae == pytest.approx((2.0 + 0) / 2)
     assert got.rmse == pytest.approx(np.sqrt(5.0) / 2)
     assert got.mape == pytest.approx((0.5 + 0.75) / 2 / 2)
+
+
+@pytest.mark.parametrize("block", [2048, 3])
+def test_many_queries_against_every_pair(spark, monkeypatch, block):
+    """Filters of every kind, copies of one vector, vectors without direction, more queries than a block holds."""
+    import numpy as np
+
+    monkeypatch.setattr(dc, "QUERY_BLOCK", block)
+    rng = np.random.default_rng(3)
+    vectors = [rng.normal(size=4).tolist() for _ in range(60)] + [[1.0, 2.0, 0.5, -1.0]] * 40
+    vectors += [None, [0.0] * 4, [1.0, None, 0.0, 0.0], [float("nan")] * 4, [1.0, 2.0], []]
+    chunks = [(f"c{i:03d}", f"crop{i % 3}" if i % 7 else None, f"t{i % 2}", v) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(chunks, "chunk_id string, cultivo string, tipo_doc string, embedding array<double>").repartition(5)
+    asked = [(i, rng.normal(size=4).tolist() if i % 4 else [1.0, 2.0, 0.5, -1.0], f"crop{i % 4}" if i % 3 == 0 else None, f"t{i % 2}" if i % 3 == 1 else None)
+             for i in range(12)] + [(90, None, None, None), (91, [0.0] * 4, None, None), (92, [3.0, 1.0], None, None)]
+    queries = spark.createDataFrame(asked, "query_id long, vector array<double>, cultivo string, tipo_doc string")
+    want = []
+    for q, v, crop, kind in asked:
+        hits = []
+        for c, at, of, e in chunks:
+            fits = (crop is None or crop == at) and (kind is None or kind == of)
+            if not fits:
+                continue
+            if not v or not e or None in e or len(e) != len(v) or not np.isfinite(e).all() or not any(e) or not any(v):
+                hits.append((2.0, c))
+                continue
+            a, b = np.array(e) / np.linalg.norm(e), np.array(v) / np.linalg.norm(v)
+            hits.append((-round(float((a * b).sum()), 12), c))
+        want += [(q, i + 1, c, None if s == 2.0 else round(-s, 4)) for i, (s, c) in enumerate(sorted(hits)[:4])]
+    out = dc.cosine_topk_many(df, queries, 4)
+    assert sorted((r.query_id, r.puesto, r.chunk_id, r.score) for r in out.collect()) == sorted(want)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    assert dc.cosine_topk_many(df, queries.limit(0), 4).count() == 0 and dc.cosine_topk_many(df.limit(0), queries, 4).count() == 0
+
+
+def test_default_vectors_by_hand():
+    import hashlib
+
+    texts = ["Uno dos  UNO", "", "ñandú\tdos", "  "]
+    for text, got in zip(texts, dc.hashed_vectors(16)(texts)):
+        want = [0.0] * 16
+        for word in text.lower().split():
+            code = int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
+            want[code % 16] += 1 if code >= 2**31 else -1
+        assert got.tolist() == want
+
+
+def test_hits_of_one_question_carry_their_rank(spark):
+    hits = dc.cosine_topk(store(spark), [1.0, 0.0], 3)
+    assert [r.puesto for r in hits.orderBy("puesto").collect()] == [1, 2, 3]
+    context = dc.retrieved_context(hits.withColumn("titulo", F.lit(""))).collect()
+    assert context[0].resultado.split("\n\n---\n\n") == [r.texto for r in hits.orderBy("puesto").collect()]
