@@ -60,8 +60,8 @@ def hold(spark: SparkSession, path: str, folder: str, key: str, text: str, diges
     return state.select("digest", "size", "holder.*")
 
 
-def _checked(rows: DataFrame, held: DataFrame, partitions: int) -> DataFrame:
-    """`id, sha, digest, file, row, keep_id, group_size, kept, same`; `same` if the bytes are those of the text that the state names.
+def _seen(rows: DataFrame, held: DataFrame, partitions: int) -> DataFrame:
+    """Each row with what the state holds of its digest, and its text if the digest occurs twice.
 
     A digest with more than an even partition's rows is dealt into pieces of that
     size. Fewer digests than there are partitions can be so frequent, so their
@@ -72,14 +72,22 @@ def _checked(rows: DataFrame, held: DataFrame, partitions: int) -> DataFrame:
     frequent = held.filter(F.col("size") > even).select("digest", pieces.alias("pieces"))
     piece = F.coalesce(F.pmod(F.xxhash64("file", "row"), "pieces"), F.lit(0)).cast("int")
     dealt = rows.join(F.broadcast(frequent), "digest", "left").withColumn("piece", piece).drop("pieces")
-    each = F.explode(F.sequence(F.lit(0), pieces - 1))
-    answers = held.select("digest", each.alias("piece"), "size", *[F.col(c).alias(f"held_{c}") for c in ("id", "file", "row")])
+    answers = held.select(
+        "digest", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"), "size", pieces.alias("pieces"),
+        *[F.col(c).alias(f"held_{c}") for c in ("id", "file", "row")])
     seen = dealt.join(answers, ["digest", "piece"])
     is_held = (F.col("file") == F.col("held_file")) & (F.col("row") == F.col("held_row"))
-    texts = seen.filter(is_held & (F.col("size") > 1)).select("digest", each.alias("piece"), F.col("body").alias("held_body"))
-    same = (F.col("size") == 1) | (F.col("body") == F.col("held_body"))
-    return seen.join(texts, ["digest", "piece"], "left").select(
-        "id", "sha", "digest", "file", "row", F.col("held_id").alias("keep_id"), F.col("size").alias("group_size"), is_held.alias("kept"), same.alias("same"))
+    return seen.withColumn("body", F.when(F.col("size") > 1, F.col("body"))).withColumn("kept", is_held).drop("held_file", "held_row")
+
+
+def _checked(seen: DataFrame) -> DataFrame:
+    """`id, sha, digest, file, row, keep_id, group_size, kept, same`; `same` if the bytes are those of the text that the state names."""
+    texts = seen.filter(F.col("kept") & (F.col("size") > 1)).select(
+        "digest", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.col("body").alias("held_body"))
+    names = ["id", "sha", "digest", "file", "row", F.col("held_id").alias("keep_id"), F.col("size").alias("group_size"), "kept"]
+    hits = seen.filter(F.col("size") > 1).join(texts, ["digest", "piece"])
+    once = seen.filter(F.col("size") == 1).select(*names, F.lit(True).alias("same"))
+    return once.unionByName(hits.select(*names, (F.col("body") == F.col("held_body")).alias("same")))
 
 
 def _regrouped(checked: DataFrame, rows: DataFrame) -> DataFrame:
@@ -113,7 +121,7 @@ def deduplicate(
     then be the same, an even number. Without it the state goes at the end.
     """
     own = f"{shared_folder(spark)}/surco-{uuid.uuid4().hex}"
-    held_at, checked_at = f"{own}/held", f"{own}/checked"
+    held_at, seen_at, checked_at = f"{own}/held", f"{own}/seen", f"{own}/checked"
     state_at = folder or f"{own}/state"
     hold(spark, path, state_at, key, text, digest_chars, batch_bytes).write.parquet(held_at)
     if folder is None:
@@ -123,8 +131,10 @@ def deduplicate(
         kind = spark.read.parquet(path).schema[key].dataType.simpleString()
         return spark.createDataFrame([], f"`{key}` {kind}, keep_id {kind}, group_size long, kept boolean, text_sha256 string")
     rows = _rows(spark.read.parquet(path), key, text, digest_chars)
-    _checked(rows, held, int(spark.conf.get("spark.sql.shuffle.partitions"))).write.parquet(checked_at)
+    _seen(rows, held, int(spark.conf.get("spark.sql.shuffle.partitions"))).write.parquet(seen_at)
     removed(spark, held_at)
+    _checked(spark.read.parquet(seen_at)).write.parquet(checked_at)
+    removed(spark, seen_at)
     checked = spark.read.parquet(checked_at)
     named: list[Column] = [F.col("id").alias(key), F.col("keep_id"), F.col("group_size"), F.col("kept"), F.col("sha").alias("text_sha256")]
     if checked.filter(~F.col("same")).isEmpty():

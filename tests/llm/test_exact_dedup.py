@@ -71,5 +71,6 @@ def test_no_python_in_the_plan(spark, corpus, tmp_path):
     corpus.write.parquet(str(tmp_path / "docs"))
     path = str(tmp_path / "docs")
     held = exact_dedup.hold(spark, path, str(tmp_path / "state"), "doc_id", "text", 64, 1 << 30)
-    plan = exact_dedup._checked(exact_dedup._rows(spark.read.parquet(path), "doc_id", "text", 64), held, 3)._jdf.queryExecution().toString()
+    seen = exact_dedup._seen(exact_dedup._rows(spark.read.parquet(path), "doc_id", "text", 64), held, 3)
+    plan = exact_dedup._checked(seen)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
