@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import ine_code, ntz
+from ..functions.fixed_values import SOURCE_HISTORY
 from ..operators import balance, forecast as fc, weather
 from ..operators.tables import keep_last
 from ..sources import weather as ws
@@ -442,38 +443,163 @@ def daily_series(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- forecasting ----------------------------------------------------------
 
+HISTORY_END = "1998-01-01"
+
+
 def nation_series(spark: SparkSession, d: str) -> DataFrame:
-    """One daily series per nation: reduced to a row per day before any fitting."""
+    """One daily series per nation: reduced to a row per day before any fitting; days from 1998 on are no history."""
     orders = load(spark, d, "orders").join(
         load(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey"
     )
     daily = orders.groupBy(
         F.col("c_nationkey").cast("string").alias("parcela_id"), F.to_date("o_orderdate").alias("fecha")
     ).agg(
-        (F.avg("o_totalprice") / 50000).alias("et0_mm"),
-        (F.max("o_totalprice") / 100000).alias("precipitacion_mm"),
+        (F.avg("o_totalprice") / 50021).alias("et0_mm"),
+        F.when(F.max("o_orderpriority") != "5-LOW", F.max("o_totalprice") / 100003).alias("precipitacion_mm"),
     )
-    return fc.training_series(daily, source=None)
+    history = F.when(F.col("fecha") < HISTORY_END, F.lit(SOURCE_HISTORY)).otherwise(F.lit("prevision"))
+    return fc.training_series(daily.withColumn("fuente", history))
 
 
-@query()
+TRAINING = f"""diario AS (
+  SELECT CAST(c_nationkey AS VARCHAR) AS parcela_id, CAST(o_orderdate AS DATE) AS fecha, avg(o_totalprice) / 50021 AS et0_mm,
+         CASE WHEN max(o_orderpriority) <> '5-LOW' THEN max(o_totalprice) / 100003 END AS precipitacion_mm,
+         CASE WHEN CAST(o_orderdate AS DATE) < DATE '{HISTORY_END}' THEN '{SOURCE_HISTORY}' ELSE 'prevision' END AS fuente
+  FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL),
+serie AS (
+  SELECT parcela_id, 'et0' AS target, fecha AS ds, et0_mm AS y FROM diario WHERE fuente = '{SOURCE_HISTORY}' AND et0_mm IS NOT NULL
+  UNION ALL
+  SELECT parcela_id, 'precip', fecha, precipitacion_mm FROM diario WHERE fuente = '{SOURCE_HISTORY}' AND precipitacion_mm IS NOT NULL)"""
+
+
+@query(f"WITH {TRAINING} SELECT parcela_id, target, ds, round(y, 6) AS y FROM serie")
+def training_rows(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(nation_series(spark, d))
+
+
+def features_sql(mode: str) -> list[str]:
+    """The features of the closed-form model of day `d`, counted from 1970."""
+    t = f"((d - {fc.DAY_ZERO}) / {fc.YEAR})"
+    waves = [f"{f}(2 * pi() * (d / {fc.YEAR}) * {h})" for f in ("cos", "sin") for h in range(1, fc.WAVES + 1)]
+    return ["1.0", t, *waves, *([f"{w} * {t}" for w in waves] if mode == "multiplicative" else [])]
+
+
+def fit_sql(name: str, rows: str, keys: str, mode: str) -> str:
+    """`{name}(keys, b0, b1, ..., spread)`: least squares of `rows(keys, d, y)` by elimination, one pivot a step."""
+    x = features_sql(mode)
+    n = range(len(x))
+    parts = [f"{name}_x AS (SELECT {keys}, y, {', '.join(f'{e} AS f{i}' for i, e in enumerate(x))} FROM {rows})"]
+    sums = [f"sum(f{i} * f{j}){f' + {fc.RIDGE}' if i == j else ''} AS a{i}_{j}" for i in n for j in n if i <= j]
+    sums += [f"sum(f{i} * y) AS r{i}, sum(f{i} * y) AS o{i}" for i in n]
+    parts.append(f"{name}_0 AS (SELECT {keys}, sum(y * y) AS yy, count(*) AS n, {', '.join(sums)} FROM {name}_x GROUP BY ALL)")
+    for k in n[:-1]:
+        step = [f"a{i}_{j} - a{k}_{i} * a{k}_{j} / a{k}_{k} AS a{i}_{j}" for i in n for j in n if k < i <= j]
+        step += [f"r{i} - a{k}_{i} * r{k} / a{k}_{k} AS r{i}" for i in n if i > k]
+        parts.append(f"{name}_{k + 1} AS MATERIALIZED (SELECT * REPLACE ({', '.join(step)}) FROM {name}_{k})")
+    last = f"{name}_{len(x) - 1}"
+    for k in reversed(n):
+        rest = "".join(f" - a{k}_{j} * b{j}" for j in n if j > k)
+        parts.append(f"{name}_b{k} AS MATERIALIZED (SELECT *, (r{k}{rest}) / a{k}_{k} AS b{k} FROM {last})")
+        last = f"{name}_b{k}"
+    left = f"yy{''.join(f' - b{i} * o{i} - {fc.RIDGE} * b{i} * b{i}' for i in n)}"
+    parts.append(f"{name} AS (SELECT {keys}, {', '.join(f'b{i}' for i in n)}, sqrt(greatest(0, {left}) / n) AS spread FROM {last})")
+    return ", ".join(parts)
+
+
+def value_sql(mode: str) -> str:
+    return " + ".join(f"b{i} * {e}" for i, e in enumerate(features_sql(mode)))
+
+
+DAYS = "datediff('day', DATE '1970-01-01', ds) AS d"
+MODES = {t: (mode, log) for t, (_, mode, log) in fc.TARGETS.items()}
+
+
+def logged(target: str) -> str:
+    return "ln(1 + y)" if MODES[target][1] else "y"
+
+
+FORECAST_SQL = f"WITH {TRAINING}" + "".join(f""", {t}_rows AS (SELECT parcela_id, {DAYS}, {logged(t)} AS y FROM serie WHERE target = '{t}'),
+{fit_sql(t, f'{t}_rows', 'parcela_id', mode)},
+{t}_days AS (SELECT parcela_id, unnest(range(max(d) + 1, max(d) + 15)) AS d FROM {t}_rows GROUP BY 1),
+{t}_middle AS (SELECT parcela_id, '{t}' AS target, DATE '1970-01-01' + CAST(d AS INTEGER) AS fecha, {value_sql(mode)} AS m, spread * {fc.QUARTILE} AS s
+  FROM {t}_days JOIN {t} USING (parcela_id)),
+{t}_out AS (
+  SELECT parcela_id, target, fecha, {', '.join(f"round(greatest(0, {'exp(%s) - 1' if log else '%s'}), 2) AS {c}" % e for c, e in (('p50', 'm'), ('p25', 'm - s'), ('p75', 'm + s')))}
+  FROM {t}_middle)""" for t, (mode, log) in MODES.items())
+
+
+@query(FORECAST_SQL + "".join(f"{' UNION ALL' if i else ''} SELECT * FROM {t}_out" for i, t in enumerate(MODES)))
 def seasonal_forecast(spark: SparkSession, d: str) -> DataFrame:
-    return fc.fit_predict(nation_series(spark, d))
+    """The closed form over every nation's history; SQL solves the same equations."""
+    return fc.moment_forecast(nation_series(spark, d))
 
 
-@query()
+CUTS = """cortes AS (
+  SELECT parcela_id, target, unnest(range(0, (ultimo - primero - 1825) // 90 + 1)) AS paso, ultimo
+  FROM (SELECT parcela_id, target, min(ds) AS primero, max(ds) - 14 AS ultimo FROM serie GROUP BY 1, 2) WHERE ultimo - primero >= 1825),
+pruebas AS (
+  SELECT c.parcela_id, c.target, ultimo - CAST(paso * 90 AS INTEGER) AS corte, ds, CAST(ds - corte AS INTEGER) AS horizonte, y
+  FROM cortes c JOIN serie s ON s.parcela_id = c.parcela_id AND s.target = c.target AND ds > ultimo - CAST(paso * 90 AS INTEGER)
+    AND ds <= ultimo - CAST(paso * 90 AS INTEGER) + 14)"""
+
+
+@query(f"WITH {TRAINING}, {CUTS} SELECT * REPLACE (round(y, 6) AS y) FROM pruebas")
+def walk_forward_rows(spark: SparkSession, d: str) -> DataFrame:
+    """What a walk-forward validation has to predict: cutoff, day, horizon and actual value."""
+    return rounded(fc.walk_forward_rows(nation_series(spark, d)))
+
+
+WALKED = f"WITH {TRAINING}, {CUTS}" + "".join(f""", {t}_rows AS (
+  SELECT c.parcela_id, c.corte, {DAYS}, {logged(t)} AS y FROM (SELECT DISTINCT parcela_id, corte FROM pruebas WHERE target = '{t}') c
+  JOIN serie s ON s.parcela_id = c.parcela_id AND s.target = '{t}' AND ds <= corte),
+{fit_sql(t, f'{t}_rows', 'parcela_id, corte', mode)},
+{t}_out AS (
+  SELECT p.*, {logged(t)} AS actual, {value_sql(mode)} AS yhat, spread * {fc.QUARTILE} AS s
+  FROM (SELECT *, {DAYS} FROM pruebas WHERE target = '{t}') p JOIN {t} USING (parcela_id, corte))""" for t, (mode, _) in MODES.items()) + """,
+andado AS (SELECT parcela_id, target, corte, ds, horizonte, actual AS y, yhat, yhat - s AS yhat_lower, yhat + s AS yhat_upper FROM (""" + " UNION ALL ".join(
+    f"SELECT * FROM {t}_out" for t in MODES) + "))"
+
+
+@query(WALKED + " SELECT * REPLACE (" + ", ".join(f"round({c}, 6) AS {c}" for c in ("y", "yhat", "yhat_lower", "yhat_upper")) + ") FROM andado")
+def walk_forward_predictions(spark: SparkSession, d: str) -> DataFrame:
+    """Every predicted day of every cutoff: series, cutoff and target are rows, fitted from running sums."""
+    return rounded(fc.moment_walk_forward(nation_series(spark, d)))
+
+
+@query(WALKED + """,
+per AS (
+  SELECT parcela_id, target, horizonte, avg(abs(y - yhat)) AS mae, sqrt(avg((y - yhat) * (y - yhat))) AS rmse, avg(abs((y - yhat) / y)) AS mape
+  FROM andado GROUP BY ALL)
+SELECT parcela_id, target, round(avg(mae), 6) AS mae, round(avg(rmse), 6) AS rmse, round(avg(mape), 6) AS mape FROM per GROUP BY ALL
+""")
 def walk_forward_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return fc.forecast_errors(fc.walk_forward(nation_series(spark, d)), ("parcela_id", "target"))
+    return rounded(fc.forecast_errors(fc.moment_walk_forward(nation_series(spark, d)), ("parcela_id", "target")))
 
 
-@query()
+def scenario_sql(name: str, e: str, r: str) -> str:
+    need = f"round(e.{e} * kc, 2)"
+    return f"{need} AS etc_{name}, CASE WHEN r.{r} IS NOT NULL THEN round(greatest({need} - r.{r}, 0), 2) END AS deficit_{name}"
+
+
+@query(FORECAST_SQL + f""", factor AS (SELECT CAST(n_nationkey AS VARCHAR) AS parcela_id, (n_regionkey + 7) / 9.83 AS kc FROM nation)
+SELECT e.parcela_id, e.fecha, round(kc, 6) AS kc, {scenario_sql('pesimista', 'p75', 'p25')}, {scenario_sql('neutro', 'p50', 'p50')},
+       {scenario_sql('optimista', 'p25', 'p75')}
+FROM et0_out e JOIN factor USING (parcela_id) LEFT JOIN precip_out r USING (parcela_id, fecha)
+""")
 def seasonal_scenarios(spark: SparkSession, d: str) -> DataFrame:
     """Fitted quantiles of both targets to scenarios, end to end."""
-    predicted = fc.fit_predict(nation_series(spark, d))
+    predicted = fc.moment_forecast(nation_series(spark, d))
     kc = load(spark, d, "nation").select(
-        F.col("n_nationkey").cast("string").alias("parcela_id"), ((F.col("n_regionkey") + 7) / 10).alias("kc")
+        F.col("n_nationkey").cast("string").alias("parcela_id"), ((F.col("n_regionkey") + 7) / 9.83).alias("kc")
     )
-    return balance.scenario_columns(fc.quantiles_wide(predicted), kc)
+    wide = fc.quantiles_wide(predicted).filter(F.col("et0_p50").isNotNull())
+    return rounded(balance.scenario_columns(wide, kc))
+
+
+@query()
+def fitted_forecast(spark: SparkSession, d: str) -> DataFrame:
+    """The iterative model with changes of trend and ten waves."""
+    return fc.fit_predict(nation_series(spark, d))
 
 
 @query("""
