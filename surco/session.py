@@ -26,6 +26,12 @@ def build_session(name: str = "surco", master: str | None = None, **extra: str)
     return builder.getOrCreate()
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing needs any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 

@@ -20,16 +20,29 @@ def kafka_messages(spark: SparkSession, servers: str, topic: str, starting: str
         .options(**options)
         .load()
     )
-    headers = F.transform("headers", lambda h: F.struct(h["key"], h["value"].cast("string")))
     place = F.concat_ws(":", "topic", "partition", F.lpad(F.col("offset").cast("string"), 20, "0"))
     return raw.select(
-        F.map_from_entries(F.coalesce(headers, F.expr("array()").cast("array<struct<key:string,value:string>>"))).alias("attrs"),
+        header_map("headers").alias("attrs"),
         F.col("value").alias("data"),
         F.col("timestamp").alias("publish_ts"),
         place.alias("message_id"),
     )
 
 
+def header_map(headers: str) -> Column:
+    """Headers (key, value as bytes) as attributes: of a repeated key the last value counts, a header without key not at all.
+
+    No headers give an empty map, so that a message of another kind still passes.
+    """
+    kind = "array<struct<key:string,value:string>>"
+    named = F.filter(F.coalesce(F.transform(headers, lambda h: F.struct(h["key"].alias("key"), h["value"].cast("string").alias("value"))), F.array().cast(kind)),
+                     lambda h: h["key"].isNotNull())
+    keys = F.transform(named, lambda h: h["key"])
+    # A header stays if its key does not come again behind it.
+    last = F.filter(named, lambda h, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), h["key"]))
+    return F.map_from_entries(last)
+
+
 def file_messages(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """Unbounded messages landed as parquet files of the same columns."""
     reader = spark.readStream.schema(schemas.MESSAGE)

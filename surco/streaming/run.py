@@ -9,6 +9,7 @@ facts are appended and latest values stored, all repeatable by batch number.
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.columns import ntz
 from ..functions.fixed_values import METRICS
 from ..operators import proximity, readings as rd, weather
-from ..session import shared_folder
+from ..session import removed, shared_folder
 from ..sources.messages import parse_messages
 from ..sources.tables import append_facts
 from .state import StateLog
@@ -36,15 +37,17 @@ class Refreshed:
     """A dimension that is loaded again once it is older than its interval.
 
     It is loaded before the first use, so nothing runs against an empty
-    dimension. A load reads all rows and keeps them, cut from their source by a
-    checkpoint in the shared folder; one that fails, also while reading, leaves
-    the last good rows in place and counts in `failures`.
+    dimension. A load reads all rows and writes them to the shared folder; one
+    that fails, also while reading, leaves the last good rows in place and counts
+    in `failures`. The last two loads stay, so a batch that began with the former
+    one can end; older ones are removed.
     """
 
     def __init__(self, load: Load, seconds: float, clock: Callable[[], float] = time.monotonic) -> None:
         self._load, self._seconds, self._clock = load, seconds, clock
         self._held: DataFrame | None = None
         self._at = 0.0
+        self._folders: list[str] = []
         self.failures = 0
 
     def get(self) -> DataFrame:
@@ -60,10 +63,17 @@ class Refreshed:
 
     def _snapshot(self) -> DataFrame:
         rows = self._load()
-        context = rows.sparkSession.sparkContext
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(shared_folder(rows.sparkSession))
-        return rows.checkpoint()
+        spark = rows.sparkSession
+        path = f"{shared_folder(spark)}/dimension-{uuid.uuid4().hex}"
+        try:
+            rows.write.parquet(path)
+        except Exception:
+            removed(spark, path)
+            raise
+        self._folders.append(path)
+        while len(self._folders) > 2:
+            removed(spark, self._folders.pop(0))
+        return spark.read.schema(rows.schema).parquet(path)
 
 
 def watermarked(stream: DataFrame, delay: str = "0 seconds") -> DataFrame:

@@ -4,6 +4,11 @@ Each batch writes only the keys it touched, into a folder named by its number.
 A batch that runs again after a failure overwrites its own folder, so every
 change counts once. Reading merges the newest compacted base with the batches
 after it; folders without a success mark are left out.
+
+What a base covers is removed one compaction later: the last two bases and the
+batches after the older one stay, so a reader that began before a compaction
+finds all it listed, and a base that was cut off can be done without. However
+long a stream runs, it leaves two bases and two intervals of batches.
 """
 
 from __future__ import annotations
@@ -14,11 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.tables import merge_latest
+from ..session import removed
 
 
 class StateLog:
+    """`compact_every` None leaves compaction to a job of its own, which calls `compact` while the stream runs on."""
+
     def __init__(self, path: str, keys: Sequence[str], update: Sequence[str], order: Sequence[str],
-                 skip_nulls: bool = False, compact_every: int = 100) -> None:
+                 skip_nulls: bool = False, compact_every: int | None = 100) -> None:
         self.path = path.rstrip("/")
         self.keys = list(keys)
         self.update = list(update)
@@ -33,7 +41,7 @@ class StateLog:
         first; this one may still be run again.
         """
         spark = changes.sparkSession
-        if batch and batch % self.compact_every == 0:
+        if self.compact_every and batch and batch % self.compact_every == 0:
             self.compact(spark, batch - 1)
         rows = merge_latest(None, changes, self.keys, self.update, self.order, skip_nulls=self.skip_nulls)
         rows.write.mode("overwrite").parquet(f"{self.path}/log/lote={batch}")
@@ -52,10 +60,21 @@ class StateLog:
         return merge_latest(None, rows, self.keys, self.update, ["lote"], skip_nulls=self.skip_nulls)
 
     def compact(self, spark: SparkSession, up_to: int | None = None) -> None:
-        """Write the merged state as a new base; readers take it once it is complete."""
-        done = [n for n in self._finished(spark, "log") if up_to is None or n <= up_to]
-        if done:
-            self.read(spark, max(done)).write.mode("overwrite").parquet(f"{self.path}/base/lote={max(done)}")
+        """Write the merged state as a new base, which readers take once it is complete, and remove what the base before it covers.
+
+        Beside a running stream, pass the number of a batch that will not be run again.
+        """
+        bases = self._finished(spark, "base")
+        done = [n for n in self._finished(spark, "log") if n > max(bases, default=-1) and (up_to is None or n <= up_to)]
+        if not done:
+            return
+        self.read(spark, max(done)).write.mode("overwrite").parquet(f"{self.path}/base/lote={max(done)}")
+        if bases:
+            for n in bases[:-1]:
+                removed(spark, f"{self.path}/base/lote={n}")
+            for n in self._finished(spark, "log"):
+                if n <= bases[-1]:
+                    removed(spark, f"{self.path}/log/lote={n}")
 
     def _folder(self, spark: SparkSession, kind: str, batches: list[int]) -> DataFrame:
         paths = [f"{self.path}/{kind}/lote={n}" for n in batches]

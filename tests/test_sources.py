@@ -138,3 +138,14 @@ def test_property_spellings_and_defaults(spark):
 def test_declared_schemas_parse(spark, name):
     ddl = getattr(schemas, name)
     spark.createDataFrame([], ddl if not ddl.startswith("map") else f"m {ddl}")
+
+
+def test_headers_may_repeat_or_lack_a_key(spark):
+    from surco.sources.messages import header_map
+
+    def header(k, v):
+        return (k, None if v is None else bytearray(v.encode()))
+
+    rows_ = [([header("a", "1"), header("b", "2"), header("a", "3")],), ([header(None, "x"), header("a", None), header(None, "y")],), ([],), (None,)]
+    df = spark.createDataFrame(rows_, "headers array<struct<key: string, value: binary>>")
+    assert [r[0] for r in df.select(header_map("headers")).collect()] == [{"b": "2", "a": "3"}, {"a": None}, {}, {}]

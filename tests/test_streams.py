@@ -171,6 +171,42 @@ def test_state_log_compacts_itself_and_skips_unfinished_folders(spark, tmp_path)
     assert rows(log.read(spark)) == [(0, 6, 0), (1, 5, 1), (9, 6, None)]
 
 
+def test_state_log_stays_bounded(spark, tmp_path):
+    """Forty batches leave two bases and what came since the older one; a reader from before a compaction still finds its folders."""
+    log = StateLog(str(tmp_path / "s"), ["k"], ["v"], ["t"], compact_every=5)
+    before = None
+    for batch in range(40):
+        log.write(spark.createDataFrame([(batch % 7, batch, 1)], "k int, v int, t int"), batch)
+        if batch == 34:
+            before = log.read(spark)  # planned before the compaction that batch 35 brings
+    assert sorted(int(p.name.split("=")[1]) for p in (tmp_path / "s" / "base").iterdir()) == [29, 34]
+    assert sorted(int(p.name.split("=")[1]) for p in (tmp_path / "s" / "log").iterdir()) == list(range(30, 40))
+    assert rows(before) == sorted((k, max(b for b in range(35) if b % 7 == k)) for k in range(7))
+    assert rows(log.read(spark)) == sorted((k, max(b for b in range(40) if b % 7 == k)) for k in range(7))
+
+
+def test_compaction_by_a_job_of_its_own(spark, tmp_path):
+    log = StateLog(str(tmp_path / "s"), ["k"], ["v"], ["t"], compact_every=None)
+    for batch in range(6):
+        log.write(spark.createDataFrame([(1, batch, 1)], "k int, v int, t int"), batch)
+        if batch in (2, 4):
+            log.compact(spark, batch - 1)
+    assert sorted(p.name for p in (tmp_path / "s" / "base").iterdir()) == ["lote=1", "lote=3"]
+    assert sorted(p.name for p in (tmp_path / "s" / "log").iterdir()) == ["lote=2", "lote=3", "lote=4", "lote=5"]
+    log.compact(spark, 3)  # nothing new
+    assert rows(log.read(spark)) == [(1, 5)]
+
+
+def test_refresh_keeps_two_loads(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(run, "shared_folder", lambda session: str(tmp_path / "shared"))
+    now = [0.0]
+    held = run.Refreshed(lambda: spark.range(int(now[0]) + 1), 1, lambda: now[0])
+    for t in range(6):
+        now[0] = float(2 * t)
+        known = held.get()
+    assert known.count() == 11 and len(list((tmp_path / "shared").iterdir())) == 2
+
+
 def test_quarantine_holds_broken_messages(spark, tmp_path):
     bad = [message(1, 1, body="{"), message(2, 2, body='["x"]'), (None, bytearray(b'{"valor": 1}'), START, "3"),
            ({"entity_id": "1"}, bytearray(b"\xff\xfe"), START, "4"), message(5, 5, value=None)]
