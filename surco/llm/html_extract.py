@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import in_parts
+
 # Elements that begin a new block of text.
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer "
@@ -144,23 +146,34 @@ def fit_weights(pages: Iterable[str | None], least: float = 0.02, most: float =
     return out
 
 
-def main_text(page: str | None, weights: dict[str, float]) -> str:
-    """The blocks of the best region, in page order, joined by an empty line; "" where nothing scores above 0."""
-    if not page:
-        return ""
-    row = events(page)
+def best_region(scores: Iterable[float]) -> tuple[float, int, int]:
+    """The greatest sum of neighbouring scores, and the first and last of them; (0, 0, -1) where no sum is above 0."""
     best, best_from, best_to, total, begin = 0.0, 0, -1, 0.0, 0
-    for i, (feature, _, text, _) in enumerate(row):
-        kind = feature.partition(":")[0]
-        score = weights.get(feature, DEFAULT[kind]) * (len(text.split()) if kind == "word" else 1)
+    for i, score in enumerate(scores):
         if total <= 0:
             total, begin = 0.0, i
         total += score
         if total > best:
             best, best_from, best_to = total, begin, i
-    if best_to < 0:
+    return best, best_from, best_to
+
+
+def scored(row: list[tuple[str, int, str, bool]], weights: dict[str, float]) -> Iterable[float]:
+    """Words score by their number, tags and skipped parts once."""
+    for feature, _, text, _ in row:
+        kind = feature.partition(":")[0]
+        yield weights.get(feature, DEFAULT[kind]) * (len(text.split()) if kind == "word" else 1)
+
+
+def main_text(page: str | None, weights: dict[str, float]) -> str:
+    """The blocks of the best region, in page order, joined by an empty line; "" where nothing scores above 0."""
+    if not page:
+        return ""
+    row = events(page)
+    _, first, last = best_region(scored(row, weights))
+    if last < 0:
         return ""
-    low, high = row[best_from][1], row[best_to][1]
+    low, high = row[first][1], row[last][1]
     blocks: dict[int, list[str]] = {}
     for _, block, text, _ in row:
         if text and low <= block <= high:
@@ -190,11 +203,10 @@ def extract(
     schema = df.select(key, url).schema.add("text", "string").add("n_chars", "long")
 
     def run(batches):
-        for batch in batches:
+        for batch in in_parts(batches, 2):
             texts = [main_text(p, weights) for p in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=[key, url, "text", "n_chars"])
 
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     return df.select(key, url, page).mapInArrow(run, schema)
