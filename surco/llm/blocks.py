@@ -12,22 +12,28 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KEYS = "block long, part int, keys binary, counts binary"
 ANSWERS = "block long, kind int, part int, answer binary"
 
 
-def sizes(spark: SparkSession) -> tuple[int, int, int]:
-    """Partitions, blocks and ranges of keys for this session; more partitions make smaller blocks."""
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return partitions, 2 * partitions, 1 << (partitions - 1).bit_length()
+# Text of a block, which one task holds at a time with the keys of its windows or tokens: BLOCK_BYTES, and more only
+# where there would be more than MANY of them, up to MOST_BYTES. A range of keys answers for RANGE_BYTES of text.
+BLOCK_BYTES, MANY, MOST_BYTES, RANGE_BYTES = 8 << 20, 4096, 64 << 20, 16 << 20
 
 
-def dealt(df: DataFrame, key: str, text: str, carry: tuple[str, ...] = ()) -> DataFrame:
+def sizes(df: DataFrame, text: str) -> tuple[int, int, int]:
+    """Shuffle partitions, blocks and ranges of keys: the last two follow from the bytes of text, whatever the partitions."""
+    whole = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    block = min(max(BLOCK_BYTES, whole // MANY), max(BLOCK_BYTES, MOST_BYTES))
+    ranges = max(1, -(-whole // RANGE_BYTES))
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), max(1, -(-whole // block)), 1 << (ranges - 1).bit_length()
+
+
+def dealt(df: DataFrame, key: str, text: str, partitions: int, blocks: int, carry: tuple[str, ...] = ()) -> DataFrame:
     """Columns block, key and text, dealt by block, and a struct of those to carry; every later step meets the documents in these partitions."""
-    partitions, blocks, _ = sizes(df.sparkSession)
     others = [c for c in carry if c != text]
     # The text itself is carried once.
     rest = [F.struct(*[F.col(c) if c in others else F.lit(None).cast("string").alias(c) for c in carry]).alias("carried")] if carry else []

@@ -17,13 +17,17 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from .words import in_parts
+
 NONE = np.int64(1) << 62
 # Pieces whose ids a worker remembers; beyond it only those met since then stay.
 REMEMBERED = 250_000
+# Rows of ids decoded at once.
+IDS_AT_ONCE = 512
 # Trees that are merged together: positions in all of them.
 TOGETHER = 1 << 18
 
@@ -253,7 +257,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
 
     def run(batches):
         ranks, cut = ranks_of(path), pattern_of(pattern)
-        for batch in batches:
+        for batch in in_parts(batches, kept.index(text)):
             ids = [np.frombuffer(b, "<i4") for b in ranks.encode(batch.column(kept.index(text)).to_pylist(), cut)]
             ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
             flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
@@ -274,7 +278,7 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded
 
     def run(batches):
         ranks = ranks_of(path)
-        for batch in batches:
+        for batch in (b.slice(i, IDS_AT_ONCE) for b in batches for i in range(0, len(b), IDS_AT_ONCE)):
             rows = [None if x is None else b"".join(map(ranks.tokens.__getitem__, x)) for x in batch.column(kept.index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.binary())], names=[*kept, out])
 
@@ -287,7 +291,7 @@ def digests(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: s
 
     def run(batches):
         ranks, cut = ranks_of(path), pattern_of(pattern)
-        for batch in batches:
+        for batch in in_parts(batches, 1):
             ids = list(ranks.encode(batch.column(1).to_pylist(), cut))
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()),
@@ -295,10 +299,4 @@ def digests(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: s
                 pa.array([hashlib.sha256(ranks.decode(x)).hexdigest() for x in ids]),
             ], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return small_batches(df.sparkSession, df.select(F.col(key), F.col(text))).mapInArrow(run, schema)
-
-
-def small_batches(spark: SparkSession, df: DataFrame, rows: int = 512) -> DataFrame:
-    """Texts go to Python a few hundred at a time, whatever their length."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df
+    return df.select(F.col(key), F.col(text)).mapInArrow(run, schema)

@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .links import components, kept
-from .words import Words, mix, rolling
+from .links import arrow_rows, components, kept
+from .words import Words, in_parts, mix, rolling
 
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
@@ -94,7 +94,7 @@ def signatures(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
     schema = f"key {kind}, n_shingles long, digest binary, bands array<long>, samples int, sketch binary"
 
     def run(batches):
-        for batch in batches:
+        for batch in in_parts(batches, 1):
             out: list[tuple] = []
             for s in shingle_sets(batch.column(1).to_pylist(), width):
                 if not len(s):
@@ -110,7 +110,6 @@ def signatures(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
                 pa.array(taken, pa.int32()), pa.array(sketch, pa.binary()),
             ], names=["key", "n_shingles", "digest", "bands", "samples", "sketch"])
 
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
@@ -214,15 +213,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     return both.mapInArrow(run, "u binary, v binary")
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, share: int = 80) -> DataFrame:
-    """One row per row of `df`: key, n_shingles, component_id, kept.
-
-    Rows link with 100 * intersection >= share * union of their sets; a text
-    without words links with nothing. `component_id` is the least key that links
-    reach, the row's own included; `kept` says that it is the row's own. Equal
-    texts, also rows that repeat a key, are one class. Rows without a key take
-    part only as copies of others; alone, their component is null and they are kept.
-    """
+def _settled(df: DataFrame, key: str, text: str, width: int, share: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Signatures of all rows, the classes of equal sets, and the components of the classes that links reach."""
     rows = kept(signatures(df, key, text, width))
     n = rows.count()
     classes = rows.filter("n_shingles > 0").groupBy("digest").agg(
@@ -249,6 +241,20 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
         if comps is not None:
             links = links.unionByName(comps.select(F.col("node").alias("u"), F.col("component").alias("v")))
         comps = components(links, n)
+    return rows, classes, comps
+
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, share: int = 80) -> DataFrame:
+    """One row per row of `df`: key, n_shingles, component_id, kept.
+
+    Rows link with 100 * intersection >= share * union of their sets; a text
+    without words links with nothing. `component_id` is the least key that links
+    reach, the row's own included; `kept` says that it is the row's own. Equal
+    texts, also rows that repeat a key, are one class. Rows without a key take
+    part only as copies of others; alone, their component is null and they are kept.
+    """
+    with arrow_rows(df.sparkSession, 512):
+        rows, classes, comps = _settled(df, key, text, width, share)
 
     # A class that no link reaches is a component of its own.
     keys = classes.select("digest", "key").join(comps, F.col("digest") == F.col("node"), "left")
@@ -277,7 +283,7 @@ def _sets(df: DataFrame, nodes: DataFrame, key: str, text: str, width: int) -> D
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("text")).join(wanted, F.col("k") == F.col("wanted")).select("node", "text")
 
     def run(batches):
-        for batch in batches:
+        for batch in in_parts(batches, 1):
             node = batch.column("node").to_pylist()
             sets = [s.tobytes() for s in shingle_sets(batch.column("text").to_pylist(), width)]
             mine = [hashlib.md5(s).digest() == n for s, n in zip(sets, node, strict=True)]  # a repeated key may have another text

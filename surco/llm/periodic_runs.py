@@ -20,11 +20,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .words import mix
+from .words import mix, slices
 
 # Primes with 2^26 dividing p - 1, and a generator of each.
 PRIMES = ((2013265921, 31), (1811939329, 13), (469762049, 3))
@@ -229,18 +228,6 @@ def _best(found: list[tuple[int, int, int]]) -> tuple[int, int, int] | None:
     return best
 
 
-def slices(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
-    """Rows from and to, of `most` bytes of text together, at least one row each."""
-    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
-    sums = np.cumsum(sizes, dtype=np.int64)
-    a = 0
-    while a < len(sizes):
-        done = int(sums[a - 1]) if a else 0
-        b = max(a + 1, int(np.searchsorted(sums, done + most, side="right")))
-        yield a, b
-        a = b
-
-
 def runs(df: DataFrame, key: str = "doc_id", text: str = "text", tail: Tail | None = None, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """One row per row of `df`: key, n_words, runs, best and collapsed.
 

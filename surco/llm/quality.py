@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .words import in_parts
+
 STEP, WIDTH, FILTERS = 12, 6, 16
 PAD = 256  # the symbol behind the end of a document
 
@@ -173,11 +175,10 @@ def score(
 
     def run(batches):
         net = Network.from_bytes(network) if network else None
-        for batch in batches:
+        for batch in in_parts(batches, kept.index(text)):
             texts = batch.column(kept.index(text)).to_pylist()
             p = np.full(len(texts), 0.5) if net is None else net.scores(texts)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], names=[*kept, out, "predicted"])
 
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     return rows.mapInArrow(run, schema)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .links import kept, written
-from .periodic_runs import slices
+from .words import slices
 
 # Words of one tile and of one leaf; words in the sample of the upper trees, none of more letters than LONGEST.
 TILE, LEAF, SAMPLE, LONGEST = 20_000, 48, 16_384, 64

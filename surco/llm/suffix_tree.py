@@ -1,40 +1,56 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-The states of the tree are the empty context, single tokens and pairs of tokens.
-A context is kept only if it passes a divergence test against its suffix: summed
-over the training text, with each occurrence left out of its own counts, its
-next-symbol distribution must gain over the suffix's by `gain` nats. A context
-seen once cannot gain, as its only occurrence is left out. A kept state's
-distribution is smoothed towards its suffix's, down to the base of all tokens.
-Every token is scored by the longest kept context before it.
-
-Counts of tokens, pairs and triples are exact over the training texts. They stay
-in ranges of keys; every block of documents gets the counts of its own keys, so
-no task and no driver holds the tree. Tokens, pairs and triples are known by
-hashes of BITS bits; two of them share a count by chance once in 2^BITS pairs.
+The states of the tree are the empty context and contexts of up to `depth`
+tokens. A context is kept only if it passes a divergence test against its
+suffix: summed over the training text, with each occurrence left out of its own
+counts, its next-symbol distribution must gain over that of its longest kept
+suffix by GAIN nats. A context seen once cannot gain, as its only occurrence is
+left out. A kept state's distribution is smoothed towards its suffix's, down to
+the base of all tokens. Every token is scored by the longest kept context before it.
+
+Counts of all sequences are exact over the training texts, level by level. They
+stay in ranges of keys; every block of documents gets the counts of its own keys,
+so no task and no driver holds the tree. Each round's answers are written to the
+shared folder, and its key shuffle goes before the next round begins. Sequences
+are known by hashes of BITS bits; two share a count by chance once in 2^BITS pairs.
 """
 
 from __future__ import annotations
 
+import gc
+import uuid
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import blocks
+from .links import removed, shared_folder
 from .words import Words, mix
 
 ALPHA, GAIN = 2.0, 3.0
-# A pair needs no multiple of its chance count: the divergence test alone decides.
-RATIO = 0.0
 BITS = 54
+# Tokens of the longest contexts.
+DEPTH = 2
+# Gains are summed as whole numbers of this part of a nat, so that no order of additions shows.
+GRAIN = 1 << 24
 _CUT = np.uint64(64 - BITS)
-TOKEN, PAIR, TOKEN_GAIN, TRIPLE, PAIR_GAIN, TOTAL = range(6)
+# Kinds of messages: totals, and per length the counts of sequences and the gains of contexts.
+TOTAL = 0
 _END, _START = mix(np.array([101, 202], np.uint64)) >> _CUT
 SENT = "kind int, block long, part int, keys binary, counts binary"
 
 
+def _gram(length: int) -> int:
+    return 2 * length
+
+
+def _gain(length: int) -> int:
+    return 2 * length + 1
+
+
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a ^ mix(b + np.uint64(0x632BE59BD9B4E019))) >> _CUT
 
@@ -77,81 +93,106 @@ class Block:
         del words
         self.token = token
         self.train = np.repeat(~self.held_out, self.n_tokens)
-        self.before = np.concatenate((token[:1], token[:-1]))
-        self.before[self.first] = _START
         self.place = np.arange(total) - np.repeat(self.first, self.n_tokens)
         self.tokens = Unique(token, np.ones(total, bool))
         self.answers = answers
 
     def numbers(self, kind: int, unique: Unique) -> np.ndarray:
-        parts = [blocks.unpack_numbers(a[16:] if kind == TOKEN else a) for a in blocks.answers_of(self.answers, kind)]
+        parts = [blocks.unpack_numbers(a[16:] if kind == _gram(1) else a) for a in blocks.answers_of(self.answers, kind)]
         out = np.concatenate(parts) if parts else np.empty(0, np.uint64)
         if len(out) != len(unique.keys):
             raise ValueError(f"{len(unique.keys)} keys, {len(out)} answers of kind {kind}")
         return out.astype(np.float64)
 
     def with_tokens(self) -> Block:
-        totals = [np.frombuffer(a[:16], "<i8") for kind in (TOKEN, TOTAL) for a in blocks.answers_of(self.answers, kind)]
+        """Counts of tokens are known: the base, and contexts of one token."""
+        totals = [np.frombuffer(a[:16], "<i8") for kind in (_gram(1), TOTAL) for a in blocks.answers_of(self.answers, kind)]
         totals = np.array(totals).sum(axis=0)
         self.n, self.v = (float(x) for x in (totals if totals.size else (0, 0)))
-        self.count = self.tokens.spread(self.numbers(TOKEN, self.tokens))
-        self.context = np.concatenate((self.count[:1], self.count[:-1]))
-        self.context[self.first] = self.ends()
+        self.count = self.tokens.spread(self.numbers(_gram(1), self.tokens))
         norm = self.n + 0.5 * (self.v + 1)
         self.base = (self.count + 0.5) / norm
-        self.base_left = np.maximum(self.count - 0.5, 0.5) / max(norm - 1, 0.5)
-        self.paired = (self.context >= 2) & (self.count >= 1)
-        self.pair_key = _pair(self.before, self.token)
-        self.pairs = Unique(self.pair_key, self.paired)
+        # The distribution of the longest kept context so far, and the same with this occurrence left out.
+        self.model, self.model_left = self.base, np.maximum(self.count - 0.5, 0.5) / max(norm - 1, 0.5)
+        before = np.concatenate((self.token[:1], self.token[:-1]))
+        before[self.first] = _START
+        at = np.flatnonzero(self.token == _END)
+        counts = np.concatenate((self.count[:1], self.count[:-1]))
+        counts[self.first] = self.count[at[0]] if len(at) else 0.0  # training texts: as many as ends
+        self._contexts(1, before, counts)
         return self
 
-    def ends(self) -> float:
-        """Training texts: as many as ends."""
-        at = np.flatnonzero(self.token == _END)
-        return self.count[at[0]] if len(at) else 0.0
-
-    def with_pairs(self) -> Block:
-        self.pair_count = self.pairs.spread(self.numbers(PAIR, self.pairs))
-        self.one = (self.pair_count + ALPHA * self.base) / (self.context + ALPHA)
-        self.one_left = (np.maximum(self.pair_count - 1, 0) + ALPHA * self.base_left) / np.maximum(self.context - 1 + ALPHA, ALPHA)
-        self.contexts = Unique(self.before, self.context >= 2)
-        # The pair before a token, its count, and whether it can gain.
-        self.two_key = np.concatenate((self.pair_key[:1], self.pair_key[:-1]))
-        self.two = np.concatenate((self.pair_count[:1], self.pair_count[:-1]))
-        self.frequent = (self.place > 0) & (self.two >= 2)
-        self.tripled = self.frequent & (self.count >= 1)
-        self.triples = Unique(_pair(self.two_key, self.token), self.tripled)
+    def _contexts(self, length: int, keys: np.ndarray, counts: np.ndarray) -> None:
+        """Contexts of `length` tokens before each token; those that come once cannot gain and are not counted further."""
+        self.length, self.context_key, self.context = length, keys, counts
+        self.tested = (self.place >= length - 1) & (counts >= 2)
+        self.counted = self.tested & (self.count >= 1)
+        self.gram_key = _pair(keys, self.token)
+        self.grams = Unique(self.gram_key, self.counted)
+
+    def with_grams(self) -> Block:
+        """Counts of sequences of one more token are known."""
+        self.gram_count = self.grams.spread(self.numbers(_gram(self.length + 1), self.grams))
+        self.contexts = Unique(self.context_key, self.tested)
+        self.next_left = (np.maximum(self.gram_count - 1, 0) + ALPHA * self.model_left) / np.maximum(self.context - 1 + ALPHA, ALPHA)
         return self
 
-    def token_gains(self) -> np.ndarray:
-        gain = np.where(self.train & self.paired, np.log(self.one_left / self.base_left), 0.0)
-        return self.contexts.sums(gain)
+    def gains(self) -> np.ndarray:
+        gain = np.where(self.train & self.counted, np.log(self.next_left / self.model_left), 0.0)
+        return self.contexts.sums(np.rint(gain * GRAIN)).astype(np.int64)
 
     def with_states(self) -> Block:
-        kept = self.contexts.spread(self.numbers(TOKEN_GAIN, self.contexts)) > 0
-        self.suffix = np.where(kept, self.one, self.base)
-        self.suffix_left = np.where(kept, self.one_left, self.base_left)
-        self.triple_count = self.triples.spread(self.numbers(TRIPLE, self.triples))
-        self.pair_contexts = Unique(self.two_key, self.frequent)
+        """It is known which contexts of this length are kept; contexts of one more token come next."""
+        kept = self.contexts.spread(self.numbers(_gain(self.length), self.contexts)) > 0
+        self.model = np.where(kept, (self.gram_count + ALPHA * self.model) / (self.context + ALPHA), self.model)
+        self.model_left = np.where(kept, self.next_left, self.model_left)
         return self
 
-    def pair_gains(self) -> np.ndarray:
-        left = (np.maximum(self.triple_count - 1, 0) + ALPHA * self.suffix_left) / np.maximum(self.two - 1 + ALPHA, ALPHA)
-        return self.pair_contexts.sums(np.where(self.train & self.tripled, np.log(left / self.suffix_left), 0.0))
+    def longer(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and counts of the contexts of one more token."""
+        return (np.concatenate((x[:1], x[:-1])) for x in (self.gram_key, self.gram_count))
 
     def scores(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Known tokens, base score and score of every text."""
-        kept = self.pair_contexts.spread(self.numbers(PAIR_GAIN, self.pair_contexts)) > 0
-        model = np.where(kept, (self.triple_count + ALPHA * self.suffix) / (self.two + ALPHA), self.suffix)
         add = lambda x: np.add.reduceat(x, self.first)
-        return add((self.count > 0).astype(np.int64)), add(np.log10(self.base)), add(np.log10(model))
+        return add((self.count > 0).astype(np.int64)), add(np.log10(self.base)), add(np.log10(self.model))
 
 
-def _send(kind: int, block: int, keys: np.ndarray, values: np.ndarray, parts: int, gains: bool = False) -> pa.RecordBatch:
+def _messages(b: Block, step: int, depth: int, parts: int) -> pa.Table:
+    """What a block sends in a round, from what it knows by then: gains of contexts and counts of longer sequences.
+
+    Round 0 counts tokens, round 1 pairs; round r tells the gains of contexts of
+    r - 1 tokens and counts sequences of r + 1, the last one gains only.
+    """
+    if step == 0:
+        return pa.Table.from_batches([_send(_gram(1), b.number, b.tokens.keys, b.tokens.sums(b.train), parts)])
+    b.with_tokens()
+    for _ in range(step - 2):
+        keys, counts = _advance(b)
+        b._contexts(b.length + 1, keys, counts)
+    if step == 1:
+        return pa.Table.from_batches([_send(_gram(2), b.number, b.grams.keys, b.grams.sums(b.train), parts)])
+    b.with_grams()
+    out = [_send(_gain(b.length), b.number, b.contexts.keys, b.gains(), parts)]
+    if step <= depth:
+        b._contexts(b.length + 1, *b.longer())
+        out.append(_send(_gram(b.length + 1), b.number, b.grams.keys, b.grams.sums(b.train), parts))
+    return pa.Table.from_batches(out)
+
+
+def _advance(b: Block) -> tuple[np.ndarray, np.ndarray]:
+    """Past the contexts of one length: which are kept, and what longer ones there are."""
+    b.with_grams().with_states()
+    keys, counts = b.longer()
+    return keys, counts
+
+
+def _send(kind: int, block: int, keys: np.ndarray, values: np.ndarray, parts: int) -> pa.RecordBatch:
     rows = blocks.packed(block, keys, None, parts, BITS)
     cuts = np.cumsum([0, *(len(blocks.unpack_keys(k)) for k in rows.column("keys").to_pylist())])
-    pack = (lambda x: blocks.pack_planes(x.astype("<f4"))) if gains else (lambda x: blocks.pack_numbers(x.astype(np.uint64)))
-    packed = [pack(values[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    values = values.astype(np.int64)
+    values = ((values << 1) ^ (values >> 63)).astype(np.uint64) if kind % 2 else values.astype(np.uint64)  # gains may be negative
+    packed = [blocks.pack_numbers(values[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
     return pa.RecordBatch.from_arrays(
         [pa.array([kind] * len(rows), pa.int32()), rows.column("block"), rows.column("part"), rows.column("keys"), pa.array(packed, pa.binary())],
         names=["kind", "block", "part", "keys", "counts"])
@@ -160,10 +201,10 @@ def _send(kind: int, block: int, keys: np.ndarray, values: np.ndarray, parts: in
 def _reply(table: pa.Table, n_blocks: int) -> pa.Table:
     """Sums over all blocks: counts as they are, gains as whether they reach GAIN; every block gets the totals of all tokens."""
     kind, part = table.column("kind")[0].as_py(), table.column("part")[0].as_py()
-    gains = kind in (TOKEN_GAIN, PAIR_GAIN)
+    gains = kind % 2 == 1
     keys = [blocks.unpack_keys(x) for x in table.column("keys").to_pylist()]
-    raw = table.column("counts").to_pylist()
-    values = np.concatenate([blocks.unpack_planes(x, "<f4") if gains else blocks.unpack_numbers(x) for x in raw]).astype(np.float64)
+    values = np.concatenate([blocks.unpack_numbers(x) for x in table.column("counts").to_pylist()])
+    values = (values >> np.uint64(1)).astype(np.int64) ^ -(values & np.uint64(1)).astype(np.int64) if gains else values.astype(np.int64)
     cuts = np.cumsum([len(k) for k in keys])[:-1]
     flat = np.concatenate(keys)
     order = np.argsort(flat, kind="stable")
@@ -171,9 +212,9 @@ def _reply(table: pa.Table, n_blocks: int) -> pa.Table:
     first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
     sums = np.add.reduceat(values[order], first)
     spread = np.empty(len(flat), np.uint64)
-    spread[order] = np.repeat((sums >= GAIN).astype(np.uint64) if gains else sums.astype(np.uint64), np.diff(np.append(first, len(flat))))
+    spread[order] = np.repeat((sums >= GAIN * GRAIN).astype(np.uint64) if gains else sums.astype(np.uint64), np.diff(np.append(first, len(flat))))
     to, kinds, out = table.column("block").to_pylist(), [kind] * len(keys), [blocks.pack_numbers(x) for x in np.split(spread, cuts)]
-    if kind == TOKEN:
+    if kind == _gram(1):
         total = np.array([sums.sum(), (sums > 0).sum()], "<i8").tobytes()
         others = sorted(set(range(n_blocks)) - set(to))  # blocks without a key in this range
         to, kinds, out = to + others, kinds + [TOTAL] * len(others), [total + x for x in out] + [total] * len(others)
@@ -181,16 +222,48 @@ def _reply(table: pa.Table, n_blocks: int) -> pa.Table:
         "block": pa.array(to, pa.int64()), "kind": pa.array(kinds, pa.int32()), "part": pa.array([part] * len(to), pa.int32()), "answer": pa.array(out, pa.binary())})
 
 
-def score(df: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 5, fold: int = 1) -> DataFrame:
+class _Tables:
+    """What one run writes to the shared folder: documents dealt by block, which no later round shuffles again, and small answers."""
+
+    def __init__(self, spark: SparkSession, partitions: int):
+        self.spark, self.partitions = spark, partitions
+        self.name = f"surco_{uuid.uuid4().hex}"
+        self.folder = f"{shared_folder(spark)}/{self.name}"
+        self.files = 0
+
+    def dealt(self, df: DataFrame) -> DataFrame:
+        df = df.repartition(self.partitions, "block")
+        df.write.bucketBy(self.partitions, "block").option("path", f"{self.folder}/dealt").saveAsTable(self.name)
+        return self.spark.table(self.name)
+
+    def put(self, df: DataFrame) -> DataFrame:
+        self.files += 1
+        df.write.parquet(path := f"{self.folder}/{self.files}")
+        return self.spark.read.parquet(path)
+
+    def let_go(self) -> None:
+        """Shuffles that nothing refers to any more leave the disks once the driver has noticed."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        removed(self.spark, self.folder)
+
+
+def score(df: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 5, fold: int = 1, depth: int = DEPTH) -> DataFrame:
     """One row per row of `df`: key, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Rows whose key, as text, leaves `fold` by CRC-32 are held out of training; a null
     key is not. Texts are lower-cased from A to Z, cut into words, and closed by one
-    end; a null or empty text is its end alone. Scores are log10 probabilities. Rows
-    that repeat count as often as they are there. Without training texts every token
-    is unknown.
+    end; a null or empty text is its end alone. Scores are log10 probabilities.
+    Contexts have at most `depth` tokens, 1 or more. Rows that repeat count as often
+    as they are there. Without training texts every token is unknown.
     """
-    partitions, n_blocks, parts = blocks.sizes(df.sparkSession)
+    if depth < 1:
+        raise ValueError("depth must be 1 or more")
+    spark = df.sparkSession
+    partitions, n_blocks, parts = blocks.sizes(df, text)
     held = F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % folds == fold, F.lit(False))
     rows = df.select(F.col(key).alias("key"), held.alias("held_out"), F.col(text).alias("text"))
     block = F.pmod(F.xxhash64("key", "text"), F.lit(n_blocks)).cast("long")
@@ -210,48 +283,17 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 5
                 pieces.append(sink.getvalue().to_pybytes())
             yield pa.RecordBatch.from_arrays([pa.array(to[order[cuts]] if len(order) else [], pa.int64()), pa.array(pieces, pa.binary())], names=["block", "rows"])
 
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
-    docs = rows.select(block.alias("block"), *rows.columns).mapInArrow(pack, "block long, rows binary").repartition(partitions, "block")
-
-    def answer(sent: DataFrame, sums) -> DataFrame:
-        # Dealt by block once: all later steps read the same shuffle.
-        return sent.groupBy("kind", "part").applyInArrow(sums, blocks.ANSWERS).repartition(partitions, "block")
-
-    def sum_tokens(table: pa.Table) -> pa.Table:
-        return _reply(table, n_blocks)
-
-    def sum_pairs(table: pa.Table) -> pa.Table:
+    def sums(table: pa.Table) -> pa.Table:
         return _reply(table, n_blocks)
 
-    def sum_triples(table: pa.Table) -> pa.Table:
-        return _reply(table, n_blocks)
+    def round_of(step: int):
+        def send(rows: pa.Table, answers: pa.Table) -> pa.Table:
+            return _messages(Block(rows, answers), step, depth, parts) if len(rows) else _nothing()
 
-    def sum_gains(table: pa.Table) -> pa.Table:
-        return _reply(table, n_blocks)
+        return send
 
     def send_tokens(rows: pa.Table) -> pa.Table:
-        b = Block(rows)
-        return pa.Table.from_batches([_send(TOKEN, b.number, b.tokens.keys, b.tokens.sums(b.train), parts)])
-
-    def send_pairs(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        if not len(rows):
-            return _nothing()
-        b = Block(rows, answers).with_tokens()
-        return pa.Table.from_batches([_send(PAIR, b.number, b.pairs.keys, b.pairs.sums(b.train), parts)])
-
-    def send_triples(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        if not len(rows):
-            return _nothing()
-        b = Block(rows, answers).with_tokens().with_pairs()
-        return pa.Table.from_batches([
-            _send(TOKEN_GAIN, b.number, b.contexts.keys, b.token_gains(), parts, gains=True),
-            _send(TRIPLE, b.number, b.triples.keys, b.triples.sums(b.train), parts)])
-
-    def send_gains(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        if not len(rows):
-            return _nothing()
-        b = Block(rows, answers).with_tokens().with_pairs().with_states()
-        return pa.Table.from_batches([_send(PAIR_GAIN, b.number, b.pair_contexts.keys, b.pair_gains(), parts, gains=True)])
+        return _messages(Block(rows), 0, depth, parts)
 
     kind = dict(rows.dtypes)["key"]
     result = f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -263,21 +305,29 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 5
     def finish(rows: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(rows):  # totals went to a block without documents
             return empty
-        b = Block(rows, answers).with_tokens().with_pairs().with_states()
+        b = Block(rows, answers).with_tokens()
+        for length in range(1, depth + 1):
+            keys, counts = _advance(b)
+            if length < depth:
+                b._contexts(length + 1, keys, counts)
         known, base, model = b.scores()
         return pa.table({
             "key": b.rows.column("key"), "held_out": b.rows.column("held_out"), "n_tokens": pa.array(b.n_tokens.astype(np.int64)), "n_known": pa.array(known),
             "train_tokens": pa.array(np.full(b.texts, int(b.n))), "base_score": pa.array(base), "score": pa.array(model)})
 
-    own = docs.groupBy("block")
-    tokens = answer(own.applyInArrow(send_tokens, SENT), sum_tokens)
-    pairs = answer(own.cogroup(tokens.groupBy("block")).applyInArrow(send_pairs, SENT), sum_pairs)
-    known = tokens.unionByName(pairs)
-    triples = answer(own.cogroup(known.groupBy("block")).applyInArrow(send_triples, SENT), sum_triples)
-    known = known.unionByName(triples)
-    gains = answer(own.cogroup(known.groupBy("block")).applyInArrow(send_gains, SENT), sum_gains)
-    known = known.unionByName(gains)
-    return own.cogroup(known.groupBy("block")).applyInArrow(finish, result).withColumnRenamed("key", key)
+    tables = _Tables(spark, partitions)
+    own = tables.dealt(rows.select(block.alias("block"), *rows.columns).mapInArrow(pack, "block long, rows binary")).groupBy("block")
+    known: DataFrame | None = None
+    for step in range(depth + 2):
+        tables.let_go()
+        sent = own.cogroup(known.groupBy("block")).applyInArrow(round_of(step), SENT) if known else own.applyInArrow(send_tokens, SENT)
+        told = tables.put(sent.groupBy("kind", "part").applyInArrow(sums, blocks.ANSWERS))
+        known = told if known is None else known.unionByName(told)
+        del sent, told
+    scored = f"{tables.folder}-scores"
+    own.cogroup(known.groupBy("block")).applyInArrow(finish, result).write.parquet(scored)
+    tables.drop()
+    return spark.read.parquet(scored).withColumnRenamed("key", key)
 
 
 def _nothing() -> pa.Table:

@@ -43,7 +43,6 @@ def usable(df: DataFrame, key: str, vector: str, label: str | None = None) -> Da
                 [*kept, pa.array(dims, pa.int32()), pa.array(digests, pa.binary()), pa.array(packed, pa.binary())],
                 names=["key", *(["label"] if label else []), "dim", "digest", "vector"])
 
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     return rows.mapInArrow(run, schema)
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # The code points that separate words.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -32,6 +34,27 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
+def slices(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Rows from and to, of `most` bytes of text together, at least one row each."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    sums = np.cumsum(sizes, dtype=np.int64)
+    a = 0
+    while a < len(sizes):
+        done = int(sums[a - 1]) if a else 0
+        b = max(a + 1, int(np.searchsorted(sums, done + most, side="right")))
+        yield a, b
+        a = b
+
+
+def in_parts(batches: Iterable[pa.RecordBatch], column: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches with `most` bytes of text at a time, or one longer text; what Arrow held goes back at the end."""
+    for batch in batches:
+        for a, b in slices(batch.column(column), most):
+            yield batch.slice(a, b - a)
+        del batch
+    pa.default_memory_pool().release_unused()
+
+
 class Powers:
     """Powers of an odd base modulo 2^64 and of its inverse, as far as asked for."""
 
@@ -55,14 +78,17 @@ _IN_WINDOW = Powers(0xDA942042E4DD58B5)
 
 def rolling(values: np.ndarray, width: int) -> np.ndarray:
     """Rabin-Karp hashes of all runs of `width` values: sum of value times power, shifted to one place."""
-    n = len(values) - width + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    up, down = _IN_WINDOW.upto(len(values))
-    sums = np.empty(len(values) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(values * up, out=sums[1:])
-    return mix((sums[width:] - sums[:n]) * down[:n])
+    n = max(0, len(values) - width + 1)
+    out = np.empty(n, np.uint64)
+    for a in range(0, n, _CHUNK):  # chunk after chunk, so that the tables stay small
+        part = values[a:min(a + _CHUNK, n) + width - 1]
+        up, down = _IN_WINDOW.upto(len(part))
+        sums = np.empty(len(part) + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum(part * up, out=sums[1:])
+        here = len(part) - width + 1
+        out[a:a + here] = mix((sums[width:] - sums[:here]) * down[:here])
+    return out
 
 
 class Words:

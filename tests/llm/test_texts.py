@@ -81,14 +81,29 @@ def test_marks_on_the_page_or_its_article_skip_nothing():
 
 
 def test_html_scan_is_the_best_region():
+    """The scan's region and sum are those of the greatest sum over all regions, and the text is that of its blocks."""
     rng = random.Random(1)
-    for _ in range(200):
-        parts = [rng.choice(["<p>", "</p>", "<div>", "word ", "two words ", "<li>", "<b>"]) for _ in range(12)]
-        weights = {f: rng.choice([-2.0, -0.5, 0.7, 2.0]) for f in ("word:p", "word:div", "word:body", "word:li", "tag:p", "tag:/p", "tag:div", "tag:li", "tag:b")}
-        row = html_extract.events("".join(parts))
-        scores = [weights.get(f, html_extract.DEFAULT[f.partition(":")[0]]) * (len(t.split()) if f.startswith("word") else 1) for f, _, t, _ in row]
-        best = max([0.0] + [sum(scores[a:b]) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)])
-        assert bool(html_extract.main_text("".join(parts), weights)) <= (best > 0)
+    names = ("word:p", "word:div", "word:body", "word:li", "tag:p", "tag:/p", "tag:div", "tag:/div", "tag:li", "tag:b")
+    seen = set()
+    for _ in range(300):
+        page = "".join(rng.choice(["<p>", "</p>", "<div>", "</div>", "word ", "two words ", "<li>", "<b>", "<nav>menu</nav>"]) for _ in range(14))
+        weights = {f: rng.choice([-2.0, -0.5, 0.7, 2.0]) for f in names}
+        row = html_extract.events(page)
+        scores = list(html_extract.scored(row, weights))
+        assert scores == [weights.get(f, html_extract.DEFAULT[f.partition(":")[0]]) * (len(t.split()) if f.startswith("word") else 1) for f, _, t, _ in row]
+        regions = [(sum(scores[a:b]), a, b - 1) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)]
+        best, first, last = html_extract.best_region(scores)
+        top = max([0.0] + [r[0] for r in regions])
+        assert best == pytest.approx(top)
+        if last < 0:
+            assert top == 0 and html_extract.main_text(page, weights) == ""
+            continue
+        assert sum(scores[first:last + 1]) == pytest.approx(top)
+        blocks = range(row[first][1], row[last][1] + 1)
+        words = [" ".join("".join(t for _, k, t, _ in row if k == block).split()) for block in blocks]
+        assert html_extract.main_text(page, weights) == "\n\n".join(w for w in words if w)
+        seen.add((first > 0, last < len(row) - 1))
+    assert seen == {(True, True), (True, False), (False, True), (False, False)}
 
 
 def test_html_pages_of_the_table(spark, smallest):
@@ -186,65 +201,104 @@ def test_without_repeats_keeps_columns(corpus, nothing):
 
 # ---- suffix tree ------------------------------------------------------------
 
-def plain_tree(texts):
-    """Scores by dictionaries over all training texts."""
-    alpha, gain, ratio, start = suffix_tree.ALPHA, suffix_tree.GAIN, suffix_tree.RATIO, 1
+def plain_tree(texts, depth=2):
+    """Scores by dictionaries over all training texts, and the kept contexts of each length."""
+    alpha, start = suffix_tree.ALPHA, 1
     rows = [(k, [*words_of(t, lower=True), 0]) for k, t in texts]
-    one, two, three = collections.Counter(), collections.Counter(), collections.Counter()
+    grams = collections.Counter()
     for k, x in rows:
         if fold(k) != 1:
             y = [start, *x]
-            one.update(x), two.update(zip(y, y[1:])), three.update(zip(y, y[1:], y[2:]))
-    n, v, ends = sum(one.values()), len(one), one[0]
+            for size in range(1, depth + 2):
+                grams.update(tuple(y[i:i + size]) for i in range(len(y) - size + 1) if size > 1 or i)
+    one = {g[0]: c for g, c in grams.items() if len(g) == 1}
+    n, v = sum(one.values()), len(one)
     norm = n + 0.5 * (v + 1)
-    context = lambda u: ends if u == start else one[u]
-    base = lambda s: (one[s] + 0.5) / norm
-    less = lambda s: max(one[s] - 0.5, 0.5) / max(norm - 1, 0.5)
-    after = lambda u, s: (two[u, s] + alpha * base(s)) / (context(u) + alpha)
-    after_less = lambda u, s: (max(two[u, s] - 1, 0) + alpha * less(s)) / (context(u) - 1 + alpha)
-    gains = collections.Counter()
-    for (u, s), c in two.items():
-        if context(u) >= 2:
-            gains[u] += c * math.log(after_less(u, s) / less(s))
-    states = {u for u in gains if gains[u] >= gain}
-    suffix = lambda u, s: after(u, s) if u in states else base(s)
-    suffix_less = lambda u, s: after_less(u, s) if u in states else less(s)
-    gains = collections.Counter()
-    for (t, u, s), c in three.items():
-        if two[t, u] >= 2 and two[t, u] * n >= ratio * context(t) * one[u]:
-            gains[t, u] += c * math.log((max(c - 1, 0) + alpha * suffix_less(u, s)) / (two[t, u] - 1 + alpha) / suffix_less(u, s))
-    pairs = {x for x in gains if gains[x] >= gain}
+    times = lambda c: one.get(0, 0) if c == (start,) else grams[c]
+    kept = [set() for _ in range(depth + 1)]
+
+    def model(size, before, s):
+        if size == 0:
+            return (one.get(s, 0) + 0.5) / norm
+        c, shorter = tuple(before[-size:]), model(size - 1, before, s)
+        return (grams[(*c, s)] + alpha * shorter) / (times(c) + alpha) if len(c) == size and c in kept[size] else shorter
+
+    def left(size, before, s, always=False):
+        if size == 0:
+            return max(one.get(s, 0) - 0.5, 0.5) / max(norm - 1, 0.5)
+        c, shorter = tuple(before[-size:]), left(size - 1, before, s)
+        if len(c) == size and (always or c in kept[size]):
+            return (max(grams[(*c, s)] - 1, 0) + alpha * shorter) / max(times(c) - 1 + alpha, alpha)
+        return shorter
+
+    for size in range(1, depth + 1):
+        gains = collections.Counter()
+        for g, count in grams.items():
+            if len(g) == size + 1 and times(g[:-1]) >= 2:
+                gains[g[:-1]] += count * math.log(left(size, g[:-1], g[-1], True) / left(size - 1, g[:-1], g[-1]))
+        kept[size] = {c for c in gains if gains[c] >= suffix_tree.GAIN}
     for k, x in rows:
-        y, total = [start, *x], 0.0
-        for p in range(1, len(y)):
-            q = suffix(y[p - 1], y[p])
-            if p > 1 and (y[p - 2], y[p - 1]) in pairs:
-                q = (three[y[p - 2], y[p - 1], y[p]] + alpha * q) / (two[y[p - 2], y[p - 1]] + alpha)
-            total += math.log10(q)
-        yield k, fold(k) == 1, len(x), sum(one[s] > 0 for s in x), n, sum(math.log10(base(s)) for s in x), total
-    yield states, pairs
-
-
-def test_suffix_tree(corpus, texts, nothing):
-    *want, (states, pairs) = plain_tree(texts)
-    assert states and pairs
+        y = [start, *x]
+        total = sum(math.log10(model(depth, y[:p], y[p])) for p in range(1, len(y)))
+        yield k, fold(k) == 1, len(x), sum(s in one for s in x), n, sum(math.log10(model(0, [], s)) for s in x), total
+    yield kept[1:]
+
+
+def same_scores(got, want):
+    for g, w in zip(got, want, strict=True):
+        assert tuple(g[:5]) == w[:5] and tuple(g[5:]) == pytest.approx(w[5:], rel=1e-9)
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3])
+def test_suffix_tree(corpus, texts, depth):
+    *want, kept = plain_tree(texts, depth)
+    assert all(kept[:2])
+    got = sorted((tuple(r) for r in suffix_tree.score(corpus, depth=depth).collect()), key=lambda r: (str(r[0]), r[2]))
+    same_scores(got, sorted(want, key=lambda r: (str(r[0]), r[2])))
+
+
+def test_long_contexts(spark):
+    """Texts in which only the words three and four places back tell the next one: contexts of four are kept and help."""
+    rng, rows = random.Random(8), []
+    for i in range(60):
+        x = [rng.randrange(2) for _ in range(4)]
+        while len(x) < 40:
+            x.append(x[-3] ^ x[-4] if rng.random() < 0.95 else rng.randrange(2))
+        rows.append((i, " ".join("ab"[v] for v in x)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    totals = {}
+    for depth in (2, 4):
+        *want, kept = plain_tree(rows, depth)
+        got = sorted(tuple(r) for r in suffix_tree.score(df, depth=depth).collect())
+        same_scores(got, sorted(want))
+        totals[depth] = sum(g[6] for g in got if g[1])
+    assert kept[3] and totals[4] > 0.7 * totals[2]
+
+
+@pytest.mark.parametrize("partitions", ["1", "64"])
+def test_suffix_tree_does_not_depend_on_blocks(spark, corpus, texts, monkeypatch, partitions):
+    monkeypatch.setattr(suffix_tree.blocks, "BLOCK_BYTES", 5000)
+    monkeypatch.setattr(suffix_tree.blocks, "MOST_BYTES", 0)
+    monkeypatch.setattr(suffix_tree.blocks, "RANGE_BYTES", 3000)
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    *want, _ = plain_tree(texts)
     got = sorted((tuple(r) for r in suffix_tree.score(corpus).collect()), key=lambda r: (str(r[0]), r[2]))
-    want.sort(key=lambda r: (str(r[0]), r[2]))
-    assert [g[:5] for g in got] == [w[:5] for w in want]
-    for g, w in zip(got, want):
-        assert g[5:] == pytest.approx(w[5:], rel=1e-9)
+    same_scores(got, sorted(want, key=lambda r: (str(r[0]), r[2])))
+
+
+def test_suffix_tree_of_nothing_leaves_nothing_behind(spark, nothing):
+    tables = {t.name for t in spark.catalog.listTables()}
     assert suffix_tree.score(nothing).count() == 0
+    assert {t.name for t in spark.catalog.listTables()} == tables
 
 
-def test_pairs_of_frequent_words_are_states(spark, monkeypatch):
+def test_pairs_of_frequent_words_are_states(spark):
     """A pair that comes hardly more often than its parts suggest is kept if what follows it differs."""
-    monkeypatch.setattr(suffix_tree, "RATIO", 0.0)
     rows = [(i, "of the x q the y of r x r the y q of r") for i in range(40)]
-    *want, (_, pairs) = plain_tree(rows)
-    assert tuple(words_of("of the")) in pairs
+    *want, kept = plain_tree(rows)
+    assert tuple(words_of("of the")) in kept[1]
     got = sorted(tuple(r) for r in suffix_tree.score(spark.createDataFrame(rows, "doc_id long, text string")).collect())
-    for g, w in zip(got, sorted(want), strict=True):
-        assert g[:5] == w[:5] and g[5:] == pytest.approx(w[5:], rel=1e-9)
+    same_scores(got, sorted(want))
 
 
 def test_suffix_tree_without_training(spark):
@@ -455,3 +509,46 @@ def test_merging_odd_pieces(library):
     for t, ids in zip(texts, ranks.encode(texts, cut)):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(t)
         assert ranks.decode(ids) == t.encode()
+
+
+# ---- memory -----------------------------------------------------------------
+
+def test_tables_of_powers_stay_small():
+    """However long a text or a block, the tables of powers reach over one chunk of it and no more."""
+    from surco.llm import words
+
+    rng = random.Random(6)
+    texts = [" ".join(str(rng.randrange(900)) for _ in range(n)) for n in (700_000, 3, 200_000)]
+    whole = Words(texts)
+    hashes, at = whole.windows(35)
+    assert max(len(p.up) for p in (words._IN_WORD, words._IN_WINDOW)) <= 2 * words._CHUNK
+    for i in (0, 1, 524_253, 524_254, 600_000, len(hashes) - 1):
+        assert hashes[i] == rolling(whole.hashes[at[i]:at[i] + 35], 35)[0]
+
+
+@pytest.mark.parametrize("partitions", ["1", "64"])
+def test_repeats_do_not_depend_on_blocks(spark, corpus, monkeypatch, partitions):
+    """One block or many, and slices of a few bytes: the same intervals."""
+    def told():
+        rows = substrings.remove_repeats(corpus, width=5).select("doc_id", "n_words", "n_removed", "intervals", "kept_sha256")
+        return sorted(map(str, rows.collect()))
+
+    want = told()
+    monkeypatch.setattr(substrings.blocks, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(substrings.blocks, "MOST_BYTES", 0)
+    monkeypatch.setattr(substrings.blocks, "RANGE_BYTES", 3000)
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    assert told() == want
+
+
+def test_parts_of_a_batch_are_whole_rows():
+    import pyarrow as pa
+
+    from surco.llm.words import in_parts
+
+    texts = ["abc", None, "", "x" * 50, "yy", "z"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts)], names=["a", "t"])
+    for most in (1, 4, 1000):
+        parts = list(in_parts([batch, batch.slice(0, 0)], 1, most))
+        assert [x for p in parts for x in p.column(1).to_pylist()] == texts
+        assert all(p.num_rows == 1 or sum(len(x or "") for x in p.column(1).to_pylist()) <= most for p in parts)
