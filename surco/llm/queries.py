@@ -117,6 +117,6 @@ def op11_periodic_runs(spark: SparkSession, d: str) -> DataFrame:
         F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
-@query()
+@query(sql.SPELLING)
 def op12_spelling(spark: SparkSession, d: str) -> DataFrame:
     return spelling.variants(table(spark, d, "documents").select("doc_id", "text"), slip=97)

