@@ -36,13 +36,13 @@ def from_mercator_rings(rings: Column | str) -> Column:
     return F.transform(col(rings), lambda ring: F.transform(ring, point))
 
 
-def tile_of_metres(x: Column, y: Column, zoom: int) -> tuple[Column, Column]:
+def tile_of_metres(x: Column, y: Column, zoom: int | Column) -> tuple[Column, Column]:
     """Tile column and row, rows counted from the south."""
-    side = 2 * MERCATOR_HALF_M / (1 << zoom)
-    last = (1 << zoom) - 1
+    tiles = F.pow(F.lit(2.0), zoom) if isinstance(zoom, Column) else F.lit(float(1 << zoom))
+    side = F.lit(2 * MERCATOR_HALF_M) / tiles
     tx = F.floor((x + MERCATOR_HALF_M) / side)
     ty_north = F.floor((F.lit(MERCATOR_HALF_M) - y) / side)
-    return tx, F.lit(last) - ty_north
+    return tx, tiles.cast("bigint") - 1 - ty_north
 
 
 def tile_key(lat: Column | str, lng: Column | str, zoom: int) -> tuple[Column, Column]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.fixed_values import MERCATOR_HALF_M
 from ..functions.geodesy import from_mercator_rings, tile_of_metres, to_mercator
 
 # Names under which a cadastral property may come.
@@ -89,30 +90,40 @@ def _bounds(polygons: Column) -> list[Column]:
     return [F.array_min(xs), F.array_max(xs), F.array_min(ys), F.array_max(ys)]
 
 
-def points_in_polygons(points: DataFrame, polygons: DataFrame, zoom: int = 15, point_id: str = "point_id",
+def covering(polygons: DataFrame, zoom: int = 20, feature_id: str = "feature_id") -> DataFrame:
+    """`feature_id, zoom, tx, ty` and the box: the four tiles at most that a polygon's box touches.
+
+    The zoom of a polygon follows from its box: tiles as large as the longer side or up to twice that, `zoom` at most.
+    """
+    x0, x1, y0, y1 = _bounds(F.col("polygons"))
+    boxed = _once(polygons, x0.alias("_x0"), x1.alias("_x1"), y0.alias("_y0"), y1.alias("_y1"))
+    side = F.nullif(F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0")), F.lit(0.0))
+    fits = F.coalesce(F.floor(F.log2(F.lit(2 * MERCATOR_HALF_M) / side)), F.lit(zoom))
+    level = F.when(F.col("_x0").isNotNull(), F.greatest(F.lit(0), F.least(fits, F.lit(zoom))).cast("int"))
+    sized = boxed.select(feature_id, "_x0", "_x1", "_y0", "_y1", level.alias("zoom"))
+    tx0, ty0 = tile_of_metres(F.col("_x0"), F.col("_y0"), F.col("zoom"))
+    tx1, ty1 = tile_of_metres(F.col("_x1"), F.col("_y1"), F.col("zoom"))
+    return sized.withColumn("tx", F.explode(F.sequence(tx0, tx1))).withColumn("ty", F.explode(F.sequence(ty0, ty1)))
+
+
+def points_in_polygons(points: DataFrame, polygons: DataFrame, zoom: int = 20, point_id: str = "point_id",
                        feature_id: str = "feature_id") -> DataFrame:
     """The polygon each point lies in; the lowest feature id wins a tie.
 
     Points bring lat and lng, polygons a `polygons` column in mercator metres.
-    Both sides meet by tile: a polygon appears once in every tile its box
-    touches, a point in its own. Box and even-odd tests follow inside the
-    join. The zoom should make a tile about as large as a polygon.
+    Polygons stand in tiles of their own size, four at most; a point looks up its
+    tile at every zoom in use, `zoom` + 1 at most. Ids and boxes meet there; the
+    geometry is fetched only for points within a box.
     """
     px, py = to_mercator("lat", "lng")
-    spots = _once(points, px.alias("_px"), py.alias("_py"))
-    tx, ty = tile_of_metres(F.col("_px"), F.col("_py"), zoom)
-    spots = spots.withColumn("_tx", tx).withColumn("_ty", ty)
-
-    x0, x1, y0, y1 = _bounds(F.col("polygons"))
-    boxed = _once(
-        polygons.select(feature_id, "polygons"), x0.alias("_x0"), x1.alias("_x1"), y0.alias("_y0"), y1.alias("_y1")
-    )
-    tx0, ty0 = tile_of_metres(F.col("_x0"), F.col("_y0"), zoom)
-    tx1, ty1 = tile_of_metres(F.col("_x1"), F.col("_y1"), zoom)
-    tiled = boxed.withColumn("_tx", F.explode(F.sequence(tx0, tx1))).withColumn("_ty", F.explode(F.sequence(ty0, ty1)))
-
-    candidates = spots.join(tiled, ["_tx", "_ty"]).filter(
+    spots = _once(points.select(point_id, "lat", "lng"), px.alias("_px"), py.alias("_py"))
+    tiles = covering(polygons, zoom, feature_id)
+    in_use = tiles.agg(F.collect_set("zoom")).scalar()
+    spots = spots.withColumn("zoom", F.explode(in_use))
+    tx, ty = tile_of_metres(F.col("_px"), F.col("_py"), F.col("zoom"))
+    boxes = spots.withColumn("tx", tx).withColumn("ty", ty).join(tiles, ["zoom", "tx", "ty"]).filter(
         F.col("_px").between(F.col("_x0"), F.col("_x1")) & F.col("_py").between(F.col("_y0"), F.col("_y1"))
     )
+    candidates = boxes.select(point_id, feature_id, "_px", "_py").join(polygons.select(feature_id, "polygons"), feature_id)
     hits = candidates.filter(in_any_polygon(F.col("_px"), F.col("_py"), F.col("polygons")))
     return hits.groupBy(point_id).agg(F.min(feature_id).alias(feature_id))

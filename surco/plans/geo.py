@@ -281,7 +281,7 @@ SELECT DISTINCT point_id, feature_id FROM (
   GROUP BY ALL) WHERE n % 2 = 1
 """)
 def points_in_polygons(spark: SparkSession, d: str) -> DataFrame:
-    return gm.points_in_polygons(points(spark, d), polygons(spark, d), zoom=16)
+    return gm.points_in_polygons(points(spark, d), polygons(spark, d))
 
 
 @query(f"""

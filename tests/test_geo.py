@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 from datetime import datetime
 
 import pytest
@@ -79,6 +80,29 @@ def test_points_find_their_polygon(spark):
         assert rows(gm.points_in_polygons(points, shapes, zoom)) == [(1, 2), (2, 1), (3, 3), (4, 4)]
 
 
+def test_a_polygon_of_any_size_stands_in_four_tiles_at_most(spark):
+    """From a point to half the world; every point of a box finds its polygon, whatever sizes stand beside it."""
+    sides = [0, 1, 100, 111_320, 3_000_000, 20_000_000]
+    shapes = gm.parse_geometry(spark.createDataFrame(
+        [feature(i, square(-1_234_567.0 + 17 * i, 765_432.0, side)) for i, side in enumerate(sides)], "feature_id int, geometry string"))
+    tiles = gm.covering(shapes)
+    counts = {r.feature_id: r["count"] for r in tiles.groupBy("feature_id").count().collect()}
+    assert set(counts) == set(range(len(sides))) and max(counts.values()) <= 4
+    zooms = {r.feature_id: r.zoom for r in tiles.collect()}
+    assert zooms[5] < zooms[4] < zooms[3] < zooms[2] <= zooms[1] <= 20
+    rng = random.Random(4)
+    spots = [(n, -1_234_567.0 + rng.uniform(-0.2, 1.2) * side, 765_432.0 + rng.uniform(-0.2, 1.2) * side) for n, side in enumerate(sides * 40)]
+    df = spark.createDataFrame(spots, "point_id int, x double, y double")
+    lat, lng = g.from_mercator(F.col("x"), F.col("y"))
+    got = dict(rows(gm.points_in_polygons(df.select("point_id", lat.alias("lat"), lng.alias("lng")), shapes)))
+    want = {}
+    for n, x, y in spots:
+        inside = [i for i, side in enumerate(sides) if plain_inside(x, y, square(-1_234_567.0 + 17 * i, 765_432.0, side))]
+        if inside:
+            want[n] = inside[0]
+    assert got == want and len(set(want.values())) >= 4
+
+
 def plain_inside(x, y, ring):
     inside = False
     for (xi, yi), (xj, yj) in zip(ring, [ring[-1], *ring[:-1]]):
