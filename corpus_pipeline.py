@@ -23,8 +23,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the least doc_id. Rows without doc_id stay; equal rows become one."""
-    found = odd_sketch.near_duplicates(docs)
+    """One document of each group of near copies, by shingles of five words: that of the least doc_id. Rows without doc_id stay; equal rows become one."""
+    found = odd_sketch.near_duplicates(docs, width=5, share=80)
     ids = found.filter(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     stay = docs.join(ids, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
     return stay.unionByName(docs.filter(F.col("doc_id").isNull()))
