@@ -552,3 +552,24 @@ def test_parts_of_a_batch_are_whole_rows():
         parts = list(in_parts([batch, batch.slice(0, 0)], 1, most))
         assert [x for p in parts for x in p.column(1).to_pylist()] == texts
         assert all(p.num_rows == 1 or sum(len(x or "") for x in p.column(1).to_pylist()) <= most for p in parts)
+
+
+def test_pairs_at_the_threshold_are_not_missed():
+    """Random sets at a similarity of 0.8 or just above: none without a shared band, none that its sketches rule out."""
+    rng = np.random.default_rng(12)
+    bands_of = lambda s: (odd_sketch.minhashes(s).reshape(odd_sketch.BANDS, odd_sketch.ROWS))
+    shared, missed = [], 0
+    for _ in range(1200):
+        union = int(np.exp(rng.uniform(np.log(9), np.log(3000))))
+        both = -(-80 * union // 100)
+        pool = np.sort(rng.integers(0, 1 << 63, union, np.uint64))
+        rest = rng.permutation(union)
+        one = rng.integers(0, union - both + 1)
+        common, mine, yours = rest[:both], rest[both:both + one], rest[both + one:]
+        a, b = np.unique(pool[np.concatenate((common, mine))]), np.unique(pool[np.concatenate((common, yours))])
+        shared.append(int((bands_of(a) == bands_of(b)).all(axis=1).sum()))
+        (na, sa), (nb, sb) = odd_sketch.odd_sketch(a), odd_sketch.odd_sketch(b)
+        bits = int(np.bitwise_count(sa ^ sb).sum())
+        most = odd_sketch.most_bits(*(np.array([v]) for v in (len(a), len(b), na, nb)), 0.8)[0]
+        missed += shared[-1] == 0 or bits > most
+    assert missed == 0 and 11 < np.mean(shared) < 15
