@@ -21,7 +21,7 @@ ANSWERS = "block long, kind int, part int, answer binary"
 
 # Text of a block, which one task holds at a time with the keys of its windows or tokens: BLOCK_BYTES, and more only
 # where there would be more than MANY of them, up to MOST_BYTES. A range of keys answers for RANGE_BYTES of text.
-BLOCK_BYTES, MANY, MOST_BYTES, RANGE_BYTES = 8 << 20, 4096, 64 << 20, 16 << 20
+BLOCK_BYTES, MANY, MOST_BYTES, RANGE_BYTES = 4 << 20, 4096, 64 << 20, 16 << 20
 
 
 def sizes(df: DataFrame, text: str) -> tuple[int, int, int]:

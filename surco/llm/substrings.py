@@ -24,7 +24,7 @@ from .words import Words, slices
 
 WIDTH = 35
 # Text hashed at once; of a whole block only its texts and one number per window are held.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 
 
 def _repeats(keys: list[np.ndarray], counts: list[np.ndarray]) -> list[bytes]:
@@ -86,6 +86,7 @@ def remove_repeats(
     docs = blocks.dealt(df, key, text, partitions, n_blocks, carry)
 
     def send(batches: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()  # what the last group left
         keys = _keys(batches.column("text"), width)
         return pa.Table.from_batches([blocks.packed(batches.column("block")[0].as_py(), keys[_first(keys)], None, parts)])
 
@@ -109,6 +110,7 @@ def remove_repeats(
 
     def cut(rows: pa.Table, replies: pa.Table) -> pa.Table:
         twice = repeated(rows.column("text"), replies)
+        pa.default_memory_pool().release_unused()
         done = [cut_slice(texts, twice) for texts in _parts(rows.column("text"))]
         columns = pa.concat_tables(done) if done else cut_slice([], twice)
         return pa.table({"key": rows.column("key")} | {c: columns.column(c) for c in columns.column_names} | ({"carried": rows.column("carried")} if carry else {}))

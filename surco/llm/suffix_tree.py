@@ -164,6 +164,7 @@ def _messages(b: Block, step: int, depth: int, parts: int) -> pa.Table:
     Round 0 counts tokens, round 1 pairs; round r tells the gains of contexts of
     r - 1 tokens and counts sequences of r + 1, the last one gains only.
     """
+    pa.default_memory_pool().release_unused()  # what the last block left
     if step == 0:
         return pa.Table.from_batches([_send(_gram(1), b.number, b.tokens.keys, b.tokens.sums(b.train), parts)])
     b.with_tokens()
