@@ -4,13 +4,16 @@ Event time is the publish time of the message. Windows close when the
 watermark passes their end; the default delay of zero drops what comes later.
 A closed window is finished per batch: dimensions are joined as they are now,
 facts are appended and latest values stored, all repeatable by batch number.
+A batch that only closes windows has no new input, and Spark takes its rows for
+that few: joins are planned by sizes measured at their shuffles instead.
 """
 
 from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,6 +96,27 @@ def closed_windows(stream: DataFrame, every: str) -> DataFrame:
     return rows.select(*plain, F.col("_at").alias("event_time"))
 
 
+@contextmanager
+def measured_sizes(spark: SparkSession, adaptive: str = "true") -> Iterator[None]:
+    """What is planned inside broadcasts a side only for the size its shuffle had, not for an estimate; afterwards the session is as it was.
+
+    A stream turns adaptive execution off in its own session, also for what a batch does with its rows; `adaptive` is as its owner set it.
+    """
+    limit, measured = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    wanted = {"spark.sql.adaptive.enabled": adaptive, measured: spark.conf.get(measured, None) or spark.conf.get(limit), limit: "-1"}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
 def start(stream: DataFrame, name: str, each_batch: Callable[[DataFrame, int], None],
           checkpoint: str | None = None, every: str | None = None) -> StreamingQuery:
     """Run a stream; without an interval it works off what is there and stops."""
@@ -100,9 +124,15 @@ def start(stream: DataFrame, name: str, each_batch: Callable[[DataFrame, int], N
     if spark.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC"):
         raise ValueError("streams need spark.sql.session.timeZone=UTC")
     place = checkpoint or f"{shared_folder(spark)}/{name}"
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+
+    def run_batch(batch: DataFrame, number: int) -> None:
+        with measured_sizes(batch.sparkSession, adaptive):
+            each_batch(batch, number)
+
     writer = (
         stream.writeStream.queryName(name).outputMode("append")
-        .foreachBatch(each_batch).option("checkpointLocation", place)
+        .foreachBatch(run_batch).option("checkpointLocation", place)
     )
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 

@@ -303,3 +303,28 @@ def test_append_checks_the_table(spark, tmp_path):
     with pytest.raises(ValueError, match="columns differ"):
         append_facts(df.withColumn("x", F.lit(1)), path, "k", create=False)
     assert spark.read.parquet(path).count() == 2
+
+
+def test_windows_that_only_close_are_not_taken_for_few(spark, tmp_path):
+    land(spark, tmp_path / "in", [message(i, i, entity=str(i)) for i in range(3000)] + closing())
+    ok, _ = parse_messages(file_messages(spark, str(tmp_path / "in")))
+    held = run.closed_windows(run.watermarked(rd.coerce_numeric(ok)), "1 hour").select("entity_id", "valor")
+    seen, plans, sessions = [], [], []
+
+    def each(batch, number):
+        other = batch.sparkSession.range(100_000).select(F.col("id").cast("string").alias("entity_id"))
+        met = batch.join(other, "entity_id")
+        seen.append(len(met.collect()))
+        plans.append(met._jdf.queryExecution().executedPlan().toString())
+        sessions.append(batch.sparkSession)
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10000")
+    try:
+        finish(run.start(held, "closing", each, str(tmp_path / "cp")))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(seen) == 3000
+    assert all("BroadcastHashJoin" not in p for p, n in zip(plans, seen) if n)
+    # Streams plan their state without adaptive execution, so the session is left as it was.
+    assert sessions[-1].conf.get("spark.sql.adaptive.enabled") == "false"
+    assert sessions[-1].conf.get("spark.sql.autoBroadcastJoinThreshold") == "10000"
