@@ -128,17 +128,26 @@ def baseline_windows(sensors: DataFrame, ticks: DataFrame, every: str = "10 minu
     return sensor_windows(both, every, ["tick"])
 
 
-def window_spine(rows: DataFrame, bounds: Column, every: str = "10 minutes") -> DataFrame:
-    """Every row once per day from `bounds.first` to `bounds.last`, with that day's windows as `windows`.
+def day_spine(rows: DataFrame, bounds: Column, every: str = "10 minutes") -> DataFrame:
+    """Every row once per day from `bounds.first` to `bounds.last`, as `_day`, with the starts of that day's first and last window, `_from` and `_to`.
 
     `bounds` holds the starts of the first and last window, both aligned; a day
     must be a whole number of windows. Without bounds there are no rows.
     """
-    step = F.expr(f"INTERVAL '{every}'")
     day = F.explode(F.sequence(F.to_date(bounds["first"]), F.to_date(bounds["last"])))
     begin = F.col("_day").cast("timestamp_ntz")
-    windows = F.sequence(F.greatest(bounds["first"], begin), F.least(bounds["last"], begin + F.expr("INTERVAL '1 day'") - step), step)
-    return rows.withColumn("_day", day).withColumn("windows", windows)
+    ends = begin + F.expr("INTERVAL '1 day'") - F.expr(f"INTERVAL '{every}'")
+    return rows.withColumn("_day", day).withColumns({"_from": F.greatest(bounds["first"], begin), "_to": F.least(bounds["last"], ends)})
+
+
+def day_windows(every: str = "10 minutes") -> Column:
+    """The window starts of a row of `day_spine`."""
+    return F.sequence("_from", "_to", F.expr(f"INTERVAL '{every}'"))
+
+
+def window_spine(rows: DataFrame, bounds: Column, every: str = "10 minutes") -> DataFrame:
+    """The rows of `day_spine` with that day's windows as `windows`."""
+    return day_spine(rows, bounds, every).withColumn("windows", day_windows(every)).drop("_from", "_to")
 
 
 def override_baseline(sensors: DataFrame, ticked: DataFrame, parcels_weather: DataFrame, every: str = "10 minutes") -> DataFrame:
@@ -148,11 +157,22 @@ def override_baseline(sensors: DataFrame, ticked: DataFrame, parcels_weather: Da
     and sensor means meet once per day, so what is shuffled is a row per parcel
     and day; the windows of a day, a bounded number, unfold after that.
     """
+    return unfold_days(baseline_days(sensors, ticked, parcels_weather, every), every)
+
+
+def baseline_days(sensors: DataFrame, ticked: DataFrame, parcels_weather: DataFrame, every: str = "10 minutes") -> DataFrame:
+    """Every known parcel once per day of the spine, with the windows its sensors were heard in as `_seen`."""
     bounds = ticked.agg(F.struct(F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))).scalar()
     means = [f"_{m}" for m in METRICS]
     seen = sensors.groupBy("entity_id", F.to_date("timestamp").alias("_day")).agg(
         F.collect_list(F.struct("timestamp", "sensor_id", *means)).alias("_seen"))
-    days = window_spine(parcels_weather, bounds, every).join(seen, ["entity_id", "_day"], "left")
+    return day_spine(parcels_weather, bounds, every).join(seen, ["entity_id", "_day"], "left")
+
+
+def unfold_days(days: DataFrame, every: str = "10 minutes") -> DataFrame:
+    """The rows of `baseline_days` as a row per window."""
+    days = days.withColumn("windows", day_windows(every))
+    means = [f"_{m}" for m in METRICS]
     none = F.lit(None)
     quiet = F.transform(F.array_except("windows", F.coalesce(F.col("_seen.timestamp"), F.array().cast("array<timestamp_ntz>"))), lambda t: F.struct(
         t.alias("timestamp"), none.cast("string").alias("sensor_id"), *[none.cast("double").alias(m) for m in means]))

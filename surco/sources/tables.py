@@ -128,12 +128,13 @@ def _same_layout(df: DataFrame, stored: T.StructType, extra: set[str]) -> list[s
 
 
 def append_facts(df: DataFrame, path: str, key: str, time_col: str = "timestamp",
-                 create: bool = True, batch: int | None = None) -> None:
+                 create: bool = True, batch: int | None = None, dealt: bool = False) -> None:
     """Append rows as day partitions, clustered by `key` inside each file.
 
     `create=False` wants the table to exist with the same columns. A `batch`
     number makes a repeated write replace its own earlier attempt, so that a
-    streaming batch that is run again leaves no duplicates.
+    streaming batch that is run again leaves no duplicates. Rows that lie by day
+    and key already, as `dealt` says, are not dealt out again.
     """
     spark = df.sparkSession
     if not create:
@@ -145,11 +146,8 @@ def append_facts(df: DataFrame, path: str, key: str, time_col: str = "timestamp"
         if differing:
             raise ValueError(f"columns differ from the table: {', '.join(differing)}")
     # Adaptive execution cuts a hot day or key into several files and merges small ones.
-    rows = (
-        df.withColumn("fecha", F.to_date(time_col))
-        .hint("rebalance", "fecha", key)
-        .sortWithinPartitions("fecha", key, time_col)
-    )
+    rows = df.withColumn("fecha", F.to_date(time_col))
+    rows = (rows if dealt else rows.hint("rebalance", "fecha", key)).sortWithinPartitions("fecha", key, time_col)
     if batch is None:
         rows.write.mode("append").partitionBy("fecha").parquet(path)
     else:

@@ -49,11 +49,13 @@ class Refreshed:
     def __init__(self, load: Load, seconds: float, clock: Callable[[], float] = time.monotonic) -> None:
         self._load, self._seconds, self._clock = load, seconds, clock
         self._held: DataFrame | None = None
+        self._path = ""
         self._at = 0.0
         self._folders: list[str] = []
         self.failures = 0
 
-    def get(self) -> DataFrame:
+    def get(self, spark: SparkSession | None = None) -> DataFrame:
+        """The rows, in the session they were loaded in or another of the same context."""
         now = self._clock()
         if self._held is None or now - self._at >= self._seconds:
             try:
@@ -62,7 +64,7 @@ class Refreshed:
                 if self._held is None:
                     raise
                 self.failures += 1
-        return self._held
+        return self._held if spark is None else spark.read.schema(self._held.schema).parquet(self._path)
 
     def _snapshot(self) -> DataFrame:
         rows = self._load()
@@ -76,6 +78,7 @@ class Refreshed:
         self._folders.append(path)
         while len(self._folders) > 2:
             removed(spark, self._folders.pop(0))
+        self._path = path
         return spark.read.schema(rows.schema).parquet(path)
 
 
@@ -180,6 +183,9 @@ def _plain(df: DataFrame, column: str = "timestamp") -> DataFrame:
 
 # ---- fields, ten minutes over a weather baseline --------------------------
 
+# Rows that one task of the baseline unfolds and sorts.
+FACTS_PER_TASK = 500_000
+
 # Fields of the state document.
 FIELD_STATE = (
     "temperatura", "humedad_ambiental", "humedad_suelo", "precipitacion_mm", "et0",
@@ -201,6 +207,9 @@ def baseline_fields(messages: DataFrame, ticks: DataFrame, parcels_weather: Load
     share one windowed aggregate, so both close together; the parcels join
     only after that and never enter the stream's state. A window closes once
     both streams have passed it: a source that falls silent holds it open.
+
+    Days are dealt to tasks before their windows unfold, as many tasks as the
+    rows ask for; the latest values are taken from the facts as written.
     """
     window, refresh = FIELD
     known = Refreshed(parcels_weather, refresh)
@@ -211,12 +220,17 @@ def baseline_fields(messages: DataFrame, ticks: DataFrame, parcels_weather: Load
 
     def finish(batch: DataFrame, number: int) -> None:
         rows = batch.persist()
-        merged = rd.override_baseline(rows.filter(~F.col("tick")), rows.filter("tick"), known.get()).persist()
-        append_facts(merged, facts, "parcel_id", batch=number)
-        now = as_of if as_of is not None else F.current_timestamp().cast("timestamp_ntz")
-        state.write(merged.withColumn("updated_at", now), number)
-        merged.unpersist()
+        ticked, parcels = rows.filter("tick"), known.get(batch.sparkSession)
+        span = F.timestamp_diff("MINUTE", F.min("timestamp"), F.max("timestamp"))
+        windows = (ticked.agg(span).first()[0] or 0) // 10 + 1
+        tasks = -(-parcels.count() * windows // FACTS_PER_TASK) or 1
+        days = rd.baseline_days(rows.filter(~F.col("tick")), ticked, parcels)
+        merged = rd.unfold_days(days.repartitionByRange(tasks, "_day", "entity_id"))
+        append_facts(merged, facts, "parcel_id", batch=number, dealt=True)
         rows.unpersist()
+        now = as_of if as_of is not None else F.current_timestamp().cast("timestamp_ntz")
+        written = batch.sparkSession.read.schema(merged.schema).parquet(f"{facts.rstrip('/')}/lote={number}")
+        state.write(written.withColumn("updated_at", now), number)
 
     return start(closed, "baseline_fields", finish, checkpoint, every)
 

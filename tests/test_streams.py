@@ -328,3 +328,21 @@ def test_windows_that_only_close_are_not_taken_for_few(spark, tmp_path):
     # Streams plan their state without adaptive execution, so the session is left as it was.
     assert sessions[-1].conf.get("spark.sql.adaptive.enabled") == "false"
     assert sessions[-1].conf.get("spark.sql.autoBroadcastJoinThreshold") == "10000"
+
+
+def test_baseline_tasks_grow_with_the_rows(spark, tmp_path, monkeypatch):
+    """A task unfolds a bounded number of rows, whatever the shuffle partitions are, and every row is written once, in order."""
+    monkeypatch.setattr(run, "FACTS_PER_TASK", 300)
+    many = parcels(spark).crossJoin(spark.range(10).withColumnRenamed("id", "more")).withColumn("id", F.col("id") + 10 * F.col("more").cast("int")).drop("more")
+    land(spark, tmp_path / "in", [message(1, 5, value=9.0), message(2, 40 * 3600, value=15.0)], [message(999, 10**7)])
+    spark.createDataFrame([(START + timedelta(seconds=s), f"t{s}") for s in (1, 40 * 3600, 10**7)], "event_time timestamp, message_id string").write.parquet(str(tmp_path / "ticks"))
+    ticks = spark.readStream.schema("event_time timestamp, message_id string").parquet(str(tmp_path / "ticks"))
+    state = run.field_state(str(tmp_path / "state"))
+    finish(run.baseline_fields(file_messages(spark, str(tmp_path / "in")), ticks, lambda: run.parcels_with_weather(many, forecast(spark), "2024-01-02"),
+                               str(tmp_path / "facts"), state, as_of=F.lit(START).cast("timestamp_ntz"), checkpoint=str(tmp_path / "cp")))
+    out = spark.read.parquet(str(tmp_path / "facts"))
+    windows = 40 * 6 + 1
+    assert out.count() == out.select("parcel_id", "timestamp").distinct().count() == 20 * windows
+    files = out.groupBy(F.input_file_name().alias("f")).agg(F.count(F.lit(1)).alias("n")).collect()
+    assert max(r.n for r in files) <= 3 * 300 and len(files) >= 20 * windows // 900
+    assert rows(state.read(spark).filter("parcel_id = '1'"), "temperatura", "humedad_ambiental") == [(15.0, 60.0)]
