@@ -56,13 +56,16 @@ def written(df: DataFrame) -> DataFrame:
 
 def stars(edges: DataFrame) -> DataFrame:
     """One round of large stars and small stars: every node comes nearer to the least of its component."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    # Both ways come from one row each: unions of a side used twice would double the plan at every step.
+    here, back = F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))
+    both = edges.select(F.inline(F.array(here, back)))
     least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
     large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
     down = large.distinct()
     least = down.groupBy("u").agg(F.min("v").alias("m"))
     small = down.join(least, "u")
-    return small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+    to_least = F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))
+    return small.select(F.inline(F.array(*to_least))).filter("u <> v").distinct()
 
 
 def components(links: DataFrame, about: int | None = None, most: int = 40) -> DataFrame:

@@ -166,3 +166,12 @@ def test_hilbert_visits_neighbours(axes, depth):
     order = np.argsort(keys)
     assert keys[order].tolist() == list(range(len(cells)))
     assert (np.abs(np.diff(cells[order], axis=0)).sum(axis=1) == 1).all()
+
+
+def test_a_round_of_stars_keeps_its_plan_small(spark):
+    """Two rounds stand in one plan, which the driver holds whole: a side used twice may not double it at every step."""
+    edges = spark.createDataFrame([(2, 1), (3, 2), (4, 3), (9, 8)], "u long, v long").localCheckpoint()
+    twice = links.stars(links.stars(edges))
+    text = twice._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("LogicalRDD") <= 16 and "Union" not in text
+    assert sorted(map(tuple, twice.collect())) == [(2, 1), (3, 1), (4, 1), (9, 8)]
