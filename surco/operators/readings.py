@@ -230,21 +230,25 @@ def fanout_targets(members: DataFrame) -> DataFrame:
     return members.select("plant_id", "greenhouse_id", "user_id", "tipo", "variedad", F.inline(sources))
 
 
-def fanout_partials(partials: DataFrame, members: DataFrame) -> DataFrame:
+def fanout_partials(partials: DataFrame, members: DataFrame, by_day: bool = False) -> DataFrame:
     """Greenhouse partials go to every plant inside, plant partials to their plant.
 
-    Both ways share one join, so the readings are scanned and reduced once.
+    Both ways share one join, so the readings are scanned and reduced once. With
+    `by_day` the copies are dealt by day and plant, once, and the rows of a
+    plant's day come out in one partition, ready to be written.
     """
     means = [
         (F.sum(f"sum_{m}") / F.nullif(F.sum(f"n_{m}"), F.lit(0))).alias(m) for m in METRICS
     ]
-    per_plant = (
-        partials.join(fanout_targets(members), ["entity_type", "entity_id"])
-        .groupBy("w", "plant_id", "greenhouse_id", "user_id", "tipo", "variedad")
-        .agg(*means)
-    )
+    copies = partials.withColumn("timestamp", F.col("w.start")).join(fanout_targets(members), ["entity_type", "entity_id"])
+    keys = ["timestamp", "plant_id", "greenhouse_id", "user_id", "tipo", "variedad"]
+    if by_day:
+        # The day follows from the timestamp, so as a key it parts no group, and the groups need no shuffle of their own.
+        copies = copies.withColumn("_day", F.to_date("timestamp")).repartition("_day", "plant_id", "greenhouse_id")
+        keys = ["_day", *keys]
+    per_plant = copies.groupBy(*keys).agg(*means)
     return per_plant.select(
-        "user_id", "greenhouse_id", "plant_id", F.col("w.start").alias("timestamp"), *METRICS,
+        "user_id", "greenhouse_id", "plant_id", "timestamp", *METRICS,
         F.col("tipo").alias("tipo_cultivo"), "variedad", F.lit(None).cast("date").alias("fecha_plantacion"),
     )
 

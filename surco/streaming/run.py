@@ -274,15 +274,16 @@ def plants(messages: DataFrame, greenhouses: Load, plants: Load, facts: str, del
     """Greenhouse and plant messages to one row per plant and window.
 
     The stream's state holds partial sums per sensor entity; plants unfold
-    when a window closes.
+    when a window closes. The unfolded rows are shuffled once, by day and plant,
+    and are summed and written where that puts them.
     """
     window, refresh = PLANT
     houses, members = Refreshed(greenhouses, refresh), Refreshed(plants, refresh)
     partials = rd.window_partials(numeric_readings(messages, True, delay), window)
 
     def finish(batch: DataFrame, number: int) -> None:
-        rows = rd.fanout_partials(batch, rd.plants_with_owner(members.get(), houses.get()))
-        append_facts(_plain(rows), facts, "plant_id", batch=number)
+        rows = rd.fanout_partials(batch, rd.plants_with_owner(members.get(), houses.get()), by_day=True)
+        append_facts(_plain(rows), facts, "plant_id", batch=number, dealt=True)
 
     return start(partials, "plants", finish, checkpoint, every)
 

@@ -112,6 +112,24 @@ def test_fan_out_equals_plain_mean(spark):
     assert out == [("10", "1", "7", 24.0, None), ("11", "1", "7", 21.0, None), ("12", "9", None, None, None)]
 
 
+def test_fan_out_by_day_shuffles_the_copies_once(spark):
+    """The same rows as without, also for repeated and null keys; behind the join one exchange, by day and plant."""
+    houses = spark.createDataFrame([(1, 7, "g1"), (2, 8, "g2"), (2, 8, "g2"), (None, 9, "g")], "id int, usuario_id int, nombre string")
+    plants = spark.createDataFrame(
+        [(10, 1, "t", "a"), (11, 1, "t", "b"), (11, 1, "t", "b"), (12, 2, None, "c"), (None, 1, "t", "d"), (13, None, "t", None)],
+        "id int, invernadero_id int, tipo string, variedad string",
+    )
+    data = [("planta" if i % 3 else "invernadero", str(10 + i % 4 if i % 3 else i % 4), "u", ("temperatura", "humedad_suelo")[i % 2], float(i), None,
+             at(0) + timedelta(minutes=7 * i), i) for i in range(600)]
+    partials, members = rd.window_partials(readings(spark, data)), rd.plants_with_owner(plants, houses)
+    once = rd.fanout_partials(partials, members, by_day=True)
+    key = lambda r: tuple("" if v is None else str(v) for v in r)
+    got, want = (sorted(map(tuple, x.collect()), key=key) for x in (once, rd.fanout_partials(partials, members)))
+    assert got == want and len({r[3].date() for r in got}) > 2
+    above = [line for line in once._jdf.queryExecution().executedPlan().toString().split("Join")[0].splitlines() if "Exchange" in line]
+    assert len(above) == 1 and "_day" in above[0]
+
+
 def test_union_split_does_not_matter(spark):
     data = [("parcela", str(i % 3), "u", "temperatura", float(i), None, at(i % 60), i) for i in range(200)]
     whole = rd.sensor_pivot(readings(spark, data))

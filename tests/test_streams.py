@@ -113,6 +113,25 @@ def test_plant_fan_out_stream_equals_batch(spark, tmp_path):
     assert got == rows(want) and got
 
 
+def test_plant_rows_are_written_where_they_are_summed(spark, tmp_path, monkeypatch):
+    """The written rows of a closed window come by one shuffle behind the join, none of their own."""
+    houses = spark.createDataFrame([(1, 7, "g")], "id int, usuario_id int, nombre string")
+    plants = spark.createDataFrame([(i, 1, "t", "v") for i in range(5)], "id int, invernadero_id int, tipo string, variedad string")
+    land(spark, tmp_path / "in", [message(1, 10, "invernadero", value=20.0)], [message(9, 10**6, "planta", "zz")])
+    plans = []
+
+    def stored(df, *args, **how):
+        assert how.get("dealt")
+        plans.append(df._jdf.queryExecution().executedPlan().toString().split("Join")[0])
+        append_facts(df, *args, **how)
+
+    append_facts = run.append_facts
+    monkeypatch.setattr(run, "append_facts", stored)
+    finish(run.plants(file_messages(spark, str(tmp_path / "in"), 1), lambda: houses, lambda: plants, str(tmp_path / "facts"), checkpoint=str(tmp_path / "cp")))
+    assert spark.read.parquet(str(tmp_path / "facts")).count() == 5
+    assert plans and all(p.count("Exchange") == 1 for p in plans)
+
+
 def test_baseline_stream_emits_quiet_parcels_and_state(spark, tmp_path):
     data = [message(1, 5, value=9.0, sensor_id=""), message(2, 6, value=11.0, sensor_id="s2"), message(3, 7, sensor="humedad_suelo", value=33.0),
             message(4, 8, entity="99", value=1.0), message(5, 700, value=15.0), message(6, 1300, value=50.0)]
