@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surco.llm import byte_bpe, mixing, odd_sketch, quality, substrings
-from surco.llm.links import written
+from surco.llm.links import arrow_rows, written
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,12 +41,17 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with `n_tokens`, `token_ids`, and whether the ids decode to the bytes of the text."""
+    """The documents with `n_tokens`, `token_ids`, and whether the ids decode to the bytes of the text.
+
+    The ids are written before they are decoded: in one stage every core would hold two Python workers with a vocabulary
+    each, and a text and its ids in two Arrow batches. The batches are of few rows for the same reason.
+    """
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    rows = byte_bpe.encode(docs, path, public_tokenizers.PATTERN)
-    rows = byte_bpe.decode(rows, path)
-    same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
-    return rows.withColumn("n_tokens", F.size("token_ids").cast("long")).withColumn("round_trip", same).drop("decoded")
+    with arrow_rows(spark, byte_bpe.IDS_AT_ONCE):
+        rows = written(byte_bpe.encode(docs, path, public_tokenizers.PATTERN))
+        rows = byte_bpe.decode(rows, path)
+        same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
+        return written(rows.withColumn("n_tokens", F.size("token_ids").cast("long")).withColumn("round_trip", same).drop("decoded"))
 
 
 def counted(docs: DataFrame) -> DataFrame:

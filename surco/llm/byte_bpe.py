@@ -32,16 +32,30 @@ IDS_AT_ONCE = 512
 TOGETHER = 1 << 18
 
 
+def read_ranks(path: str) -> Iterator[tuple[bytes, int]]:
+    with open(path, "rb") as f:
+        for line in f:
+            if line.strip():
+                token, rank = line.split()
+                yield base64.b64decode(token), int(rank)
+
+
+@lru_cache(maxsize=2)
+def tokens_of(path: str) -> list[bytes]:
+    """The bytes of every id: all that decoding needs."""
+    ranks = dict(read_ranks(path))
+    tokens = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    return tokens
+
+
 class Ranks:
     """The ranks of a vocabulary, and of every pair of tokens that joins to a token."""
 
     def __init__(self, path: str):
-        with open(path, "rb") as f:
-            rows = [line.split() for line in f if line.strip()]
-        ranks = {base64.b64decode(a): int(b) for a, b in rows}
-        self.tokens = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            self.tokens[rank] = token
+        ranks = dict(read_ranks(path))
+        self.tokens = tokens_of(path)
         self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         pairs = [
             (a << 32 | b, rank)
@@ -232,6 +246,10 @@ class Ranks:
             for pieces in cut:
                 yield b"".join(map(known.__getitem__, pieces))
 
+    def forget(self) -> None:
+        """Give up the pieces of a task that has ended: its Python worker lives on and serves other stages."""
+        self.memory, self.older = {}, {}
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
@@ -263,6 +281,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
             flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
             column = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*kept, out])
+        ranks.forget()
 
     return df.select(*[df[quoted(c)] for c in kept]).mapInArrow(run, schema)
 
@@ -277,9 +296,9 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded
     schema = df.select(*[df[quoted(c)] for c in kept]).schema.add(out, "binary")
 
     def run(batches):
-        ranks = ranks_of(path)
+        tokens = tokens_of(path)
         for batch in (b.slice(i, IDS_AT_ONCE) for b in batches for i in range(0, len(b), IDS_AT_ONCE)):
-            rows = [None if x is None else b"".join(map(ranks.tokens.__getitem__, x)) for x in batch.column(kept.index(ids)).to_pylist()]
+            rows = [None if x is None else b"".join(map(tokens.__getitem__, x)) for x in batch.column(kept.index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.binary())], names=[*kept, out])
 
     return df.select(*[df[quoted(c)] for c in kept]).mapInArrow(run, schema)
@@ -298,5 +317,6 @@ def digests(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: s
                 pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
                 pa.array([hashlib.sha256(ranks.decode(x)).hexdigest() for x in ids]),
             ], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
+        ranks.forget()
 
     return df.select(F.col(key), F.col(text)).mapInArrow(run, schema)

@@ -81,6 +81,13 @@ def test_ids_decode(stages):
     assert rows and all(r["round_trip"] and r["n_tokens"] == len(r["token_ids"]) for r in rows)
 
 
+def test_no_stage_runs_two_python_workers_a_core(spark, corpus):
+    """Encoding and decoding follow one another; in one plan each core would hold two vocabularies and two batches."""
+    docs = corpus.select("doc_id", "text", "lang", "source", "n_chars")
+    plan = corpus_pipeline.encode(spark, docs, "")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") < 2
+
+
 def test_odd_documents_pass_through(spark, corpus):
     """Nulls, empty and repeated rows, and clashing columns, through every stage; no labels reject nothing."""
     import tempfile

@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -489,6 +490,20 @@ def library():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def test_a_worker_keeps_no_pieces_of_an_ended_task(spark, corpus):
+    """Nothing that a task has learned stays in its Python worker, which goes on to other stages."""
+    docs = corpus.select("doc_id", "text").repartition(8)
+    byte_bpe.encode(docs, PATH, public_tokenizers.PATTERN).write.format("noop").mode("overwrite").save()
+    byte_bpe.digests(docs, PATH, public_tokenizers.PATTERN).write.format("noop").mode("overwrite").save()
+
+    def held(batches):
+        for batch in batches:
+            ranks = byte_bpe.ranks_of(PATH)
+            yield pa.RecordBatch.from_pydict({"n": [len(ranks.memory) + len(ranks.older)] * len(batch)})
+
+    assert spark.range(64).repartition(16).mapInArrow(held, "n long").groupBy().max("n").first()[0] == 0
+
+
 def test_encoding(corpus, texts, library, nothing):
     want = sorted(((k, len(ids := library.encode_ordinary(t or "")), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(),
                     hashlib.sha256((t or "").encode()).hexdigest()) for k, t in texts), key=str)
