@@ -18,6 +18,12 @@ from ..functions.fixed_values import DEVICE_CLASSES, METRICS, MISSING_STATES, SE
 
 ARRIVAL = ("event_time", "message_id")
 
+# What the baseline takes of a parcel and its weather.
+PARCEL_WEATHER = (
+    "entity_id", "user_id", "nombre", "temperatura", "humedad_ambiental", "precipitacion_mm", "et0", "radiacion_solar",
+    "cultivo", "variedad", "estado_cielo",
+)
+
 
 def arrival() -> Column:
     """Readings of a group are ordered by event time, then message id."""
@@ -166,28 +172,38 @@ def baseline_days(sensors: DataFrame, ticked: DataFrame, parcels_weather: DataFr
     means = [f"_{m}" for m in METRICS]
     seen = sensors.groupBy("entity_id", F.to_date("timestamp").alias("_day")).agg(
         F.collect_list(F.struct("timestamp", "sensor_id", *means)).alias("_seen"))
-    return day_spine(parcels_weather, bounds, every).join(seen, ["entity_id", "_day"], "left")
+    return day_spine(parcels_weather.select(*PARCEL_WEATHER), bounds, every).join(seen, ["entity_id", "_day"], "left")
 
 
-def unfold_days(days: DataFrame, every: str = "10 minutes") -> DataFrame:
-    """The rows of `baseline_days` as a row per window."""
-    days = days.withColumn("windows", day_windows(every))
-    means = [f"_{m}" for m in METRICS]
-    none = F.lit(None)
-    quiet = F.transform(F.array_except("windows", F.coalesce(F.col("_seen.timestamp"), F.array().cast("array<timestamp_ntz>"))), lambda t: F.struct(
-        t.alias("timestamp"), none.cast("string").alias("sensor_id"), *[none.cast("double").alias(m) for m in means]))
-    heard = F.filter("_seen", lambda r: F.array_contains("windows", r["timestamp"]))
-    joined = days.withColumn("_row", F.explode(F.when(F.col("_seen").isNull(), quiet).otherwise(F.concat(heard, quiet)))).select("*", "_row.*")
-    hot = F.col("_temperatura").isNotNull()
-    return joined.select(
+def unfold_days(days: DataFrame, every: str = "10 minutes", latest: bool = False) -> DataFrame:
+    """The rows of `baseline_days` as a row per window, those of a day in time order.
+
+    With `latest`, only the windows that can hold the latest value of a field: those that were
+    heard, and the day's last, since a quiet window has nothing that the last has not.
+    A window that was heard more than once has a row for each.
+    """
+    at, windows = F.col("_seen.timestamp"), day_windows(every)
+    days = days.withColumn("_at", at)
+    if latest:
+        windows = F.array_union(F.array("_to"), F.coalesce(F.array_intersect("_at", windows), F.array().cast("array<timestamp_ntz>")))
+    # Repeats apart, a window is looked up in the day's few heard ones by generated code.
+    repeated = F.size(F.array_distinct("_at")) < F.size("_at")
+    repeats = F.filter("_at", lambda t, i: F.array_contains(day_windows(every), t) & (F.array_position("_at", t) <= i))
+    days = days.withColumn("_all", F.when(repeated, F.sort_array(F.concat(windows, repeats)))).withColumns(
+        {c: F.when(F.col("_all").isNotNull(), F.sort_array(c)).otherwise(F.col(c)) for c in ("_seen", "_at")})
+    rows = days.select("*", F.posexplode(F.coalesce("_all", windows)).alias("_nth", "timestamp"))
+    again = F.when(F.col("_all").isNotNull(), F.col("_nth") + 1 - F.array_position("_all", F.col("timestamp"))).otherwise(F.lit(0))
+    rows = rows.withColumn("_heard", F.get("_seen", F.array_position("_at", F.col("timestamp")) - 1 + again))
+    sensor = {m: F.col("_heard")[f"_{m}"] for m in METRICS}
+    return rows.select(
         "user_id", F.col("entity_id").alias("parcel_id"), "nombre", "timestamp",
-        F.coalesce("_temperatura", "temperatura").alias("temperatura"),
-        F.coalesce("_humedad_ambiental", "humedad_ambiental").alias("humedad_ambiental"),
-        F.col("_humedad_suelo").alias("humedad_suelo"),
+        F.coalesce(sensor["temperatura"], "temperatura").alias("temperatura"),
+        F.coalesce(sensor["humedad_ambiental"], "humedad_ambiental").alias("humedad_ambiental"),
+        sensor["humedad_suelo"].alias("humedad_suelo"),
         "precipitacion_mm", "et0", "radiacion_solar",
-        F.when(hot, F.lit("sensor")).otherwise(F.lit("openmeteo")).alias("fuente_temperatura"),
+        F.when(sensor["temperatura"].isNotNull(), F.lit("sensor")).otherwise(F.lit("openmeteo")).alias("fuente_temperatura"),
         F.col("cultivo").alias("tipo_cultivo"), "variedad",
-        F.lit(None).cast("date").alias("fecha_plantacion_aprox"), "estado_cielo", "sensor_id",
+        F.lit(None).cast("date").alias("fecha_plantacion_aprox"), "estado_cielo", F.col("_heard")["sensor_id"].alias("sensor_id"),
     )
 
 

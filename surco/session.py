@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -26,6 +28,22 @@ def build_session(name: str = "surco", master: str | None = None, **extra: str)
     return builder.getOrCreate()
 
 
+@contextmanager
+def settings(spark: SparkSession, wanted: Mapping[str, str]) -> Iterator[None]:
+    """Settings of a session that hold inside; afterwards it is as it was."""
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Delete a folder that nothing needs any more."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

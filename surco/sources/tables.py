@@ -9,8 +9,12 @@ from pyspark.sql import types as T
 
 from ..functions.columns import zero_to_null
 from ..functions.fixed_values import PHASE_COLUMNS
+from ..session import settings
 from . import schemas
 
+# Days that a task has open at once when it writes rows in order.
+OPEN_FILES = 8
+
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
@@ -128,13 +132,15 @@ def _same_layout(df: DataFrame, stored: T.StructType, extra: set[str]) -> list[s
 
 
 def append_facts(df: DataFrame, path: str, key: str, time_col: str = "timestamp",
-                 create: bool = True, batch: int | None = None, dealt: bool = False) -> None:
+                 create: bool = True, batch: int | None = None, dealt: bool = False,
+                 ordered: bool = False) -> None:
     """Append rows as day partitions, clustered by `key` inside each file.
 
     `create=False` wants the table to exist with the same columns. A `batch`
     number makes a repeated write replace its own earlier attempt, so that a
     streaming batch that is run again leaves no duplicates. Rows that lie by day
-    and key already, as `dealt` says, are not dealt out again.
+    and key already, as `dealt` says, are not dealt out again, and those that
+    are `ordered` by day, key and time within their partition are not sorted.
     """
     spark = df.sparkSession
     if not create:
@@ -147,8 +153,11 @@ def append_facts(df: DataFrame, path: str, key: str, time_col: str = "timestamp"
             raise ValueError(f"columns differ from the table: {', '.join(differing)}")
     # Adaptive execution cuts a hot day or key into several files and merges small ones.
     rows = df.withColumn("fecha", F.to_date(time_col))
-    rows = (rows if dealt else rows.hint("rebalance", "fecha", key)).sortWithinPartitions("fecha", key, time_col)
-    if batch is None:
-        rows.write.mode("append").partitionBy("fecha").parquet(path)
-    else:
-        rows.write.mode("overwrite").partitionBy("fecha").parquet(f"{path.rstrip('/')}/lote={batch}")
+    if not dealt:
+        rows = rows.hint("rebalance", "fecha", key)
+    if not ordered:
+        rows = rows.sortWithinPartitions("fecha", key, time_col)
+    to, mode = (path, "append") if batch is None else (f"{path.rstrip('/')}/lote={batch}", "overwrite")
+    # Without some files open at once, Spark sorts what it cannot see to be in order; beyond them it sorts the rest.
+    with settings(spark, {"spark.sql.maxConcurrentOutputFileWriters": str(OPEN_FILES)} if ordered else {}):
+        rows.write.mode(mode).partitionBy("fecha").parquet(to)

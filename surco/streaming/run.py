@@ -12,8 +12,9 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
+from contextlib import AbstractContextManager
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.columns import ntz
 from ..functions.fixed_values import METRICS
 from ..operators import proximity, readings as rd, weather
-from ..session import removed, shared_folder
+from ..session import removed, settings, shared_folder
 from ..sources.messages import parse_messages
 from ..sources.tables import append_facts
 from .state import StateLog
@@ -99,25 +100,13 @@ def closed_windows(stream: DataFrame, every: str) -> DataFrame:
     return rows.select(*plain, F.col("_at").alias("event_time"))
 
 
-@contextmanager
-def measured_sizes(spark: SparkSession, adaptive: str = "true") -> Iterator[None]:
+def measured_sizes(spark: SparkSession, adaptive: str = "true") -> AbstractContextManager[None]:
     """What is planned inside broadcasts a side only for the size its shuffle had, not for an estimate; afterwards the session is as it was.
 
     A stream turns adaptive execution off in its own session, also for what a batch does with its rows; `adaptive` is as its owner set it.
     """
     limit, measured = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
-    wanted = {"spark.sql.adaptive.enabled": adaptive, measured: spark.conf.get(measured, None) or spark.conf.get(limit), limit: "-1"}
-    before = {name: spark.conf.get(name, None) for name in wanted}
-    for name, value in wanted.items():
-        spark.conf.set(name, value)
-    try:
-        yield
-    finally:
-        for name, value in before.items():
-            if value is None:
-                spark.conf.unset(name)
-            else:
-                spark.conf.set(name, value)
+    return settings(spark, {"spark.sql.adaptive.enabled": adaptive, measured: spark.conf.get(measured, None) or spark.conf.get(limit), limit: "-1"})
 
 
 def start(stream: DataFrame, name: str, each_batch: Callable[[DataFrame, int], None],
@@ -183,7 +172,7 @@ def _plain(df: DataFrame, column: str = "timestamp") -> DataFrame:
 
 # ---- fields, ten minutes over a weather baseline --------------------------
 
-# Rows that one task of the baseline unfolds and sorts.
+# Rows that one task of the baseline unfolds and writes.
 FACTS_PER_TASK = 500_000
 
 # Fields of the state document.
@@ -208,8 +197,10 @@ def baseline_fields(messages: DataFrame, ticks: DataFrame, parcels_weather: Load
     only after that and never enter the stream's state. A window closes once
     both streams have passed it: a source that falls silent holds it open.
 
-    Days are dealt to tasks before their windows unfold, as many tasks as the
-    rows ask for; the latest values are taken from the facts as written.
+    Parcel days are dealt and sorted before their windows unfold, to as many
+    tasks as the rows ask for; the rows come out in the order of the facts and
+    are not sorted again. The latest values are taken from the same days, from
+    the windows that can hold them.
     """
     window, refresh = FIELD
     known = Refreshed(parcels_weather, refresh)
@@ -221,20 +212,29 @@ def baseline_fields(messages: DataFrame, ticks: DataFrame, parcels_weather: Load
     def finish(batch: DataFrame, number: int) -> None:
         rows = batch.persist()
         ticked, parcels = rows.filter("tick"), known.get(batch.sparkSession)
-        span = F.timestamp_diff("MINUTE", F.min("timestamp"), F.max("timestamp"))
-        windows = (ticked.agg(span).first()[0] or 0) // 10 + 1
-        tasks = -(-parcels.count() * windows // FACTS_PER_TASK) or 1
-        days = rd.baseline_days(rows.filter(~F.col("tick")), ticked, parcels)
-        merged = rd.unfold_days(days.repartitionByRange(tasks, "_day", "entity_id"))
-        append_facts(merged, facts, "parcel_id", batch=number, dealt=True)
-        rows.unpersist()
+        days = _dealt_days(rd.baseline_days(rows.filter(~F.col("tick")), ticked, parcels), ticked, parcels).persist()
+        append_facts(rd.unfold_days(days), facts, "parcel_id", batch=number, dealt=True, ordered=True)
         now = as_of if as_of is not None else F.current_timestamp().cast("timestamp_ntz")
-        written = batch.sparkSession.read.schema(merged.schema).parquet(f"{facts.rstrip('/')}/lote={number}")
-        state.write(written.withColumn("updated_at", now), number)
+        state.write(rd.unfold_days(days, latest=True).withColumn("updated_at", now), number)
+        days.unpersist()
+        rows.unpersist()
 
     return start(closed, "baseline_fields", finish, checkpoint, every)
 
 
+def _dealt_days(days: DataFrame, ticked: DataFrame, parcels: DataFrame) -> DataFrame:
+    """Parcel days by day and parcel, in tasks of about FACTS_PER_TASK windows: part of a day, or some whole days."""
+    first, last = ticked.agg(F.min("timestamp"), F.max("timestamp")).first()
+    if first is None:
+        return days
+    a_day = parcels.count() * min((last - first) // timedelta(minutes=10) + 1, 144) or 1
+    parts, together = -(-a_day // FACTS_PER_TASK), max(FACTS_PER_TASK // a_day, 1)
+    turn = F.floor(F.date_diff("_day", F.lit(first.date())) / together)
+    part = F.coalesce(F.pmod(F.xxhash64("entity_id"), F.lit(parts)), F.lit(0))
+    tasks = ((last.date() - first.date()).days // together + 1) * parts
+    return days.repartitionById(tasks, (turn * parts + part).cast("int")).sortWithinPartitions("_day", "entity_id")
+
+
 def parcels_with_weather(parcels: DataFrame, forecast: DataFrame, as_of) -> DataFrame:
     """The baseline dimension: parcels with the latest weather of their municipality."""
     named = parcels.select(

@@ -92,6 +92,53 @@ def test_spine_has_every_window_from_first_to_last_tick(spark):
     assert rd.override_baseline(sensors, ticked.limit(0), parcels).count() == 0
 
 
+def days_of(spark, sensors, last=datetime(2024, 1, 3, 0, 10)):
+    """Parcel days of parcels with and without weather, one of them twice and one without id."""
+    schema = ("entity_id string, user_id string, nombre string, temperatura double, humedad_ambiental double, precipitacion_mm double, et0 double, "
+              "radiacion_solar double, cultivo string, variedad string, estado_cielo string")
+    weather = (5.0, 60.0, None, 2.0, 3.0, "olivo", "v", "Nublado")
+    parcels = spark.createDataFrame([("1", "u", "n", *weather), ("2", "u", "n", *[None] * 8), ("2", "u", "n", *[None] * 8), (None, "u", "n", *weather)], schema)
+    heard = spark.createDataFrame(sensors, "entity_id string, timestamp timestamp_ntz, sensor_id string, _temperatura double, _humedad_ambiental double, _humedad_suelo double")
+    ticked = spark.createDataFrame([(datetime(2024, 1, 1, 23, 20),), (last,)], "timestamp timestamp_ntz")
+    return rd.baseline_days(heard, ticked, parcels)
+
+
+HEARD = [("1", datetime(2024, 1, 2, 12), "s", 9.0, None, None), ("1", datetime(2024, 1, 2, 12), "t", 8.0, 1.0, None), ("1", datetime(2024, 1, 2, 23, 50), "s", None, None, 2.0),
+         ("2", datetime(2024, 1, 2, 3), "a", 4.0, None, None), ("2", datetime(2024, 1, 2, 2), "b", 3.0, 7.0, None), ("2", datetime(2024, 1, 1, 23, 10), "early", 1.0, 1.0, 1.0),
+         ("2", datetime(2024, 1, 2, 3, 5), "between", 1.0, 1.0, 1.0), (None, datetime(2024, 1, 2, 3), "nobody", 1.0, 1.0, 1.0)]
+
+
+def test_unfolded_days_are_in_order_and_repeat_what_was_heard_twice(spark):
+    out = rd.unfold_days(days_of(spark, HEARD).coalesce(1).sortWithinPartitions("_day", "entity_id")).collect()
+    windows = 4 + 144 + 2
+    assert len(out) == 4 * windows + 1
+    assert [(r.parcel_id, r.timestamp) for r in out if r.parcel_id == "1"] == sorted((r.parcel_id, r.timestamp) for r in out if r.parcel_id == "1")
+    noon = sorted((r.sensor_id, r.temperatura, r.humedad_ambiental) for r in out if r.parcel_id == "1" and r.timestamp == datetime(2024, 1, 2, 12))
+    assert noon == [("s", 9.0, 60.0), ("t", 8.0, 1.0)]
+    assert {(r.parcel_id, r.sensor_id) for r in out if r.sensor_id} == {("1", "s"), ("1", "t"), ("2", "a"), ("2", "b")}
+
+
+def test_unfolding_sorts_no_windows_and_calls_no_function_per_window(spark):
+    """Above the days a window is looked up in generated code; no array of windows is built row by row."""
+    text = rd.unfold_days(days_of(spark, HEARD))._jdf.queryExecution().executedPlan().toString()
+    above = text[:text.index("Generate posexplode")]
+    assert "array_position" in above and "lambda" not in above and "Sort" not in above
+
+
+def test_latest_values_need_few_windows_of_a_day(spark):
+    """Heard windows and the last one of a day leave behind what all windows do."""
+    from surco.operators.tables import merge_latest
+    from surco.streaming.run import FIELD_STATE
+
+    heard = [h for h in HEARD if h[2] != "t"]
+    state = lambda df: rows(merge_latest(None, df, ["user_id", "parcel_id"], FIELD_STATE, ["timestamp"], skip_nulls=True))
+    for last in (datetime(2024, 1, 3, 0, 10), datetime(2024, 1, 2, 23, 50), datetime(2024, 1, 2, 12), datetime(2024, 1, 2, 2, 50)):
+        days = days_of(spark, heard, last)
+        few = rd.unfold_days(days, latest=True)
+        assert state(few) == state(rd.unfold_days(days))
+        assert few.count() <= days.count() + 6
+
+
 def test_fan_out_equals_plain_mean(spark):
     houses = spark.createDataFrame([(1, 7, "g1"), (2, 8, "empty")], "id int, usuario_id int, nombre string")
     plants = spark.createDataFrame(

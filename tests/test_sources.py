@@ -149,3 +149,16 @@ def test_headers_may_repeat_or_lack_a_key(spark):
     rows_ = [([header("a", "1"), header("b", "2"), header("a", "3")],), ([header(None, "x"), header("a", None), header(None, "y")],), ([],), (None,)]
     df = spark.createDataFrame(rows_, "headers array<struct<key: string, value: binary>>")
     assert [r[0] for r in df.select(header_map("headers")).collect()] == [{"b": "2", "a": "3"}, {"a": None}, {}, {}]
+
+
+def test_rows_in_order_are_written_without_a_sort(spark, tmp_path, monkeypatch):
+    """Spark adds no sort by day either; a task with more days than may be open is whole all the same, and the session stays as it was."""
+    monkeypatch.setattr(tables, "OPEN_FILES", 3)
+    df = spark.range(2000, numPartitions=2).select(F.lit("a").alias("k"), F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, id)").alias("timestamp"))
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name, None)
+    tables.append_facts(df, str(tmp_path / "t"), "k", batch=1, dealt=True, ordered=True)
+    assert spark.conf.get(name, None) == before
+    out = spark.read.parquet(str(tmp_path / "t"))
+    assert rows(out, "timestamp") == rows(df, "timestamp") and out.select("fecha").distinct().count() == 84
+    assert [r.timestamp for r in out.filter("fecha = '2024-01-01'").collect()] == sorted(r.timestamp for r in out.filter("fecha = '2024-01-01'").collect())

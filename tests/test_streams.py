@@ -365,3 +365,29 @@ def test_baseline_tasks_grow_with_the_rows(spark, tmp_path, monkeypatch):
     files = out.groupBy(F.input_file_name().alias("f")).agg(F.count(F.lit(1)).alias("n")).collect()
     assert max(r.n for r in files) <= 3 * 300 and len(files) >= 20 * windows // 900
     assert rows(state.read(spark).filter("parcel_id = '1'"), "temperatura", "humedad_ambiental") == [(15.0, 60.0)]
+
+
+def test_baseline_facts_come_in_order_and_the_state_from_few_rows(spark, tmp_path, monkeypatch):
+    """Facts are dealt and sorted as days, so no row is sorted again; the latest values are not picked from all of them."""
+    monkeypatch.setattr(run, "FACTS_PER_TASK", 1000)
+    how, changed = {}, []
+    monkeypatch.setattr(run, "append_facts", lambda df, *args, **named: (how.update(named), append_facts(df, *args, **named)))
+    written = StateLog.write
+    monkeypatch.setattr(StateLog, "write", lambda self, changes, batch: (changed.append(changes.count()), written(self, changes, batch)))
+    data = [message(i, 700 * i, entity=str(1 + i % 3), value=float(i)) for i in range(200)]
+    land(spark, tmp_path / "in", data, [message(999, 10**7)])
+    spark.createDataFrame([(START + timedelta(seconds=s), f"t{s}") for s in (1, 40 * 3600, 10**7)], "event_time timestamp, message_id string").write.parquet(str(tmp_path / "ticks"))
+    ticks = spark.readStream.schema("event_time timestamp, message_id string").parquet(str(tmp_path / "ticks"))
+    state = run.field_state(str(tmp_path / "state"))
+    finish(run.baseline_fields(file_messages(spark, str(tmp_path / "in")), ticks, lambda: run.parcels_with_weather(parcels(spark), forecast(spark), "2024-01-02"),
+                               str(tmp_path / "facts"), state, as_of=F.lit(START).cast("timestamp_ntz"), checkpoint=str(tmp_path / "cp")))
+    out = spark.read.parquet(str(tmp_path / "facts"))
+    windows = 40 * 6 + 1
+    assert out.count() == 2 * windows and how["ordered"]
+    assert sum(changed) <= 200 + 2 * 2
+    for f in out.inputFiles():
+        at = [(r.parcel_id, r.timestamp) for r in spark.read.parquet(f).collect()]
+        assert at == sorted(at)
+    late = rows(state.read(spark), "parcel_id", "temperatura", "humedad_ambiental", "fuente_temperatura")
+    last = lambda k: max(i for i in range(200) if i % 3 == k and 700 * i < 600 * windows)
+    assert late == [("1", 6.0, 60.0, "openmeteo"), ("2", float(last(1)), None, "openmeteo")]
