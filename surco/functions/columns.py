@@ -26,6 +26,20 @@ def finite(value: Column | str) -> Column:
     return F.when(F.abs(number) < F.lit(float("inf")), number)
 
 
+def half_up(value: Column | str, places: int) -> Column:
+    """`F.round` of a double, to the last bit, by way of its decimal text only where that can matter.
+
+    Scaled numbers below 2^33 are off by 3e-6 at most, so those 1e-4 away from a
+    tie go to the integer next to them; dividing that gives the nearest double.
+    """
+    value, by = col(value), F.lit(float(10**places))
+    scaled = value * by
+    whole = F.rint(scaled)
+    plain = (F.abs(scaled) < F.lit(2.0**33)) & (F.abs(scaled - whole) < F.lit(0.4999))
+    # Adding 0.0 leaves no negative zero, as the decimal text would not.
+    return F.when(plain, whole / by + F.lit(0.0)).otherwise(F.round(value, places))
+
+
 def blank_to_null(value: Column | str) -> Column:
     return F.nullif(F.trim(col(value)), F.lit(""))
 

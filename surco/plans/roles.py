@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import ine_code
+from ..functions.columns import half_up, ine_code
 from ..functions.fixed_values import SKY_BY_WEATHER_CODE
 from ..sources.tables import load
 
@@ -257,4 +257,4 @@ ACTIONS = f"""actions AS (
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     """Doubles rounded, so that the order of additions does not show."""
-    return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[half_up(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])

@@ -229,6 +229,21 @@ def test_sky_state_falls_back_to_code(spark):
     assert got == ["Sol", "Lluvia ligera", "Lluvia ligera", None, None]
 
 
+def test_half_up_is_round_to_the_last_bit(spark):
+    """Ties by their decimal text, their neighbours, zeros, what is no number and any magnitude."""
+    import math
+    import random
+
+    random.seed(1)
+    values = [0.0, -0.0, math.nan, math.inf, -math.inf, None, 5e-7, -5e-7, -4.9e-7, 0.1234565, 1.0000005, -1.0000005, 2.675, 1e300, 5e-324, 8589.9345915, 2.0**33]
+    for _ in range(3000):
+        tie = (random.randrange(-10**10, 10**10) + 0.5) / 1e6
+        values += [tie, math.nextafter(tie, math.inf), math.nextafter(tie, -math.inf), random.gauss(0, 1) * 10.0 ** random.randrange(-12, 16)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for places in (6, 4, 0):
+        assert df.filter(~c.half_up("x", places).cast("string").eqNullSafe(F.round("x", places).cast("string"))).count() == 0
+
+
 def test_pick_period(spark):
     item = "struct<value:string,descripcion:string,periodo:string>"
     df = spark.createDataFrame([
