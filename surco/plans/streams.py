@@ -167,6 +167,9 @@ def field_messages(events: DataFrame) -> DataFrame:
 def run_baseline(spark: SparkSession, d: str) -> tuple[Run, run.StateLog]:
     """Ticks and messages, to the end of both; facts and the field state are in the run's folder."""
     job = Run(spark, d)
+    # All windows of the table are open until its end.
+    for name, value in run.STATE_ON_DISK.items():
+        job.session.conf.set(name, value)
     day = F.col("event_time").cast("timestamp")
     beats = sensors.ticks_of(job.session.read.schema(EVENTS).parquet(job.source)).unionByName(
         job.session.read.parquet(job.closing).select(F.col("ts").alias("event_time"), F.col("event_id").alias("message_id")))

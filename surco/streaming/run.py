@@ -37,6 +37,18 @@ PLANT = ("5 minutes", 300)
 NEARBY = ("15 seconds", 900)
 
 
+# For a session whose open windows may outgrow the heap: they lie on disk, behind a bounded cache per executor.
+STATE_ON_DISK = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # Else every partition of the state takes 4 MB of disk in advance, and every write reads first to count.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+}
+
+
 class Refreshed:
     """A dimension that is loaded again once it is older than its interval.
 

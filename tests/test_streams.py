@@ -2,6 +2,7 @@
 
 import json
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -391,3 +392,15 @@ def test_baseline_facts_come_in_order_and_the_state_from_few_rows(spark, tmp_pat
     late = rows(state.read(spark), "parcel_id", "temperatura", "humedad_ambiental", "fuente_temperatura")
     last = lambda k: max(i for i in range(200) if i % 3 == k and 700 * i < 600 * windows)
     assert late == [("1", 6.0, 60.0, "openmeteo"), ("2", float(last(1)), None, "openmeteo")]
+
+
+def test_open_windows_of_the_baseline_lie_on_disk(spark, smallest):
+    """The whole table is one batch, so its windows are held all at once; only the run's own session is set so."""
+    from surco.plans import streams
+
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    job, _ = streams.run_baseline(spark, smallest)
+    kept = {f.suffix for f in Path(job.path("checkpoint")).glob("state/0/*/*") if not f.name.startswith((".", "_"))}
+    assert kept & {".changelog", ".zip"} and ".delta" not in kept
+    assert spark.conf.get(provider, None) == before
